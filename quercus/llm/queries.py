@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .mixing import op3_mixing
 from .packing import op8_packing
 from .sharding import op1_sharding
 from .token_store import op10_token_store
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op3_mixing": op3_mixing,
     "op8_packing": op8_packing,
     "op10_token_store": op10_token_store,
 }
