@@ -33,11 +33,6 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def rebalanced(df: DataFrame, *columns: str) -> DataFrame:
-    """The columns of a table, without its extra ones."""
-    return df.select(*columns)
-
-
 def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     """Connected components of ``links`` (src, dst: long), by alternating large-star and small-star steps.
 

@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
+from .embedding_dedup import op5_embedding_dedup
+from .fingerprints import op7_fingerprints
+from .html_text import op4_html_text
+from .licenses import op2_licenses
 from .mixing import op3_mixing
+from .near_dedup import op6_near_dedup
 from .packing import op8_packing
 from .sharding import op1_sharding
 from .token_store import op10_token_store
+from .toxicity import op9_toxicity
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_licenses": op2_licenses,
     "op3_mixing": op3_mixing,
+    "op4_html_text": op4_html_text,
+    "op5_embedding_dedup": op5_embedding_dedup,
+    "op6_near_dedup": op6_near_dedup,
+    "op7_fingerprints": op7_fingerprints,
     "op8_packing": op8_packing,
+    "op9_toxicity": op9_toxicity,
     "op10_token_store": op10_token_store,
 }
 
