@@ -275,6 +275,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
         apart = placed.where("comp != main").select("tree", "prefix", "id", "s0", "s1", "comp", F.col("block").alias("q"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("t"))
         queries = placed.where("comp != main").select("tree", "prefix", F.col("block").alias("q")).distinct()
         targets = placed.select("tree", "prefix", "id", "s0", "s1", "comp", F.col("block").alias("t")).join(queries, ["tree", "prefix"])
+        targets = targets.toDF(*targets.columns)  # columns of its own
         keys = ["tree", "prefix", "q", "t"]
         more = apart.groupBy(*keys).cogroup(targets.groupBy(*keys)).applyInPandas(_blocks, "a long, b long").distinct()
         more = stored(more.join(pairs, ["a", "b"], "left_anti"))
