@@ -109,7 +109,8 @@ def _signatures(batches: Iterator[pd.DataFrame], words: int) -> Iterator[pd.Data
 
 def _close(s0: np.ndarray, s1: np.ndarray, t0: np.ndarray, t1: np.ndarray, bits: int) -> np.ndarray:
     """Which sketches agree in more than ``bits`` of their 128 bits."""
-    differ = np.bitwise_count(s0 ^ t0).astype(np.int16) + np.bitwise_count(s1 ^ t1)
+    # of signed numbers bitwise_count takes the absolute value
+    differ = np.bitwise_count((s0 ^ t0).view(np.uint64)).astype(np.int16) + np.bitwise_count((s1 ^ t1).view(np.uint64))
     return differ < 128 - bits
 
 
