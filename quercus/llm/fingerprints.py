@@ -49,15 +49,15 @@ def fingerprint(digests: Column) -> Column:
 
     The cell in table ``t`` is given by three bits of the digest.
     """
-    def cell(c: Column) -> Column:
-        table, slot = F.floor(c / CELLS).cast("int"), (c % CELLS).cast("int")
-        own = F.filter(digests, lambda d: F.call_function("shiftrightunsigned", d, table * 3 + 40).bitwiseAND(F.lit(CELLS - 1).cast("long")) == slot)
+    def cell(table: int, slot: int) -> Column:
+        at = 40 + 3 * table
+        own = F.filter(digests, lambda d: d.bitwiseAND(F.lit((CELLS - 1) << at)) == F.lit(slot << at))
         xor = lambda of: F.aggregate(own, F.lit(0).cast("long"), lambda acc, d: acc.bitwiseXOR(of(d)))
         # fixed width: 8, 16 and 8 hexadecimal digits
         return F.concat(F.lpad(F.hex(F.size(own).cast("long")), 8, "0"), F.lpad(F.hex(xor(lambda d: d)), 16, "0"), F.right(F.lpad(F.hex(xor(_check)), 16, "0"), F.lit(8)))
 
-    cells = F.transform(F.sequence(F.lit(0), F.lit(CELLS * TABLES - 1)), cell)
-    return F.base64(F.unhex(F.array_join(cells, "")))
+    cells = [cell(t, c) for t in range(TABLES) for c in range(CELLS)]
+    return F.base64(F.unhex(F.concat(*cells)))
 
 
 def _bucketed(docs: DataFrame, buckets: int) -> DataFrame:
@@ -161,7 +161,9 @@ def likeness(units: DataFrame) -> DataFrame:
         cells = (F.ceil(_expected(F.col("own"), F.col("other")) * SPARE * factor / TABLES) + 4 * factor).cast("long")
         return each.withColumn("cells", cells).withColumn("salt", F.lit(factor))
 
-    todo, done, failed = units, None, None
+    # the sketches are larger than the units: tasks as many as the session asks for, not fewer for a small exchange
+    tasks = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    todo, done, failed = units.repartition(tasks, "bucket"), None, None
     for t in range(TRIES):
         every = pairs(todo, 1 << t)
         if failed is not None:
