@@ -206,6 +206,29 @@ def _blocks(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out) if out else pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
 
 
+def _exploded(batches: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFrame]:
+    """A row for every shingle of every text."""
+    for batch in batches:
+        for k in range(0, len(batch), 64):
+            some = batch.iloc[k : k + 64]
+            sets = [shingles(t, words) for t in some["text"]]
+            n = [len(x) for x in sets]
+            yield pd.DataFrame({"h": np.concatenate(sets).view(np.int64), "id": np.repeat(some["doc_id"].to_numpy(np.int64), n), "comp": np.repeat(some["comp"].to_numpy(np.int64), n), "n": np.repeat(np.array(n, np.int64), n)})
+
+
+def _linkable(crowd: DataFrame, texts: DataFrame, words: int, similarity: int) -> DataFrame:
+    """The ids of ``crowd`` (id, comp) of whose shingles enough occur in documents of other components.
+
+    Exact: an intersection is no larger than that number, a union no smaller than the set.
+    """
+    of = texts.join(crowd, F.col("doc_id") == F.col("id")).select("doc_id", "comp", "text")
+    rows = stored(of.mapInPandas(lambda it: _exploded(it, words), "h long, id long, comp long, n long"))
+    shared = rows.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("h")
+    # where several texts share an id, the shortest decides
+    counts = rows.join(shared, "h").groupBy("id").agg(F.count("*").alias("m"), F.min("n").alias("n"))
+    return counts.where(100 * F.col("m") >= similarity * F.col("n")).select("id")
+
+
 def _confirmed(batches: Iterator[pd.DataFrame], words: int, similarity: int) -> Iterator[pd.DataFrame]:
     """The pairs of which the full shingle sets are similar enough."""
     last: tuple[int, np.ndarray] | None = None
@@ -272,7 +295,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
     main = sizes.groupBy("tree", "prefix").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps"), F.sum("n").alias("n")).where("comps > 1")
     main = stored(main)
     if main.head(1):
-        placed = members.join(main, ["tree", "prefix"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+        involved = stored(members.join(main, ["tree", "prefix"]))
+        able = _linkable(involved.select("id", "comp").distinct(), texts, words, similarity)
+        placed = stored(involved.join(able, "id", "left_semi")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
         apart = placed.where("comp != main").select("tree", "prefix", "id", "s0", "s1", "comp", F.col("block").alias("q"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("t"))
         queries = placed.where("comp != main").select("tree", "prefix", F.col("block").alias("q")).distinct()
         targets = placed.select("tree", "prefix", "id", "s0", "s1", "comp", F.col("block").alias("t")).join(queries, ["tree", "prefix"])
