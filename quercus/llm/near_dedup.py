@@ -194,12 +194,17 @@ def _border(g: pd.DataFrame, width: int) -> pd.DataFrame:
     return pd.concat([crowded, pairs])
 
 
-def _blocks(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of different components, of one block of a region's outsiders and one block of its members, that sketches don't rule out."""
+def _blocks(left: pd.DataFrame, right: pd.DataFrame, similarity: int) -> pd.DataFrame:
+    """Pairs of different components, of one block of a region's outsiders and one block of its members, that neither sketches nor counts rule out.
+
+    ``m`` shingles of a document occur in other components: two documents share no more than the lesser m.
+    """
     out = []
     for _, q in left.groupby(np.arange(len(left)) // 256):
         ok = _close(q["s0"].to_numpy()[:, None], q["s1"].to_numpy()[:, None], right["s0"].to_numpy()[None, :], right["s1"].to_numpy()[None, :], SKETCH_BITS)
         ok &= q["comp"].to_numpy()[:, None] != right["comp"].to_numpy()[None, :]
+        most = np.minimum(q["m"].to_numpy()[:, None], right["m"].to_numpy()[None, :])
+        ok &= 100 * most >= similarity * (q["n_set"].to_numpy()[:, None] + right["n_set"].to_numpy()[None, :] - most)
         i, j = np.nonzero(ok)
         a, b = q["id"].to_numpy()[i], right["id"].to_numpy()[j]
         out.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}))
@@ -217,7 +222,7 @@ def _exploded(batches: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFr
 
 
 def _linkable(crowd: DataFrame, texts: DataFrame, words: int, similarity: int) -> DataFrame:
-    """The ids of ``crowd`` (id, comp) of whose shingles enough occur in documents of other components.
+    """The ids of ``crowd`` (id, comp) of whose shingles enough (m of n_set) occur in documents of other components.
 
     Exact: an intersection is no larger than that number, a union no smaller than the set.
     """
@@ -226,7 +231,7 @@ def _linkable(crowd: DataFrame, texts: DataFrame, words: int, similarity: int) -
     shared = rows.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("h")
     # where several texts share an id, the shortest decides
     counts = rows.join(shared, "h").groupBy("id").agg(F.count("*").alias("m"), F.min("n").alias("n"))
-    return counts.where(100 * F.col("m") >= similarity * F.col("n")).select("id")
+    return counts.where(100 * F.col("m") >= similarity * F.col("n")).select("id", "m", F.col("n").alias("n_set"))
 
 
 def _confirmed(batches: Iterator[pd.DataFrame], words: int, similarity: int) -> Iterator[pd.DataFrame]:
@@ -297,13 +302,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
     if main.head(1):
         involved = stored(members.join(main, ["tree", "prefix"]))
         able = _linkable(involved.select("id", "comp").distinct(), texts, words, similarity)
-        placed = stored(involved.join(able, "id", "left_semi")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-        apart = placed.where("comp != main").select("tree", "prefix", "id", "s0", "s1", "comp", F.col("block").alias("q"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("t"))
+        placed = stored(involved.join(able, "id")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+        apart = placed.where("comp != main").select("tree", "prefix", "id", "s0", "s1", "comp", "m", "n_set", F.col("block").alias("q"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("t"))
         queries = placed.where("comp != main").select("tree", "prefix", F.col("block").alias("q")).distinct()
-        targets = placed.select("tree", "prefix", "id", "s0", "s1", "comp", F.col("block").alias("t")).join(queries, ["tree", "prefix"])
+        targets = placed.select("tree", "prefix", "id", "s0", "s1", "comp", "m", "n_set", F.col("block").alias("t")).join(queries, ["tree", "prefix"])
         targets = targets.toDF(*targets.columns)  # columns of its own
         keys = ["tree", "prefix", "q", "t"]
-        more = apart.groupBy(*keys).cogroup(targets.groupBy(*keys)).applyInPandas(_blocks, "a long, b long").distinct()
+        more = apart.groupBy(*keys).cogroup(targets.groupBy(*keys)).applyInPandas(lambda a, b: _blocks(a, b, similarity), "a long, b long").distinct()
         more = stored(more.join(pairs, ["a", "b"], "left_anti"))
         links = stored(links.union(_links(more, texts, words, similarity)).distinct())
         found = stored(components(links))
