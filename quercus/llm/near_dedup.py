@@ -198,14 +198,20 @@ def _blocks(left: pd.DataFrame, right: pd.DataFrame, similarity: int) -> pd.Data
     """Pairs of different components, of one block of a region's outsiders and one block of its members, that neither sketches nor counts rule out.
 
     ``m`` shingles of a document occur in other components: two documents share no more than the lesser m.
+    A pair that an earlier tree brings together too is left to that tree.
     """
     out = []
+    tree = int(left["tree"].iloc[0]) if len(left) else 0
+    members = np.stack(right["prefixes"].to_numpy())[:, :tree] if tree and len(right) else None
     for _, q in left.groupby(np.arange(len(left)) // 256):
         ok = _close(q["s0"].to_numpy()[:, None], q["s1"].to_numpy()[:, None], right["s0"].to_numpy()[None, :], right["s1"].to_numpy()[None, :], SKETCH_BITS)
         ok &= q["comp"].to_numpy()[:, None] != right["comp"].to_numpy()[None, :]
         most = np.minimum(q["m"].to_numpy()[:, None], right["m"].to_numpy()[None, :])
         ok &= 100 * most >= similarity * (q["n_set"].to_numpy()[:, None] + right["n_set"].to_numpy()[None, :] - most)
         i, j = np.nonzero(ok)
+        if tree and len(i):
+            new = ~(np.stack(q["prefixes"].to_numpy())[:, :tree][i] == members[j]).any(axis=1)
+            i, j = i[new], j[new]
         a, b = q["id"].to_numpy()[i], right["id"].to_numpy()[j]
         out.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}))
     return pd.concat(out) if out else pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
@@ -250,8 +256,8 @@ def _confirmed(batches: Iterator[pd.DataFrame], words: int, similarity: int) ->
 
 def _links(pairs: DataFrame, texts: DataFrame, words: int, similarity: int) -> DataFrame:
     """Confirmed pairs (src, dst).  Texts meet their pairs in two equi-joins, which Spark may split where one text has many partners."""
-    with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+    with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
+    both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a").select("a", "b", "text_a", "text_b")
     found = both.mapInPandas(lambda it: _confirmed(it, words, similarity), "a long, b long")
     return found.select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
@@ -286,7 +292,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
     crowd = crowd.union(over.where("kind = 1").select("tree", "prefix", "a", "s0", "s1")).distinct()
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(crowd.select("id")).distinct()
-    texts = stored(plain.join(ids, "doc_id", "left_semi"))
+    texts = stored(plain.join(ids.hint("merge"), "doc_id", "left_semi"))
     # one link for each document, the one to its smallest candidate
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = stored(_links(first, texts, words, similarity))
@@ -301,11 +307,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
     main = stored(main)
     if main.head(1):
         involved = stored(members.join(main, ["tree", "prefix"]))
+        prefixes = F.transform(F.sequence(F.lit(1), F.lit(2 * TREES), F.lit(2)), lambda i: F.shiftright(F.element_at("labels", i), 16 * (4 - MIN_DEPTH)))
         able = _linkable(involved.select("id", "comp").distinct(), texts, words, similarity)
-        placed = stored(involved.join(able, "id")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-        apart = placed.where("comp != main").select("tree", "prefix", "id", "s0", "s1", "comp", "m", "n_set", F.col("block").alias("q"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("t"))
+        placed = stored(involved.join(able, "id").join(known.select(F.col("rep").alias("id"), prefixes.alias("prefixes")), "id")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+        apart = placed.where("comp != main").select("tree", "prefix", "id", "s0", "s1", "comp", "m", "n_set", "prefixes", F.col("block").alias("q"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("t"))
         queries = placed.where("comp != main").select("tree", "prefix", F.col("block").alias("q")).distinct()
-        targets = placed.select("tree", "prefix", "id", "s0", "s1", "comp", "m", "n_set", F.col("block").alias("t")).join(queries, ["tree", "prefix"])
+        targets = placed.select("tree", "prefix", "id", "s0", "s1", "comp", "m", "n_set", "prefixes", F.col("block").alias("t")).join(queries, ["tree", "prefix"])
         targets = targets.toDF(*targets.columns)  # columns of its own
         keys = ["tree", "prefix", "q", "t"]
         more = apart.groupBy(*keys).cogroup(targets.groupBy(*keys)).applyInPandas(lambda a, b: _blocks(a, b, similarity), "a long, b long").distinct()
