@@ -2,5 +2,670 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.gains import forest_value, gain, leaf_value
+from .functions.losses import log_loss, sigmoid, softmax
+from .operators import binning, candidates, local_privacy, metrics, private_quantiles, sampling
+from .plans import analytics, privacy, trees
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+Q = 32
+
+
+def query(oracle: str | None = None):
+    """Registers a query by the name of its function, and its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _train(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "lineitem").select(*FEATURES, (F.col("l_returnflag") == "R").cast("int").alias("y"))
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "events").select("event_id", "value", "event_type", (F.col("event_type") == "purchase").cast("int").alias("y"))
+
+
+def _first_step(df: DataFrame) -> tuple:
+    """Gradient and hessian at margin 0, exact in binary."""
+    return 0.5 - F.col("y"), F.lit(0.25)
+
+
+# --- SQL building blocks ---------------------------------------------------------------------------------------------
+_T = "t AS (SELECT l_quantity AS f0, l_extendedprice AS f1, l_discount AS f2, l_tax AS f3, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y FROM lineitem)"
+_U = "u AS (" + " UNION ALL ".join(f"SELECT {j} AS feature, f{j} AS x, y FROM t" for j in range(4)) + ")"
+_C = f"c AS (SELECT feature, min(x) AS mn, (max(x) - min(x)) / {Q} AS st, max(x) AS mx FROM u GROUP BY feature), k AS (SELECT feature, i AS cand, mn + i * st AS v FROM c, range({Q}) r(i)), ks AS (SELECT feature, list(v ORDER BY cand) AS vs FROM k GROUP BY feature)"
+_B = "b AS (SELECT u.feature, len(list_filter(vs, lambda v: v + 1e-11 <= x)) AS bin, y FROM u JOIN ks USING (feature))"
+_H = "h AS (SELECT feature, bin, sum(0.5 - y)::DOUBLE AS g, sum(0.25)::DOUBLE AS h, count(*) AS n FROM b GROUP BY ALL)"
+
+
+def _sql_gain(g: str, h: str, lam: float = 1, alpha: float = 0, delta: float = 2) -> str:
+    c = f"(CASE WHEN {g} > {alpha} THEN {g} - {alpha} WHEN {g} < -{alpha} THEN {g} + {alpha} ELSE 0.0 END)::DOUBLE" if alpha else f"({g})"
+    w = f"(-{c} / ({h} + {lam}))"
+    d = f"(CASE WHEN {w} < 0 THEN -{float(delta)}::DOUBLE ELSE {float(delta)}::DOUBLE END)"
+    return f"(CASE WHEN abs({w}) > {delta} THEN -(2 * {g} * {d} + ({h} + {lam}) * {d} * {d}) + {alpha} * abs({d}) ELSE -{w} * {c} END)"
+
+
+def _sql_scores(**kw) -> str:
+    parts = f"0.5 * ({_sql_gain('gl', 'hl', **kw)} + {_sql_gain('gr', 'hr', **kw)} - {_sql_gain('gt', 'ht', **kw)})"
+    return f"s0 AS (SELECT feature, bin AS cand, sum(g) OVER (PARTITION BY feature ORDER BY bin) AS gl, sum(h) OVER (PARTITION BY feature ORDER BY bin) AS hl, sum(g) OVER (PARTITION BY feature) AS gt, sum(h) OVER (PARTITION BY feature) AS ht FROM h), s1 AS (SELECT *, gt - gl AS gr, ht - hl AS hr FROM s0 WHERE cand < {Q}), s AS (SELECT feature, cand, gl, hl, gr, hr, {parts} AS score FROM s1)"
+
+
+_BASE = f"WITH {_T}, {_U}, {_C}, {_B}, {_H}"
+
+
+def _hist(spark: SparkSession, d: str):
+    df = _train(spark, d)
+    cands = candidates.uniform(df, FEATURES, Q)
+    return binning.histogram(df, cands, *_first_step(df)), cands
+
+
+# --- scans, encodings, samples ---------------------------------------------------------------------------------------
+@query("SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem WHERE l_discount > 0.05 AND l_quantity <= 10")
+def scan_project_filter(spark, d):
+    """Pruned columns, pushed filters."""
+    return _table(spark, d, "lineitem").where("l_discount > 0.05 and l_quantity <= 10").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+
+
+@query("SELECT CASE WHEN event_type IN ('purchase', 'click') THEN 1 ELSE 0 END AS y, count(*) AS n FROM events GROUP BY ALL")
+def label_predicate(spark, d):
+    return _table(spark, d, "events").select(F.col("event_type").isin("purchase", "click").cast("int").alias("y")).groupBy("y").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, (dense_rank() OVER (ORDER BY o_orderpriority) - 1)::INT AS code FROM orders")
+def dict_encode_sorted(spark, d):
+    return sampling.sorted_codes(_table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", "code").select("o_orderkey", "code")
+
+
+@query("WITH f AS (SELECT event_type, min(event_id) AS k FROM events GROUP BY 1), r AS (SELECT event_type, (row_number() OVER (ORDER BY k) - 1)::INT AS code FROM f) SELECT event_id, code FROM events JOIN r USING (event_type)")
+def factorize_first_seen(spark, d):
+    return sampling.first_seen_codes(_table(spark, d, "events").select("event_id", "event_type"), "event_type", "event_id", "code").select("event_id", "code")
+
+
+@query("SELECT count(*) AS kept FROM events WHERE value IS NOT NULL AND NOT isnan(value) AND user_id IS NOT NULL")
+def dropna_counts(spark, d):
+    return _table(spark, d, "events").select("value", "user_id").dropna().agg(F.count("*").alias("kept"))
+
+
+@query("SELECT l_returnflag, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM lineitem GROUP BY l_returnflag")
+def class_balance(spark, d):
+    n = _table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"))
+    return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(binning.Window.partitionBy()), 6))  # one row a class
+
+
+@query("SELECT " + ", ".join(f"round(corr({f}, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END), 6) AS {f}" for f in FEATURES) + " FROM lineitem")
+def feature_label_corr(spark, d):
+    return _train(spark, d).agg(*[F.round(F.corr(f, "y"), 6).alias(f) for f in FEATURES])
+
+
+@query()
+def stratified_split(spark, d):
+    """70 per cent of each class, by a hash of the key (the hash is Spark's, so counts are tested, not compared with SQL)."""
+    return sampling.stratified_split(_events(spark, d).select("event_id", "y"), "y", "event_id")
+
+
+@query("SELECT event_type, floor(0.7 * count(*) + 0.5)::BIGINT AS train FROM events GROUP BY 1")
+def stratified_split_counts(spark, d):
+    split = sampling.stratified_split(_events(spark, d).select("event_id", "event_type"), "event_type", "event_id")
+    return split.groupBy("event_type").agg(F.count_if("train").alias("train"))
+
+
+@query("SELECT floor(0.25 * count(*) + 0.5)::BIGINT AS n FROM events")
+def sample_without_replacement(spark, d):
+    return sampling.without_replacement(_events(spark, d), "event_id", 0.25).agg(F.count("*").alias("n"))
+
+
+@query()
+def sample_poisson(spark, d):
+    return sampling.poisson(_events(spark, d), "event_id", 0.25)
+
+
+# --- candidates ------------------------------------------------------------------------------------------------------
+def _cands(spark, cands: dict) -> DataFrame:
+    return spark.createDataFrame([(f, i, float(v)) for f, c in cands.items() for i, v in enumerate(c)], "feature string, i int, v double").withColumn("v", F.round("v", 6))
+
+
+_E = "e AS (SELECT value::DOUBLE AS x FROM events WHERE value IS NOT NULL AND NOT isnan(value))"
+
+
+@query(f"WITH {_T}, {_U}, {_C} SELECT feature, cand::INT AS i, v FROM k")
+def cand_uniform(spark, d):
+    c = candidates.uniform(_train(spark, d), FEATURES, Q)
+    return spark.createDataFrame([(j, i, v) for j, f in enumerate(FEATURES) for i, v in enumerate(c[f])], "feature int, i int, v double")
+
+
+@query(f"WITH {_T}, {_U}, p AS (SELECT feature, i, quantile_cont(x, [{', '.join(f'{i / Q}' for i in range(Q))}]) AS qs FROM u, (SELECT 0 AS i) GROUP BY ALL) SELECT feature, j::INT AS i, round(qs[j + 1], 6) AS v FROM p, range({Q}) r(j)")
+def cand_exact_quantiles(spark, d):
+    c = candidates.exact_quantiles(_train(spark, d), FEATURES, Q)
+    return spark.createDataFrame([(j, i, v) for j, f in enumerate(FEATURES) for i, v in enumerate(c[f])], "feature int, i int, v double").withColumn("v", F.round("v", 6))
+
+
+@query(f"WITH {_E}, n AS (SELECT x, sum(count(*)) OVER (ORDER BY x) / sum(count(*)) OVER () AS p FROM e GROUP BY x), w AS (SELECT x, p, lead(x) OVER (ORDER BY x) AS nx, lead(p) OVER (ORDER BY x) AS np, row_number() OVER (ORDER BY x) AS r FROM n), g AS (SELECT i::INT AS i, i / 32.0::DOUBLE AS r0 FROM range(32) z(i)), a AS (SELECT g.i, x + (r0 - p) * (nx - x) / (np - p) AS v FROM g JOIN w ON r0 >= p AND r0 < np), f AS (SELECT g.i, x + (r0 - p) * (nx - x) / (np - p) AS v FROM g, w WHERE w.r = 1 AND r0 < p) SELECT 'value' AS feature, i, round(v, 6) AS v FROM (SELECT * FROM a UNION ALL SELECT * FROM f)")
+def cand_exact_icdf(spark, d):
+    return _cands(spark, {"value": candidates.exact_icdf(_events(spark, d), "value", Q)})
+
+
+_LOG = "m AS (SELECT min(x) AS lo, max(x) AS hi, avg(power(x - a, 3)) / power(avg(power(x - a, 2)), 1.5) AS sk FROM e, (SELECT avg(x) AS a FROM e))"
+
+
+def _sql_log(q: int) -> str:
+    return f"SELECT CASE WHEN sk >= 0 THEN exp(i * (ln(1 + hi - lo) / {q})) + lo - 1 ELSE lo + hi - (exp(i * (ln(1 + hi - lo) / {q})) + lo - 1) END AS v FROM m, range({q}) z(i)"
+
+
+@query(f"WITH {_E}, {_LOG}, l AS ({_sql_log(32)}) SELECT 'value' AS feature, (row_number() OVER (ORDER BY v) - 1)::INT AS i, round(v, 6) AS v FROM l")
+def cand_log(spark, d):
+    return _cands(spark, {"value": candidates.log(_events(spark, d), "value", Q)})
+
+
+@query(f"WITH {_E}, {_LOG}, l AS ({_sql_log(16)} UNION ALL SELECT lo + i * ((hi - lo) / 16) FROM m, range(16) z(i)) SELECT 'value' AS feature, (row_number() OVER (ORDER BY v) - 1)::INT AS i, round(v, 6) AS v FROM l")
+def cand_log_uniform(spark, d):
+    return _cands(spark, {"value": candidates.log_uniform(_events(spark, d), "value", Q)})
+
+
+@query()
+def cand_skew_test(spark, d):
+    """Tested against the plain and the logarithmic points."""
+    return _cands(spark, {"value": candidates.skew_test(_events(spark, d), "value", Q)})
+
+
+@query()
+def cand_sketch(spark, d):
+    """Rank errors are tested against exact ranks."""
+    return _cands(spark, candidates.sketch(_train(spark, d), FEATURES, Q))
+
+
+@query("SELECT 'p_size' AS feature, (row_number() OVER (ORDER BY v) - 1)::INT AS i, v FROM (SELECT DISTINCT p_size::DOUBLE AS v FROM part)")
+def cand_categorical(spark, d):
+    return _cands(spark, {"p_size": candidates.categorical(_table(spark, d, "part"), "p_size")})
+
+
+@query()
+def cand_histogram_quantiles(spark, d):
+    """Without noise; tested against sorted values."""
+    return _cands(spark, {"value": candidates.histogram_quantiles(_events(spark, d), "value", Q)})
+
+
+@query()
+def cand_dp_histogram(spark, d):
+    return _cands(spark, {"value": candidates.histogram_quantiles(_events(spark, d), "value", Q, epsilon=1.0, seed=1)})
+
+
+@query()
+def cand_random(spark, d):
+    return _cands(spark, candidates.random_points(_train(spark, d), FEATURES, Q, seed=1))
+
+
+@query()
+def cand_adaptive_hessian(spark, d):
+    """One round of refinement from the root's hessians; tested on hand-made histograms."""
+    hist, cands = _hist(spark, d)
+    per = [[0.0] * (Q + 1) for _ in FEATURES]
+    for r in hist.select("feature", "bin", "h").collect():
+        per[r["feature"]][r["bin"]] = r["h"]
+    mean = sum(map(sum, per)) / len(per)
+    return _cands(spark, {f: candidates.hessian_refined(cands[f], per[j], mean, Q) for j, f in enumerate(FEATURES)})
+
+
+# --- binning, supervised bins ----------------------------------------------------------------------------------------
+@query(f"WITH {_T}, {_U}, {_C}, {_B} SELECT feature, bin::INT AS bin, count(*) AS n FROM b GROUP BY ALL")
+def bin_digitize(spark, d):
+    return _hist(spark, d)[0].select("feature", "bin", "n")
+
+
+_POINTS = [10.0, 20.0, 30.0, 40.0, 50.0]
+
+
+@query(f"SELECT ({' + '.join(f'(CASE WHEN {p} < l_quantity THEN 1 ELSE 0 END)' for p in _POINTS[:-1])})::INT AS bin, count(*) AS n FROM lineitem GROUP BY 1")
+def bin_bisect(spark, d):
+    return _train(spark, d).groupBy(binning.bisect_left(F.col("l_quantity"), _POINTS).alias("bin")).agg(F.count("*").alias("n"))
+
+
+def _woe(spark, d):
+    bins = binning.bisect_left(F.col("l_quantity"), _POINTS)
+    return binning.event_counts(_train(spark, d), "l_quantity", bins)
+
+
+_COUNTS = f"WITH n AS (SELECT ({' + '.join(f'(CASE WHEN {p} < l_quantity THEN 1 ELSE 0 END)' for p in _POINTS[:-1])})::INT AS bin, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END)::BIGINT AS events, sum(CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END)::BIGINT AS others FROM lineitem GROUP BY 1)"
+
+
+@query(f"{_COUNTS} SELECT 'l_quantity' AS feature, bin, events, others FROM n")
+def bin_event_counts(spark, d):
+    return _woe(spark, d)
+
+
+@query(f"{_COUNTS}, r AS (SELECT bin, events, others, CASE WHEN events = 0 OR others = 0 THEN (events + 0.5::DOUBLE) / greatest(sum(events) OVER (), 1) ELSE events / greatest(sum(events) OVER (), 1) END AS e, CASE WHEN events = 0 OR others = 0 THEN (others + 0.5::DOUBLE) / greatest(sum(others) OVER (), 1) ELSE others / greatest(sum(others) OVER (), 1) END AS o FROM n) SELECT 'l_quantity' AS feature, bin, round(ln(e / o), 6) AS woe, round(sum((e - o) * ln(e / o)) OVER (), 8) AS iv FROM r")
+def woe_iv(spark, d):
+    return binning.woe_iv(_woe(spark, d)).select("feature", "bin", F.round("woe", 6).alias("woe"), F.round("iv", 8).alias("iv"))
+
+
+# --- growth ----------------------------------------------------------------------------------------------------------
+@query(f"{_BASE} SELECT feature, bin::INT AS bin, g, h, n FROM h")
+def root_histogram(spark, d):
+    return _hist(spark, d)[0].drop("node")
+
+
+def _scored(spark, d, **kw):
+    hist, _ = _hist(spark, d)
+    return binning.scores(hist, [Q] * 4, **kw)
+
+
+@query(f"{_BASE}, {_sql_scores()} SELECT feature, cand::INT AS cand, gl, hl, gr, hr, round(score, 6) AS score FROM s")
+def split_score_all(spark, d):
+    return _scored(spark, d).drop("node").withColumn("score", F.round("score", 6))
+
+
+_BEST = "SELECT feature, cand::INT AS cand, gl, hl, gr, hr, score FROM s ORDER BY score DESC, feature, cand LIMIT 1"
+
+
+@query(f"{_BASE}, {_sql_scores()} {_BEST}")
+def best_split_root(spark, d):
+    """The flagship: candidates, bins, root histogram, scores, the best of them."""
+    return binning.best(_scored(spark, d)).drop("node")
+
+
+@query(f"{_BASE}, {_sql_scores(alpha=1, delta=0.5)} {_BEST}")
+def best_split_l1_delta(spark, d):
+    return binning.best(_scored(spark, d, alpha=1.0, delta=0.5)).drop("node")
+
+
+@query(f"{_BASE}, {_sql_scores()} {_BEST}")
+def best_split_onesided(spark, d):
+    """Without noise or gaps the mean of the totals is each feature's total."""
+    return binning.best(_scored(spark, d, one_sided=True)).drop("node")
+
+
+def _model(spark, d, **kw):
+    p = trees.Params(**({"num_trees": 1, "max_depth": 2} | kw))
+    return trees.fit(_train(spark, d), FEATURES, "y", params=p)
+
+
+@query(f"""{_BASE}, {_sql_scores()}, r AS (SELECT s.feature, k.v FROM s JOIN k USING (feature, cand) ORDER BY s.score DESC, s.feature, s.cand LIMIT 1)
+SELECT CASE WHEN CASE r.feature WHEN 0 THEN f0 WHEN 1 THEN f1 WHEN 2 THEN f2 ELSE f3 END <= r.v THEN 1 ELSE 2 END AS num, count(*) AS n, sum(0.5 - y)::DOUBLE AS g, sum(0.25)::DOUBLE AS h FROM t, r GROUP BY 1""")
+def node_partition_counts(spark, d):
+    """Rows, gradients and hessians of the root's children."""
+    m = _model(spark, d, max_depth=1)
+    df = _train(spark, d)
+    g, h = _first_step(df)
+    return df.groupBy(trees.tree_leaf(m.trees[0][0], FEATURES).alias("num")).agg(F.count("*").alias("n"), F.sum(g).alias("g"), F.sum(h).alias("h"))
+
+
+@query(f"""{_BASE}, {_sql_scores()}, r AS (SELECT s.feature, k.v FROM s JOIN k USING (feature, cand) ORDER BY s.score DESC, s.feature, s.cand LIMIT 1),
+l AS (SELECT CASE WHEN CASE r.feature WHEN 0 THEN f0 WHEN 1 THEN f1 WHEN 2 THEN f2 ELSE f3 END <= r.v THEN 1 ELSE 2 END AS num, sum(0.5 - y)::DOUBLE AS g, sum(0.25)::DOUBLE AS h FROM t, r GROUP BY 1)
+SELECT num, round(0.3 * greatest(-2.0, least(2.0, -g / (h + 1))), 8) AS value FROM l""")
+def leaf_weights(spark, d):
+    m = _model(spark, d, max_depth=1)
+    return m.table(spark).where("feature is null").select("num", F.round("value", 8).alias("value"))
+
+
+@query(f"""{_BASE}, {_sql_scores()}, r AS (SELECT s.feature, k.v FROM s JOIN k USING (feature, cand) ORDER BY s.score DESC, s.feature, s.cand LIMIT 1),
+w AS (SELECT CASE WHEN CASE r.feature WHEN 0 THEN f0 WHEN 1 THEN f1 WHEN 2 THEN f2 ELSE f3 END <= r.v THEN 1 ELSE 2 END AS num, * EXCLUDE (feature, v) FROM t, r),
+wu AS ({' UNION ALL '.join(f'SELECT num, {j} AS feature, f{j} AS x, y FROM w' for j in range(4))})
+SELECT num AS node, wu.feature, len(list_filter(vs, lambda v: v + 1e-11 <= x))::INT AS bin, sum(0.5 - y)::DOUBLE AS g, sum(0.25)::DOUBLE AS h, count(*) AS n FROM wu JOIN ks USING (feature) GROUP BY ALL""")
+def level2_histogram(spark, d):
+    """Histograms of both children of the root, in one aggregate."""
+    m = _model(spark, d, max_depth=1)
+    df = _train(spark, d)
+    return binning.histogram(df, m.cands, *_first_step(df), trees.tree_leaf(m.trees[0][0], FEATURES))
+
+
+@query()
+def tree_depth3_nodes(spark, d):
+    """Nodes of a whole tree; tested against a plain tree grower."""
+    return _model(spark, d, max_depth=3).table(spark)
+
+
+@query(f"{_BASE}, n AS (SELECT sum(y)::DOUBLE AS g, count(*)::DOUBLE AS h FROM t) SELECT CASE WHEN h <= 0 THEN 0.5 WHEN g <= 0 THEN 0.0 ELSE least(g / h, 1.0) END AS value FROM n")
+def rf_leaf_weights(spark, d):
+    s = _train(spark, d).agg(F.sum("y").cast("double").alias("g"), F.count("*").cast("double").alias("h"))
+    return s.select(forest_value(F.col("g"), F.col("h")).alias("value"))
+
+
+@query()
+def boosting_trees(spark, d):
+    """Three boosted trees of depth 3; tested against plain gradients."""
+    return _model(spark, d, num_trees=3, max_depth=3).table(spark)
+
+
+@query()
+def totally_random_forest(spark, d):
+    return _model(spark, d, num_trees=4, max_depth=3, split_method="totally_random", training_method="rf").table(spark)
+
+
+@query()
+def batched_boosting(spark, d):
+    return _model(spark, d, num_trees=5, max_depth=3, split_method="totally_random", training_method="batched_boosting", batched_update_size=2).table(spark)
+
+
+@query()
+def multiclass_one_vs_rest(spark, d):
+    df = _table(spark, d, "lineitem").select(*FEATURES, (F.ascii("l_returnflag") % 3).alias("y"))
+    return trees.fit(df, FEATURES, "y", params=trees.Params(num_trees=1, max_depth=2)).table(spark)
+
+
+@query()
+def regression_first_tree(spark, d):
+    df = _table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").cast("double").alias("c"), (F.col("o_totalprice") / 100000).alias("y"))
+    return trees.fit(df, ["c"], "y", params=trees.Params(num_trees=1, max_depth=3, task="regression")).table(spark)
+
+
+# --- noise and budgets -----------------------------------------------------------------------------------------------
+@query(f"{_BASE}, f AS (SELECT j::INT AS feature, b::INT AS bin FROM range(4) x(j), range({Q + 1}) z(b)) SELECT f.feature, f.bin, coalesce(g, 0.0) AS g, coalesce(h.h, 0.0) AS h, coalesce(n, 0) AS n FROM f LEFT JOIN h ON f.feature = h.feature AND f.bin = h.bin")
+def histogram_noise_zero(spark, d):
+    """All cells, empty ones too, with noise of deviation 0."""
+    hist, _ = _hist(spark, d)
+    return binning.noisy(binning.dense(hist, [Q] * 4), 0.0, 0.0, 1).drop("node")
+
+
+@query()
+def histogram_gaussian(spark, d):
+    hist, _ = _hist(spark, d)
+    sigma = privacy.sigma_for(1.0, 8, 1e-5)
+    return binning.noisy(binning.dense(hist, [Q] * 4), sigma, sigma / 4, 1).drop("node")
+
+
+@query()
+def private_trees(spark, d):
+    """Two trees under a central budget of epsilon 1."""
+    return _model(spark, d, num_trees=2, max_depth=3, **{k: v for k, v in trees.PRESETS["hist_newton"].items() if k != "max_depth"}).table(spark)
+
+
+_ORDERS = "[" + ", ".join(f"{a}::DOUBLE" for a in privacy.ORDERS) + "]"
+
+
+@query(f"SELECT a AS ord, round(100 * a / (2 * 40.0 * 40.0), 8) AS rdp FROM (SELECT unnest({_ORDERS}) AS a)")
+def rdp_curve(spark, d):
+    return spark.createDataFrame([(a, r) for a, r in zip(privacy.ORDERS, privacy.rdp(40.0, 100))], "ord double, rdp double").withColumn("rdp", F.round("rdp", 8))
+
+
+@query(f"WITH o AS (SELECT unnest({_ORDERS}) AS a), q AS (SELECT * FROM (VALUES (1.0, 600, 1e-5), (1.0, 100, 1e-5), (0.5, 100, 1e-6), (0.1, 50, 1e-5)) v(epsilon, queries, delta)), c AS (SELECT *, ln(1 - 1 / a) - ln(delta * a) / (a - 1) AS cost FROM q, o) SELECT epsilon::DOUBLE AS epsilon, queries::INT AS queries, round(min(sqrt(queries * a / (2 * (epsilon::DOUBLE - cost)))), 6) AS sigma FROM c WHERE epsilon > cost GROUP BY epsilon, queries, delta")
+def sigma_closed_form(spark, d):
+    grid = [(1.0, 600, 1e-5), (1.0, 100, 1e-5), (0.5, 100, 1e-6), (0.1, 50, 1e-5)]
+    return spark.createDataFrame([(e, q, round(privacy.sigma_for(e, q, dl), 6)) for e, q, dl in grid], "epsilon double, queries int, sigma double")
+
+
+@query("SELECT t::INT AS tree, l::INT AS level, kind, round(1.0 / 3 / 2 / 2, 8) AS share FROM range(2) a(t), range(3) b(l), (VALUES ('gradient'), ('hessian')) k(kind)")
+def budget_allocation(spark, d):
+    return privacy.Accountant(num_trees=2, max_depth=3).table(spark).select("tree", "level", "kind", F.round("share", 8).alias("share"))
+
+
+@query("SELECT 'basic' AS method, round(100 * sqrt(2 * ln(1.25 * 100 / 1e-5)), 6) AS sigma")
+def composition_basic(spark, d):
+    return spark.createDataFrame([("basic", round(privacy.sigma_by("basic", 1.0, 1e-5, 100), 6))], "method string, sigma double")
+
+
+@query("SELECT event_id % 100 AS row_id, count(*) * 8 AS queries FROM events GROUP BY 1")
+def ledger_counts(spark, d):
+    """Queries a row takes part in: levels and sums of each tree."""
+    return _events(spark, d).groupBy((F.col("event_id") % 100).alias("row_id")).agg((F.count("*") * 8).alias("queries"))
+
+
+# --- scoring and metrics ---------------------------------------------------------------------------------------------
+_STUMP = "CASE WHEN l_quantity <= 25 THEN CASE WHEN l_discount <= 0.05 THEN -0.4::DOUBLE ELSE 0.1::DOUBLE END ELSE 0.3::DOUBLE END"
+
+
+def _stump() -> trees.Model:
+    n = trees.Node
+    t = {(0, 1): n(0, 1, 0, 0, 0, 25.0), (1, 1): n(1, 1, 0, 0, 2, 0.05), (1, 2): n(1, 2, 0, 0, value=0.3), (2, 1): n(2, 1, 0, 0, value=-0.4), (2, 2): n(2, 2, 0, 0, value=0.1)}
+    return trees.Model(FEATURES, trees.Params(), {0: [t]})
+
+
+@query(f"SELECT l_orderkey, l_linenumber, {_STUMP} AS margin FROM lineitem")
+def score_margin(spark, d):
+    return _table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", _stump().margin().alias("margin"))
+
+
+@query(f"SELECT l_orderkey, l_linenumber, round(1 / (1 + exp(-({_STUMP}))), 6) AS p, CASE WHEN {_STUMP} > 0 THEN 1 ELSE 0 END AS prediction FROM lineitem")
+def score_proba_class(spark, d):
+    s = _stump().score(_table(spark, d, "lineitem"))
+    return s.select("l_orderkey", "l_linenumber", F.round(F.col("probabilities")[1], 6).alias("p"), "prediction")
+
+
+@query(f"SELECT round(avg(exp(a) / (exp(a) + exp(2 * a) + exp(-a))), 8) AS p0 FROM (SELECT {_STUMP} AS a FROM lineitem)")
+def ovr_softmax(spark, d):
+    m = _stump().margin()
+    return _table(spark, d, "lineitem").agg(F.round(F.avg(softmax(F.array(m, 2 * m, -m))[0]), 8).alias("p0"))
+
+
+@query(f"SELECT round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 8) AS loss FROM (SELECT 1 / (1 + exp(-({_STUMP}))) AS p, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y FROM lineitem)")
+def score_log_loss(spark, d):
+    return _train(spark, d).agg(F.round(F.avg(log_loss(F.col("y"), _stump().margin())), 8).alias("loss"))
+
+
+@query()
+def feature_importance(spark, d):
+    return _model(spark, d, max_depth=3).importance(spark)
+
+
+@query()
+def communication_cost(spark, d):
+    return _model(spark, d, max_depth=3).communication(spark)
+
+
+@query()
+def staged_auc(spark, d):
+    """The area under the ROC curve of each prefix of the trees, in one aggregate over (prefix, score)."""
+    m = _model(spark, d, num_trees=3, max_depth=3)
+    prefixes = F.explode(F.array(*[F.struct(F.lit(k).alias("trees"), m.margin(first=k).alias("score")) for k in (1, 2, 3)])).alias("s")
+    return metrics.auc(_train(spark, d).select("y", prefixes).select("y", "s.*"), keys=["trees"])
+
+
+def _scored_rows(spark, d):
+    return _train(spark, d).select("y", F.col("l_quantity").alias("score"), (F.col("l_quantity") > 25).cast("int").alias("prediction"))
+
+
+_SY = "x AS (SELECT l_quantity AS s, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y FROM lineitem), d AS (SELECT s, sum(y)::BIGINT AS p, sum(1 - y)::BIGINT AS n FROM x GROUP BY s)"
+
+
+@query(f"WITH {_SY}, w AS (SELECT *, coalesce(sum(n) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM d) SELECT round(sum(p * (below + n / 2)) / (sum(p) * sum(n)), 8) AS auc FROM w")
+def metric_auc(spark, d):
+    return metrics.auc(_scored_rows(spark, d)).select(F.round("auc", 8).alias("auc"))
+
+
+@query(f"WITH {_SY}, w AS (SELECT p, sum(p) OVER (ORDER BY s DESC) AS tp, sum(p + n) OVER (ORDER BY s DESC) AS al FROM d) SELECT round(sum(p * tp / al) / sum(p), 8) AS ap FROM w")
+def metric_average_precision(spark, d):
+    return metrics.average_precision(_scored_rows(spark, d)).select(F.round("ap", 8).alias("ap"))
+
+
+@query(f"WITH {_SY} SELECT s AS score, (sum(n) OVER (ORDER BY s DESC))::BIGINT AS fp, (sum(p) OVER (ORDER BY s DESC))::BIGINT AS tp FROM d")
+def roc_curve(spark, d):
+    return metrics.roc(_scored_rows(spark, d))
+
+
+@query(f"WITH {_SY}, z AS (SELECT count(*) FILTER (s > 25 AND y = 1) AS tp, count(*) FILTER (s > 25 AND y = 0) AS fp, count(*) FILTER (s <= 25 AND y = 1) AS fn, count(*) AS a, count(*) FILTER ((s > 25) = (y = 1)) AS r FROM x) SELECT round(r / a, 8) AS accuracy, round(tp / (tp + fp), 8) AS prec, round(tp / (tp + fn), 8) AS recall, round(2 * tp / (2 * tp + fp + fn), 8) AS f1 FROM z")
+def metric_f1_acc(spark, d):
+    c = metrics.confusion(_scored_rows(spark, d)).withColumnRenamed("precision", "prec")
+    return c.select(*[F.round(x, 8).alias(x) for x in ("accuracy", "prec", "recall", "f1")])
+
+
+@query("SELECT round(avg(power(l_extendedprice - 1000 * l_quantity, 2)) / 1e6, 4) AS mse FROM lineitem")
+def metric_mse(spark, d):
+    df = _table(spark, d, "lineitem").select(F.col("l_extendedprice").alias("y"), (1000 * F.col("l_quantity")).alias("prediction"))
+    return metrics.regression(df).select(F.round(F.col("mse") / 1e6, 4).alias("mse"))
+
+
+# --- private quantiles -----------------------------------------------------------------------------------------------
+_QS = [0.1, 0.25, 0.5, 0.75, 0.9]
+
+
+@query(f"WITH {_E}, o AS (SELECT x, row_number() OVER (ORDER BY x) - 1 AS i, count(*) OVER () AS n FROM e), q AS (SELECT unnest([{', '.join(f'{q}::DOUBLE' for q in _QS)}]) AS q) SELECT q, x AS value FROM q JOIN o ON i = floor((n - 1) * q)")
+def quantile_lower(spark, d):
+    return private_quantiles.lower_quantiles(_events(spark, d), "value", _QS)
+
+
+@query("WITH e AS (SELECT least(floor((least(greatest(value, 0), 1000) - 0) / 1000.0 * 256), 255)::BIGINT AS leaf FROM events WHERE value IS NOT NULL AND NOT isnan(value)) SELECT 1 AS level, leaf // 16 AS node, count(*) AS n FROM e GROUP BY ALL UNION ALL SELECT 2, leaf, count(*) FROM e GROUP BY ALL")
+def quantile_tree_counts(spark, d):
+    return private_quantiles.tree_counts(_events(spark, d), "value", 0.0, 1000.0, 16, 2)
+
+
+@query()
+def quantile_tree_query(spark, d):
+    """Without noise; tested against exact quantiles within a leaf."""
+    return spark.createDataFrame(list(zip(_QS, private_quantiles.quantile_tree(_events(spark, d), "value", _QS, 0.0, 1000.0))), "q double, value double")
+
+
+@query()
+def quantile_tree_private(spark, d):
+    return spark.createDataFrame(list(zip(_QS, private_quantiles.quantile_tree(_events(spark, d), "value", _QS, 0.0, 1000.0, epsilon=1.0, seed=1))), "q double, value double")
+
+
+@query()
+def ind_exp(spark, d):
+    return private_quantiles.ind_exp(_events(spark, d), "value", _QS, 0.0, 1000.0, 0.2)
+
+
+@query()
+def joint_exp(spark, d):
+    return spark.createDataFrame(list(zip(_QS, private_quantiles.joint_exp(_events(spark, d), "value", _QS, 0.0, 1000.0, 1.0, 512))), "q double, value double")
+
+
+@query("SELECT (abs(count(*) FILTER (value > 10) - count(*) FILTER (value > 20)) + abs(count(*) FILTER (value > 30) - count(*) FILTER (value > 30.5))) / 2 AS error FROM events")
+def misclassified_points(spark, d):
+    return spark.createDataFrame([(private_quantiles.misclassified(_events(spark, d), "value", [(10.0, 20.0), (30.0, 30.5)]),)], "error double")
+
+
+# --- local privacy ---------------------------------------------------------------------------------------------------
+@query()
+def local_hashing(spark, d):
+    e = _events(spark, d)
+    return local_privacy.hash_estimates(local_privacy.hash_reports(e, "event_id", "event_type", 2.0), e.select("event_type").distinct(), "event_type", 2.0)
+
+
+@query()
+def hybrid_mean(spark, d):
+    x = F.least(F.greatest(F.col("value") / 500 - 1, F.lit(-1.0)), F.lit(1.0))
+    return _events(spark, d).agg(F.avg(local_privacy.bounded_report(x, "event_id", 2.0)).alias("estimate"), F.avg(x).alias("mean"))
+
+
+@query()
+def square_wave_density(spark, d):
+    x = F.least(F.greatest(F.col("value") / 1000, F.lit(0.0)), F.lit(1.0))
+    reports = _events(spark, d).select(local_privacy.square_wave_report(x, "event_id", 2.0).alias("r"))
+    return spark.createDataFrame(list(enumerate(local_privacy.square_wave_density(reports, "r", 2.0, bins=64))), "cell int, share double")
+
+
+_W = "w AS (SELECT event_type, count(*) / (SELECT count(*) FROM events) * 1.4 - 0.1 AS f FROM events GROUP BY 1)"
+
+
+def _freq(spark, d):
+    e = _events(spark, d)
+    n = e.count()
+    return e.groupBy("event_type").agg((F.count("*") / n * 1.4 - 0.1).alias("f"))
+
+
+@query(f"WITH {_W}, r AS (SELECT f, (sum(f) OVER (ORDER BY f DESC) - 1) / row_number() OVER (ORDER BY f DESC) AS s FROM w), c AS (SELECT arg_min(s, f) AS s FROM r WHERE f > s) SELECT event_type, round(greatest(f - s, 0), 8) AS p FROM w, c")
+def simplex_projection(spark, d):
+    return local_privacy.to_simplex(_freq(spark, d), "f", "p").select("event_type", F.round("p", 8).alias("p"))
+
+
+@query(f"WITH {_W} SELECT event_type, round(f + (1 - sum(f) OVER ()) / count(*) OVER (), 8) AS p FROM w")
+def additive_norm(spark, d):
+    return local_privacy.add_evenly(_freq(spark, d), "f", "p", 1.0).select("event_type", F.round("p", 8).alias("p"))
+
+
+@query(f"WITH {_W} SELECT event_type, round(CASE WHEN sum(f) OVER (ORDER BY f DESC) <= 0.8 AND f > 0 THEN f ELSE 0 END, 8) AS p FROM w")
+def threshold_cut(spark, d):
+    return local_privacy.cut_threshold(_freq(spark, d), "f", "p", 0.8).select("event_type", F.round("p", 8).alias("p"))
+
+
+# --- result analytics: orders stand for results (dataset: status, method: priority, trees: month) -----------------------
+_R = "r AS (SELECT o_orderkey, o_orderstatus AS dataset, o_orderpriority AS method, month(o_orderdate)::INT AS trees, o_totalprice AS score FROM orders)"
+
+
+def _results(spark, d):
+    return _table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("dataset"), F.col("o_orderpriority").alias("method"), F.month("o_orderdate").alias("trees"), F.col("o_totalprice").alias("score"))
+
+
+@query("SELECT event_id, 'gbm' AS a, (event_id % 7)::VARCHAR AS b, 'inf' AS c FROM events")
+def args_parse(spark, d):
+    df = _events(spark, d).select("event_id", F.format_string("{'update': 'gbm', 'bins': %d}", F.col("event_id") % 7).alias("args"))
+    return df.select("event_id", analytics.setting("args", "update", "xgboost").alias("a"), analytics.setting("args", "bins", "32").alias("b"), analytics.setting("args", "rounds", "inf").alias("c"))
+
+
+@query(f"WITH {_R} SELECT dataset, method, round(avg(score), 2) AS mean, round(stddev_samp(score), 2) AS std, count(*) AS n FROM r GROUP BY ALL")
+def mean_std_by_method(spark, d):
+    return analytics.mean_std(_results(spark, d), ["dataset", "method"], "score", 2)
+
+
+@query(f"WITH {_R}, m AS (SELECT dataset, method, round(avg(score), 2) AS mean FROM r GROUP BY ALL) SELECT dataset, method, mean, mean = max(mean) OVER (PARTITION BY dataset) AS best FROM m")
+def max_of_means(spark, d):
+    means = analytics.mean_std(_results(spark, d), ["dataset", "method"], "score", 2).drop("std", "n")
+    return analytics.flag_best(means, ["dataset"])
+
+
+@query(f"WITH {_R}, m AS (SELECT dataset, method, trees, avg(score) AS a FROM r GROUP BY ALL), b AS (SELECT dataset, method, trees FROM m QUALIFY row_number() OVER (PARTITION BY dataset, method ORDER BY a DESC, trees) = 1) SELECT r.* FROM r JOIN b USING (dataset, method, trees)")
+def best_trees_per_method(spark, d):
+    return analytics.best_setting(_results(spark, d), ["dataset", "method"], "trees", "score").select("o_orderkey", "dataset", "method", "trees", "score")
+
+
+_RANK = f"WITH {_R}, m AS (SELECT dataset, method, round(avg(score), 2) AS mean FROM r GROUP BY ALL), k AS (SELECT dataset, method, rank() OVER (PARTITION BY dataset ORDER BY mean DESC) + (count(*) OVER (PARTITION BY dataset, mean) - 1) / 2 AS rk FROM m)"
+
+
+def _ranked(spark, d):
+    return analytics.ranks(analytics.mean_std(_results(spark, d), ["dataset", "method"], "score", 2), ["dataset"], "mean")
+
+
+@query(f"{_RANK} SELECT method, avg(rk) AS mean_rank FROM k GROUP BY 1")
+def rank_methods(spark, d):
+    return _ranked(spark, d).groupBy("method").agg(F.avg("rank").alias("mean_rank"))
+
+
+@query(f"{_RANK} SELECT method, max(rk) FILTER (dataset = 'F') AS F, max(rk) FILTER (dataset = 'O') AS O, max(rk) FILTER (dataset = 'P') AS P FROM k GROUP BY 1")
+def pivot_rank(spark, d):
+    return _ranked(spark, d).groupBy("method").pivot("dataset", ["F", "O", "P"]).agg(F.max("rank"))
+
+
+@query("SELECT o_orderkey, 'train' AS part, o_totalprice AS auc FROM orders UNION ALL SELECT o_orderkey, 'test', o_totalprice / 2 FROM orders")
+def train_test_unpivot(spark, d):
+    wide = _table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("train"), (F.col("o_totalprice") / 2).alias("test"))
+    return wide.unpivot("o_orderkey", ["train", "test"], "part", "auc")
+
+
+@query(f"WITH {_R} SELECT dataset, trees, min(score) AS low, max(score) AS high, round(avg(score), 2) AS mid FROM r GROUP BY ALL")
+def minmax_bands(spark, d):
+    return analytics.bands(_results(spark, d), ["dataset", "trees"], "score").withColumn("mid", F.round("mid", 2))
+
+
+@query("SELECT round(round_even(l_discount / 0.05, 0) * 0.05, 6) AS cell, count(*) AS n FROM lineitem GROUP BY 1")
+def grid_round(spark, d):
+    return _table(spark, d, "lineitem").groupBy(F.round(analytics.on_grid(F.col("l_discount"), 0.05), 6).alias("cell")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT a AS trees, b AS depth, c AS method FROM (VALUES ('25'), ('50')) x(a), (VALUES ('2'), ('4')) y(b), (VALUES ('tr'), ('hist')) z(c)")
+def grid_cross_product(spark, d):
+    return analytics.grid(spark, trees=[25, 50], depth=[2, 4], method=["tr", "hist"])
+
+
+@query("SELECT CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE o_orderstatus END AS status, count(*) AS n FROM orders GROUP BY 1")
+def value_remap(spark, d):
+    return _table(spark, d, "orders").groupBy(analytics.remapped("o_orderstatus", {"F": "done", "O": "open"}).alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT round(1 / (1 + exp(-l_tax)), 6) AS p, count(*) AS n FROM lineitem GROUP BY 1")
+def sigmoid_counts(spark, d):
+    return _table(spark, d, "lineitem").groupBy(F.round(sigmoid(F.col("l_tax")), 6).alias("p")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT round(0.3 * greatest(-2, least(2, -(l_tax * 100 - 4) / (1 + l_quantity))), 6) + 0.0 AS w, count(*) AS n FROM lineitem GROUP BY 1")
+def leaf_value_column(spark, d):
+    g, h = F.col("l_tax") * 100 - 4, F.col("l_quantity")
+    return _table(spark, d, "lineitem").groupBy((F.round(leaf_value(g, h), 6) + F.lit(0.0)).alias("w")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT round(sum({_sql_gain('(l_tax * 100 - 4)', 'l_quantity')}), 4) AS total FROM lineitem")
+def gain_column(spark, d):
+    return _table(spark, d, "lineitem").agg(F.round(F.sum(gain(F.col("l_tax") * 100 - 4, F.col("l_quantity"))), 4).alias("total"))
