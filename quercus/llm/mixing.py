@@ -131,7 +131,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
     placed = stored(layout(stored(sized), weights, most, block_words))
     times = drawn(placed).groupBy("rank", "block").agg(F.count("*").alias("times"))
     parts = pieces(placed, block_words).select("rank", "before", "block", "words")
-    taken = parts.join(times, ["rank", "block"]).groupBy("rank", "before").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    taken = parts.join(times.hint("merge"), ["rank", "block"]).groupBy("rank", "before").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     some = placed.where("size > 0").join(taken, ["rank", "before"], "left")
     none = placed.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
     names = ["doc_id", "source", "size", "source_size", "target", "taken"]
@@ -149,7 +149,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), word_count("text").alias("size"))
     placed = stored(layout(sized.where("size > 0"), weights, most, block_words))
     plan = placed.select("rank", "before", "size", "blocks", "slots")
-    took = pieces(plan, block_words).select("rank", "before", "block", "first", "words").join(drawn(plan).select("rank", "block", "turn"), ["rank", "block"])
+    took = pieces(plan, block_words).select("rank", "before", "block", "first", "words").join(drawn(plan).select("rank", "block", "turn").hint("merge"), ["rank", "block"])  # few runs make many slots: no side to broadcast
     ranges = took.groupBy("rank", "before", "turn").agg(F.sum("words").alias("n"), F.array_sort(F.collect_list(F.struct("first", "words"))).alias("ranges"))
     words = F.filter(F.split("text", "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
     some = F.array_join(F.flatten(F.transform("ranges", lambda r: F.slice("w", (r["first"] + 1).cast("int"), r["words"].cast("int")))), " ")
