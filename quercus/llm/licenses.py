@@ -41,7 +41,7 @@ PHRASE_GRAM, TEMPLATE_GRAM, SLACK, COVER = 2, 4, 3, 0.6
 
 _BREAKS = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 0x20 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-_MEMO_WORDS = 500_000
+_MEMO_WORDS = 150_000
 
 
 class _Words(dict):

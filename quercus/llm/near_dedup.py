@@ -33,7 +33,7 @@ TREES, DEPTH, MIN_DEPTH, NEIGHBOURS = 16, 8, 3, 6
 #: Of the signature's one-bit sketch (128 bits) a pair of similarity 0.8 shares 115 on average, and 96 or fewer once in ten million.
 SKETCH_BITS = 96
 BLOCK, ROWS_PER_TASK, SEED = 512, 100_000, 20240611
-_MEMO_WORDS = 500_000
+_MEMO_WORDS = 150_000
 _PRIME_A, _PRIME_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 

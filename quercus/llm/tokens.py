@@ -100,7 +100,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 class BatchEncoder:
     """Encodes many texts at a time: words are found and hashed over the whole byte buffer, and a table gives their ids."""
 
-    def __init__(self, path: str, slots_log2: int = 21):
+    def __init__(self, path: str, slots_log2: int = 20):
         self.one = WordEncoder(path)
         self.slots = 1 << slots_log2
         self.power = _powers(_BASE, 1 << 16)
