@@ -28,13 +28,17 @@ FEATURES, TRAINING_PAGES, PASSES, SEED = 1 << 14, 600, 12, 20240617
 
 _BLOCK = frozenset("html body p div h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th section article main header footer nav aside form fieldset legend blockquote pre figure figcaption address details summary dialog menu hgroup center search option select".split())
 _TRACKED = _BLOCK | {"a", "button", "label", "span", "small"}
-_SKIPPED = "script|style|noscript|template|textarea|svg|iframe|object|head|title|math|canvas|audio|video"
+#: Elements whose content is no markup, and elements that show no text of their own; ``math`` and ``object`` are read like any other.
+_RAW, _SKIPPED = "script|style|textarea", frozenset("noscript template svg iframe head canvas audio video".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _TOKEN = re.compile(
-    rf"<!--(?s:.*?)(?:-->|\Z)|<({_SKIPPED})\b[^>]*>(?s:.*?)(?:</\1\s*>|(?=<body\b)|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+(?:>|\Z)|<[a-zA-Z][^>]*+\Z|([^<]++|<)",
+    rf"<!--(?s:.*?)(?:-->|\Z)|<({_RAW})(?=[\s/>])(?![^>]*[\s\"']/>|/>)[^>]*>(?s:.*?)(?:</\1(?=[\s/>])[^>]*>|(?=<body[\s/>])|\Z)"
+    r"|<title(?=[\s>])(?![^>]*[\s\"']/>)[^>]*>(?s:.*?)(?:</title(?=[\s/>])[^>]*>|(?=<body[\s/>]|</(?:head|svg)[\s>])|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+(?:>|\Z)|<[a-zA-Z][^>]+\Z|([^<]++|<)",
     re.I,
 )
+_MAY_SKIP = re.compile(rf"<(?:{'|'.join(sorted(_SKIPPED))})[\s>]", re.I)
+_EMPTY = re.compile(r"(?:^|[\s\"'])/\Z")
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _NAME_WORDS = re.compile(r"[A-Za-z]+")
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -57,6 +61,38 @@ class Block:
     linked: int
 
 
+def _tokens(page: str) -> Iterator[re.Match]:
+    """The tokens of a page outside of skipped elements.
+
+    A skipped element reaches from its start tag to its own end tag, or to a body
+    within it.  One that is empty (``<svg/>``) or never ends hides nothing.
+    """
+    ends: dict[int, int] = {}
+    if _MAY_SKIP.search(page):
+        open_: dict[str, list[int]] = {name: [] for name in _SKIPPED}
+        for m in _TOKEN.finditer(page):
+            name = (m[3] or m[6] or "").lower()
+            if name == "body" and not (m[2] or m[5]):
+                for starts in open_.values():
+                    ends |= dict.fromkeys(starts, m.start())
+                    starts.clear()
+            elif name not in _SKIPPED:
+                continue
+            elif m[2] or m[5]:
+                if open_[name]:
+                    ends[open_[name].pop()] = m.end()
+            elif not _EMPTY.search(m[4] if m[4] is not None else m[7]):
+                open_[name].append(m.start())
+    at = 0
+    while at is not None:
+        start, at = at, None
+        for m in _TOKEN.finditer(page, start):
+            if m.start() in ends:
+                at = ends[m.start()]
+                break
+            yield m
+
+
 def leaf_blocks(page: str | None) -> list[Block]:
     """The leaf blocks of a page in order.
 
@@ -78,7 +114,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
             parts = []
         linked = 0
 
-    for m in _TOKEN.finditer(page or ""):
+    for m in _tokens(page or ""):
         text = m[8]
         if text:
             parts.append(text)

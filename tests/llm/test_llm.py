@@ -130,6 +130,17 @@ def test_html():
     assert html_text.main_text(page, chain) == "Head & line\n\nFirst text here.\n\nSecond é one."
 
 
+@pytest.mark.parametrize("inner", [
+    "<video-player src=x><p>article</p></video-player>", "<audio-player></audio-player><p>article</p>", "<svg-icon></svg-icon><p>article</p>", "<title-bar></title-bar><p>article</p>", "<template-x><p>article</p></template-x>",
+    "<svg class=i /><p>article</p>", '<svg class="i"/><p>article</p><svg><text>x</text></svg>', "<math/><p>article</p>", "<svg><title/></svg><p>article</p>", "<svg><title>Icon</svg><p>article</p>",
+    "<svg><path><p>article</p>", "<video src=x><p>article</p><video>none</video>", "<noscript><p>article</p>", "<iframe src=x><p>article</p>", "<canvas><p>article</p>", "<template><p>article</p>",
+    "<p><math><mi>article</mi></math></p>", "<object data=x><p>article</p></object>", "<iframe src=/a/>none</iframe><p>article</p>",
+    "<noscript>no<p>x</p></noscript><template>a<template>b</template>c</template><script>'<p>'</script><style>s</style><textarea>t</textarea><p>article</p>",
+])
+def test_html_skips_no_article(inner):
+    assert [b.text for b in html_text.leaf_blocks(f"<head><title>T</title></head><body><p>a</p>{inner}<p>b</p>")] == ["a", "article", "b"]
+
+
 def test_html_rows(spark):
     rows = spark.createDataFrame([(1, "u", None), (2, None, ""), (3, "u", "<p"), (3, "u", "<p"), (4, "u", "<article><p>Some words of a text. And more of them.</p></article>")], "page_id long, url string, html string")
     got = [(r["page_id"], r["text"], r["n_chars"]) for r in html_text.extract(rows).orderBy("page_id").collect()]
