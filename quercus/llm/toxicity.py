@@ -6,8 +6,10 @@ of character n-grams that toxic documents hold far more often, the other on
 passages of ordinary documents.  Both end in the same stretch, trained on
 ordinary text, so that what both classes share costs the same either way.  A text is cut into overlapping windows; each
 is compressed with both, and the bytes the toxic dictionary saves are the
-window's evidence.  From the second half come the calibrated thresholds: a
-logistic regression on how many windows save at least so many bytes.  Scoring
+window's evidence.  From the second half, whole texts of any length, come the
+calibrated thresholds: a logistic regression on how many windows save at least
+so many bytes, its intercept moved from the sample's share of toxic documents to
+the share among all labelled ones.  Scoring
 is a map over whole texts; the two dictionaries and a few weights are all that
 tasks share.
 """
@@ -16,7 +18,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,8 +27,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The bounds of the sample a model is fitted on: documents of each class, and code points of each of them.
-SAMPLE_DOCS, SAMPLE_CHARS = 2000, 20_000
+from .common import stored
+
+#: The bounds of the sample a model is fitted on: documents of each class, code points of each that dictionaries see
+#: (of longer texts, pieces of so many code points of lowest hash), and windows of all ordinary ones that a dictionary is trained on (those of lowest hash).
+SAMPLE_DOCS, SAMPLE_CHARS, PIECE, PLAIN_WINDOWS = 2000, 20_000, 400, 60_000
 WINDOW, STRIDE, GRAM, FOLDS = 80, 40, 5, 5
 #: Bytes of the dictionary trained on ordinary text, and of the toxic one in front of it.
 ORDINARY_BYTES, TOXIC_BYTES = 16_384, 2048
@@ -81,6 +86,19 @@ def features(text: str | None, coders: tuple) -> np.ndarray:
     return np.concatenate([np.log1p(over), np.log1p(1000 * over / len(cut)), [saved.max(), saved.mean()]])
 
 
+def excerpt(text: str, chars: int = SAMPLE_CHARS) -> str:
+    """A text of at most ``chars`` code points as it is; of a longer one, the pieces of lowest hash, in order."""
+    if len(text) <= chars:
+        return text
+    order = lambda i: zlib.crc32(f"{i} {text[i : i + PIECE]}".encode("utf-8", "surrogatepass"))
+    return "\n".join(text[i : i + PIECE] for i in sorted(sorted(range(0, len(text), PIECE), key=order)[: max(1, chars // PIECE)]))
+
+
+def _lowest(passages: list[bytes], n: int) -> list[bytes]:
+    """The ``n`` passages of lowest hash, in order; equal ones at other places have other hashes."""
+    if len(passages) <= n:
+        return passages
+    return [passages[i] for i in sorted(sorted(range(len(passages)), key=lambda i: zlib.crc32(b"%d " % i + passages[i]))[:n])]
 
 
 def _grams(text: str) -> set[str]:
@@ -128,26 +146,37 @@ def _dictionaries(pos: list[str], neg: list[str]) -> Model:
     if len(cues) < 20:  # a small sample: the n-grams that stand out most
         cues = set(sorted(above, key=lambda g: (-above[g], g))[:80])
     marked = [p.encode() for t in pos for p in _marked(_plain(t), cues)]
-    plain = [w for t in neg for w in windows(t)[::2]][:60_000]
+    plain = _lowest([w for t in neg for w in windows(t)[::2]], PLAIN_WINDOWS)
     base = _dictionary(plain, ORDINARY_BYTES)
     # four passages make a training snippet, dealt so that each mixes documents
     snippets = [b" ".join(marked[i :: -(-len(marked) // 4)]) for i in range(-(-len(marked) // 4))]
     return Model(_dictionary(snippets, TOXIC_BYTES) + base, base, *[np.zeros(0)] * 3, 0.0)
 
 
-def fit(texts: list[str], toxic: list[int]) -> Model:
-    """A model from labelled texts, in a fixed order.  With one class alone every text scores that class."""
-    pos, neg = [t for t, y in zip(texts, toxic) if y], [t for t, y in zip(texts, toxic) if not y]
+def fit(texts: list[str], toxic: list[int], counts: tuple[int, int] | None = None, measure: Callable[[Model, list[int]], np.ndarray] | None = None) -> Model:
+    """A model from labelled texts, in a fixed order.  With one class alone every text scores that class.
+
+    ``counts`` are the toxic and the ordinary documents that the texts stand for
+    (by default the texts themselves).  Where the texts are excerpts, ``measure``
+    gives the features of the whole texts of some numbers.
+    """
+    pos, neg = [i for i, y in enumerate(toxic) if y], [i for i, y in enumerate(toxic) if not y]
     if not pos or not neg:
         n = 2 * len(LEVELS) + 2
         return Model(b" " * 8, b" " * 8, np.zeros(n), np.ones(n), np.zeros(n), 20.0 if pos else -20.0)
-    shown, kept = (lambda side: [t for i, t in enumerate(side) if i % 10 < 7]), (lambda side: [t for i, t in enumerate(side) if i % 10 >= 7] or side)
+    shown, kept = (lambda side: [texts[k] for i, k in enumerate(side) if i % 10 < 7]), (lambda side: [k for i, k in enumerate(side) if i % 10 >= 7] or side)
     model = _dictionaries(shown(pos), shown(neg))
-    coders = model.coders()
-    x = np.array([features(t, coders) for side in (pos, neg) for t in kept(side)])
+    held = kept(pos) + kept(neg)
+    if measure:
+        x = measure(model, held)
+    else:
+        coders = model.coders()
+        x = np.array([features(texts[k], coders) for k in held])
     y = np.repeat([1.0, 0.0], [len(kept(pos)), len(kept(neg))])
     model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     model.weights, model.bias = _logistic((x - model.mean) / model.scale, y)
+    n_pos, n_neg = counts or (len(pos), len(neg))
+    model.bias += float(np.log(n_pos / n_neg) - np.log(len(kept(pos)) / len(kept(neg))))
     return model
 
 
@@ -159,23 +188,48 @@ def remainder(doc_id: str | Column, folds: int = FOLDS) -> Column:
 def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, folds: int = FOLDS) -> Model:
     """A model from a bounded sample: of each class the ``sample_docs`` labelled documents of lowest hash.
 
-    Documents longer than ``sample_chars`` and those of remainder 0 are no
-    training rows; rows without a text, an id or a label of 0 or 1 aren't either.
+    Dictionaries see at most ``sample_chars`` code points of each; thresholds are
+    fitted on whole texts, whose features the executors find, and on the classes'
+    shares among all training rows.  Documents of remainder 0 are no training
+    rows; rows without a text, an id or a label of 0 or 1 aren't either.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & (remainder("doc_id", folds) != 0))
     # one label each: where rows disagree, toxic
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.struct(F.xxhash64("doc_id"), F.col("doc_id"))
-    # the ids are chosen first, so that only the sample's texts are read out
-    chosen = [r for y in (0, 1) for r in known.where(F.col("toxic") == y).orderBy(order).limit(2 * sample_docs).collect()]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text != ''")
+    # ids and labels of all training rows; the sample is chosen from them, so that only its texts are read out
+    rows = stored(texts.select("doc_id").join(known.hint("merge"), "doc_id").groupBy("doc_id", "toxic").count())
+    counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.sum("count").alias("n")).collect()}
+    chosen = [r for y in (0, 1) for r in rows.where(F.col("toxic") == y).orderBy(order).limit(sample_docs).collect()]
     spark = docs.sparkSession
     picked = F.broadcast(spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in chosen], "doc_id long, toxic int"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where((F.length("text") > 0) & (F.length("text") <= sample_chars)).join(picked, "doc_id")
-    kept: dict[int, list] = {0: [], 1: []}
-    for y in kept:
-        kept[y] = texts.where(F.col("toxic") == y).orderBy(order, F.col("text")).limit(sample_docs).select("text").collect()
-    rows = [(r["text"], y) for y in (0, 1) for r in kept[y]]
-    return fit([t for t, _ in rows], [y for _, y in rows])
+    sample = stored(texts.join(picked, "doc_id").withColumn("mark", F.xxhash64("text")))
+
+    @F.pandas_udf("string")
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in batches:
+            yield part.map(lambda t: excerpt(t, sample_chars))
+
+    kept = []
+    for y in (0, 1):
+        kept += sample.where(F.col("toxic") == y).select("doc_id", "mark", "toxic", cut("text").alias("text")).orderBy(order, "text", "mark").limit(sample_docs).collect()
+
+    def measure(model: Model, held: list[int]) -> np.ndarray:
+        shared = spark.sparkContext.broadcast(model)
+
+        @F.pandas_udf("array<double>")
+        def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            coders = shared.value.coders()
+            for part in batches:
+                yield pd.Series([features(t, coders).tolist() for t in part])
+
+        keys = F.broadcast(spark.createDataFrame(sorted({(kept[k]["doc_id"], kept[k]["mark"]) for k in held}), "doc_id long, mark long"))
+        whole = sample.select("doc_id", "mark", "text").join(keys, ["doc_id", "mark"]).repartition(32, "doc_id", "mark").dropDuplicates(["doc_id", "mark"])
+        got = {(r["doc_id"], r["mark"]): r["x"] for r in whole.select("doc_id", "mark", found("text").alias("x")).collect()}
+        return np.array([got[kept[k]["doc_id"], kept[k]["mark"]] for k in held])
+
+    return fit([r["text"] for r in kept], [r["toxic"] for r in kept], (counts.get(1, 0), counts.get(0, 0)), measure)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -275,6 +275,42 @@ def test_toxicity(spark, none):
     assert toxicity.score(none, toxicity.train(none, df.select("doc_id", "toxic").limit(0))).count() == 0
 
 
+def test_toxicity_shares_and_long_texts(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(1200):
+        w = [f"{rng.choice('abcdefgh')}{rng.choice(['on', 'er', 'ing', 'ed'])}{rng.choice(['', 'the', 'an'])}" for _ in range(rng.randrange(20, 60))]
+        if i % 10 < (2 if i % 10 == 0 else 1) or rng.random() < 0.02:  # a few ordinary texts have the words too
+            w[3:5] = [rng.choice(["scoundrel", "wretch", "villain"]), "villain"]
+        rows.append((i, " ".join(w * (40 if i % 7 == 0 else 1)), int(i % 10 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    seen, logistic = [], toxicity._logistic
+    toxicity._logistic = lambda x, y: seen.append((x, y)) or logistic(x, y)
+    try:
+        few = toxicity.train(df, df.select("doc_id", "toxic"), sample_docs=60, sample_chars=600)
+    finally:
+        toxicity._logistic = logistic
+    # as many of both classes in the sample, and yet the share of all training rows in the intercept
+    weights, bias = logistic(*seen[0])
+    true = [r for r in rows if toxicity.crc_remainder(r[0]) != 0]
+    share = sum(r[2] for r in true) / sum(1 - r[2] for r in true)
+    assert seen[0][1].mean() == 0.5 and few.bias == pytest.approx(bias + np.log(share))
+    # long texts are calibrated on, whole
+    lengths = [len(toxicity.windows(r[1])) for r in true if r[0] % 7 == 0]
+    x = seen[0][0] * few.scale + few.mean
+    shares = np.expm1(x[:, len(toxicity.LEVELS)]) / 1000
+    assert (np.expm1(x[:, 0])[shares > 0] / shares[shares > 0]).max() >= min(lengths)
+
+
+def test_toxicity_bounds():
+    text = "".join(chr(97 + i % 26) + str(i) for i in range(5000))
+    cut = toxicity.excerpt(text, 2000)
+    assert toxicity.excerpt(text[:2000], 2000) == text[:2000] and len(cut.replace("\n", "")) <= 2000
+    assert all(p in text for p in cut.split("\n")) and any(text.index(p) > len(text) // 2 for p in cut.split("\n"))
+    few = toxicity._lowest([b"%d" % i for i in range(1000)], 100)
+    assert len(few) == 100 and int(few[-1]) > 800
+
+
 def test_pipeline(spark, data):
     if importlib.util.find_spec("corpus_pipeline") is None:
         pytest.skip("no pipeline here")
