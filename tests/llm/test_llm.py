@@ -99,6 +99,22 @@ def test_license_template_with_gap(spark):
     assert r["labels"] == "bsd" and r["n_base"] == 0 and 0.6 < r["score"] < 1
 
 
+def test_license_families(spark):
+    gnu = "This {} is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation"
+    cc = "This work is licensed under a Creative Commons Attribution{} International License."
+    of = {
+        "gpl": gnu.format("program", ""), "lgpl": gnu.format("library", "Lesser "), "agpl": gnu.format("program", "Affero "),
+        "cc-by": cc.format(" 4.0"), "cc-by-sa": cc.format("-ShareAlike 4.0"), "cc-by-nc": cc.format("-NonCommercial 4.0"), "cc-by-nd": cc.format("-NoDerivatives 4.0"),
+        "cc-by-nc-sa": cc.format("-NonCommercial-ShareAlike 4.0"), "cc-by-nc-nd": cc.format("-NonCommercial-NoDerivatives 4.0"),
+    }
+    old = [("cc-by", cc.replace("International", "Unported").format(" 3.0")), ("cc-by-sa", cc.replace("International", "Unported").format("-ShareAlike 3.0")), ("cc-by-nd", cc.replace("International", "Unported").format("-NoDerivs 3.0")), ("lgpl", gnu.format("library", "Library ")), ("gpl", gnu.format("program", "").replace("General Public License", "GPL")), ("", cc.format("-Non-Commercial 4.0")), ("", gnu.format("program", "Odd "))]
+    cases = [(t, label) for label, t in [*of.items(), *old]]
+    # two notices of a family in one text are two licenses
+    cases += [(f"{of[a]} and some other words between {of[b]}", ",".join(sorted((a, b)))) for a, b in (("gpl", "lgpl"), ("agpl", "gpl"), ("cc-by", "cc-by-sa"), ("cc-by-nc", "cc-by-nc-nd"))]
+    got = {r["doc_id"]: set(filter(None, r["labels"].split(","))) for r in licenses.scan(spark.createDataFrame([(i, f"Some words. {t} More words.") for i, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()}
+    assert [(t, got[i]) for i, (t, _) in enumerate(cases)] == [(t, set(filter(None, label.split(",")))) for t, label in cases]
+
+
 def test_mixing(spark, docs, none):
     many = spark.createDataFrame([(i, t, f"s{i % 5}") for i, t in enumerate(texts(400))], "doc_id long, text string, source string")
     for df in (docs, many):
