@@ -104,8 +104,7 @@ class Accountant:
         n = 2 * self.num_trees if self.split_method == "totally_random" else self.max_depth * self.num_trees * 2 * k
         if self.split_method in ("node_based", "partially_random"):
             n += self.num_trees
-        n += self.sketch_rounds * k if self.split_method == "totally_random" else 0
-        return max(1, n // 2 if self.vector else n)
+        return max(1, (n // 2 if self.vector else n) + self.sketch_rounds * k)  # a sketch asks for hessians alone
 
     def sigma(self) -> float:
         return sigma_by(self.method, (self.epsilon - self.quantile_epsilon) / self.classes, self.delta, self.queries())

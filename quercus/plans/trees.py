@@ -372,7 +372,8 @@ def fit(df: DataFrame, features: Sequence[str], label: str, key: str | None = No
     loss = LOSSES["forest" if p.training_method == "rf" else "least_squares" if p.task == "regression" else "cross_entropy"]
     ebm = p.full_ebm and p.feature_interaction_method == "cyclical"
     total = p.num_trees * (len(features) if ebm else 1)
-    account = Accountant(p.epsilon, p.delta or 1 / max(n, 2), total, p.max_depth, p.split_method, p.accounting_method, classes=classes, features_per_tree=p.feature_interaction_k or len(features), vector=p.vector_mechanism, task=p.task, update=p.weight_update_method, forest=p.training_method == "rf")
+    rounds = min(p.sketch_rounds or total, total) if p.sketch_type == "adaptive_hessian" else 0
+    account = Accountant(p.epsilon, p.delta or 1 / max(n, 2), total, p.max_depth, p.split_method, p.accounting_method, classes=classes, features_per_tree=p.feature_interaction_k or len(features), vector=p.vector_mechanism, sketch_rounds=rounds, task=p.task, update=p.weight_update_method, forest=p.training_method == "rf")
     cands = find_candidates(base, features, p)
     model = Model(list(features), p, {}, cands)
     batch = total if p.training_method == "rf" else batch_size(p) if p.training_method == "batched_boosting" else 1
@@ -424,12 +425,16 @@ def fit(df: DataFrame, features: Sequence[str], label: str, key: str | None = No
             trees.append(tree)
             since.append(tree)
             if p.sketch_type == "adaptive_hessian" and t + 1 < (p.sketch_rounds or total):
-                hist = binning.histogram(some, cands, F.col("g"), F.col("h")).select("feature", "bin", "h").collect()
-                per = [[0.0] * (len(x) + 1) for x in cands.values()]
-                for r in hist:
+                used = {features[j]: cands[features[j]] for j in use}
+                hist = binning.histogram(some, used, F.col("g"), F.col("h"))
+                if p.dp_method == "gaussian_cdp":  # the refined thresholds are public: all cells get noise, which the accountant has counted
+                    deviation = account.sensitivities()[1] * (p.sigma if p.sigma is not None else account.sigma())
+                    hist = binning.noisy(binning.dense(hist, [len(x) for x in used.values()], base.sparkSession.createDataFrame([(1,)], "node int")), 0.0, deviation, hash((p.seed, c, t, -1)) & 0x7FFFFFFF)
+                per = [[0.0] * (len(x) + 1) for x in used.values()]
+                for r in hist.select("feature", "bin", "h").collect():
                     per[r["feature"]][r["bin"]] = r["h"]
                 mean = sum(map(sum, per)) / len(per)
-                cands = {f: candidates.hessian_refined(x, per[j], mean, p.hist_bin) or x for j, (f, x) in enumerate(cands.items())}
+                cands = cands | {f: candidates.hessian_refined(x, per[j], mean, p.hist_bin) or x for j, (f, x) in enumerate(used.items())}
                 model.cands = cands
             history.append(sum(x.h for x in tree.values() if x.feature is None))
             if _stops(history, p):

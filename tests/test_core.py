@@ -118,6 +118,13 @@ def test_noise_has_its_deviation(spark):
     assert s[0] == pytest.approx(3, rel=0.1) and s[1] == pytest.approx(1, rel=0.1) and abs(s[2]) < 0.3
 
 
+def test_refined_thresholds_are_private(spark):
+    rows = spark.createDataFrame([(float(i % 97) ** 2, i % 2) for i in range(400)], "x double, y int")
+    fit = lambda sigma: trees.fit(rows, ["x"], "y", params=trees.Params(**trees.PRESETS["dp_tr_newton_ih"] | {"num_trees": 2, "hist_bin": 8, "sigma": sigma})).cands
+    assert fit(0.0) == fit(0.0) and fit(50.0) != fit(0.0)
+    assert privacy.Accountant(num_trees=10, split_method="totally_random", features_per_tree=3, vector=True, sketch_rounds=5).queries() == 10 + 15
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "bank.csv").write_text("age;job;y\n30;admin;yes\n40;none;no\n30;admin;no\n")
     got = datasets.load(spark, "bank", f"file://{tmp_path}/bank.csv").collect()
