@@ -86,6 +86,7 @@ class Accountant:
     forest: bool = False
     grad_clip: float = 20.0
     spent: int = field(default=0)
+    per_level: tuple[str, ...] = ()
 
     def sensitivities(self) -> tuple[float, float]:
         """Of a row's gradient and hessian."""
@@ -95,13 +96,21 @@ class Accountant:
             return self.grad_clip, 1.0
         return 1.0, 0.25 if self.update == "xgboost" else 1.0
 
+    def methods(self) -> list[str]:
+        """The split method of every level."""
+        if self.split_method == "hybrid_random":
+            return list(self.per_level or ["totally_random"] * self.max_depth)
+        return [self.split_method] * self.max_depth
+
     def levels(self) -> list[float]:
-        """Shares of the levels: all alike, or the last alone where splits need no data."""
-        return [0.0] * (self.max_depth - 1) + [1.0] if self.split_method == "totally_random" else [1 / self.max_depth] * self.max_depth
+        """Shares of the levels: all alike, but none for those whose splits need no data; the last has the leaves."""
+        asks = [m != "totally_random" or i == self.max_depth - 1 for i, m in enumerate(self.methods())]
+        return [1 / sum(asks) if a else 0.0 for a in asks]
 
     def queries(self) -> int:
         k = self.features_per_tree or 1
-        n = 2 * self.num_trees if self.split_method == "totally_random" else self.max_depth * self.num_trees * 2 * k
+        asking = sum(m != "totally_random" for m in self.methods())
+        n = asking * self.num_trees * 2 * k + (2 * self.num_trees if asking < self.max_depth else 0)  # sums of leaves below random levels
         if self.split_method in ("node_based", "partially_random"):
             n += self.num_trees
         return max(1, (n // 2 if self.vector else n) + self.sketch_rounds * k)  # a sketch asks for hessians alone

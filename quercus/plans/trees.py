@@ -262,6 +262,21 @@ class Grower:
         p = self.p
         return (p.split_method_per_level[depth] if p.split_method_per_level else "totally_random") if p.split_method == "hybrid_random" else p.split_method
 
+    def _mixed(self) -> bool:
+        return len({self._method(d) for d in range(self.p.max_depth)}) > 1
+
+    def random_splits(self, open_: list[Node], bounds: dict[int, dict[int, tuple[int, int]]]) -> dict[int, tuple]:
+        """A split of every open node that doesn't look at data; its children's sums aren't known."""
+        found = {}
+        for n in open_:
+            sizes = {j: len(self.cands[self.features[j]]) for j in self.use}
+            free = [j for j in self.use if bounds[n.num][j][0] < min(bounds[n.num][j][1], sizes[j])]
+            if free:
+                j = self.rng.choice(free)
+                cand = self.rng.randrange(bounds[n.num][j][0], min(bounds[n.num][j][1], sizes[j]))
+                found[n.num] = j, {"cand": cand, "score": math.inf} | dict.fromkeys(("gl", "hl", "gr", "hr"), math.inf)
+        return found
+
     def random_structure(self) -> Tree:
         """A tree whose splits don't look at data: no pass over the table."""
         tree: Tree = {}
@@ -310,25 +325,25 @@ class Grower:
         got = {r["leaf"]: (r["g"], r["h"]) for r in sums}
         sg, sh = self._noise(self.p.max_depth - 1)
         for n in tree.values():
-            if n.feature is None:
+            if n.feature is None and (n.h == math.inf or self._method(0) == "totally_random" and not self._mixed()):
                 g, h = got.get(n.name, (0.0, 0.0))
                 n.g, n.h = g + self.rng.gauss(0, sg) if sg else g, h + self.rng.gauss(0, sh) if sh else h
                 n.value = self.value(n.g, n.h)
 
     def grow(self) -> Tree:
         p = self.p
-        if self._method(0) == "totally_random":
+        if self._method(0) == "totally_random" and not self._mixed():
             tree = self.random_structure()
             self.fill(tree)
             return tree
-        total = self.rows.agg(F.sum("g"), F.sum("h")).first()
+        total = (math.inf, math.inf) if self._method(0) == "totally_random" else self.rows.agg(F.sum("g"), F.sum("h")).first()
         sg, sh = self._noise(0)
         root = Node(0, 1, (total[0] or 0.0) + (self.rng.gauss(0, sg) if sg else 0.0), (total[1] or 0.0) + (self.rng.gauss(0, sh) if sh else 0.0))
         tree: Tree = {(0, 1): root}
         open_, bounds = [root], {1: {j: (0, len(self.cands[self.features[j]]) + 1) for j in self.use}}
         for depth in range(p.max_depth):
             open_ = [n for n in open_ if n.h >= p.min_child_weight]
-            found = self.level(tree, open_, bounds, depth) if open_ else {}
+            found = {} if not open_ else self.random_splits(open_, bounds) if self._method(depth) == "totally_random" else self.level(tree, open_, bounds, depth)
             after, limits = [], {}
             for n in open_:
                 if n.num not in found or found[n.num][1]["score"] <= p.reg_gamma:
@@ -341,6 +356,8 @@ class Grower:
                     after.append(child)
                     limits[num] = bounds[n.num] | {j: bound}
             open_, bounds = after, limits
+        if any(n.feature is None and n.h == math.inf for n in tree.values()):  # leaves below random levels
+            self.fill(tree)
         for n in tree.values():
             if n.feature is None:
                 n.value = self.value(n.g, n.h)
@@ -369,11 +386,13 @@ def fit(df: DataFrame, features: Sequence[str], label: str, key: str | None = No
     n = base.count()
     classes = 1 if p.task == "regression" else int((base.agg(F.max("y")).first()[0] or 0) + 1)
     classes = 1 if classes <= 2 else classes
+    if p.split_method == "hybrid_random" and p.split_method_per_level and (len(p.split_method_per_level) != p.max_depth or set(p.split_method_per_level) - {"hist_based", "partially_random", "totally_random"}):
+        raise ValueError("split_method_per_level: one of hist_based, partially_random, totally_random for each level")
     loss = LOSSES["forest" if p.training_method == "rf" else "least_squares" if p.task == "regression" else "cross_entropy"]
     ebm = p.full_ebm and p.feature_interaction_method == "cyclical"
     total = p.num_trees * (len(features) if ebm else 1)
     rounds = min(p.sketch_rounds or total, total) if p.sketch_type == "adaptive_hessian" else 0
-    account = Accountant(p.epsilon, p.delta or 1 / max(n, 2), total, p.max_depth, p.split_method, p.accounting_method, classes=classes, features_per_tree=p.feature_interaction_k or len(features), vector=p.vector_mechanism, sketch_rounds=rounds, task=p.task, update=p.weight_update_method, forest=p.training_method == "rf")
+    account = Accountant(p.epsilon, p.delta or 1 / max(n, 2), total, p.max_depth, p.split_method, p.accounting_method, classes=classes, features_per_tree=p.feature_interaction_k or len(features), vector=p.vector_mechanism, sketch_rounds=rounds, per_level=tuple(p.split_method_per_level or ()), task=p.task, update=p.weight_update_method, forest=p.training_method == "rf")
     cands = find_candidates(base, features, p)
     model = Model(list(features), p, {}, cands)
     batch = total if p.training_method == "rf" else batch_size(p) if p.training_method == "batched_boosting" else 1

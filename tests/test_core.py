@@ -125,6 +125,24 @@ def test_refined_thresholds_are_private(spark):
     assert privacy.Accountant(num_trees=10, split_method="totally_random", features_per_tree=3, vector=True, sketch_rounds=5).queries() == 10 + 15
 
 
+def test_hybrid_levels(spark):
+    rng = np.random.default_rng(6)
+    x, z = rng.random(600), rng.random(600)
+    rows = spark.createDataFrame([(float(a), float(b), int(a > 0.5)) for a, b in zip(x, z)], "x double, z double, y int")
+    fit = lambda levels, seed: trees.fit(rows, ["x", "z"], "y", params=trees.Params(num_trees=1, max_depth=2, hist_bin=8, split_method="hybrid_random", split_method_per_level=levels, seed=seed)).trees[0][0]
+    best = trees.fit(rows, ["x", "z"], "y", params=trees.Params(num_trees=1, max_depth=1, hist_bin=8)).trees[0][0][0, 1]
+    for seed in (1, 2):
+        late, early = fit(["hist_based", "totally_random"], seed), fit(["totally_random", "hist_based"], seed)
+        assert (late[0, 1].feature, late[0, 1].threshold) == (best.feature, best.threshold)
+        assert early[0, 1].score == math.inf and all(n.score == math.inf for n in late.values() if n.depth == 1 and n.feature is not None)
+        assert any(0 < n.score < math.inf for n in early.values() if n.depth == 1)
+        for tree in (late, early):
+            leaves = [n for n in tree.values() if n.feature is None]
+            assert sum(n.h for n in leaves) == pytest.approx(150) and all(math.isfinite(n.value) for n in leaves)
+    a = privacy.Accountant(num_trees=3, max_depth=3, split_method="hybrid_random", per_level=("totally_random", "hist_based", "totally_random"), features_per_tree=2)
+    assert a.levels() == [0, 0.5, 0.5] and a.queries() == 3 * 2 * 2 + 2 * 3
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "bank.csv").write_text("age;job;y\n30;admin;yes\n40;none;no\n30;admin;no\n")
     got = datasets.load(spark, "bank", f"file://{tmp_path}/bank.csv").collect()
