@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,10 +13,12 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests on one machine) a fresh local folder is set.
+    Only where the session names none and runs on one machine (tests) a fresh local folder is set; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(named := "file://" + tempfile.mkdtemp(prefix="spark-"))
     elif not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
@@ -59,3 +62,16 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         before = now
     raise RuntimeError(f"components: not settled after {rounds} rounds")
+
+
+def linked_parts(near: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Connected parts of the links between two blocks (or within one): the least position in each row's part; columns count on after the rows."""
+    n, m = near.shape
+    left, right = np.arange(n), np.arange(m) if same else n + np.arange(m)
+    while True:
+        far = n + m
+        new = np.minimum(left, np.where(near, right[None, :], far).min(axis=1, initial=far))
+        other = new if same else np.minimum(right, np.where(near, new[:, None], far).min(axis=0, initial=far))
+        if (new == left).all() and (other == right).all():
+            return new, other
+        left, right = new, other

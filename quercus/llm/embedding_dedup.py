@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, stored
+from .common import components, linked_parts, stored
 
 COSINE, RECALL, BLOCK, BUCKET_ROWS, SEED = 0.9, 0.98, 1024, 128, 20240613
 
@@ -54,19 +54,6 @@ def _hashed(batches: Iterator[pd.DataFrame], bits: int, tables: int) -> Iterator
             yield pd.DataFrame({"rep": some["rep"], "n": some["n"], "embedding": some["embedding"], "dim": np.int32(dim), "buckets": list(_buckets(_matrix(some["embedding"]), bits, tables))})
 
 
-def _parts(near: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Connected parts of the links between two blocks (or within one): the least position in each row's part; columns count on after the rows."""
-    n, m = near.shape
-    left, right = np.arange(n), np.arange(m) if same else n + np.arange(m)
-    while True:
-        far = n + m
-        new = np.minimum(left, np.where(near, right[None, :], far).min(axis=1, initial=far))
-        other = new if same else np.minimum(right, np.where(near, new[:, None], far).min(axis=0, initial=far))
-        if (new == left).all() and (other == right).all():
-            return new, other
-        left, right = new, other
-
-
 def _compared(g: pd.DataFrame, bits: int, tables: int, cosine: float) -> pd.DataFrame:
     """One block pair of one bucket: for every linked class its links first seen here, and a class of its connected part."""
     table, bi, bj = int(g["table"].iloc[0]), int(g["bi"].iloc[0]), int(g["bj"].iloc[0])
@@ -84,7 +71,7 @@ def _compared(g: pd.DataFrame, bits: int, tables: int, cosine: float) -> pd.Data
     np.add.at(add, p[i], n[q[j]])
     if not same:
         np.add.at(add, q[j], n[p[i]])
-    left, right = _parts(near, same)
+    left, right = linked_parts(near, same)
     order = p if same else np.concatenate([p, q])
     part = np.arange(len(g))
     part[order] = order[left if same else np.concatenate([left, right])]

@@ -12,7 +12,7 @@ Candidates are confirmed on whole texts, a few links at a time: first one link
 for each document, then only candidates that still lie in different
 components.  Regions with more members than a window sees are settled exactly
 afterwards: members outside a region's main component meet all of the region,
-in blocks.
+in blocks, and a pair of blocks gives links that join what is similar, not its pairs.
 """
 
 from __future__ import annotations
@@ -24,15 +24,17 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import components, stored
+from .common import components, linked_parts, stored
 
 WORDS, SIMILARITY = 4, 80
 #: Shape of the forest, the shortest common prefix of candidates, and how many neighbours a window sees on each side.
 TREES, DEPTH, MIN_DEPTH, NEIGHBOURS = 16, 8, 3, 6
 #: Of the signature's one-bit sketch (128 bits) a pair of similarity 0.8 shares 115 on average, and 96 or fewer once in ten million.
 SKETCH_BITS = 96
-BLOCK, ROWS_PER_TASK, SEED = 512, 100_000, 20240611
+#: Documents and shingles of a block of a crowded region, shingles counted at a time, and rows of the sorted orders for each task.
+BLOCK, BLOCK_SHINGLES, COLUMNS, ROWS_PER_TASK, SEED = 512, 1_000_000, 8192, 100_000, 20240611
 _MEMO_WORDS = 150_000
 _PRIME_A, _PRIME_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -104,7 +106,7 @@ def _signatures(batches: Iterator[pd.DataFrame], words: int) -> Iterator[pd.Data
             four = (mixed & np.uint64(0xFFFF)).reshape(-1, 4)
             labels.append((four << shift).sum(axis=1, dtype=np.uint64).view(np.int64))
             sketch.append(np.packbits((mixed >> np.uint64(40)).astype(np.uint8) & 1).view(np.int64))
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": n, "d0": d0, "d1": d1, "labels": labels, "sketch": sketch})
+        yield pd.DataFrame({"doc_id": batch["doc_id"], "k0": batch["k0"], "k1": batch["k1"], "n_shingles": n, "d0": d0, "d1": d1, "labels": labels, "sketch": sketch})
 
 
 def _close(s0: np.ndarray, s1: np.ndarray, t0: np.ndarray, t1: np.ndarray, bits: int) -> np.ndarray:
@@ -139,7 +141,7 @@ def _neighbours(rows: dict[str, np.ndarray], new: int, width: int) -> tuple[pd.D
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}), crowd
 
 
-_SCAN = "kind int, tree int, prefix long, a long, b long, s0 long, s1 long, l0 long, l1 long, part long"
+_SCAN = "kind int, tree int, prefix long, a long, b long, s0 long, s1 long, l0 long, l1 long, part long, n long"
 _SCAN_COLUMNS = [c.split()[0] for c in _SCAN.split(", ")]
 
 
@@ -158,11 +160,12 @@ def _scan(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]
 
     def frame(kind: int, rows: dict[str, np.ndarray], at: np.ndarray) -> pd.DataFrame:
         d = {c: rows[c][at] for c in ("tree", "prefix", "s0", "s1", "l0", "l1")}
-        return pd.DataFrame(d | {"kind": np.int32(kind), "a": rows["id"][at], "b": np.int64(0), "part": np.int64(part)})[_SCAN_COLUMNS]
+        return pd.DataFrame(d | {"kind": np.int32(kind), "a": rows["id"][at], "b": np.int64(0), "part": np.int64(part), "n": np.int64(seen)})[_SCAN_COLUMNS]
 
-    first = True
+    first, seen = True, 0
     for batch in batches:
         now = {c: batch[c].to_numpy() for c in names[:-1]}
+        seen += len(now["id"])
         now["prefix"] = now["l0"] >> np.int64(16 * (4 - MIN_DEPTH))
         old = 0 if held is None else len(held["id"])
         rows = now if held is None else {c: np.concatenate([held[c], now[c]]) for c in names}
@@ -170,7 +173,7 @@ def _scan(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]
         crowd[:old] &= ~marked  # those were told already
         out = [frame(1, rows, np.flatnonzero(crowd))]
         if len(pairs):
-            blank = {c: np.int64(0) for c in ("prefix", "s0", "s1", "l0", "l1", "part")}
+            blank = {c: np.int64(0) for c in ("prefix", "s0", "s1", "l0", "l1", "part", "n")}
             out.append(pairs.assign(kind=np.int32(0), tree=np.int32(0), **blank)[_SCAN_COLUMNS])
         if first:
             out.append(frame(2, rows, np.arange(min(reach, len(rows["id"])))))
@@ -195,26 +198,35 @@ def _border(g: pd.DataFrame, width: int) -> pd.DataFrame:
 
 
 def _blocks(left: pd.DataFrame, right: pd.DataFrame, similarity: int) -> pd.DataFrame:
-    """Pairs of different components, of one block of a region's outsiders and one block of its members, that neither sketches nor counts rule out.
+    """One block of a region's outsiders and one block of its members: links that join what is similar enough and in different components.
 
-    ``m`` shingles of a document occur in other components: two documents share no more than the lesser m.
-    A pair that an earlier tree brings together too is left to that tree.
+    Both sides have id, comp, n_set (the size of the full set) and hs (its
+    shingles that occur in other components too).  All intersections come from
+    products of 0/1 matrices over the shingles that both sides hold, so they are
+    counts on full sets; at most one link a row comes out, whatever number of pairs is similar.
     """
-    out = []
-    tree = int(left["tree"].iloc[0]) if len(left) else 0
-    members = np.stack(right["prefixes"].to_numpy())[:, :tree] if tree and len(right) else None
-    for _, q in left.groupby(np.arange(len(left)) // 256):
-        ok = _close(q["s0"].to_numpy()[:, None], q["s1"].to_numpy()[:, None], right["s0"].to_numpy()[None, :], right["s1"].to_numpy()[None, :], SKETCH_BITS)
-        ok &= q["comp"].to_numpy()[:, None] != right["comp"].to_numpy()[None, :]
-        most = np.minimum(q["m"].to_numpy()[:, None], right["m"].to_numpy()[None, :])
-        ok &= 100 * most >= similarity * (q["n_set"].to_numpy()[:, None] + right["n_set"].to_numpy()[None, :] - most)
-        i, j = np.nonzero(ok)
-        if tree and len(i):
-            new = ~(np.stack(q["prefixes"].to_numpy())[:, :tree][i] == members[j]).any(axis=1)
-            i, j = i[new], j[new]
-        a, b = q["id"].to_numpy()[i], right["id"].to_numpy()[j]
-        out.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}))
-    return pd.concat(out) if out else pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+    n, m = len(left), len(right)
+    if not n or not m:
+        return pd.DataFrame({"src": np.zeros(0, np.int64), "dst": np.zeros(0, np.int64)})
+    sets = [np.asarray(x, np.int64) for x in (*left["hs"], *right["hs"])]
+    row = np.repeat(np.arange(n + m), [len(x) for x in sets])
+    values, at = np.unique(np.concatenate(sets), return_inverse=True)
+    both = (np.bincount(at[row < n], minlength=len(values)) > 0) & (np.bincount(at[row >= n], minlength=len(values)) > 0)
+    row, column = row[both[at]], (np.cumsum(both) - 1)[at[both[at]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    shared = np.zeros((n, m))
+    for lo in range(0, int(both.sum()), COLUMNS):
+        i, j = np.searchsorted(column, [lo, lo + COLUMNS])
+        has = np.zeros((n + m, COLUMNS), np.float32)
+        has[row[i:j], column[i:j] - lo] = 1
+        shared += has[:n] @ has[n:].T
+    union = left["n_set"].to_numpy()[:, None] + right["n_set"].to_numpy()[None, :] - shared
+    near = (100 * shared >= similarity * union) & (left["comp"].to_numpy()[:, None] != right["comp"].to_numpy()[None, :])
+    parts = np.concatenate(linked_parts(near, False))
+    ids = np.concatenate([left["id"].to_numpy(), right["id"].to_numpy()])
+    joins = parts != np.arange(n + m)
+    return pd.DataFrame({"src": ids[joins], "dst": ids[parts[joins]]})
 
 
 def _exploded(batches: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFrame]:
@@ -224,20 +236,19 @@ def _exploded(batches: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFr
             some = batch.iloc[k : k + 64]
             sets = [shingles(t, words) for t in some["text"]]
             n = [len(x) for x in sets]
-            yield pd.DataFrame({"h": np.concatenate(sets).view(np.int64), "id": np.repeat(some["doc_id"].to_numpy(np.int64), n), "comp": np.repeat(some["comp"].to_numpy(np.int64), n), "n": np.repeat(np.array(n, np.int64), n)})
+            yield pd.DataFrame({"h": np.concatenate(sets).view(np.int64), "id": np.repeat(some["id"].to_numpy(np.int64), n), "comp": np.repeat(some["comp"].to_numpy(np.int64), n), "n": np.repeat(np.array(n, np.int64), n)})
 
 
 def _linkable(crowd: DataFrame, texts: DataFrame, words: int, similarity: int) -> DataFrame:
-    """The ids of ``crowd`` (id, comp) of whose shingles enough (m of n_set) occur in documents of other components.
+    """The ids of ``crowd`` (id, comp) of whose shingles enough occur in documents of other components; those shingles (hs) and the size of the set (n_set).
 
-    Exact: an intersection is no larger than that number, a union no smaller than the set.
+    Exact: an intersection is no larger than their number, a union no smaller than the set.
     """
-    of = texts.join(crowd, F.col("doc_id") == F.col("id")).select("doc_id", "comp", "text")
+    of = texts.join(crowd, "id").select("id", "comp", "text")
     rows = stored(of.mapInPandas(lambda it: _exploded(it, words), "h long, id long, comp long, n long"))
     shared = rows.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("h")
-    # where several texts share an id, the shortest decides
-    counts = rows.join(shared, "h").groupBy("id").agg(F.count("*").alias("m"), F.min("n").alias("n"))
-    return counts.where(100 * F.col("m") >= similarity * F.col("n")).select("id", "m", F.col("n").alias("n_set"))
+    counts = rows.join(shared, "h").groupBy("id").agg(F.collect_list("h").alias("hs"), F.min("n").alias("n_set"))
+    return counts.where(100 * F.size("hs") >= similarity * F.col("n_set"))
 
 
 def _confirmed(batches: Iterator[pd.DataFrame], words: int, similarity: int) -> Iterator[pd.DataFrame]:
@@ -256,43 +267,55 @@ def _confirmed(batches: Iterator[pd.DataFrame], words: int, similarity: int) ->
 
 def _links(pairs: DataFrame, texts: DataFrame, words: int, similarity: int) -> DataFrame:
     """Confirmed pairs (src, dst).  Texts meet their pairs in two equi-joins, which Spark may split where one text has many partners."""
-    with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
-    both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a").select("a", "b", "text_a", "text_b")
+    with_b = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
+    both = with_b.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a").select("a", "b", "text_a", "text_b")
     found = both.mapInPandas(lambda it: _confirmed(it, words, similarity), "a long, b long")
     return found.select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, neighbours: int = NEIGHBOURS) -> DataFrame:
-    """Components of documents linked by a Jaccard similarity of their shingle sets of at least ``similarity`` per cent.
+def _bordered(scan: DataFrame, neighbours: int) -> DataFrame:
+    """The end rows of stretches with the border they belong to.
 
-    ``docs`` has doc_id and text; other columns are ignored.  Texts that are
-    null or without words have no shingles and are linked with nothing.  Rows
-    that share an id count as one document for links, and one row each is
-    returned; rows of a null id are linked through their equals only.  An empty
-    table gives an empty result.  Returns doc_id, n_shingles, component_id (the
-    smallest id reachable) and kept (whether that is the row's own).
+    A border reaches from one stretch that is longer than the window sees to the
+    next such one; shorter stretches between them belong to it whole.
     """
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = stored(plain.mapInPandas(lambda it: _signatures(it, words), "doc_id long, n_shingles long, d0 long, d1 long, labels array<long>, sketch array<long>"))
-    # one row for each different set, whatever number of documents has it
-    sets = signed.where("n_shingles > 0").groupBy("d0", "d1").agg(F.min("doc_id").alias("rep"), F.first("labels").alias("labels"), F.first("sketch").alias("sketch"))
-    sets = stored(sets)
-    known = sets.where("rep is not null")
-    rows = known.select(F.col("rep").alias("id"), F.col("sketch")[0].alias("s0"), F.col("sketch")[1].alias("s1"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.slice("labels", t * 2 + 1, 2))).alias("tree", "label"))
+    ends = scan.where("kind = 2")
+    # one row a task
+    sizes = ends.groupBy("part").agg(F.max(F.when(F.col("b") == 1, F.col("n"))).alias("rows"))
+    long = F.when(F.col("rows") > neighbours, F.col("part"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("part", F.coalesce(F.max(long).over(before), F.lit(-1)).alias("behind"), long.isNotNull().alias("long"))
+    placed = ends.join(F.broadcast(sizes), "part")
+    return placed.withColumn("border", F.when(F.col("long") & (F.col("b") == 1), F.col("part")).otherwise(F.col("behind")))
+
+
+def _classes(plain: DataFrame, words: int, similarity: int, neighbours: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``plain`` (doc_id, text, k0, k1: a key of 128 bits of what tells rows apart) with n_shingles and the digest of their set (d0, d1), and the sets with their component.
+
+    A set's component is (d0, d1, comp, component_id): a number, and the smallest doc_id of its documents.
+    """
+    schema = "doc_id long, k0 long, k1 long, n_shingles long, d0 long, d1 long, labels array<long>, sketch array<long>"
+    signed = stored(plain.mapInPandas(lambda it: _signatures(it, words), schema))
+    # one row for each different set, whatever number of documents has it; its number is fixed by writing the table
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k0", "k1")).alias("rep")
+    sets = signed.where("n_shingles > 0").groupBy("d0", "d1").agg(rep, F.first("labels").alias("labels"), F.first("sketch").alias("sketch"))
+    sets = stored(sets.withColumn("node", F.monotonically_increasing_id()))
+    rows = sets.select(F.col("node").alias("id"), F.col("sketch")[0].alias("s0"), F.col("sketch")[1].alias("s1"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.slice("labels", t * 2 + 1, 2))).alias("tree", "label"))
     rows = rows.select("tree", "id", F.col("label")[0].alias("l0"), F.col("label")[1].alias("l1"), "s0", "s1")
-    tasks = max(1, -(-known.count() * TREES // ROWS_PER_TASK))
+    tasks = max(1, -(-sets.count() * TREES // ROWS_PER_TASK))
     ordered = rows.repartitionByRange(tasks, "tree", "l0", "l1", "id").sortWithinPartitions("tree", "l0", "l1", "id")
     scan = stored(ordered.mapInPandas(lambda it: _scan(it, neighbours), _SCAN))
-    # the ends of a stretch belong to the border behind it, its first rows to the border before it
-    ends = scan.where("kind = 2").withColumn("border", F.col("part") - F.when(F.col("b") == 1, 0).otherwise(1))
-    over = ends.groupBy("border").applyInPandas(lambda g: _border(g, neighbours), "kind int, tree int, prefix long, a long, b long, s0 long, s1 long")
+    over = _bordered(scan, neighbours).groupBy("border").applyInPandas(lambda g: _border(g, neighbours), "kind int, tree int, prefix long, a long, b long, s0 long, s1 long")
     over = stored(over)
     pairs = stored(scan.where("kind = 0").select("a", "b").union(over.where("kind = 0").select("a", "b")).where("a != b").distinct())
-    crowd = scan.where("kind = 1").select("tree", "prefix", F.col("a").alias("id"), "s0", "s1")
-    crowd = crowd.union(over.where("kind = 1").select("tree", "prefix", "a", "s0", "s1")).distinct()
-
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(crowd.select("id")).distinct()
-    texts = stored(plain.join(ids.hint("merge"), "doc_id", "left_semi"))
+    crowd = scan.where("kind = 1").select("tree", "prefix", F.col("a").alias("id"))
+    crowd = crowd.union(over.where("kind = 1").select("tree", "prefix", "a")).distinct()
+
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(crowd.select("id")).distinct()
+    keys = sets.select("node", "rep.k0", "rep.k1").join(ids, "node")
+    # repeated rows give their text once; the join has brought them together
+    texts = plain.select("k0", "k1", "text").join(keys.hint("merge"), ["k0", "k1"]).groupBy("k0", "k1").agg(F.first("node").alias("id"), F.first("text").alias("text"))
+    texts = stored(texts.select("id", "text"))
     # one link for each document, the one to its smallest candidate
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = stored(_links(first, texts, words, similarity))
@@ -301,30 +324,78 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
     links = stored(links.union(_links(rest, texts, words, similarity)).distinct())
     found = stored(components(links))
     # crowded regions: who isn't in the region's main component meets all its members
-    members = stored(crowd.join(found, F.col("id") == F.col("node"), "left").select("tree", "prefix", "id", "s0", "s1", F.coalesce("component", "id").alias("comp")))
+    members = stored(crowd.join(found, F.col("id") == F.col("node"), "left").select("tree", "prefix", "id", F.coalesce("component", "id").alias("comp")))
     sizes = members.groupBy("tree", "prefix", "comp").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("tree", "prefix").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps"), F.sum("n").alias("n")).where("comps > 1")
-    main = stored(main)
+    main = sizes.groupBy("tree", "prefix").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
+    main = stored(main.select("tree", "prefix", "main"))
     if main.head(1):
         involved = stored(members.join(main, ["tree", "prefix"]))
-        prefixes = F.transform(F.sequence(F.lit(1), F.lit(2 * TREES), F.lit(2)), lambda i: F.shiftright(F.element_at("labels", i), 16 * (4 - MIN_DEPTH)))
-        able = _linkable(involved.select("id", "comp").distinct(), texts, words, similarity)
-        placed = stored(involved.join(able, "id").join(known.select(F.col("rep").alias("id"), prefixes.alias("prefixes")), "id")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-        apart = placed.where("comp != main").select("tree", "prefix", "id", "s0", "s1", "comp", "m", "n_set", "prefixes", F.col("block").alias("q"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("t"))
+        able = stored(_linkable(involved.select("id", "comp").distinct(), texts, words, similarity))
+        placed = stored(involved.join(able.select("id", F.size("hs").alias("m")), "id"))
+        # blocks of a bounded number of documents and of shingles
+        cuts = placed.groupBy("tree", "prefix").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("m") / BLOCK_SHINGLES)).cast("int").alias("blocks"), F.count_if(F.col("comp") != F.col("main")).alias("outside"), F.count_distinct("comp").alias("comps"))
+        placed = placed.join(cuts.where("outside > 0 and comps > 1"), ["tree", "prefix"]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+        placed = stored(placed.select("tree", "prefix", "id", "comp", "main", "blocks", "block"))
+        apart = placed.where("comp != main").select("tree", "prefix", "id", "comp", F.col("block").alias("q"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("t"))
         queries = placed.where("comp != main").select("tree", "prefix", F.col("block").alias("q")).distinct()
-        targets = placed.select("tree", "prefix", "id", "s0", "s1", "comp", "m", "n_set", "prefixes", F.col("block").alias("t")).join(queries, ["tree", "prefix"])
-        targets = targets.toDF(*targets.columns)  # columns of its own
+        targets = placed.select("tree", "prefix", "id", "comp", F.col("block").alias("t")).join(queries, ["tree", "prefix"])
         keys = ["tree", "prefix", "q", "t"]
-        more = apart.groupBy(*keys).cogroup(targets.groupBy(*keys)).applyInPandas(lambda a, b: _blocks(a, b, similarity), "a long, b long").distinct()
-        more = stored(more.join(pairs, ["a", "b"], "left_anti"))
-        links = stored(links.union(_links(more, texts, words, similarity)).distinct())
-        found = stored(components(links))
-    named = sets.join(found, F.col("rep") == F.col("node"), "left").select("d0", "d1", F.coalesce("component", "rep").alias("component_id"))
+        apart, targets = (x.join(able, "id").select(*keys, "id", "comp", "n_set", "hs") for x in (apart, targets))
+        targets = targets.toDF(*targets.columns)  # columns of its own
+        more = apart.groupBy(*keys).cogroup(targets.groupBy(*keys)).applyInPandas(lambda a, b: _blocks(a, b, similarity), "src long, dst long")
+        found = stored(components(links.union(more.distinct())))
+    named = sets.select("node", "d0", "d1", "rep.doc_id").join(found, "node", "left").select("d0", "d1", "doc_id", F.coalesce("component", "node").alias("comp"))
+    named = stored(named)
+    least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    return signed.drop("labels", "sketch"), named.join(least, "comp").select("d0", "d1", "comp", "component_id")
+
+
+def _keys(columns: list[str]) -> list:
+    """A key of 128 bits of the values of columns, nulls included."""
+    known = [F.col(c).isNull() for c in columns]
+    return [F.xxhash64(F.lit(1), *columns, *known).alias("k0"), F.xxhash64(F.lit(2), *known, *reversed(columns)).alias("k1")]
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, neighbours: int = NEIGHBOURS) -> DataFrame:
+    """Components of documents linked by a Jaccard similarity of their shingle sets of at least ``similarity`` per cent.
+
+    ``docs`` has doc_id and text; other columns are ignored.  Every row is a
+    document of its own, repeated ones and those that share an id too.  Texts
+    that are null or without words have no shingles and are linked with nothing.
+    A component is named by the smallest id in it; one of rows without an id
+    has none.  An empty table gives an empty result.  A chain of links that
+    ``components`` cannot settle in its rounds is an error.  Returns doc_id,
+    n_shingles, component_id and kept (whether that is the row's own id).
+    """
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    signed, named = _classes(plain.select("doc_id", "text", *_keys(["doc_id", "text"])), words, similarity, neighbours)
     out = signed.select("doc_id", "n_shingles", "d0", "d1").join(named, ["d0", "d1"], "left")
     out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, neighbours: int = NEIGHBOURS) -> DataFrame:
+    """One row of ``docs`` (doc_id, text, any others that can be hashed) for each component of near-duplicates: that of the smallest id.
+
+    Rows without an id stand behind all others; of rows that share the smallest
+    id one stays.  Rows without words are no duplicates, and all stay.
+    """
+    k0, k1 = _keys(docs.columns)
+    every = docs.select("*", k0.alias("_k0"), k1.alias("_k1"))
+    plain = every.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("_k0").alias("k0"), F.col("_k1").alias("k1"))
+    signed, named = _classes(plain, words, similarity, neighbours)
+    worded = signed.where("n_shingles > 0")
+    best = worded.join(named, ["d0", "d1"]).groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k0", "k1")).alias("best"))
+    chosen = stored(best.select(F.col("best.k0").alias("_k0"), F.col("best.k1").alias("_k1")))
+    kept = every.join(chosen, ["_k0", "_k1"], "left_semi")
+    # equal rows have one key: where there are any among the chosen, one of them stays
+    rows = worded.select(F.col("k0").alias("_k0"), F.col("k1").alias("_k1"))
+    if rows.groupBy("_k0", "_k1").count().where("count > 1").join(chosen, ["_k0", "_k1"]).head(1):
+        kept = kept.dropDuplicates(["_k0", "_k1"])
+    wordless = signed.where("n_shingles = 0").select(F.col("k0").alias("_k0"), F.col("k1").alias("_k1")).distinct()
+    return kept.union(every.join(wordless, ["_k0", "_k1"], "left_semi")).select(docs.columns)
+
+
 def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """The pairs that lie in different components."""
     a = found.select(F.col("node").alias("a"), F.col("component").alias("ca"))

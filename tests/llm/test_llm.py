@@ -340,3 +340,57 @@ def test_pipeline(spark, data):
     assert {r["doc_id"] for r in kept.select("doc_id").collect()} == {i for i, top in want.items() if i == top}
     assert c.run(spark, data).count() > 0
     assert "pipeline" in sys.modules["corpus_pipeline"].__name__
+
+
+def brute_components(sets):
+    edges = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) > 0]
+    return groups(edges, sets)
+
+
+def shingle_sets(rows, k):
+    return {i: {tuple(w[j : j + k]) for w in [(t or "").lower().split()] if w for j in range(max(1, len(w) - k + 1))} for i, t in rows}
+
+
+def crowd(n=500, seed=9):
+    """One passage many times, each with enough changes that members are 0.5 to 0.9 alike."""
+    rng = random.Random(seed)
+    base = [f"w{k}" for k in range(220)]
+    out = []
+    for i in range(n):
+        w = list(base)
+        for _ in range(rng.choice((2, 4, 6, 9))):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(40)}"
+        out.append((i, " ".join(w)))
+    return out
+
+
+def test_near_duplicates_crowd(spark):
+    rows = crowd()
+    want = brute_components(shingle_sets(rows, 4))
+    assert 20 < len(set(want.values())) < 400
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), neighbours=1).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
+def test_block_links_are_few():
+    rng = np.random.default_rng(1)
+    base = np.arange(300)
+    frame = lambda first: __import__("pandas").DataFrame({"id": np.arange(first, first + 200), "comp": np.arange(first, first + 200), "n_set": 300, "hs": [np.unique(np.where(rng.random(300) < 0.02, rng.integers(1000, 9999, 300), base)) for _ in range(200)]})
+    got = near_dedup._blocks(frame(0), frame(1000), 80)
+    assert 200 < len(got) < 400 and set(got["dst"]) == {0}
+    assert len(near_dedup._blocks(frame(0).iloc[:0], frame(0), 80)) == 0
+
+
+def test_one_of_each(spark):
+    a, b = "one two three four five six seven", "other words are here to be read by all"
+    rows = [(3, a, 1), (5, a, 1), (5, b, 1), (5, b, 1), (None, a, 1), (None, "alone without any id at all here", 2), (7, None, 1), (8, "", 1), (7, None, 1), (9, b, 2)]
+    got = near_dedup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, k0 int"), words=5).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [rows[0], rows[2], rows[5], rows[6], rows[8], rows[7]]))
+
+
+def test_near_duplicates_short_stretches(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "ROWS_PER_TASK", 12)  # stretches shorter than the window
+    rows = list(enumerate(texts(80)))
+    want = brute_components(shingle_sets(rows, 4))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
