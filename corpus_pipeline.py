@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quercus.llm.common import stored
 from quercus.llm.mixing import mixed_documents
-from quercus.llm.near_dedup import near_duplicates
+from quercus.llm.near_dedup import one_of_each
 from quercus.llm.packing import pack
 from quercus.llm.toxicity import score, train
 
@@ -30,12 +30,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of every near-duplicate component, five words a shingle, similarity 0.8 or more."""
-    kept = near_duplicates(docs.select("doc_id", "text"), words=5).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    out = docs.select(*_COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    if docs.groupBy("doc_id").count().where("count > 1").head(1):  # repeated rows; of those without an id, equal texts are one
-        out = out.withColumn("_text", F.when(F.col("doc_id").isNull(), F.sha2(F.col("text").cast("binary"), 256))).dropDuplicates(["doc_id", "_text"]).drop("_text")
-    return out
+    """One document of every near-duplicate component, that of the smallest id; five words a shingle, similarity 0.8 or more."""
+    return one_of_each(docs.select(*_COLUMNS), words=5)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
