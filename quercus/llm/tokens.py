@@ -6,11 +6,14 @@ pre-tokens one after the other.  A worker therefore keeps the ids of the words
 it has met and asks the library's BPE model only about new ones.  Texts with
 characters outside the range the fast path is proven for (anything beyond
 Latin Extended-A, where normalisation or Unicode tables could matter) go
-through the library's own full pipeline.
+through the library's own full pipeline, and so do all texts where the tokenizer
+file has other rules than these vocabularies.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import zlib
 from collections.abc import Iterable
@@ -26,6 +29,10 @@ _SPACES = "\t-\r \u0085 "
 _PRETOKEN = re.compile(f"'(?:[stmd]|re|ve|ll)|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+")
 _BEYOND = re.compile("[^\x00-įı-ſ]")
 _SPECIAL = "<|"
+#: The rules of a tokenizer file that the fast path follows.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+_PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [_SPLIT, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 #: Control characters on which libraries differ about white space.
 _CONTROL = re.compile("[\x1c-\x1f]")
 
@@ -37,12 +44,18 @@ def _byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in keep} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _follows(rules: dict) -> bool:
+    """Whether a tokenizer file has the rules of the fast path."""
+    model, added = rules.get("model", {}), rules.get("added_tokens") or []
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    same = rules.get("normalizer") == _NORMALIZER and rules.get("pre_tokenizer") == _PRE_TOKENIZER and not rules.get("truncation") and not rules.get("padding")
+    return plain and same and all(_SPECIAL in t["content"] and not t.get("normalized") for t in added)
+
+
 class WordEncoder:
     """Encodes texts with the tokenizer file at ``path``; ids come as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str):
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -50,6 +63,8 @@ class WordEncoder:
         self.model = self.tokenizer.model
         self.memo: dict[str, bytes] = {}
         self.alphabet = _byte_alphabet()
+        with open(path, encoding="utf-8") as f:
+            self.by_word = _follows(json.load(f))
 
     def word(self, word: str) -> list[int]:
         """Ids of one pre-token, straight from the library's BPE model."""
@@ -64,7 +79,7 @@ class WordEncoder:
         """Ids of one text (null: none)."""
         if not text:
             return b""
-        if _SPECIAL in text or _CONTROL.search(text) or not text.isascii() and _BEYOND.search(text):
+        if not self.by_word or _SPECIAL in text or _CONTROL.search(text) or not text.isascii() and _BEYOND.search(text):
             return self.whole(text)
         words = _PRETOKEN.findall(text.lower())
         memo = self.memo
@@ -78,8 +93,11 @@ class WordEncoder:
             return b"".join(map(memo.__getitem__, words))
 
 
-#: Longest word, in bytes, that the table of seen words holds; longer ones are looked up one by one.
+#: Longest word, in bytes, that the table of seen words holds and that is hashed by prefix sums; longer ones are looked up one by one.
 _TABLE_BYTES = 32
+#: Bytes that are worked on at a time.
+_PART = 4 << 20
+_MASKS = np.tri(_TABLE_BYTES + 1, _TABLE_BYTES, -1, dtype=np.uint8) * np.uint8(255)
 _CLASS = np.full(256, 3, dtype=np.uint8)
 _CLASS[[0x20, *range(0x09, 0x0E)]] = 0
 _CLASS[range(0x61, 0x7B)] = 1
@@ -87,6 +105,7 @@ _CLASS[0x80:] = 1
 _CLASS[range(0x30, 0x3A)] = 2
 #: Lower-cased texts of these characters only are split on their bytes: ASCII, and Latin letters of two bytes.
 _NOT_PLAIN = re.compile("[^\x00-\x7fà-öø-įı-ſß]")
+_BREAK = re.compile(rb"[ \t-\r]")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x5DEECE66D1A3F2B7 | 1
 
@@ -108,13 +127,14 @@ class BatchEncoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.key = np.zeros(self.slots, dtype=np.uint64)
+        self.word = np.zeros((self.slots, _TABLE_BYTES // 8), dtype=np.uint64)
+        self.length = np.zeros(self.slots, dtype=np.int64)
         self.at = np.zeros(self.slots, dtype=np.int64)
         self.n_ids = np.zeros(self.slots, dtype=np.int64)
         self.flat, self.used, self.words = np.zeros(1 << 20, dtype=np.uint32), 0, 0
 
     def _hashes(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """64-bit hashes of the words, from prefix sums of a polynomial over the buffer in blocks of 65536 bytes."""
+        """64-bit hashes of words of at most ``_TABLE_BYTES``, from prefix sums of a polynomial over the buffer in blocks of 65536 bytes."""
         n = len(self.power)
         pad = np.zeros(-len(buf) % n + n, dtype=np.uint64)
         terms = np.concatenate([buf.astype(np.uint64) + np.uint64(1), pad]).reshape(-1, n) * self.power
@@ -152,72 +172,101 @@ class BatchEncoder:
         words = kind[marks] != 0
         return marks[words], ends[words]
 
-    def _learn(self, buf: bytes, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _learn(self, buf: bytes, start: np.ndarray, end: np.ndarray, h: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words that the table lacks, one call to the library for each distinct word."""
-        if self.words > self.slots // 2:
-            self._reset()
         _, first, back = np.unique(h, return_index=True, return_inverse=True)
-        word, every, sizes = self.one.word, [], []
-        for s, e in zip(start[first].tolist(), end[first].tolist()):
-            every += (ids := word(buf[s:e].decode()))
-            sizes.append(len(ids))
-        size, flat = np.array(sizes, dtype=np.int64), np.array(every, dtype=np.uint32)
+        alike = (word == word[first][back]).all(axis=1) & (end - start == (end - start)[first][back])
+        if not alike.all():  # different words of one hash
+            first, back = np.arange(len(h)), np.arange(len(h))
+        ids = [self.one.word(buf[s:e].decode()) for s, e in zip(start[first].tolist(), end[first].tolist())]
+        size, at = np.array([len(x) for x in ids], dtype=np.int64), self._kept(ids)
+        todo = np.arange(len(first))
+        for shift in (0, 24):  # a word's second place serves when its first is taken
+            slot = ((h[first][todo] >> np.uint64(shift)) % np.uint64(self.slots)).astype(np.int64)
+            free = self.n_ids[slot] == 0 if shift == 0 else np.ones(len(slot), bool)
+            put, _ = np.unique(slot[free], return_index=True)
+            put = todo[free][_]
+            to = slot[free][_]
+            self.word[to], self.length[to], self.at[to], self.n_ids[to] = word[first[put]], (end - start)[first[put]], at[put], size[put]
+            todo = np.setdiff1d(todo, put)
+        self.words += len(first)
+        return at[back], size[back]
+
+    def _kept(self, ids: list[list[int]]) -> np.ndarray:
+        """Puts ids behind those that are kept; returns where each list starts."""
+        flat = np.array([x for w in ids for x in w], dtype=np.uint32)
+        size = np.array([len(w) for w in ids], dtype=np.int64)
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(flat)] = flat
         at = self.used + np.cumsum(size) - size
         self.used += len(flat)
-        short = (end[first] - start[first]) <= _TABLE_BYTES
-        k = h[first][short]
-        for shift in (0, 24):  # a word's second place serves when its first is taken
-            slot = ((k >> np.uint64(shift)) % np.uint64(self.slots)).astype(np.int64)
-            free = self.key[slot] == 0 if shift == 0 else np.ones(len(slot), bool)
-            self.key[slot[free]], self.at[slot[free]], self.n_ids[slot[free]] = k[free], at[short][free], size[short][free]
-            won = self.key[slot] == k
-            short[np.flatnonzero(short)[won]] = False
-            k = k[~won]
-        self.words += len(first)
-        return at[back], size[back]
+        return at
+
+    def _part(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the words of a part start, how many ids each has, and all ids."""
+        if self.words > self.slots // 2:
+            self._reset()
+        start, end = self._split(np.frombuffer(data, dtype=np.uint8))
+        at, size = np.zeros(len(start), np.int64), np.full(len(start), -1, np.int64)
+        long = np.flatnonzero(end - start > _TABLE_BYTES)
+        short = np.flatnonzero(end - start <= _TABLE_BYTES)
+        if len(short):
+            s, e = start[short], end[short]
+            h = self._hashes(np.frombuffer(data, dtype=np.uint8), s, e)
+            padded = np.frombuffer(data + bytes(_TABLE_BYTES), dtype=np.uint8)
+            word = (np.lib.stride_tricks.sliding_window_view(padded, _TABLE_BYTES)[s] & _MASKS[e - s]).view(np.uint64)
+            own_at, own_size = np.zeros(len(short), np.int64), np.full(len(short), -1, np.int64)
+            for shift in (0, 24):
+                todo = np.flatnonzero(own_size < 0)
+                slot = ((h[todo] >> np.uint64(shift)) % np.uint64(self.slots)).astype(np.int64)
+                hit = (self.n_ids[slot] > 0) & (self.length[slot] == (e - s)[todo]) & (self.word[slot] == word[todo]).all(axis=1)
+                own_at[todo[hit]], own_size[todo[hit]] = self.at[slot[hit]], self.n_ids[slot[hit]]
+            miss = np.flatnonzero(own_size < 0)
+            if len(miss):
+                own_at[miss], own_size[miss] = self._learn(data, s[miss], e[miss], h[miss], word[miss])
+            at[short], size[short] = own_at, own_size
+        if len(long):
+            words = [data[s:e] for s, e in zip(start[long].tolist(), end[long].tolist())]
+            met = {w: self.one.word(w.decode()) for w in set(words)}
+            places = dict(zip(met, self._kept(list(met.values())).tolist()))
+            at[long], size[long] = [places[w] for w in words], [len(met[w]) for w in words]
+            self.words += len(met)
+        ids = self.flat[np.repeat(at - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+        return start, size, ids
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other (uint32), and how many each text has."""
         plain, odd = [], {}
         for i, t in enumerate(texts):
             if not t:
-                plain.append("")
+                plain.append(b"")
                 continue
             low = t.lower()
-            if (t.isascii() or not _NOT_PLAIN.search(low) and not _BEYOND.search(t)) and _SPECIAL not in t and not _CONTROL.search(t):
-                plain.append(low)
+            if self.one.by_word and (t.isascii() or not _NOT_PLAIN.search(low) and not _BEYOND.search(t)) and _SPECIAL not in t and not _CONTROL.search(t):
+                plain.append(low.encode())
             else:
-                plain.append("")
+                plain.append(b"")
                 odd[i] = np.frombuffer(self.one.encode(t), dtype="<u4")
-        raw = [p.encode() for p in plain]
-        data = b"\n".join(raw) + b"\n"
-        buf = np.frombuffer(data, dtype=np.uint8)
-        start, end = self._split(buf)
-        h = self._hashes(buf, start, end)
-        at, size = np.zeros(len(h), np.int64), np.full(len(h), -1, np.int64)
-        for shift in (0, 24):
-            todo = np.flatnonzero(size < 0)
-            slot = ((h[todo] >> np.uint64(shift)) % np.uint64(self.slots)).astype(np.int64)
-            hit = self.key[slot] == h[todo]
-            at[todo[hit]], size[todo[hit]] = self.at[slot[hit]], self.n_ids[slot[hit]]
-        long = end - start > _TABLE_BYTES
-        miss = np.flatnonzero((size < 0) | long)
-        if len(miss):
-            if self.words > self.slots // 2:  # the table starts afresh: look everything up in it
-                miss = np.arange(len(h))
-            at[miss], size[miss] = self._learn(data, start[miss], end[miss], h[miss])
-        total = int(size.sum())
-        ids = self.flat[np.repeat(at - (np.cumsum(size) - size), size) + np.arange(total)]
-        bounds = np.cumsum([0, *(len(r) + 1 for r in raw)])
+        data = b"\n".join(plain) + b"\n"
+        starts, sizes, ids, lo = [], [], [], 0
+        while lo < len(data):  # parts end behind white space, so no word is cut
+            hi = lo + _PART
+            if hi < len(data):
+                behind = _BREAK.search(data, hi)
+                hi = behind.end() if behind else len(data)
+            start, size, own = self._part(data[lo:hi])
+            starts.append(start + lo)
+            sizes.append(size)
+            ids.append(own)
+            lo = hi
+        start, size, flat = np.concatenate(starts), np.concatenate(sizes), np.concatenate(ids)
+        bounds = np.cumsum([0, *(len(r) + 1 for r in plain)])
         upto = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(start, bounds)]
-        lens = np.diff(upto)
         if odd:
-            parts = [odd.get(i, ids[upto[i] : upto[i + 1]]) for i in range(len(texts))]
+            parts = [odd.get(i, flat[upto[i] : upto[i + 1]]) for i in range(len(texts))]
             return np.concatenate(parts).astype(np.uint32), np.array([len(p) for p in parts], dtype=np.int64)
-        return ids, lens
+        return flat, np.diff(upto)
 
 
 _ENCODERS: dict[str, BatchEncoder] = {}
@@ -231,7 +280,7 @@ def encoder(path: str) -> BatchEncoder:
 
 
 def default_tokenizer() -> str:
-    """The word-level vocabulary the queries use; any other file of this kind may be passed instead."""
+    """The word-level vocabulary the queries use; any other file of the library may be passed instead."""
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")

@@ -394,3 +394,34 @@ def test_near_duplicates_short_stretches(spark, monkeypatch):
     want = brute_components(shingle_sets(rows, 4))
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
+def test_long_words_and_texts():
+    rng = random.Random(3)
+    long = ["x" * 1_000_000, "=" * 140_000, "ab1" * 30_000, "a" * 65_536 + " b", "q" * 65_535 + "-" * 65_537, " ".join(f"w{rng.randrange(300)}" for _ in range(900_000)), "é" * 80_000, "x" * 33 + " " + "x" * 32, ""]
+    ids, sizes = tokens.BatchEncoder(tokens.default_tokenizer()).encode(long)
+    at = 0
+    for t, n in zip(long, sizes):
+        assert ids[at : at + n].tolist() == _ids(t), t[:20]
+        at += n
+
+
+def test_encoder_small_table():
+    """Words that meet in a table of few places, over many batches, keep their own ids."""
+    rng = random.Random(4)
+    small = tokens.BatchEncoder(tokens.default_tokenizer(), slots_log2=6)
+    for _ in range(20):
+        some = [" ".join(f"{rng.choice('abc')}{rng.randrange(200)}\x00"[: rng.randrange(1, 6)] for _ in range(60)) for _ in range(5)]
+        ids, sizes = small.encode(some)
+        assert ids.tolist() == [x for t in some for x in _ids(t)]
+
+
+def test_other_tokenizers():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    some = ["Some Text, with Capitals  and  spaces\n", None, "", "don't 12 é <|endoftext|>"]
+    ids, sizes = tokens.encoder(path).encode(some)
+    assert not tokens.encoder(path).one.by_word and tokens.encoder(tokens.default_tokenizer()).one.by_word
+    assert ids.tolist() == [x for t in some for x in Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids] and sizes.tolist()[1:3] == [0, 0]
