@@ -115,23 +115,73 @@ def test_license_families(spark):
     assert [(t, got[i]) for i, (t, _) in enumerate(cases)] == [(t, set(filter(None, label.split(",")))) for t, label in cases]
 
 
+def mixing_targets(sizes, weights=(5, 2, 1), most=3):
+    """Targets of sources by repeated resharing: null last, none above ``most`` times its size."""
+    order = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    target, left, open_ = {}, float(sum(sizes.values())), set(order)
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if weight[s] * level > most * sizes[s]}
+        if not full:
+            return target | {s: weight[s] * level for s in open_}
+        target |= {s: float(most * sizes[s]) for s in full}
+        left -= sum(most * sizes[s] for s in full)
+        open_ -= full
+    return target
+
+
+def mixing_rows(spark):
+    some = [(i, t, None if i % 7 == 0 else f"s{i % 5}") for i, t in enumerate(texts(400))]
+    return some + [some[3]] * 9 + [(None, "an id is missing here", "s1")] * 2 + [(900, " ".join(f"w{k}" for k in range(5000)), "s9"), (901, " \t", "s9"), (902, None, "s2")]
+
+
 def test_mixing(spark, docs, none):
-    many = spark.createDataFrame([(i, t, f"s{i % 5}") for i, t in enumerate(texts(400))], "doc_id long, text string, source string")
+    made = mixing_rows(spark)
+    many = spark.createDataFrame(made, "doc_id long, text string, source string")
     for df in (docs, many):
         rows = mixing.mix(df).collect()
         assert len(rows) == df.count()
-        assert all(0 <= r["taken"] <= 3 * r["size"] for r in rows)
         assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, mixing.mix(df).collect()), key=str)
-    took, target = Counter(), {}
+        assert all(0 <= r["taken"] <= 3 * r["size"] for r in rows)
+        assert all(sum(int(x.split(":")[1]) for x in r["shards"].split(",") if x) == r["taken"] for r in rows)
+    size = lambda t: len((t or "").split())
+    sizes, took = Counter(), Counter()
+    for _, t, s in made:
+        sizes[s] += size(t)
     for r in rows:
         took[r["source"]] += r["taken"]
-        target[r["source"]] = r["target"]
-        assert r["target"] <= 3 * r["source_size"]
-    assert all(abs(took[s] - t) <= 64 + 0.02 * t for s, t in target.items())
-    assert sum(target.values()) == pytest.approx(sum(r["size"] for r in rows))
+    want = mixing_targets(sizes)
+    assert Counter((r["doc_id"], r["source"], r["size"], r["source_size"], round(r["target"], 6)) for r in rows) == Counter((i, s, size(t), sizes[s], round(want[s], 6)) for i, t, s in made)
+    assert all(abs(took[s] - t) <= 64 + 0.01 * t for s, t in want.items())
+    # output shards: no shard takes much more of the words than its draw allows
+    shards = Counter()
+    for r in rows:
+        for x in filter(None, r["shards"].split(",")):
+            shards[int(x.split(":")[0])] += int(x.split(":")[1])
+    assert len(shards) > 50 and max(shards.values()) < 4 * sum(shards.values()) / 64
     assert mixing.mix(none).count() == 0
 
 
+def test_mixed_documents(spark):
+    """Pieces are stretches of their text, and add up to what op3 takes of it."""
+    made = mixing_rows(spark)
+    df = spark.createDataFrame(made, "doc_id long, text string, source string").selectExpr("*", "'x' as lang", "0L as n_chars")
+    out = mixing.mixed_documents(df).collect()
+    assert all(any(r["text"] in t for i, t, s in made if i == r["doc_id"] and s == r["source"] and t) for r in out)
+    assert all(r["n_chars"] == len(r["text"]) and r["lang"] == "x" and 0 <= r["shard"] < 64 for r in out)
+    sizes, took = Counter(), Counter()
+    for _, t, s in made:
+        sizes[s] += len((t or "").split())
+    for r in out:
+        took[r["source"]] += len(r["text"].split())
+    assert all(abs(took[s] - t) <= 64 + 0.01 * t for s, t in mixing_targets(sizes).items())
+    large = mixing.mixed_documents(df, block_words=1024).collect()
+    assert sum(any(r["text"] == t for i, t, _ in made if i == r["doc_id"]) for r in large) > 0.8 * len(large)
+    assert mixing.cut("  a b\tc\n d ", 1, 2) == "b\tc" and mixing.cut("a", 0, 1) == "a"
+    assert mixing.mixed_documents(df.limit(0)).count() == 0
+
+
 def test_mixing_permutes():
     for n in (1, 2, 7, 64, 100):
         assert sorted(mixing.permuted(np.arange(n), np.full(n, n), np.full(n, 5, np.uint64))) == list(range(n))
