@@ -35,8 +35,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sources' documents in blocks, as often as the weights of their sources ask for."""
-    return mixed_documents(docs.select(*_COLUMNS))
+    """The sources' documents in blocks, as often as the weights of their sources ask for, output shard by output shard."""
+    return mixed_documents(docs.select(*_COLUMNS)).select(*_COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
