@@ -3,13 +3,14 @@
 Texts are dealt by ranges of doc_id; a shard is one range, in ascending doc_id
 order, cut into segments of a bounded number of tokens.  A segment holds its
 ids as a wavelet matrix: one bit-plane per id bit, most significant first; at
-each level the ids with a 0 bit go, in order, before those with a 1 bit.  With
-the running number of ones every 512 bits, ``rank`` and ``select`` answer which
-id stands at a place (``access``), how often an id occurs up to a place
-(``count``), and where its k-th occurrence is (``locate``), each in one pass
-over the planes, without decoding the rest.  Planes are zstd-compressed.  A
-shard file is written by Spark's Parquet writer, one row per segment, so it
-commits atomically and can live in any store that Spark reads.
+each level the ids with a 0 bit go, in order, before those with a 1 bit.  A
+plane is stored as blocks, zstd-compressed one by one, behind a directory of
+each block's place and of the ones before it.  ``rank`` and ``select`` tell from
+it which id stands at a place (``access``), how often an id occurs up to a place
+(``count``), and where its k-th occurrence is (``locate``): a plane costs one or
+two blocks, which alone are decompressed.  A shard is one file, written by
+Spark's Parquet writer with one row per segment, so it commits atomically and
+can live in any store that Spark reads.
 """
 
 from __future__ import annotations
@@ -29,94 +30,101 @@ from pyspark.sql import functions as F
 from .common import shared_dir
 from .tokens import default_tokenizer, encoder
 
-END_ID, SEGMENT_TOKENS, RANK_BITS = 2, 2_000_000, 512
-_MAGIC = b"WVM1"
+END_ID, SEGMENT_TOKENS, BLOCK_BYTES, BLOCKS_KEPT = 2, 2_000_000, 8192, 64
+_MAGIC = b"WVM2"
 _FILE = "shard long, segment long, doc_ids binary, n_tokens binary, total long, planes binary"
 
 
 class WaveletMatrix:
-    """Bit-planes of a sequence of unsigned ids with rank samples."""
+    """A sequence of unsigned ids in its compressed form: bit-planes in blocks, with a directory of ranks."""
 
-    def __init__(self, planes: list[np.ndarray], zeros: list[int], n: int):
-        self.planes, self.zeros, self.n = planes, zeros, n
-        self._ones: list[np.ndarray | None] = [None] * len(planes)
-
-    @classmethod
-    def build(cls, ids: np.ndarray) -> WaveletMatrix:
-        """From ids in order."""
+    def __init__(self, data: bytes):
+        if data[:4] != _MAGIC:
+            raise ValueError("not a wavelet matrix")
+        self.data = data
+        self.n, self.width = struct.unpack_from("<QB", data, 4)
+        self.zeros = np.frombuffer(data, "<u8", self.width, 13).tolist()
+        per = -(-self.n // (8 * BLOCK_BYTES)) + 1
+        # of every plane: where its blocks begin (the last entry: where it ends), and the ones before them
+        at = 13 + 8 * self.width
+        self.places = np.frombuffer(data, "<u8", self.width * per, at).reshape(self.width, per).astype(np.int64)
+        self.ones = np.frombuffer(data, "<u8", self.width * per, at + 8 * self.width * per).reshape(self.width, per).astype(np.int64)
+        self._blocks: dict[tuple[int, int], np.ndarray] = {}
+        self._plain = zstandard.ZstdDecompressor().decompress
+
+    @staticmethod
+    def build(ids: np.ndarray) -> bytes:
+        """The compressed form of ids in order."""
         width = max(1, int(ids.max()).bit_length()) if len(ids) else 1
         now = ids.astype(np.uint16 if width <= 16 else np.uint32)
-        planes, zeros = [], []
+        press = zstandard.ZstdCompressor(level=1).compress
+        zeros, bodies, sizes, ones_before = [], [], [], []
         for bit in range(width - 1, -1, -1):
             ones = (now >> now.dtype.type(bit)).astype(np.uint8) & 1
             mask = ones.view(bool)
-            planes.append(np.packbits(ones))
+            plane = np.packbits(ones)
+            blocks = [plane[i : i + BLOCK_BYTES] for i in range(0, len(plane), BLOCK_BYTES)]
+            some = [press(b.tobytes()) for b in blocks]
+            bodies += some
+            sizes.append([len(x) for x in some])
+            ones_before.append(np.cumsum([0, *(int(np.bitwise_count(b).sum(dtype=np.int64)) for b in blocks)]))
             rest = now[~mask]
             zeros.append(len(rest))
             now = np.concatenate([rest, now[mask]])
-        return cls(planes, zeros, len(ids))
-
-    def dump(self) -> bytes:
-        """The compressed form: magic, length, width, then each plane's zeros, size and bytes."""
-        press = zstandard.ZstdCompressor(level=1).compress
-        parts = [_MAGIC, struct.pack("<QB", self.n, len(self.planes))]
-        for plane, z in zip(self.planes, self.zeros):
-            body = press(plane.tobytes())
-            parts += [struct.pack("<QQ", z, len(body)), body]
-        return b"".join(parts)
-
-    @classmethod
-    def load(cls, data: bytes) -> WaveletMatrix:
-        """From the compressed form."""
-        if data[:4] != _MAGIC:
-            raise ValueError("not a wavelet matrix")
-        n, width = struct.unpack_from("<QB", data, 4)
-        at, planes, zeros, plain = 13, [], [], zstandard.ZstdDecompressor().decompress
-        for _ in range(width):
-            z, size = struct.unpack_from("<QQ", data, at)
-            planes.append(np.frombuffer(plain(data[at + 16 : at + 16 + size]), dtype=np.uint8))
-            zeros.append(z)
-            at += 16 + size
-        return cls(planes, zeros, n)
+        per = len(ones_before[0])
+        first = 13 + 8 * width + 16 * width * per
+        ends = first + np.cumsum([x for plane in sizes for x in plane])
+        begins = np.concatenate([[first], ends]).astype("<u8")
+        places = np.stack([begins[k * (per - 1) : k * (per - 1) + per] for k in range(width)]).astype("<u8")
+        head = _MAGIC + struct.pack("<QB", len(ids), width) + np.array(zeros, "<u8").tobytes()
+        return b"".join([head, places.tobytes(), np.stack(ones_before).astype("<u8").tobytes(), *bodies])
+
+    def _block(self, level: int, k: int) -> np.ndarray:
+        """One block of a plane; the last ones used are kept."""
+        if (level, k) not in self._blocks:
+            if len(self._blocks) >= BLOCKS_KEPT:
+                self._blocks.pop(next(iter(self._blocks)))
+            lo, hi = self.places[level, k : k + 2].tolist()
+            self._blocks[level, k] = np.frombuffer(self._plain(self.data[lo:hi]), np.uint8)
+        return self._blocks[level, k]
 
     def decode(self) -> np.ndarray:
         """All ids in order, by undoing the levels from the last."""
-        now = np.zeros(self.n, dtype=np.uint16 if len(self.planes) <= 16 else np.uint32)
-        for bit, (plane, z) in enumerate(zip(reversed(self.planes), reversed(self.zeros))):
-            mask = np.unpackbits(plane, count=self.n).view(bool)
+        now = np.zeros(self.n, dtype=np.uint16 if self.width <= 16 else np.uint32)
+        for bit, level in enumerate(range(self.width - 1, -1, -1)):
+            blocks = [self._plain(self.data[lo:hi]) for lo, hi in zip(self.places[level, :-1].tolist(), self.places[level, 1:].tolist())]
+            mask = np.unpackbits(np.frombuffer(b"".join(blocks), np.uint8), count=self.n).view(bool)
             out = np.empty_like(now)
-            out[~mask] = now[:z]
-            out[mask] = now[z:] | now.dtype.type(1 << bit)
+            out[~mask] = now[: self.zeros[level]]
+            out[mask] = now[self.zeros[level] :] | now.dtype.type(1 << bit)
             now = out
         return now
 
     def _rank(self, level: int, i: int) -> int:
         """Ones among the first ``i`` bits of a level."""
-        if self._ones[level] is None:
-            per = np.bitwise_count(self.planes[level]).astype(np.int64)
-            per = np.append(per, np.zeros(-len(per) % (RANK_BITS // 8), np.int64)).reshape(-1, RANK_BITS // 8).sum(axis=1)
-            self._ones[level] = np.concatenate([[0], np.cumsum(per)])
-        block, whole = i // RANK_BITS, i // 8
-        ones = int(self._ones[level][block]) + int(np.bitwise_count(self.planes[level][block * RANK_BITS // 8 : whole]).sum())
-        return ones + (int(self.planes[level][whole] >> (8 - i % 8)).bit_count() if i % 8 else 0)
+        k, rest = divmod(i, 8 * BLOCK_BYTES)
+        ones = int(self.ones[level, k])
+        if rest:
+            block = self._block(level, k)
+            ones += int(np.bitwise_count(block[: rest // 8]).sum(dtype=np.int64))
+            ones += (int(block[rest // 8]) >> (8 - rest % 8)).bit_count() if rest % 8 else 0
+        return ones
 
     def _select(self, level: int, bit: int, k: int) -> int:
         """Place of the k-th (from 0) bit of that kind in a level."""
-        lo, hi = 0, self.n
-        while lo < hi:
-            mid = (lo + hi) // 2
-            ones = self._rank(level, mid + 1)
-            if (ones if bit else mid + 1 - ones) > k:
-                hi = mid
-            else:
-                lo = mid + 1
-        return lo
+        ones = self.ones[level]
+        before = ones if bit else np.minimum(np.arange(len(ones)) * 8 * BLOCK_BYTES, self.n) - ones
+        block = int(np.searchsorted(before, k, "right")) - 1
+        start = 8 * BLOCK_BYTES * block
+        bits = np.unpackbits(self._block(level, block), count=min(8 * BLOCK_BYTES, self.n - start))
+        return start + int(np.flatnonzero(bits == bit)[k - int(before[block])])
 
     def access(self, i: int) -> int:
         """The id at place ``i``."""
         out = 0
-        for level, (plane, z) in enumerate(zip(self.planes, self.zeros)):
-            bit = int(plane[i // 8]) >> (7 - i % 8) & 1
+        for level, z in enumerate(self.zeros):
+            k, rest = divmod(i, 8 * BLOCK_BYTES)
+            bit = int(self._block(level, k)[rest // 8]) >> (7 - rest % 8) & 1
             ones = self._rank(level, i)
             i = z + ones if bit else i - ones
             out = out << 1 | bit
@@ -125,7 +133,7 @@ class WaveletMatrix:
     def _range(self, value: int, upto: int) -> tuple[int, int]:
         """The range that an id's occurrences among the first ``upto`` places take after the last level."""
         lo, hi = 0, upto
-        if value >> len(self.planes):
+        if value >> self.width:
             return 0, 0
         for level, z in enumerate(self.zeros):
             a, b = self._rank(level, lo), self._rank(level, hi)
@@ -162,7 +170,7 @@ def _segments(batches: Iterator[pd.DataFrame], path: str, end_id: int, limit: in
         known = np.array([d is not None for d in docs])
         packed = np.packbits(known).tobytes() + np.array([d or 0 for d in docs], dtype="<i8").tobytes()
         press = zstandard.ZstdCompressor(level=1).compress
-        return pd.DataFrame({"shard": [shard], "segment": [segment], "doc_ids": [press(packed)], "n_tokens": [press(np.array(lens, dtype="<i8").tobytes())], "total": [len(flat)], "planes": [WaveletMatrix.build(flat).dump()]})
+        return pd.DataFrame({"shard": [shard], "segment": [segment], "doc_ids": [press(packed)], "n_tokens": [press(np.array(lens, dtype="<i8").tobytes())], "total": [len(flat)], "planes": [WaveletMatrix.build(flat)]})
 
     for batch in batches:
         texts = [t if isinstance(t, str) else None for t in batch["text"]]
@@ -204,7 +212,7 @@ def _documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             n = np.frombuffer(plain(sizes), dtype="<i8")
             packed = plain(names)
             known = np.unpackbits(np.frombuffer(packed[: -(-len(n) // 8)], np.uint8), count=len(n)).astype(bool)
-            ids = WaveletMatrix.load(data).decode().astype("<u4")
+            ids = WaveletMatrix(data).decode().astype("<u4")
             ends = np.cumsum(n)
             view = memoryview(ids).cast("B")
             crc = [zlib.crc32(view[4 * (e - k) : 4 * e]) for e, k in zip(ends.tolist(), n.tolist())]
@@ -233,12 +241,19 @@ def lookup(spark: SparkSession, path: str, value: int) -> DataFrame:
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [WaveletMatrix.load(d) for d in b["planes"]]
+            found = [WaveletMatrix(d) for d in b["planes"]]
             yield pd.DataFrame({"shard": b["shard"], "segment": b["segment"], "n": [m.count(value) for m in found], "first": [m.locate(value, 0) for m in found]})
 
     return spark.read.schema(_FILE).parquet(path).mapInPandas(ask, "shard long, segment long, n long, first long")
 
 
+def token_at(spark: SparkSession, path: str, shard: int, segment: int, place: int) -> int | None:
+    """The id at a place of a segment, read from its row alone; null where there is none."""
+    row = spark.read.schema(_FILE).parquet(path).where((F.col("shard") == shard) & (F.col("segment") == segment)).select("planes").first()
+    matrix = WaveletMatrix(bytes(row["planes"])) if row else None
+    return matrix.access(place) if matrix and 0 <= place < matrix.n else None
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as wavelet-matrix shards and read back."""
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"

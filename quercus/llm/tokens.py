@@ -119,7 +119,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 class BatchEncoder:
     """Encodes many texts at a time: words are found and hashed over the whole byte buffer, and a table gives their ids."""
 
-    def __init__(self, path: str, slots_log2: int = 20):
+    def __init__(self, path: str, slots_log2: int = 19):
         self.one = WordEncoder(path)
         self.slots = 1 << slots_log2
         self.power = _powers(_BASE, 1 << 16)
@@ -128,9 +128,9 @@ class BatchEncoder:
 
     def _reset(self) -> None:
         self.word = np.zeros((self.slots, _TABLE_BYTES // 8), dtype=np.uint64)
-        self.length = np.zeros(self.slots, dtype=np.int64)
+        self.length = np.zeros(self.slots, dtype=np.uint8)
         self.at = np.zeros(self.slots, dtype=np.int64)
-        self.n_ids = np.zeros(self.slots, dtype=np.int64)
+        self.n_ids = np.zeros(self.slots, dtype=np.uint8)  # a byte makes one id at most
         self.flat, self.used, self.words = np.zeros(1 << 20, dtype=np.uint32), 0, 0
 
     def _hashes(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:

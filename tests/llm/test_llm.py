@@ -296,18 +296,28 @@ def test_token_store(spark, docs, none, tmp_path):
     assert [r["doc_id"] for r in rows] == [None, 1, 2, 3, 4, 5, 6, 7, 8, 8]
     token = _ids("word")[0]
     assert sum(r["n"] for r in token_store.lookup(spark, path, token).collect()) == sum(_ids(t).count(token) for _, t in ODD)
+    first = spark.read.parquet(path).orderBy("shard", "segment").first()
+    assert token_store.token_at(spark, path, first["shard"], first["segment"], 0) is not None and token_store.token_at(spark, path, -1, 0, 0) is None
     token_store.write_shards(none, f"file://{tmp_path}/n")
     assert token_store.read_documents(spark, f"file://{tmp_path}/n").count() == 0
 
 
-def test_wavelet_matrix():
-    ids = np.random.default_rng(1).integers(0, 40, 700).astype(np.uint32)
-    m = token_store.WaveletMatrix.load(token_store.WaveletMatrix.build(ids).dump())
-    assert (m.decode() == ids).all() and all(m.access(i) == ids[i] for i in range(0, 700, 13))
+@pytest.mark.parametrize("n", [0, 1, 700, 65_536, 200_000])
+def test_wavelet_matrix(n):
+    ids = np.random.default_rng(1).integers(0, 40, n).astype(np.uint32)
+    m = token_store.WaveletMatrix(token_store.WaveletMatrix.build(ids))
+    assert (m.decode() == ids).all() and all(m.access(i) == ids[i] for i in range(0, n, max(1, n // 50)))
+    assert len(m._blocks) <= token_store.BLOCKS_KEPT
     for v in (0, 7, 39, 63, 5000):
         at = np.flatnonzero(ids == v)
-        assert m.count(v) == len(at) and m.count(v, 300) == (at < 300).sum()
-        assert [m.locate(v, k) for k in range(len(at))] == at.tolist() and m.locate(v, len(at)) == -1
+        assert m.count(v) == len(at) and m.count(v, n // 2) == (at < n // 2).sum()
+        assert [m.locate(v, k) for k in range(0, len(at), max(1, len(at) // 40))] == at[:: max(1, len(at) // 40)].tolist() and m.locate(v, len(at)) == -1
+
+
+def test_wavelet_matrix_reads_few_blocks():
+    ids = np.random.default_rng(2).integers(0, 49_000, 1_000_000).astype(np.uint32)
+    m = token_store.WaveletMatrix(token_store.WaveletMatrix.build(ids))
+    assert m.access(777_777) == ids[777_777] and len(m._blocks) <= m.width
 
 
 def test_encoder_equals_library():
@@ -475,3 +485,11 @@ def test_other_tokenizers():
     ids, sizes = tokens.encoder(path).encode(some)
     assert not tokens.encoder(path).one.by_word and tokens.encoder(tokens.default_tokenizer()).one.by_word
     assert ids.tolist() == [x for t in some for x in Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids] and sizes.tolist()[1:3] == [0, 0]
+
+
+def test_packing_pads_little(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"w{rng.randrange(99)}" for _ in range(int(rng.lognormvariate(5, 1))))) for i in range(3000)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(12), open_windows=32).groupBy("sequence_id").sum("length").collect()
+    total = sum(r[1] for r in got)
+    assert total == sum(len(_ids(t)) + 1 for _, t in rows) and len(got) * 2048 < 1.02 * total + 2048
