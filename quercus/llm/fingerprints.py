@@ -25,9 +25,9 @@ from .common import stored
 #: Code points after which a long line is cut; cells of each table of the fingerprint column.
 PIECE, CELLS, TABLES = 64, 8, 3
 #: Cells for each digest expected to differ, over all tables; smallest digests an estimate is made of; passes over the tables.
-SPARE, SMALLEST, PASSES, TRIES = 1.7, 16, 15, 12
-#: Documents are dealt to buckets of neighbouring ids: at most this many, a power of two, less one.
-BUCKETS = 4095
+SPARE, SMALLEST, PASSES, TRIES = 2.2, 16, 12, 12
+#: Documents are dealt to buckets of neighbouring ids, of about so many rows: at most this many, a power of two, less one.
+BUCKETS, BUCKET_ROWS = 65_535, 32
 
 
 def pieces(text: Column) -> Column:
@@ -49,21 +49,18 @@ def fingerprint(digests: Column) -> Column:
 
     The cell in table ``t`` is given by three bits of the digest.
     """
-    def cell(table: int, slot: int) -> Column:
-        at = 40 + 3 * table
-        own = F.filter(digests, lambda d: d.bitwiseAND(F.lit((CELLS - 1) << at)) == F.lit(slot << at))
-        xor = lambda of: F.aggregate(own, F.lit(0).cast("long"), lambda acc, d: acc.bitwiseXOR(of(d)))
-        # fixed width: 8, 16 and 8 hexadecimal digits
-        return F.concat(F.lpad(F.hex(F.size(own).cast("long")), 8, "0"), F.lpad(F.hex(xor(lambda d: d)), 16, "0"), F.right(F.lpad(F.hex(xor(_check)), 16, "0"), F.lit(8)))
-
-    cells = [cell(t, c) for t in range(TABLES) for c in range(CELLS)]
-    return F.base64(F.unhex(F.concat(*cells)))
+    spots = [F.struct(F.lit(CELLS - 1 << at).cast("long").alias("mask"), F.lit(slot << at).cast("long").alias("want")) for at in (40 + 3 * t for t in range(TABLES)) for slot in range(CELLS)]
+    inside = F.transform(F.array(*spots), lambda c: F.filter(digests, lambda d: d.bitwiseAND(c["mask"]) == c["want"]))
+    xor = lambda own, of: F.lpad(F.hex(F.aggregate(own, F.lit(0).cast("long"), lambda acc, d: acc.bitwiseXOR(of(d)))), 16, "0")
+    # fixed width: 8, 16 and 8 hexadecimal digits
+    cells = F.transform(inside, lambda own: F.concat(F.lpad(F.hex(F.size(own).cast("long")), 8, "0"), xor(own, lambda d: d), F.right(xor(own, _check), F.lit(8))))
+    return F.base64(F.unhex(F.array_join(cells, "")))
 
 
 def _bucketed(docs: DataFrame, buckets: int) -> DataFrame:
     """Adds ``bucket``: the number of quantiles of the ids below the id (null: 0), found by binary search in a short constant array."""
     wanted = [(i + 1) / (buckets + 1) for i in range(buckets)]
-    bounds = docs.agg(F.percentile_approx("doc_id", wanted, 20_000)).first()[0] or []
+    bounds = docs.agg(F.percentile_approx("doc_id", wanted, max(20_000, 4 * buckets))).first()[0] or []
     bounds = sorted(set(bounds))
     steps = max(1, len(bounds)).bit_length()
     if not bounds:
@@ -85,7 +82,7 @@ def with_next(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n = rows.count()
-    size = (1 << max(0, min((buckets + 1).bit_length() - 1, (n // 32).bit_length() - 1))) - 1
+    size = (1 << max(0, min((buckets + 1).bit_length() - 1, (n // BUCKET_ROWS).bit_length() - 1))) - 1
     keyed = _bucketed(rows, size).select("bucket", F.col("doc_id").isNull().alias("no_id"), F.bitwise_not("doc_id").alias("from_last"), F.xxhash64("text").alias("tie"), "doc_id", "text")
     first = keyed.groupBy("bucket").agg(F.min(F.struct(*_ORDER)).alias("first")).collect()  # at most a row for each bucket
     first = sorted(first, key=lambda r: -r["bucket"])  # in descending order of ids, null ids being in bucket 0
@@ -138,13 +135,16 @@ def subtracted(pairs: DataFrame) -> DataFrame:
     return sums.where((F.col("cell") <= 0) | (F.col("n") != 0) | (F.col("digests") != 0) | (F.col("checks") != 0)).withColumn("cell", F.when((F.col("n") == 0) & (F.col("digests") == 0) & (F.col("checks") == 0), F.lit(-1).cast("long")).otherwise(F.col("cell")))
 
 
-def _expected(own: Column, other: Column) -> Column:
-    """How many digests differ, as the smallest digests of either side tell."""
-    small = lambda a: F.slice(F.array_sort(a), 1, SMALLEST)
-    least = F.slice(F.array_sort(F.array_union(small(own), small(other))), 1, SMALLEST)
-    shared = F.size(F.array_intersect(least, F.array_intersect(small(own), small(other))))
-    alike = shared / F.greatest(F.size(least), F.lit(1))
-    return (F.size(own) + F.size(other)) * (1 - alike) / (1 + alike)
+def _expected(pairs: DataFrame) -> DataFrame:
+    """Adds ``expected``: how many digests differ, as the smallest digests of either side (own, other) tell.
+
+    What is used more than once has a column of its own, so that it is found once.
+    """
+    small = lambda a: F.slice(F.sort_array(a), 1, SMALLEST)
+    out = pairs.withColumns({"_a": small("own"), "_b": small("other")})
+    out = out.withColumns({"_least": small(F.array_union("_a", "_b")), "_both": F.array_intersect("_a", "_b")})
+    out = out.withColumn("_alike", F.size(F.array_intersect("_least", "_both")) / F.greatest(F.size("_least"), F.lit(1)))
+    return out.withColumn("expected", (F.size("own") + F.size("other")) * (1 - F.col("_alike")) / (1 + F.col("_alike"))).drop("_a", "_b", "_least", "_both", "_alike")
 
 
 def likeness(units: DataFrame) -> DataFrame:
@@ -158,8 +158,8 @@ def likeness(units: DataFrame) -> DataFrame:
         own = F.array_distinct("own")
         both = both.select("bucket", "rn", own.alias("own"), F.array_distinct(F.concat(F.slice("own", 1, F.col("kept")), "tail")).alias("edited"), F.array_distinct("following").alias("following"))
         each = both.select("bucket", "rn", F.explode(F.array(F.struct(F.lit(0).alias("pair"), "own", F.col("edited").alias("other")), F.struct(F.lit(1).alias("pair"), "own", F.col("following").alias("other")))).alias("p")).select("bucket", "rn", "p.*")
-        cells = (F.ceil(_expected(F.col("own"), F.col("other")) * SPARE * factor / TABLES) + 4 * factor).cast("long")
-        return each.withColumn("cells", cells).withColumn("salt", F.lit(factor))
+        cells = (F.ceil(F.col("expected") * SPARE * factor / TABLES) + 4 * factor).cast("long")
+        return _expected(each).withColumn("cells", cells).withColumn("salt", F.lit(factor)).drop("expected")
 
     # the sketches are larger than the units: tasks as many as the session asks for, not fewer for a small exchange
     tasks = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -188,7 +188,8 @@ def fingerprints(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     A null text is an empty one.  The last third of a text is replaced by the
     beginning of the next document's.  Repeated rows are documents of their own,
     ordered by a hash of the text; null ids come last.  Two empty texts are
-    alike (1).  An empty table gives an empty result.  Returns doc_id, n_chars,
+    alike (1).  An empty table gives an empty result.  A pair whose sketches can't
+    be peeled after ``TRIES`` doublings is an error.  Returns doc_id, n_chars,
     edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
     """
     rows = with_next(docs, buckets)
@@ -198,9 +199,9 @@ def fingerprints(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     own, edited = pieces(F.col("text")), pieces(F.col("edited"))
     same = F.greatest(F.size(pieces(F.col("head"))) - 1, F.lit(0))
     rows = rows.select("bucket", "rn", "ghost", "doc_id", "n_chars", F.when(~F.col("ghost"), F.sha2("edited", 256)).alias("edited_sha256"), own.alias("own"), same.alias("kept"), edited.alias("edited"))
-    rows = rows.withColumn("tail", F.slice("edited", F.col("kept") + 1, F.size("edited")))
-    rows = rows.withColumn("fingerprint", F.when(~F.col("ghost"), fingerprint(F.array_distinct("own")))).withColumn("edited_fingerprint", F.when(~F.col("ghost"), fingerprint(F.array_distinct("edited"))))
-    units = stored(rows.withColumn("n_own", F.size(F.array_distinct("own")).cast("long")).drop("edited"))
+    rows = rows.withColumns({"tail": F.slice("edited", F.col("kept") + 1, F.size("edited")), "_own": F.array_distinct("own"), "_edited": F.array_distinct("edited")})
+    rows = rows.withColumn("fingerprint", F.when(~F.col("ghost"), fingerprint(F.col("_own")))).withColumn("edited_fingerprint", F.when(~F.col("ghost"), fingerprint(F.col("_edited"))))
+    units = stored(rows.withColumn("n_own", F.size("_own").cast("long")).drop("edited", "_own", "_edited"))
     found = likeness(units.select("bucket", "rn", "ghost", "own", "kept", "tail"))
     near = units.where("not ghost").select("bucket", "rn", "doc_id", "n_chars", "n_own", "edited_sha256", "fingerprint", "edited_fingerprint").join(found, ["bucket", "rn"])
     union = F.col("n_own") + F.col("minus")
