@@ -30,6 +30,12 @@ def log_loss(y: Column, margin: Column) -> Column:
     return -(y * F.log(p) + (1 - y) * F.log(1 - p))
 
 
+def softmax_cross_entropy(y: Column, margins: Column) -> tuple[Column, Column]:
+    """Gradients and hessians of all classes at once, as arrays; ``y`` is the class number."""
+    p = softmax(margins)
+    return F.transform(p, lambda v, i: v - (i == y).cast("double")), F.transform(p, lambda v: v * (1 - v))
+
+
 def least_squares(y: Column, margin: Column) -> tuple[Column, Column]:
     return margin - y, F.lit(1.0)
 

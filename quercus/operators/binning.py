@@ -36,14 +36,16 @@ def bisect_left(x: Column, points: Sequence[float]) -> Column:
     return sum((F.when(F.lit(float(p)) < x, 1).otherwise(0) for p in inner), F.lit(0))
 
 
-def histogram(rows: DataFrame, cands: dict[str, Sequence[float]], g: Column, h: Column, node: Column | None = None) -> DataFrame:
+def histogram(rows: DataFrame, cands: dict[str, Sequence[float]], g: Column, h: Column, node: Column | None = None, bins: Sequence[Column] | None = None) -> DataFrame:
     """Sums of gradients and hessians by (node, feature, bin): one pass, combined before the shuffle.
 
     ``rows`` needs the feature columns only; features are numbered in the order
     of ``cands``.  Rows without a value of a feature are left out of its bins.
+    ``bins`` are columns that hold them already.
     """
-    bins = F.array(*[F.struct(F.lit(j).alias("feature"), bin_of(F.col(f).cast("double"), c).alias("bin")) for j, (f, c) in enumerate(cands.items())])
-    flat = rows.select((F.lit(1) if node is None else node).alias("node"), g.alias("g"), h.alias("h"), F.explode(bins).alias("b"))
+    found = [bin_of(F.col(f).cast("double"), c) for f, c in cands.items()] if bins is None else bins
+    each = F.array(*[F.struct(F.lit(j).alias("feature"), b.cast("int").alias("bin")) for j, b in enumerate(found)])
+    flat = rows.select((F.lit(1) if node is None else node).alias("node"), g.alias("g"), h.alias("h"), F.explode(each).alias("b"))
     flat = flat.select("node", "b.feature", "b.bin", "g", "h").where("bin is not null")
     return flat.groupBy("node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count("*").alias("n"))
 
@@ -67,23 +69,47 @@ def noisy(hist: DataFrame, sigma_g: float, sigma_h: float, seed: int) -> DataFra
     return hist.withColumn("g", F.col("g") + sigma_g * normal(0)).withColumn("h", F.col("h") + sigma_h * normal(2))
 
 
-def scores(hist: DataFrame, sizes: Sequence[int], constraints: DataFrame | None = None, one_sided: bool = False, lam: float = 1.0, alpha: float = 0.0, delta: float = 2.0) -> DataFrame:
-    """The score of every candidate of every feature and node: node, feature, cand, gl, hl, gr, hr, score.
+#: How a node's totals are estimated; None: both children from the feature's own bins, the node from its parent's split.
+ESTIMATORS = (None, "one-sided", "two_sided", "two_sided_averaging")
+
+
+def scores(hist: DataFrame, sizes: Sequence[int], constraints: DataFrame | None = None, estimator: str | None = None, lam: float = 1.0, alpha: float = 0.0, delta: float = 2.0, totals: DataFrame | None = None, left_noise: tuple[float, float, int] | None = None) -> DataFrame:
+    """The score of every candidate of every feature and node: node, feature, cand, gl, hl, gr, hr, score, and the node's totals gn, hn.
 
     ``constraints`` (node, feature, lo, hi) narrows the bins of a node's feature.
+    ``totals`` (node, gn, hn) are what the nodes' parents gave them; without
+    them, and for two_sided_averaging, they are the mean over features of the
+    histogram's totals.  With one-sided the right child is the rest of the
+    node's totals, with two_sided the node's gain comes from the feature's bins
+    but the last allowed one.  ``left_noise`` (deviations and a seed) is drawn
+    for every left child by itself, as where candidates are asked one by one.
     """
+    if estimator not in ESTIMATORS:
+        raise ValueError(f"unknown estimator {estimator}")
+    node = Window.partitionBy("node")
+    if totals is None or estimator == "two_sided_averaging":
+        hist = hist.withColumns({"gn": F.sum("g").over(node) / len(sizes), "hn": F.sum("h").over(node) / len(sizes)})
+    else:
+        hist = hist.join(F.broadcast(totals), "node")
     if constraints is not None:
         hist = hist.join(F.broadcast(constraints), ["node", "feature"]).where("bin between lo and hi")
     by = Window.partitionBy("node", "feature")
     upto = by.orderBy("bin")
     own = hist.withColumns({"gl": F.sum("g").over(upto), "hl": F.sum("h").over(upto), "gt": F.sum("g").over(by), "ht": F.sum("h").over(by)})
-    if one_sided:  # the node's totals are the mean over its features
-        node = Window.partitionBy("node")
-        own = own.withColumns({"gt": F.sum("g").over(node), "ht": F.sum("h").over(node), "k": F.size(F.collect_set("feature").over(node))}).withColumns({"gt": F.col("gt") / F.col("k"), "ht": F.col("ht") / F.col("k")})
+    g_node, h_node = F.col("gn"), F.col("hn")
+    if estimator == "two_sided":
+        inner = F.col("bin") < F.col("hi") if constraints is not None else F.lit(True)
+        own = own.withColumns({"gm": F.sum(F.when(inner, F.col("g")).otherwise(0)).over(by), "hm": F.sum(F.when(inner, F.col("h")).otherwise(0)).over(by)})
+        g_node, h_node = F.col("gm"), F.col("hm")
     size = F.element_at(F.array(*[F.lit(s) for s in sizes]), F.col("feature") + 1)
-    own = own.where(F.col("bin") < size).withColumns({"gr": F.col("gt") - F.col("gl"), "hr": F.col("ht") - F.col("hl")})
-    value = lambda g, h: gain(F.col(g), F.col(h), lam, alpha, delta)
-    return own.select("node", "feature", F.col("bin").alias("cand"), "gl", "hl", "gr", "hr", (0.5 * (value("gl", "hl") + value("gr", "hr") - value("gt", "ht"))).alias("score"))
+    own = own.where(F.col("bin") < size)
+    if left_noise:
+        own = noisy(own.drop("g", "h").withColumnRenamed("gl", "g").withColumnRenamed("hl", "h"), *left_noise).withColumnRenamed("g", "gl").withColumnRenamed("h", "hl")
+    whole = ("gn", "hn") if estimator == "one-sided" else ("gt", "ht")
+    own = own.withColumns({"gr": F.col(whole[0]) - F.col("gl"), "hr": F.col(whole[1]) - F.col("hl")})
+    value = lambda g, h: gain(g, h, lam, alpha, delta)
+    score = 0.5 * (value(F.col("gl"), F.col("hl")) + value(F.col("gr"), F.col("hr")) - value(g_node, h_node))
+    return own.select("node", "feature", F.col("bin").alias("cand"), "gl", "hl", "gr", "hr", score.alias("score"), "gn", "hn")
 
 
 def best(scored: DataFrame) -> DataFrame:
@@ -108,3 +134,31 @@ def woe_iv(counts: DataFrame, adjustment: float = 0.5) -> DataFrame:
     out = counts.withColumn("rate_e", rate_e).withColumn("rate_n", rate_n).withColumn("woe", F.log(F.col("rate_e") / F.col("rate_n")))
     out = out.withColumn("iv_bin", (F.col("rate_e") - F.col("rate_n")) * F.col("woe"))
     return out.withColumn("iv", F.sum("iv_bin").over(by)).drop("rate_e", "rate_n")
+
+
+def joined_counts(features: DataFrame, labels: DataFrame, key: str, feature: str, bins: Column, label: str = "y") -> DataFrame:
+    """Events and non-events of each bin, the labels being another table that shares a key."""
+    return event_counts(features.join(labels.select(key, F.col(label).cast("int").alias(label)), key), feature, bins, label)
+
+
+def converted(rows: DataFrame, points: dict[str, Sequence[float]], woe: DataFrame | None = None) -> DataFrame:
+    """``rows`` with each feature of ``points`` replaced by its right-closed bin, or by its bin's weight of evidence where ``woe`` (feature, bin, woe) is given.
+
+    Bins without a weight, and missing values, become null.
+    """
+    weights: dict[str, dict[int, float]] = {f: {} for f in points}
+    for r in woe.where(F.col("feature").isin(list(points))).select("feature", "bin", "woe").collect() if woe is not None else ():  # a row a bin
+        weights[r["feature"]][r["bin"]] = r["woe"]
+    new = {}
+    for f, p in points.items():
+        x = F.col(f).cast("double")
+        bin_ = F.when(x.isNotNull() & ~F.isnan(x), bisect_left(x, p))
+        values = F.array(*[F.lit(weights[f].get(b)).cast("double") for b in range(len(p))])
+        new[f] = bin_ if woe is None else F.get(values, bin_)
+    return rows.withColumns(new)
+
+
+def shuffled_bins(counts: DataFrame, seed: int = 0) -> DataFrame:
+    """``counts`` (feature, bin, ...) with bins renumbered in a keyed pseudorandom order, so that they tell nothing of the values behind them."""
+    order = Window.partitionBy("feature").orderBy(F.xxhash64("feature", "bin", F.lit(seed)), "bin")
+    return counts.withColumn("bin", (F.row_number().over(order) - 1).cast("int"))

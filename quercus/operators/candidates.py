@@ -9,7 +9,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .ordering import at_ranks, running, stored
+
+
+#: Thresholds that a categorical feature may have.
+MOST_CATEGORIES = 100_000
 
 
 def _valid(df: DataFrame, f: str) -> DataFrame:
@@ -38,11 +43,19 @@ def uniform(df: DataFrame, features: Sequence[str], q: int = 32, multiplier: flo
 
 
 def exact_quantiles(df: DataFrame, features: Sequence[str], q: int = 32) -> dict[str, list[float]]:
-    """Linear quantiles at i/q; exact, by Spark's counting percentile."""
-    rates = [i / q for i in range(q)]
-    clean = [F.when(~F.isnan(F.col(f).cast("double")), F.col(f).cast("double")) for f in features]
-    row = df.agg(*[F.percentile(c, F.lit(rates)).alias(f"q{i}") for i, c in enumerate(clean)]).first()
-    return {f: list(row[f"q{i}"]) for i, f in enumerate(features)}
+    """Linear quantiles at i/q, exact: distinct values are counted, ranked by running sums, and looked up at the ranks around each quantile."""
+    values = F.explode(F.array(*[F.struct(F.lit(j).alias("feature"), F.col(f).cast("double").alias("x")) for j, f in enumerate(features)])).alias("v")
+    counts = stored(df.select(values).select("v.*").where("x is not null and not isnan(x)").groupBy("feature", "x").agg(F.count("*").alias("n")))
+    sizes = {r["feature"]: r["n"] for r in counts.groupBy("feature").agg(F.sum("n").alias("n")).collect()}
+    places = [(j, i, k, rank) for j, n in sizes.items() for i in range(q) for k, rank in enumerate((math.floor(i / q * (n - 1)), math.ceil(i / q * (n - 1))))]
+    spots = df.sparkSession.createDataFrame(places, "feature int, i int, k int, at long")
+    got = {(r["feature"], r["i"], r["k"]): r["x"] for r in at_ranks(counts, spots, ["feature"]).collect()}  # two rows a quantile
+    out = {f: [] for f in features}
+    for j, n in sizes.items():
+        for i in range(q):
+            lo, hi, place = got[j, i, 0], got[j, i, 1], i / q * (n - 1)
+            out[features[j]].append(lo + (hi - lo) * (place - math.floor(place)))
+    return out
 
 
 def sketch(df: DataFrame, features: Sequence[str], q: int = 32, error: float = 0.001) -> dict[str, list[float]]:
@@ -55,15 +68,16 @@ def sketch(df: DataFrame, features: Sequence[str], q: int = 32, error: float = 0
 def exact_icdf(df: DataFrame, feature: str, q: int = 32) -> list[float]:
     """The inverse of the empirical distribution function, interpolated between distinct values, at i/q.
 
-    Two running sums over the distinct values find the neighbours of every
-    rate; each is an aggregate by rate, so nothing is gathered.
+    A running sum over the distinct values, partition by partition, finds the
+    neighbours of every rate; a row for each rate comes back.
     """
     counts = _valid(df, feature).groupBy("x").agg(F.count("*").alias("n"))
     n_all, distinct, least = counts.agg(F.sum("n"), F.count("*"), F.min("x")).first()
     if distinct <= 2:
         return [least]
-    at = counts.withColumn("p", F.sum("n").over(Window.orderBy("x")) / F.lit(n_all))
-    at = at.withColumn("next_x", F.lead("x").over(Window.orderBy("x"))).withColumn("next_p", F.lead("p").over(Window.orderBy("x")))
+    upto = stored(running(counts, "x", ["n"], lead=True))
+    behind = upto.select(F.col("x").alias("next"), F.col("n").alias("next_n"))
+    at = upto.join(behind, "next", "left").select("x", (F.col("upto_n") / F.lit(n_all)).alias("p"), F.col("next").alias("next_x"), ((F.col("upto_n") + F.col("next_n")) / F.lit(n_all)).alias("next_p"))
     rates = df.sparkSession.createDataFrame([(i, i / q) for i in range(q)], "i int, r double")
     (x0, p0), (x1, p1) = at.select("x", "p").orderBy("x").limit(2).collect()
     hit = at.where("next_x is not null").join(F.broadcast(rates), (F.col("r") >= F.col("p")) & (F.col("r") < F.col("next_p")))
@@ -107,8 +121,11 @@ def skew_test(df: DataFrame, feature: str, q: int = 32, level: float = 0.05) ->
 
 
 def categorical(df: DataFrame, feature: str) -> list[float]:
-    """The distinct values of a categorical feature."""
-    return sorted(r[0] for r in _valid(df, feature).distinct().collect())
+    """The distinct values of a categorical feature; more than ``MOST_CATEGORIES`` are an error, since thresholds live on the driver."""
+    found = [r[0] for r in _valid(df, feature).distinct().limit(MOST_CATEGORIES + 1).collect()]
+    if len(found) > MOST_CATEGORIES:
+        raise ValueError(f"{feature}: more than {MOST_CATEGORIES} categories")
+    return sorted(found)
 
 
 def random_points(df: DataFrame, features: Sequence[str], q: int = 32, seed: int = 0) -> dict[str, list[float]]:
@@ -119,7 +136,7 @@ def random_points(df: DataFrame, features: Sequence[str], q: int = 32, seed: int
 def counted_quantiles(counts: Sequence[float], edges: Sequence[float], q: int) -> list[float]:
     """Quantiles (k+1)/q of a histogram of shares; the fraction within a bin is measured from the overshoot."""
     total = sum(counts) or 1.0
-    cumulative = list(itertools.accumulate(c / total for c in counts))
+    cumulative = [c / total for c in itertools.accumulate(counts)]
     out = []
     for k in range(q):
         target = (k + 1) / q

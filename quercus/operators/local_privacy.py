@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .candidates import counted_quantiles
+
 
 def draw(key: Column | str, seed: int) -> Column:
     """Uniform on (0, 1), of a key."""
@@ -34,7 +36,10 @@ def hash_reports(df: DataFrame, key: str, item: str, epsilon: float, seeds: int
 
 
 def hash_estimates(reports: DataFrame, domain: DataFrame, item: str, epsilon: float, optimal: bool = True) -> DataFrame:
-    """Frequencies of the items of ``domain``: reports aggregate to (s, y) first, then meet the domain in an equi-join."""
+    """Frequencies of the items of ``domain``: reports aggregate to (s, y) first, then meet the domain in an equi-join.
+
+    Every item is asked of every hash family member, a stated query set of ``seeds`` times the domain.
+    """
     g = hash_range(epsilon, optimal)
     p = math.exp(epsilon) / (math.exp(epsilon) + g - 1)
     cells = reports.groupBy("s", "y").agg(F.count("*").alias("n"))
@@ -97,6 +102,26 @@ def square_wave_density(reports: DataFrame, column: str, epsilon: float, bins: i
     return theta.tolist()
 
 
+def hashed_quantiles(df: DataFrame, column: str, key: str, q: int, lo: float, hi: float, epsilon: float, seed: int = 0, bins: int = 1024, seeds: int = 500) -> list[float]:
+    """Quantiles (k+1)/q from local hashing reports of each row's cell of ``bins`` equal ones."""
+    x = F.col(column).cast("double")
+    width = (hi - lo) / bins or 1.0
+    cell = F.least(F.floor((F.least(F.greatest(x, F.lit(lo)), F.lit(hi)) - lo) / width), F.lit(bins - 1)).cast("int")
+    reports = hash_reports(df.where(x.isNotNull() & ~F.isnan(x)).select(key, cell.alias("cell")), key, "cell", epsilon, seeds, seed=seed)
+    domain = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("cell"))
+    got = {r["cell"]: r["estimate"] for r in hash_estimates(reports, domain, "cell", epsilon).collect()}  # a row a cell
+    return sorted(set(counted_quantiles([max(0.0, got.get(i, 0.0)) for i in range(bins)], [lo + i * width for i in range(bins + 1)], q)))
+
+
+def wave_quantiles(df: DataFrame, column: str, key: str, q: int, lo: float, hi: float, epsilon: float, seed: int = 0, bins: int = 1024) -> list[float]:
+    """Quantiles (k+1)/q from square-wave reports of each row's value."""
+    x = F.col(column).cast("double")
+    unit = F.least(F.greatest((x - lo) / ((hi - lo) or 1.0), F.lit(0.0)), F.lit(1.0))
+    reports = df.where(x.isNotNull() & ~F.isnan(x)).select(square_wave_report(unit, key, epsilon, seed).alias("r"))
+    shares = square_wave_density(reports, "r", epsilon, bins, smooth=False)
+    return sorted(set(counted_quantiles(shares, [lo + (hi - lo) * i / bins for i in range(bins + 1)], q)))
+
+
 def to_simplex(df: DataFrame, column: str, out: str, total: float = 1.0) -> DataFrame:
     """The nearest point of the simplex, for a table of one row an item: sorted running sums give the common shift."""
     by = Window.orderBy(F.desc(column))

@@ -10,19 +10,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ordering import ordinals
+
 
 def sorted_codes(df: DataFrame, column: str, code: str) -> DataFrame:
     """Adds the rank of a value among the distinct ones, -1 for null: a small table of values, joined back."""
     values = df.where(F.col(column).isNotNull()).select(column).distinct()
-    codes = values.withColumn(code, (F.row_number().over(Window.orderBy(column)) - 1).cast("int"))
-    return df.join(codes, column, "left").na.fill(-1, [code])
+    return df.join(ordinals(values, column, code), column, "left").na.fill(-1, [code])
 
 
 def first_seen_codes(df: DataFrame, column: str, key: str, code: str) -> DataFrame:
     """Adds the rank of a value by the first key that has it."""
     first = df.groupBy(column).agg(F.min(key).alias("_first"))
-    codes = first.withColumn(code, (F.row_number().over(Window.orderBy("_first")) - 1).cast("int")).drop("_first")
-    return df.join(codes, column)
+    return df.join(ordinals(first, "_first", code).drop("_first"), column)
 
 
 def stratified_split(df: DataFrame, label: str, key: str, share: float = 0.7, seed: int = 0) -> DataFrame:

@@ -87,6 +87,11 @@ class Accountant:
     grad_clip: float = 20.0
     spent: int = field(default=0)
     per_level: tuple[str, ...] = ()
+    sample: str | None = None
+    subsample: float = 1.0
+    tree_budgets: tuple[float, ...] = ()
+    level_budgets: tuple[float, ...] = ()
+    gradient_budgets: tuple[float, float] = (0.5, 0.5)
 
     def sensitivities(self) -> tuple[float, float]:
         """Of a row's gradient and hessian."""
@@ -105,6 +110,9 @@ class Accountant:
     def levels(self) -> list[float]:
         """Shares of the levels: all alike, but none for those whose splits need no data; the last has the leaves."""
         asks = [m != "totally_random" or i == self.max_depth - 1 for i, m in enumerate(self.methods())]
+        if self.level_budgets:
+            own = [b if a else 0.0 for a, b in zip(asks, self.level_budgets)]
+            return [b / sum(own) for b in own]
         return [1 / sum(asks) if a else 0.0 for a in asks]
 
     def queries(self) -> int:
@@ -116,16 +124,43 @@ class Accountant:
         return max(1, (n // 2 if self.vector else n) + self.sketch_rounds * k)  # a sketch asks for hessians alone
 
     def sigma(self) -> float:
-        return sigma_by(self.method, (self.epsilon - self.quantile_epsilon) / self.classes, self.delta, self.queries())
-
-    def noise(self, level: int) -> tuple[float, float]:
+        """The noise of a query of sensitivity 1 where all queries are alike."""
+        epsilon, n = (self.epsilon - self.quantile_epsilon) / self.classes, self.queries()
+        if self.sample == "disjoint":  # a row takes part in one chunk's trees only
+            n = max(1, n * self.subsample)
+        if self.sample == "poisson" and self.subsample < 1:
+            return subsampled_sigma(epsilon, self.delta, self.subsample, n)
+        return sigma_by(self.method, epsilon, self.delta, n)
+
+    def sigma_at(self, tree: int, level: int, kind: int) -> float:
+        """The noise of a tree's and level's gradients (kind 0) or hessians (1): shares of the budget of their own scale it; 0 where nothing is asked."""
+        share = self.levels()[level]
+        if not share:
+            return 0.0
+        trees, asked = self.tree_budgets or (1 / self.num_trees,) * self.num_trees, sum(b > 0 for b in self.levels())
+        parts = trees[tree] * self.num_trees * share * asked * (1 if self.vector else self.gradient_budgets[kind] * 2)
+        return self.sigma() / math.sqrt(parts)
+
+    def check(self) -> float:
+        """The epsilon that all queries together spend at ``delta``, by composing their curves; at most what was given."""
+        asked = [(self.sigma_at(t, d, k), 1) for t in range(self.num_trees) for d, b in enumerate(self.levels()) if b for k in ((0,) if self.vector else (0, 1))]
+        per = self.queries() * (self.subsample if self.sample == "disjoint" else 1) / len(asked)
+        if self.sample == "poisson" and self.subsample < 1:
+            orders = list(map(float, range(2, 128)))
+            curve = [sum(per * subsampled_rdp(s, self.subsample, int(a)) for s, _ in asked) for a in orders]
+            return epsilon_of(curve, self.delta, orders)
+        return epsilon_of([sum(per * a / (2 * s * s) for s, _ in asked) for a in ORDERS], self.delta)
+
+    def noise(self, level: int, tree: int = 0) -> tuple[float, float]:
         """Standard deviations of the noise on gradient and hessian sums of a level (from 0)."""
-        if not self.levels()[min(level, self.max_depth - 1)]:
+        level = min(level, self.max_depth - 1)
+        if not self.levels()[level]:
             return 0.0, 0.0
         g, h = self.sensitivities()
         both = math.hypot(g, h)
         self.spent += 1 if self.vector else 2
-        return (both * self.sigma(), both * self.sigma()) if self.vector else (g * self.sigma(), h * self.sigma())
+        sg, sh = self.sigma_at(tree, level, 0), self.sigma_at(tree, level, 1)
+        return (both * sg, both * sg) if self.vector else (g * sg, h * sh)
 
     def table(self, spark: SparkSession) -> DataFrame:
         """(tree, level, kind, share, sigma), one row for each component of the budget."""

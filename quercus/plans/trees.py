@@ -10,7 +10,6 @@ from __future__ import annotations
 import json
 import math
 import random
-import uuid
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
@@ -19,7 +18,8 @@ from pyspark.sql import functions as F
 
 from ..functions.gains import forest_value, gain, leaf_value
 from ..functions.losses import LOSSES, clipped, sigmoid, softmax
-from ..operators import binning, candidates, sampling
+from ..operators import binning, candidates, local_privacy, private_quantiles, sampling
+from ..operators.ordering import stored
 from .privacy import Accountant
 
 
@@ -62,6 +62,7 @@ class Params:
     row_sample_method: str | None = None
     colsample_bytree: float = 1.0
     colsample_bylevel: float = 1.0
+    colsample_bynode: float = 1.0
     sketch_type: str = "uniform"
     sketch_rounds: int | None = None
     hist_bin: int = 32
@@ -79,12 +80,17 @@ class Params:
     early_stopping: str | None = None
     es_threshold: float = -5.0
     es_window: int = 3
+    es_metric: str = "leaf_hess"
     dp_method: str = ""
     epsilon: float = 1.0
     delta: float | None = None
     accounting_method: str = "rdp_scaled_improved"
     vector_mechanism: bool = False
     sigma: float | None = None
+    quantile_epsilon: float = 0.0
+    tree_budgets: Sequence[float] = ()
+    level_budgets: Sequence[float] = ()
+    gradient_budgets: Sequence[float] = (0.5, 0.5)
     seed: int = 0
     checkpoint_every: int = 8
 
@@ -106,17 +112,6 @@ PRESETS = {
 }
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder that ``spark.checkpoint.dir`` names, and read back: short lineage, safe from lost executors."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:  # one machine, as in tests
-        return df.persist()
-    path = f"{folder}/quercus-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def routed(tree: Tree, features: Sequence[str], leaf) -> Column:
     """An expression that takes a row down a tree; values that are missing go right."""
 
@@ -215,9 +210,19 @@ def batch_size(p: Params) -> int:
     return max(1, math.ceil(b * p.num_trees) if b < 1 else int(b))
 
 
-def find_candidates(df: DataFrame, features: Sequence[str], p: Params, turn: int = 0) -> dict[str, list[float]]:
-    """Thresholds of every feature, by the sketch of the parameters."""
+#: Sketches that spend budget, and the share of it where ``quantile_epsilon`` isn't set.
+PRIVATE_SKETCHES, SKETCH_SHARE = ("dp_hist", "dp_quantiles", "ldp_hist", "ldp_quantiles"), 0.1
+
+
+def sketch_epsilon(p: Params) -> float:
+    """What of the budget the sketch spends, over all features; the trees get the rest."""
+    return (p.quantile_epsilon or SKETCH_SHARE * p.epsilon) if p.sketch_type in PRIVATE_SKETCHES else p.quantile_epsilon
+
+
+def find_candidates(df: DataFrame, features: Sequence[str], p: Params, turn: int = 0, key: str | None = None) -> dict[str, list[float]]:
+    """Thresholds of every feature, by the sketch of the parameters; local reports are drawn from ``key``."""
     q, kind = p.hist_bin, p.sketch_type
+    own = sketch_epsilon(p) / max(1, len(features))
     whole = {"uniform": candidates.uniform, "adaptive_hessian": candidates.uniform, "exact_quantiles": candidates.exact_quantiles, "sketch": candidates.sketch, "feverless": candidates.sketch}
     each = {"exact_icdf": candidates.exact_icdf, "log": candidates.log, "log_uniform": candidates.log_uniform, "skew_test_log_uniform": candidates.skew_test, "hist": candidates.histogram_quantiles}
     if kind in whole:
@@ -225,7 +230,15 @@ def find_candidates(df: DataFrame, features: Sequence[str], p: Params, turn: int
     elif kind in each:
         out = {f: each[kind](df, f, q) for f in features}
     elif kind == "dp_hist":
-        out = {f: candidates.histogram_quantiles(df, f, q, epsilon=p.epsilon, seed=p.seed + i) for i, f in enumerate(features)}
+        out = {f: candidates.histogram_quantiles(df, f, q, epsilon=own, seed=p.seed + i) for i, f in enumerate(features)}
+    elif kind == "dp_quantiles":
+        bounds = candidates.ranges(df, features)
+        out = {f: private_quantiles.joint_exp(df.where(~F.isnan(f)), f, [i / q for i in range(q)], *bounds[f], own, seed=p.seed + i) for i, f in enumerate(features)}
+    elif kind in ("ldp_hist", "ldp_quantiles"):
+        draws = df if key else df.withColumn("_row", F.monotonically_increasing_id())
+        find = local_privacy.hashed_quantiles if kind == "ldp_hist" else local_privacy.wave_quantiles
+        bounds = candidates.ranges(df, features)
+        out = {f: find(draws, f, key or "_row", q, *bounds[f], own, p.seed + 10 * i) for i, f in enumerate(features)}
     elif kind in ("random_guess", "random_uniform"):
         out = candidates.random_points(df, features, q, p.seed + turn)
     else:
@@ -233,12 +246,20 @@ def find_candidates(df: DataFrame, features: Sequence[str], p: Params, turn: int
     return {f: candidates.categorical(df, f) if f in p.categorical else out[f] for f in features}
 
 
+METHODS = ("hist_based", "node_based", "partially_random", "totally_random")
+
+
 class Grower:
-    """Grows one tree over rows that have the features, ``g`` and ``h``."""
+    """Grows one tree over rows that have the features, their bins, ``g`` and ``h``."""
+
+    def __init__(self, rows: DataFrame, features: Sequence[str], cands: dict[str, list[float]], p: Params, account: Accountant | None, tree_id: int, use: list[int], class_id: int = 0, n: int = 0):
+        self.rows, self.features, self.cands, self.p, self.account, self.id, self.use, self.n = rows, list(features), cands, p, account, tree_id, use, n
+        # every class's trees draw noise of their own
+        self.draws = f"{p.seed}/{class_id}/{tree_id}"
+        self.rng = random.Random(self.draws)
 
-    def __init__(self, rows: DataFrame, features: Sequence[str], cands: dict[str, list[float]], p: Params, account: Accountant | None, tree_id: int, use: list[int]):
-        self.rows, self.features, self.cands, self.p, self.account, self.id, self.use = rows, list(features), cands, p, account, tree_id, use
-        self.rng = random.Random(f"{p.seed}/{tree_id}")
+    def _seed(self, what: object) -> int:
+        return random.Random(f"{self.draws}/{what}").getrandbits(31)
 
     def _noise(self, level: int) -> tuple[float, float]:
         if self.p.dp_method != "gaussian_cdp":
@@ -246,7 +267,7 @@ class Grower:
         if self.p.sigma is not None:
             g, h = self.account.sensitivities()
             return g * self.p.sigma, h * self.p.sigma
-        return self.account.noise(level)
+        return self.account.noise(level, self.id)
 
     def value(self, g: float, h: float) -> float:
         p = self.p
@@ -254,6 +275,9 @@ class Grower:
             return 0.5 if h <= 0 else 0.0 if g <= 0 else min(g / h, 1.0)
         if h <= 0:
             return 0.0
+        if self.n and self.account:  # noise doesn't take sums beyond what so many rows can have
+            bound_g, bound_h = self.account.sensitivities()
+            g, h = max(-bound_g * self.n, min(bound_g * self.n, g)), min(bound_h * self.n, h)
         c = math.copysign(max(0.0, abs(g) - p.reg_alpha), g)
         w = -c / (h + p.reg_lambda)
         return p.reg_eta * (max(-p.reg_delta, min(p.reg_delta, w)) if p.reg_delta else w)
@@ -297,7 +321,7 @@ class Grower:
 
     def level(self, tree: Tree, open_: list[Node], bounds: dict[int, dict[int, tuple[int, int]]], depth: int) -> dict[int, tuple]:
         """The best split of every open node of a level."""
-        p, spark = self.p, self.rows.sparkSession
+        p, spark, method = self.p, self.rows.sparkSession, self._method(depth)
         use = self.use
         if p.colsample_bylevel < 1:
             use = sorted(self.rng.sample(use, math.ceil(p.colsample_bylevel * len(use))))
@@ -305,30 +329,31 @@ class Grower:
         nums = [n.num for n in open_]
         node = routed(tree, self.features, lambda n: F.lit(n.num) if n.depth == depth and n.num in nums else F.lit(None).cast("int"))
         rows = self.rows.withColumn("_node", node).where("_node is not null")
-        hist = binning.histogram(rows, cands, F.col("g"), F.col("h"), F.col("_node"))
+        bins = [F.col(f"_bin{j}") for j in use] if "_bin0" in rows.columns else None
+        hist = binning.histogram(rows, cands, F.col("g"), F.col("h"), F.col("_node"), bins)
         sizes = [len(c) for c in cands.values()]
         sg, sh = self._noise(depth)
-        if sg or sh:
+        single = method in ("node_based", "partially_random")  # candidates are asked one by one: noise is on left sums
+        if (sg or sh) and not single:
             nodes = spark.createDataFrame([(n,) for n in nums], "node int")
-            hist = binning.noisy(binning.dense(hist, sizes, nodes), sg, sh, hash((p.seed, self.id, depth)) & 0x7FFFFFFF)
+            hist = binning.noisy(binning.dense(hist, sizes, nodes), sg, sh, self._seed(depth))
         limits = None
-        if not p.ignore_split_constraints:
-            limits = spark.createDataFrame([(n, k, bounds[n][j][0], bounds[n][j][1]) for n in nums for k, j in enumerate(use)], "node int, feature int, lo int, hi int")
-        scored = binning.scores(hist, sizes, limits, p.hist_estimator_method == "one-sided", p.reg_lambda, p.reg_alpha, p.reg_delta)
-        if self._method(depth) == "partially_random":  # one candidate of each feature of each node
-            scored = scored.withColumn("_u", F.xxhash64("node", "feature", "cand", F.lit(p.seed + self.id))).withColumn("_m", F.min("_u").over(binning.Window.partitionBy("node", "feature"))).where("_u = _m")
+        if not p.ignore_split_constraints or p.colsample_bynode < 1:
+            some = {n: set(self.rng.sample(range(len(use)), math.ceil(p.colsample_bynode * len(use)))) for n in nums} if p.colsample_bynode < 1 else {}
+            free = lambda n, j: (0, len(self.cands[self.features[j]]) + 1) if p.ignore_split_constraints else bounds[n][j]
+            limits = spark.createDataFrame([(n, k, *free(n, j)) for n in nums for k, j in enumerate(use) if n not in some or k in some[n]], "node int, feature int, lo int, hi int")
+        totals = None
+        if all(math.isfinite(n.g) and math.isfinite(n.h) for n in open_):
+            totals = spark.createDataFrame([(n.num, float(n.g), float(n.h)) for n in open_], "node int, gn double, hn double")
+        estimator = "one-sided" if single else p.hist_estimator_method
+        scored = binning.scores(hist, sizes, limits, estimator, p.reg_lambda, p.reg_alpha, p.reg_delta, totals, (sg, sh, self._seed(depth)) if single and (sg or sh) else None)
+        if method == "partially_random":  # one candidate of each feature of each node
+            scored = scored.withColumn("_u", F.xxhash64("node", "feature", "cand", F.lit(self._seed("pick")))).withColumn("_m", F.min("_u").over(binning.Window.partitionBy("node", "feature"))).where("_u = _m")
         return {r["node"]: (use[r["feature"]], r) for r in binning.best(scored).collect()}
 
     def fill(self, tree: Tree) -> None:
         """Sums and values of the leaves of a tree whose structure is known: one aggregate."""
-        sums = self.rows.groupBy(routed(tree, self.features, lambda n: F.lit(n.name)).alias("leaf")).agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
-        got = {r["leaf"]: (r["g"], r["h"]) for r in sums}
-        sg, sh = self._noise(self.p.max_depth - 1)
-        for n in tree.values():
-            if n.feature is None and (n.h == math.inf or self._method(0) == "totally_random" and not self._mixed()):
-                g, h = got.get(n.name, (0.0, 0.0))
-                n.g, n.h = g + self.rng.gauss(0, sg) if sg else g, h + self.rng.gauss(0, sh) if sh else h
-                n.value = self.value(n.g, n.h)
+        fill_all(self.rows, [(self, tree)])
 
     def grow(self) -> Tree:
         p = self.p
@@ -336,14 +361,18 @@ class Grower:
             tree = self.random_structure()
             self.fill(tree)
             return tree
-        total = (math.inf, math.inf) if self._method(0) == "totally_random" else self.rows.agg(F.sum("g"), F.sum("h")).first()
-        sg, sh = self._noise(0)
-        root = Node(0, 1, (total[0] or 0.0) + (self.rng.gauss(0, sg) if sg else 0.0), (total[1] or 0.0) + (self.rng.gauss(0, sh) if sh else 0.0))
+        # the root's sums: unknown above a random level, the mean over features of the first histogram, or a query of their own
+        root = Node(0, 1, math.inf, math.inf)
+        if self._method(0) in ("node_based", "partially_random"):
+            (g, h), (sg, sh) = self.rows.agg(F.sum("g"), F.sum("h")).first(), self._noise(0)
+            root.g, root.h = (g or 0.0) + (self.rng.gauss(0, sg) if sg else 0.0), (h or 0.0) + (self.rng.gauss(0, sh) if sh else 0.0)
         tree: Tree = {(0, 1): root}
         open_, bounds = [root], {1: {j: (0, len(self.cands[self.features[j]]) + 1) for j in self.use}}
         for depth in range(p.max_depth):
             open_ = [n for n in open_ if n.h >= p.min_child_weight]
             found = {} if not open_ else self.random_splits(open_, bounds) if self._method(depth) == "totally_random" else self.level(tree, open_, bounds, depth)
+            if depth == 0 and self._method(0) == "hist_based" and 1 in found:
+                root.g, root.h = found[1][1]["gn"], found[1][1]["hn"]
             after, limits = [], {}
             for n in open_:
                 if n.num not in found or found[n.num][1]["score"] <= p.reg_gamma:
@@ -363,14 +392,105 @@ class Grower:
                 n.value = self.value(n.g, n.h)
         return tree
 
+    def sum_rows(self, tree: Tree) -> None:
+        """Leaf values that are sums of each row's own update, or the sign of that sum."""
+        p = self.p
+        own = -F.col("g") / (F.col("h") + p.reg_lambda) if "newton" in p.weight_update_method else -F.col("g")
+        got = dict(self.rows.groupBy(routed(tree, self.features, lambda n: F.lit(n.name)).alias("leaf")).agg(F.sum(own)).collect())  # a row a leaf
+        for n in tree.values():
+            if n.feature is None:
+                w = got.get(n.name, 0.0)
+                w = math.copysign(p.reg_delta, w) if "signed" in p.weight_update_method and w else w
+                n.value = p.reg_eta * max(-p.reg_delta, min(p.reg_delta, w))
+
+
+#: Trees of known structure whose leaves one aggregate fills.
+TREES_PER_JOB = 16
+
+
+def fill_all(rows: DataFrame, grown: list[tuple[Grower, Tree]]) -> None:
+    """Sums and values of the leaves of trees whose structures are known, many trees in one pass over the rows."""
+    for k in range(0, len(grown), TREES_PER_JOB):
+        some = grown[k : k + TREES_PER_JOB]
+        leaves = F.explode(F.array(*[F.struct(F.lit(i).alias("tree"), routed(t, w.features, lambda n: F.lit(n.name)).alias("leaf")) for i, (w, t) in enumerate(some)])).alias("l")
+        sums = rows.select("g", "h", leaves).groupBy("l.tree", "l.leaf").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()  # a row a leaf
+        got = {(r["tree"], r["leaf"]): (r["g"], r["h"]) for r in sums}
+        for i, (w, t) in enumerate(some):
+            sg, sh = w._noise(w.p.max_depth - 1)
+            for n in t.values():
+                if n.feature is None and (n.h == math.inf or w._method(0) == "totally_random" and not w._mixed()):
+                    g, h = got.get((i, n.name), (0.0, 0.0))
+                    n.g, n.h = g + w.rng.gauss(0, sg) if sg else g, h + w.rng.gauss(0, sh) if sh else h
+                    n.value = w.value(n.g, n.h)
+
+
+def _binned(rows: DataFrame, features: Sequence[str], cands: dict[str, list[float]]) -> DataFrame:
+    """``rows`` with a column for the bin of each feature."""
+    kind = "short" if all(len(cands[f]) < 1 << 15 for f in features) else "int"
+    return rows.withColumns({f"_bin{j}": binning.bin_of(F.col(f), cands[f]).cast(kind) for j, f in enumerate(features)})
+
 
-def _stops(history: list[float], p: Params) -> bool:
-    """Whether the mean root hessian has fallen by more than the threshold from one window to the next."""
+def ledger(df: DataFrame, model: Model, key: str, account: Accountant) -> DataFrame:
+    """How many queries each row took part in: key and queries.
+
+    A histogram asks two for every feature considered, at every node that a row passes; the leaves of
+    trees of random structure two; with the vector mechanism both are one.
+    """
+    k, unit = account.features_per_tree or len(model.features), 1 if account.vector else 2
+    random_ = account.split_method == "totally_random"
+
+    def asked(n: Node) -> Column:
+        return F.lit(unit if random_ else unit * k * (n.depth + (n.depth < account.max_depth)))
+
+    each = [routed(t, model.features, asked) for trees in model.trees.values() for t in trees]
+    return df.select(key, sum(each[1:], each[0]).cast("long").alias("q")).groupBy(key).agg(F.sum("q").alias("queries"))
+
+
+def _stops(history: list[dict[str, float]], p: Params) -> bool:
+    """Whether the mean of the watched sums has changed by less than the threshold from one window to the next."""
     w = p.es_window
     if not p.early_stopping or len(history) < 2 * w:
         return False
-    last = sum(history[-w:]) / w
-    return last != 0 and (sum(history[-2 * w : -w]) / w / last - 1) * 100 < p.es_threshold
+    values = [x[p.es_metric] for x in history]
+    last, before = sum(values[-w:]) / w, sum(values[-2 * w : -w]) / w
+    if "grad" in p.es_metric:
+        last, before = abs(last), abs(before)
+    return last != 0 and (before / last - 1) * 100 < p.es_threshold
+
+
+def _checked(p: Params) -> Params:
+    """Refuses settings that aren't known."""
+    if p.split_method not in (*METHODS, "hybrid_random"):
+        raise ValueError(f"unknown split method {p.split_method}")
+    if p.split_method == "hybrid_random" and p.split_method_per_level and (len(p.split_method_per_level) != p.max_depth or set(p.split_method_per_level) - {"hist_based", "partially_random", "totally_random"}):
+        raise ValueError("split_method_per_level: one of hist_based, partially_random, totally_random for each level")
+    if p.hist_estimator_method not in binning.ESTIMATORS:
+        raise ValueError(f"unknown estimator {p.hist_estimator_method}")
+    if p.early_stopping not in (None, "standard", "rollback", "retry") or p.es_metric not in ("leaf_hess", "leaf_grad", "root_hess", "root_grad"):
+        raise ValueError(f"early stopping {p.early_stopping} by {p.es_metric} isn't built")
+    if p.row_sample_method not in (None, "wor", "poisson", "disjoint"):
+        raise ValueError(f"unknown row sample {p.row_sample_method}")
+    if _by_rows(p) and p.dp_method:
+        raise ValueError("signed and per_sample updates are sums without noise")
+    return p
+
+
+def _by_rows(p: Params) -> bool:
+    return "signed" in p.weight_update_method or "per_sample" in p.weight_update_method
+
+
+def _newton(p: Params) -> bool:
+    """Whether hessians are the loss's own."""
+    return p.weight_update_method == "xgboost" or "newton" in p.weight_update_method or p.training_method == "rf"
+
+
+def _columns(p: Params, n: int, turn: int) -> list[int]:
+    """The features that a tree may use."""
+    if p.feature_interaction_method == "cyclical":
+        return sampling.cyclical(n, p.feature_interaction_k or 1, turn)
+    if p.feature_interaction_method == "random":
+        return sampling.random_k(n, p.feature_interaction_k or 1, p.seed + turn)
+    return sampling.columns(n, p.colsample_bytree, p.seed + turn) if p.colsample_bytree < 1 else list(range(n))
 
 
 def fit(df: DataFrame, features: Sequence[str], label: str, key: str | None = None, params: Params | None = None) -> Model:
@@ -380,28 +500,31 @@ def fit(df: DataFrame, features: Sequence[str], label: str, key: str | None = No
     margin 0.  Rows without a label are left out; missing feature values are in no
     bin and go right.
     """
-    p = params or Params()
+    p = _checked(params or Params())
     keep = [F.col(f).cast("double").alias(f) for f in features] + [F.col(label).cast("double").alias("y")] + ([F.col(key).alias("_key")] if key else [])
     base = df.select(*keep).where("y is not null").persist()
     n = base.count()
     classes = 1 if p.task == "regression" else int((base.agg(F.max("y")).first()[0] or 0) + 1)
     classes = 1 if classes <= 2 else classes
-    if p.split_method == "hybrid_random" and p.split_method_per_level and (len(p.split_method_per_level) != p.max_depth or set(p.split_method_per_level) - {"hist_based", "partially_random", "totally_random"}):
-        raise ValueError("split_method_per_level: one of hist_based, partially_random, totally_random for each level")
     loss = LOSSES["forest" if p.training_method == "rf" else "least_squares" if p.task == "regression" else "cross_entropy"]
     ebm = p.full_ebm and p.feature_interaction_method == "cyclical"
     total = p.num_trees * (len(features) if ebm else 1)
     rounds = min(p.sketch_rounds or total, total) if p.sketch_type == "adaptive_hessian" else 0
-    account = Accountant(p.epsilon, p.delta or 1 / max(n, 2), total, p.max_depth, p.split_method, p.accounting_method, classes=classes, features_per_tree=p.feature_interaction_k or len(features), vector=p.vector_mechanism, sketch_rounds=rounds, per_level=tuple(p.split_method_per_level or ()), task=p.task, update=p.weight_update_method, forest=p.training_method == "rf")
-    cands = find_candidates(base, features, p)
+    account = Accountant(p.epsilon, p.delta or 1 / max(n, 2), total, p.max_depth, p.split_method, p.accounting_method, sketch_epsilon(p) if p.dp_method else 0.0, classes=classes, features_per_tree=p.feature_interaction_k or len(features), vector=p.vector_mechanism, sketch_rounds=rounds, per_level=tuple(p.split_method_per_level or ()), task=p.task, update="xgboost" if _newton(p) else "gbm", forest=p.training_method == "rf", sample=p.row_sample_method, subsample=p.subsample, tree_budgets=tuple(p.tree_budgets), level_budgets=tuple(p.level_budgets), gradient_budgets=tuple(p.gradient_budgets))
+    cands = find_candidates(base, features, p, key="_key" if key else None)
     model = Model(list(features), p, {}, cands)
     batch = total if p.training_method == "rf" else batch_size(p) if p.training_method == "batched_boosting" else 1
+    names = base.columns
+    random_only = p.split_method == "totally_random" or p.split_method == "hybrid_random" and set(p.split_method_per_level or ["totally_random"]) == {"totally_random"}
+    # bins are found once for each set of thresholds
+    binned = base if random_only else stored(_binned(base, features, cands))
     for c in range(classes):
         trees = model.trees[c] = []
-        rows = base.withColumn("y", (F.col("y") == c).cast("double")) if classes > 1 else base
-        rows = rows.withColumn("margin", F.lit(0.0))
+        one = lambda df: (df.withColumn("y", (F.col("y") == c).cast("double")) if classes > 1 else df)  # noqa: E731, B023
+        rows = one(binned).withColumn("margin", F.lit(0.0))
         since: list[Tree] = []
-        history: list[float] = []
+        history: list[dict[str, float]] = []
+        ready: dict[int, Tree] = {}
         for t in range(total):
             if t % batch == 0:
                 if since and p.training_method != "rf":
@@ -412,22 +535,18 @@ def fit(df: DataFrame, features: Sequence[str], label: str, key: str | None = No
                 since = []
                 g, h = loss(F.col("y"), F.col("margin"))
                 g = clipped(g, 20.0) if p.task == "regression" else g
-                h = h if p.weight_update_method == "xgboost" or p.training_method == "rf" else F.lit(1.0)
+                h = h if _newton(p) else F.lit(1.0)
                 graded = rows.withColumns({"g": g, "h": h})
                 if p.dp_method == "gaussian_ldp":  # every row is perturbed once, on its own
                     sg, sh = account.sensitivities()
                     s = p.sigma if p.sigma is not None else account.sigma()
-                    noise = lambda k: F.sqrt(-2 * F.log(F.rand(p.seed + k + 7 * t))) * F.cos(2 * F.pi() * F.rand(p.seed + k + 1 + 7 * t))  # noqa: E731, B023
+                    u = lambda k: F.rand(random.Random(f"{p.seed}/{c}/{t}/{k}").getrandbits(31))  # noqa: E731, B023
+                    noise = lambda k: F.sqrt(-2 * F.log(1 - u(k))) * F.cos(2 * F.pi() * u(k + 1))  # noqa: E731, B023
                     graded = stored(graded.withColumns({"g": F.col("g") + s * sg * noise(0), "h": F.col("h") + s * sh * noise(2)}))
             if p.sketch_type == "random_uniform" and t:
                 model.cands = cands = find_candidates(base, features, p, t)
-            use = list(range(len(features)))
-            if p.colsample_bytree < 1:
-                use = sampling.columns(len(features), p.colsample_bytree, p.seed + t)
-            if p.feature_interaction_method == "cyclical":
-                use = sampling.cyclical(len(features), p.feature_interaction_k or 1, t)
-            elif p.feature_interaction_method == "random":
-                use = sampling.random_k(len(features), p.feature_interaction_k or 1, p.seed + t)
+                if not random_only:
+                    graded = _binned(graded, features, cands)
             some = graded
             if p.row_sample_method and p.subsample < 1:
                 if not key:
@@ -436,11 +555,21 @@ def fit(df: DataFrame, features: Sequence[str], label: str, key: str | None = No
                     some = sampling.without_replacement(graded, "_key", p.subsample, p.seed + t)
                 elif p.row_sample_method == "poisson":
                     some = sampling.poisson(graded, "_key", p.subsample, p.seed + t)
-                elif p.row_sample_method == "disjoint":
-                    some = sampling.disjoint(graded, "_key", p.subsample, t)
                 else:
-                    raise NotImplementedError(p.row_sample_method)
-            tree = Grower(some, features, cands, p, account, t, use).grow()
+                    some = sampling.disjoint(graded, "_key", p.subsample, t)
+            use = _columns(p, len(features), t)
+            if random_only and batch > 1 and some is graded and p.sketch_type not in ("random_uniform", "adaptive_hessian"):
+                if t not in ready:  # the trees of a batch don't depend on each other: their leaves are filled together
+                    many = [Grower(graded, features, cands, p, account, k, _columns(p, len(features), k), c, n) for k in range(t, min(total, t + batch))]
+                    built = [(w, w.random_structure()) for w in many]
+                    fill_all(graded, built)
+                    ready = {w.id: tree for w, tree in built}
+                tree = ready.pop(t)
+            else:
+                grower = Grower(some, features, cands, p, account, t, use, c, n)
+                tree = grower.grow()
+                if _by_rows(p):
+                    grower.sum_rows(tree)
             trees.append(tree)
             since.append(tree)
             if p.sketch_type == "adaptive_hessian" and t + 1 < (p.sketch_rounds or total):
@@ -448,15 +577,23 @@ def fit(df: DataFrame, features: Sequence[str], label: str, key: str | None = No
                 hist = binning.histogram(some, used, F.col("g"), F.col("h"))
                 if p.dp_method == "gaussian_cdp":  # the refined thresholds are public: all cells get noise, which the accountant has counted
                     deviation = account.sensitivities()[1] * (p.sigma if p.sigma is not None else account.sigma())
-                    hist = binning.noisy(binning.dense(hist, [len(x) for x in used.values()], base.sparkSession.createDataFrame([(1,)], "node int")), 0.0, deviation, hash((p.seed, c, t, -1)) & 0x7FFFFFFF)
+                    hist = binning.noisy(binning.dense(hist, [len(x) for x in used.values()], base.sparkSession.createDataFrame([(1,)], "node int")), 0.0, deviation, random.Random(f"{p.seed}/{c}/{t}/sketch").getrandbits(31))
                 per = [[0.0] * (len(x) + 1) for x in used.values()]
                 for r in hist.select("feature", "bin", "h").collect():
                     per[r["feature"]][r["bin"]] = r["h"]
                 mean = sum(map(sum, per)) / len(per)
                 cands = cands | {f: candidates.hessian_refined(x, per[j], mean, p.hist_bin) or x for j, (f, x) in enumerate(used.items())}
                 model.cands = cands
-            history.append(sum(x.h for x in tree.values() if x.feature is None))
+                if not random_only:
+                    rows = stored(_binned(rows.select(*names, "margin"), features, cands))
+            leaves = [x for x in tree.values() if x.feature is None]
+            history.append({"leaf_grad": sum(x.g for x in leaves), "leaf_hess": sum(x.h for x in leaves), "root_grad": tree[0, 1].g, "root_hess": tree[0, 1].h})
             if _stops(history, p):
+                if p.early_stopping == "retry":  # the last trees go, and the next ones are grown from what is left
+                    drop = 2 if "root" in p.es_metric else 1
+                    del trees[-drop:], history[-drop:]
+                    rows, since = one(binned).withColumn("margin", model.margin(c)), []
+                    continue
                 if p.early_stopping == "rollback":
                     trees.pop()
                 break

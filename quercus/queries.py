@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.gains import forest_value, gain, leaf_value
-from .functions.losses import log_loss, sigmoid, softmax
+from .functions.losses import log_loss, sigmoid, softmax, softmax_cross_entropy
 from .operators import binning, candidates, local_privacy, metrics, private_quantiles, sampling
 from .plans import analytics, privacy, trees
 
@@ -66,6 +66,61 @@ def _sql_scores(**kw) -> str:
     return f"s0 AS (SELECT feature, bin AS cand, sum(g) OVER (PARTITION BY feature ORDER BY bin) AS gl, sum(h) OVER (PARTITION BY feature ORDER BY bin) AS hl, sum(g) OVER (PARTITION BY feature) AS gt, sum(h) OVER (PARTITION BY feature) AS ht FROM h), s1 AS (SELECT *, gt - gl AS gr, ht - hl AS hr FROM s0 WHERE cand < {Q}), s AS (SELECT feature, cand, gl, hl, gr, hr, {parts} AS score FROM s1)"
 
 
+def _sql_tree(p: str, src: str, depth: int, n: int = 4, estimator: str | None = None) -> list[str]:
+    """Growth of one tree, level by level, over ``src`` (rid, f0.., g, h): the CTEs, of which {p}n holds the nodes and {p}v the rows' values."""
+    fs = ", ".join(f"f{j}" for j in range(n))
+    by = "PARTITION BY num, feature"
+    out = [f"{p}w0 AS MATERIALIZED (SELECT rid, 1 AS num, {fs}, g, h FROM {src})", f"{p}l0 AS (SELECT 1 AS num, feature, 0 AS lo, {Q + 1} AS hi FROM ks)"]
+    for d in range(depth):
+        each = " UNION ALL ".join(f"SELECT num, {j} AS feature, f{j} AS x, g, h FROM {p}w{d}" for j in range(n))
+        out.append(f"{p}b{d} AS MATERIALIZED (SELECT num, feature, len(list_filter(vs, lambda v: v + 1e-11 <= x)) AS bin, sum(g)::DOUBLE AS g, sum(h)::DOUBLE AS h FROM ({each}) JOIN ks USING (feature) GROUP BY ALL)")
+        mean = f"SELECT num, sum(g) / {n} AS gn, sum(h) / {n} AS hn FROM {p}b{d} GROUP BY num"
+        if d == 0:
+            out.append(f"{p}t0 AS MATERIALIZED ({mean})")
+        used = f"({mean})" if estimator == "two_sided_averaging" else f"{p}t{d}"
+        out.append(f"{p}c{d} AS MATERIALIZED (SELECT num, feature, bin AS cand, sum(g) OVER ({by} ORDER BY bin) AS gl, sum(h) OVER ({by} ORDER BY bin) AS hl, sum(g) OVER ({by}) AS gt, sum(h) OVER ({by}) AS ht, sum(CASE WHEN bin < hi THEN g ELSE 0 END) OVER ({by}) AS gm, sum(CASE WHEN bin < hi THEN h ELSE 0 END) OVER ({by}) AS hm FROM {p}b{d} JOIN {p}l{d} USING (num, feature) WHERE bin BETWEEN lo AND hi)")
+        whole, node = ("gn", "hn") if estimator == "one-sided" else ("gt", "ht"), ("gm", "hm") if estimator == "two_sided" else ("gn", "hn")
+        out.append(f"{p}s{d} AS (SELECT *, {whole[0]} - gl AS gr, {whole[1]} - hl AS hr FROM {p}c{d} JOIN {used} AS z USING (num) WHERE cand < {Q})")
+        score = f"0.5 * ({_sql_gain('gl', 'hl')} + {_sql_gain('gr', 'hr')} - {_sql_gain(*node)})"
+        out.append(f"{p}m{d} AS MATERIALIZED (SELECT * FROM (SELECT num, feature, cand, v AS threshold, gl, hl, gr, hr, score FROM (SELECT *, {score} AS score FROM {p}s{d}) JOIN k USING (feature, cand) QUALIFY row_number() OVER (PARTITION BY num ORDER BY score DESC, feature, cand) = 1) WHERE score > 1e-7)")
+        case = "CASE m.feature " + " ".join(f"WHEN {j} THEN f{j}" for j in range(n)) + " END"
+        out.append(f"{p}w{d + 1} AS MATERIALIZED (SELECT rid, CASE WHEN {case} <= threshold THEN 2 * w.num - 1 ELSE 2 * w.num END AS num, {fs}, g, h FROM {p}w{d} w JOIN {p}m{d} m ON w.num = m.num)")
+        out.append(f"{p}l{d + 1} AS MATERIALIZED (SELECT 2 * m.num - 1 AS num, l.feature, lo, CASE WHEN l.feature = m.feature THEN m.cand ELSE hi END AS hi FROM {p}m{d} m JOIN {p}l{d} l ON l.num = m.num UNION ALL SELECT 2 * m.num, l.feature, CASE WHEN l.feature = m.feature THEN m.cand + 1 ELSE lo END, hi FROM {p}m{d} m JOIN {p}l{d} l ON l.num = m.num)")
+        out.append(f"{p}t{d + 1} AS MATERIALIZED (SELECT 2 * num - 1 AS num, gl AS gn, hl AS hn FROM {p}m{d} UNION ALL SELECT 2 * num, gr, hr FROM {p}m{d})")
+    inner = [f"SELECT {d} AS depth, num, feature, threshold, NULL::DOUBLE AS value, score AS gain, gn AS g, hn AS h FROM {p}m{d} JOIN {p}t{d} USING (num)" for d in range(depth)]
+    value = "CASE WHEN hn <= 0 THEN 0.0 ELSE 0.3 * greatest(-2.0::DOUBLE, least(2.0::DOUBLE, -gn / (hn + 1))) END"
+    leaf = [f"SELECT {d} AS depth, num, NULL AS feature, NULL::DOUBLE AS threshold, {value} AS value, 0.0::DOUBLE AS gain, gn AS g, hn AS h FROM {p}t{d}" + (f" WHERE num NOT IN (SELECT num FROM {p}m{d})" if d < depth else "") for d in range(depth + 1)]
+    out.append(f"{p}n AS MATERIALIZED ({' UNION ALL '.join(inner + leaf)})")
+    out.append(f"{p}v AS MATERIALIZED ({' UNION ALL '.join(f'SELECT rid, value FROM {p}w{d} JOIN {p}n USING (num) WHERE depth = {d} AND value IS NOT NULL' for d in range(depth + 1))})")
+    return out
+
+
+def _sql_boosted(ys: list[str], depth: int, rounds: int = 1, base: str = "", n: int = 4, estimator: str | None = None) -> list[str]:
+    """CTEs of boosted trees for each label expression (class): nodes are in nodes, the margins after tree t of class c in x{c}_{t + 1}."""
+    out, tables = [f"r AS MATERIALIZED (SELECT row_number() OVER () AS rid, * FROM t)"], []
+    for c, y in enumerate(ys):
+        out.append(f"x{c}_0 AS (SELECT rid, 0.0::DOUBLE AS m FROM r)")
+        for t in range(rounds):
+            grad = base or f"1 / (1 + exp(-m)) - {y} AS g, 1 / (1 + exp(-m)) * (1 - 1 / (1 + exp(-m))) AS h"
+            out.append(f"g{c}_{t} AS MATERIALIZED (SELECT r.*, {grad} FROM r JOIN x{c}_{t} USING (rid))")
+            out += _sql_tree(f"q{c}_{t}_", f"g{c}_{t}", depth, n, estimator)
+            out.append(f"x{c}_{t + 1} AS MATERIALIZED (SELECT rid, m + value AS m FROM x{c}_{t} JOIN q{c}_{t}_v USING (rid))")
+            tables.append(f"SELECT {c} AS class_id, {t} AS tree_id, * FROM q{c}_{t}_n")
+    return [*out, f"nodes AS ({' UNION ALL '.join(tables)})"]
+
+
+_NODES = "SELECT class_id::INT AS class_id, tree_id::INT AS tree_id, depth || '_' || num AS node_id, depth::INT AS depth, num::INT AS num, feature::INT AS feature, round(threshold, 6) AS threshold, round(value, 8) AS value, round(gain, 5) AS gain, round(g, 6) AS g, round(h, 6) AS h FROM nodes"
+
+
+def _sql_trees(depth: int, rounds: int = 1, estimator: str | None = None) -> str:
+    return f"WITH {_T}, {_U}, {_C}, " + ", ".join(_sql_boosted(["y"], depth, rounds, estimator=estimator))
+
+
+def _nodes(spark: SparkSession, model) -> DataFrame:
+    """A model's nodes, rounded."""
+    return model.table(spark).withColumns({c: F.round(c, k) for c, k in (("threshold", 6), ("value", 8), ("gain", 5), ("g", 6), ("h", 6))})
+
+
 _BASE = f"WITH {_T}, {_U}, {_C}, {_B}, {_H}"
 
 
@@ -149,10 +204,10 @@ def cand_uniform(spark, d):
     return spark.createDataFrame([(j, i, v) for j, f in enumerate(FEATURES) for i, v in enumerate(c[f])], "feature int, i int, v double")
 
 
-@query(f"WITH {_T}, {_U}, p AS (SELECT feature, i, quantile_cont(x, [{', '.join(f'{i / Q}' for i in range(Q))}]) AS qs FROM u, (SELECT 0 AS i) GROUP BY ALL) SELECT feature, j::INT AS i, round(qs[j + 1], 6) AS v FROM p, range({Q}) r(j)")
+@query(f"WITH {_T}, {_U}, p AS (SELECT feature, i, quantile_cont(x, [{', '.join(f'{i / Q}' for i in range(Q))}]) AS qs FROM u, (SELECT 0 AS i) GROUP BY ALL) SELECT feature, j::INT AS i, round(qs[j + 1], 9) AS v FROM p, range({Q}) r(j)")
 def cand_exact_quantiles(spark, d):
     c = candidates.exact_quantiles(_train(spark, d), FEATURES, Q)
-    return spark.createDataFrame([(j, i, v) for j, f in enumerate(FEATURES) for i, v in enumerate(c[f])], "feature int, i int, v double").withColumn("v", F.round("v", 6))
+    return spark.createDataFrame([(j, i, v) for j, f in enumerate(FEATURES) for i, v in enumerate(c[f])], "feature int, i int, v double").withColumn("v", F.round("v", 9))
 
 
 @query(f"WITH {_E}, n AS (SELECT x, sum(count(*)) OVER (ORDER BY x) / sum(count(*)) OVER () AS p FROM e GROUP BY x), w AS (SELECT x, p, lead(x) OVER (ORDER BY x) AS nx, lead(p) OVER (ORDER BY x) AS np, row_number() OVER (ORDER BY x) AS r FROM n), g AS (SELECT i::INT AS i, i / 32.0::DOUBLE AS r0 FROM range(32) z(i)), a AS (SELECT g.i, x + (r0 - p) * (nx - x) / (np - p) AS v FROM g JOIN w ON r0 >= p AND r0 < np), f AS (SELECT g.i, x + (r0 - p) * (nx - x) / (np - p) AS v FROM g, w WHERE w.r = 1 AND r0 < p) SELECT 'value' AS feature, i, round(v, 6) AS v FROM (SELECT * FROM a UNION ALL SELECT * FROM f)")
@@ -177,9 +232,12 @@ def cand_log_uniform(spark, d):
     return _cands(spark, {"value": candidates.log_uniform(_events(spark, d), "value", Q)})
 
 
-@query()
+_Z = "z0 AS (SELECT *, (SELECT count(*)::DOUBLE FROM e) AS n FROM m), z1 AS (SELECT *, sk * sqrt((n + 1) * (n + 3) / (6.0 * (n - 2))) AS y, -1 + sqrt(2 * (3.0 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2.0) * (n + 5) * (n + 7) * (n + 9)) - 1)) AS w2 FROM z0), z2 AS (SELECT *, y / sqrt(2.0 / (w2 - 1)) AS a FROM z1), z AS (SELECT abs(ln(a + sqrt(a * a + 1)) / sqrt(0.5 * ln(w2))) >= 1.959963984540054 AS skewed FROM z2)"
+
+
+@query(f"WITH {_E}, {_LOG}, {_Z}, l AS (SELECT v FROM ({_sql_log(32)}), z WHERE skewed UNION ALL SELECT lo + i * ((hi - lo) / 32) FROM m, range(32) r(i), z WHERE NOT skewed) SELECT 'value' AS feature, (row_number() OVER (ORDER BY v) - 1)::INT AS i, round(v, 6) AS v FROM l")
 def cand_skew_test(spark, d):
-    """Tested against the plain and the logarithmic points."""
+    """Logarithmic where the skew is significant."""
     return _cands(spark, {"value": candidates.skew_test(_events(spark, d), "value", Q)})
 
 
@@ -194,9 +252,9 @@ def cand_categorical(spark, d):
     return _cands(spark, {"p_size": candidates.categorical(_table(spark, d, "part"), "p_size")})
 
 
-@query()
+@query(f"WITH {_E}, m AS (SELECT min(x) AS lo, max(x) AS hi, (max(x) - min(x)) / 1024 AS w FROM e), c AS (SELECT least(floor((x - lo) / w), 1023) AS b, count(*) AS n FROM e, m GROUP BY 1), a AS (SELECT b, sum(n) OVER (ORDER BY b)::DOUBLE / sum(n) OVER () AS cum FROM c), t AS (SELECT k::INT AS i, (k + 1) / 32.0::DOUBLE AS target FROM range(32) z(k)), f AS (SELECT i, target, b, cum FROM t JOIN a ON cum >= target QUALIFY row_number() OVER (PARTITION BY i ORDER BY b) = 1) SELECT 'value' AS feature, i, round(CASE WHEN b = 1023 THEN lo + b * w ELSE lo + b * w + (lo + (b + 1) * w - (lo + b * w)) * (CASE WHEN cum > target THEN (cum - target) * 32 ELSE 0 END) END, 6) AS v FROM f, m")
 def cand_histogram_quantiles(spark, d):
-    """Without noise; tested against sorted values."""
+    """Without noise."""
     return _cands(spark, {"value": candidates.histogram_quantiles(_events(spark, d), "value", Q)})
 
 
@@ -205,6 +263,24 @@ def cand_dp_histogram(spark, d):
     return _cands(spark, {"value": candidates.histogram_quantiles(_events(spark, d), "value", Q, epsilon=1.0, seed=1)})
 
 
+@query()
+def cand_dp_quantiles(spark, d):
+    """All quantiles at once under central privacy; accuracy is tested."""
+    return _cands(spark, trees.find_candidates(_events(spark, d).select("event_id", F.col("value").cast("double").alias("value")), ["value"], trees.Params(sketch_type="dp_quantiles", quantile_epsilon=1.0), key="event_id"))
+
+
+@query()
+def cand_ldp_hist(spark, d):
+    """Local hashing reports of 1024 cells; accuracy is tested."""
+    return _cands(spark, trees.find_candidates(_events(spark, d), ["value"], trees.Params(sketch_type="ldp_hist", quantile_epsilon=4.0), key="event_id"))
+
+
+@query()
+def cand_ldp_quantiles(spark, d):
+    """Square-wave reports; accuracy is tested."""
+    return _cands(spark, trees.find_candidates(_events(spark, d), ["value"], trees.Params(sketch_type="ldp_quantiles", quantile_epsilon=4.0), key="event_id"))
+
+
 @query()
 def cand_random(spark, d):
     return _cands(spark, candidates.random_points(_train(spark, d), FEATURES, Q, seed=1))
@@ -253,6 +329,25 @@ def woe_iv(spark, d):
     return binning.woe_iv(_woe(spark, d)).select("feature", "bin", F.round("woe", 6).alias("woe"), F.round("iv", 8).alias("iv"))
 
 
+@query(f"{_COUNTS}, r AS (SELECT bin, round(ln((events / sum(events) OVER ()) / (others / sum(others) OVER ())), 6) AS woe FROM n), x AS (SELECT l_orderkey, l_linenumber, ({' + '.join(f'(CASE WHEN {p} < l_quantity THEN 1 ELSE 0 END)' for p in _POINTS[:-1])})::INT AS bin FROM lineitem) SELECT l_orderkey, l_linenumber, woe AS l_quantity FROM x JOIN r USING (bin)")
+def woe_convert(spark, d):
+    """Rows with their bin's weight of evidence in place of the value."""
+    woe = binning.woe_iv(_woe(spark, d)).select("feature", "bin", F.round("woe", 6).alias("woe"))
+    return binning.converted(_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), {"l_quantity": _POINTS}, woe)
+
+
+@query("SELECT 'n_chars' AS feature, ((CASE WHEN 500 < n_chars THEN 1 ELSE 0 END) + (CASE WHEN 1000 < n_chars THEN 1 ELSE 0 END) + (CASE WHEN 2000 < n_chars THEN 1 ELSE 0 END))::INT AS bin, sum(quality)::BIGINT AS events, sum(1 - quality)::BIGINT AS others FROM documents JOIN labels USING (doc_id) GROUP BY ALL")
+def joined_event_counts(spark, d):
+    """Labels of another table, joined by key."""
+    bins = binning.bisect_left(F.col("n_chars"), [500.0, 1000.0, 2000.0, 4000.0])
+    return binning.joined_counts(_table(spark, d, "documents").select("doc_id", "n_chars"), _table(spark, d, "labels"), "doc_id", "n_chars", bins, "quality")
+
+
+@query("SELECT event_id, CAST(value AS FLOAT) AS value FROM events")
+def to_float32(spark, d):
+    return _table(spark, d, "events").select("event_id", F.col("value").cast("float").alias("value"))
+
+
 # --- growth ----------------------------------------------------------------------------------------------------------
 @query(f"{_BASE} SELECT feature, bin::INT AS bin, g, h, n FROM h")
 def root_histogram(spark, d):
@@ -266,7 +361,7 @@ def _scored(spark, d, **kw):
 
 @query(f"{_BASE}, {_sql_scores()} SELECT feature, cand::INT AS cand, gl, hl, gr, hr, round(score, 6) AS score FROM s")
 def split_score_all(spark, d):
-    return _scored(spark, d).drop("node").withColumn("score", F.round("score", 6))
+    return _scored(spark, d).drop("node", "gn", "hn").withColumn("score", F.round("score", 6))
 
 
 _BEST = "SELECT feature, cand::INT AS cand, gl, hl, gr, hr, score FROM s ORDER BY score DESC, feature, cand LIMIT 1"
@@ -275,18 +370,18 @@ _BEST = "SELECT feature, cand::INT AS cand, gl, hl, gr, hr, score FROM s ORDER B
 @query(f"{_BASE}, {_sql_scores()} {_BEST}")
 def best_split_root(spark, d):
     """The flagship: candidates, bins, root histogram, scores, the best of them."""
-    return binning.best(_scored(spark, d)).drop("node")
+    return binning.best(_scored(spark, d)).drop("node", "gn", "hn")
 
 
 @query(f"{_BASE}, {_sql_scores(alpha=1, delta=0.5)} {_BEST}")
 def best_split_l1_delta(spark, d):
-    return binning.best(_scored(spark, d, alpha=1.0, delta=0.5)).drop("node")
+    return binning.best(_scored(spark, d, alpha=1.0, delta=0.5)).drop("node", "gn", "hn")
 
 
 @query(f"{_BASE}, {_sql_scores()} {_BEST}")
 def best_split_onesided(spark, d):
     """Without noise or gaps the mean of the totals is each feature's total."""
-    return binning.best(_scored(spark, d, one_sided=True)).drop("node")
+    return binning.best(_scored(spark, d, estimator="one-sided")).drop("node", "gn", "hn")
 
 
 def _model(spark, d, **kw):
@@ -323,10 +418,31 @@ def level2_histogram(spark, d):
     return binning.histogram(df, m.cands, *_first_step(df), trees.tree_leaf(m.trees[0][0], FEATURES))
 
 
-@query()
+@query(f"{_sql_trees(3)} {_NODES}")
 def tree_depth3_nodes(spark, d):
-    """Nodes of a whole tree; tested against a plain tree grower."""
-    return _model(spark, d, max_depth=3).table(spark)
+    """Nodes of a whole tree."""
+    return _nodes(spark, _model(spark, d, max_depth=3))
+
+
+@query(f"{_sql_trees(3, estimator='one-sided')} {_NODES}")
+def tree_node_based(spark, d):
+    """Candidates asked one by one: the right child is the rest of its node's sums."""
+    return _nodes(spark, _model(spark, d, max_depth=3, split_method="node_based"))
+
+
+@query(f"{_sql_trees(3, estimator='one-sided')} {_NODES}")
+def tree_one_sided(spark, d):
+    return _nodes(spark, _model(spark, d, max_depth=3, hist_estimator_method="one-sided"))
+
+
+@query(f"{_sql_trees(3, estimator='two_sided')} {_NODES}")
+def tree_two_sided(spark, d):
+    return _nodes(spark, _model(spark, d, max_depth=3, hist_estimator_method="two_sided"))
+
+
+@query(f"{_sql_trees(3, estimator='two_sided_averaging')} {_NODES}")
+def tree_two_sided_averaging(spark, d):
+    return _nodes(spark, _model(spark, d, max_depth=3, hist_estimator_method="two_sided_averaging"))
 
 
 @query(f"{_BASE}, n AS (SELECT sum(y)::DOUBLE AS g, count(*)::DOUBLE AS h FROM t) SELECT CASE WHEN h <= 0 THEN 0.5 WHEN g <= 0 THEN 0.0 ELSE least(g / h, 1.0) END AS value FROM n")
@@ -335,10 +451,10 @@ def rf_leaf_weights(spark, d):
     return s.select(forest_value(F.col("g"), F.col("h")).alias("value"))
 
 
-@query()
+@query(f"{_sql_trees(3, 3)} {_NODES}")
 def boosting_trees(spark, d):
-    """Three boosted trees of depth 3; tested against plain gradients."""
-    return _model(spark, d, num_trees=3, max_depth=3).table(spark)
+    """Three boosted trees of depth 3."""
+    return _nodes(spark, _model(spark, d, num_trees=3, max_depth=3))
 
 
 @query()
@@ -351,16 +467,20 @@ def batched_boosting(spark, d):
     return _model(spark, d, num_trees=5, max_depth=3, split_method="totally_random", training_method="batched_boosting", batched_update_size=2).table(spark)
 
 
-@query()
+_MULTI = _T.replace("CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y", "ascii(l_returnflag) % 3 AS y")
+
+
+@query(f"WITH {_MULTI}, {_U}, {_C}, " + ", ".join(_sql_boosted([f"(CASE WHEN y = {c} THEN 1 ELSE 0 END)" for c in range(3)], 2)) + f" {_NODES}")
 def multiclass_one_vs_rest(spark, d):
     df = _table(spark, d, "lineitem").select(*FEATURES, (F.ascii("l_returnflag") % 3).alias("y"))
-    return trees.fit(df, FEATURES, "y", params=trees.Params(num_trees=1, max_depth=2)).table(spark)
+    return _nodes(spark, trees.fit(df, FEATURES, "y", params=trees.Params(num_trees=1, max_depth=2)))
 
 
-@query()
+@query(f"WITH t AS (SELECT l_quantity AS f0, l_discount AS f1, l_extendedprice / 10000 AS y FROM lineitem), u AS (SELECT 0 AS feature, f0 AS x, y FROM t UNION ALL SELECT 1, f1, y FROM t), {_C}, " + ", ".join(_sql_boosted(["y"], 3, base="greatest(-20.0::DOUBLE, least(20.0::DOUBLE, m - y)) AS g, 1.0::DOUBLE AS h", n=2)) + f" {_NODES.replace('round(g, 6)', 'round(g, 4)').replace('round(gain, 5)', 'round(gain, 3)')}")
 def regression_first_tree(spark, d):
-    df = _table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").cast("double").alias("c"), (F.col("o_totalprice") / 100000).alias("y"))
-    return trees.fit(df, ["c"], "y", params=trees.Params(num_trees=1, max_depth=3, task="regression")).table(spark)
+    df = _table(spark, d, "lineitem").select("l_quantity", "l_discount", (F.col("l_extendedprice") / 10000).alias("y"))
+    m = trees.fit(df, ["l_quantity", "l_discount"], "y", params=trees.Params(num_trees=1, max_depth=3, task="regression"))
+    return _nodes(spark, m).withColumns({"g": F.round("g", 4), "gain": F.round("gain", 3)})
 
 
 # --- noise and budgets -----------------------------------------------------------------------------------------------
@@ -408,10 +528,28 @@ def composition_basic(spark, d):
     return spark.createDataFrame([("basic", round(privacy.sigma_by("basic", 1.0, 1e-5, 100), 6))], "method string, sigma double")
 
 
-@query("SELECT event_id % 100 AS row_id, count(*) * 8 AS queries FROM events GROUP BY 1")
+def _sql_spent() -> str:
+    cost = f"(ln(1 - 1 / a) - ln(1e-5 * a) / (a - 1))"
+    return f"WITH o AS (SELECT unnest({_ORDERS}) AS a), q AS (SELECT * FROM (VALUES (1.0::DOUBLE, 600), (0.5::DOUBLE, 100)) v(epsilon, n)), s AS (SELECT epsilon, n, min(sqrt(n * a / (2 * (epsilon - {cost})))) AS sigma FROM q, o WHERE epsilon > {cost} GROUP BY ALL) SELECT epsilon, n::INT AS queries, round(min(n * a / (2 * sigma * sigma) + {cost}), 6) AS spent FROM s, o GROUP BY ALL"
+
+
+@query(_sql_spent())
+def composition_check(spark, d):
+    """What all queries of a run spend together, composed again."""
+    runs = [privacy.Accountant(1.0, 1e-5, 15, 5, features_per_tree=4), privacy.Accountant(0.5, 1e-5, 10, 5, features_per_tree=1)]
+    return spark.createDataFrame([(a.epsilon, a.queries(), round(a.check(), 6)) for a in runs], "epsilon double, queries int, spent double")
+
+
+@query("SELECT l_orderkey, sum(CASE WHEN l_quantity <= 25 THEN 3 ELSE 2 END * 8)::BIGINT AS queries FROM lineitem GROUP BY 1")
 def ledger_counts(spark, d):
-    """Queries a row takes part in: levels and sums of each tree."""
-    return _events(spark, d).groupBy((F.col("event_id") % 100).alias("row_id")).agg((F.count("*") * 8).alias("queries"))
+    """Queries that each order's rows took part in while a tree was grown: two for every feature at every node examined."""
+    return trees.ledger(_table(spark, d, "lineitem"), _stump(), "l_orderkey", privacy.Accountant(features_per_tree=4))
+
+
+@query()
+def composed_epsilon(spark, d):
+    """The epsilon each of k mechanisms may have; tested in bounds."""
+    return spark.createDataFrame([(k, private_quantiles.composed_epsilon(1.0, 1e-5, k)) for k in (1, 5, 10)], "k int, epsilon double")
 
 
 # --- scoring and metrics ---------------------------------------------------------------------------------------------
@@ -446,22 +584,23 @@ def score_log_loss(spark, d):
     return _train(spark, d).agg(F.round(F.avg(log_loss(F.col("y"), _stump().margin())), 8).alias("loss"))
 
 
-@query()
+@query(f"{_sql_trees(3)} SELECT feature::INT AS feature, round(sum(gain), 5) AS gain, round(sum(h), 6) AS cover, count(*) AS splits, round(avg(gain), 5) AS average_gain, round(avg(h), 6) AS average_cover FROM nodes WHERE feature IS NOT NULL GROUP BY 1")
 def feature_importance(spark, d):
-    return _model(spark, d, max_depth=3).importance(spark)
+    names = {"gain": 5, "cover": 6, "average_gain": 5, "average_cover": 6}
+    return _model(spark, d, max_depth=3).importance(spark).withColumns({c: F.round(c, k) for c, k in names.items()})
 
 
-@query()
+@query(f"{_sql_trees(3)}, z AS (SELECT class_id, tree_id, depth, count(*) AS n FROM nodes WHERE feature IS NOT NULL GROUP BY ALL) SELECT class_id::INT AS class_id, tree_id::INT AS tree_id, count(*) AS rounds, (sum(n) * 16 * {4 * (Q + 1)})::BIGINT AS bytes FROM z GROUP BY ALL")
 def communication_cost(spark, d):
     return _model(spark, d, max_depth=3).communication(spark)
 
 
-@query()
+@query(f"{_sql_trees(3, 3)}, e AS (" + " UNION ALL ".join(f"SELECT {k} AS trees, m AS s, y FROM x0_{k} JOIN r USING (rid)" for k in (1, 2, 3)) + "), d AS (SELECT trees, s, sum(y)::BIGINT AS p, sum(1 - y)::BIGINT AS n FROM e GROUP BY ALL), w AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY trees ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM d) SELECT trees::INT AS trees, round(sum(p * (below + n / 2)) / (sum(p) * sum(n)), 6) AS auc FROM w GROUP BY trees")
 def staged_auc(spark, d):
     """The area under the ROC curve of each prefix of the trees, in one aggregate over (prefix, score)."""
     m = _model(spark, d, num_trees=3, max_depth=3)
     prefixes = F.explode(F.array(*[F.struct(F.lit(k).alias("trees"), m.margin(first=k).alias("score")) for k in (1, 2, 3)])).alias("s")
-    return metrics.auc(_train(spark, d).select("y", prefixes).select("y", "s.*"), keys=["trees"])
+    return metrics.auc(_train(spark, d).select("y", prefixes).select("y", "s.*"), keys=["trees"]).withColumn("auc", F.round("auc", 6))
 
 
 def _scored_rows(spark, d):
@@ -492,6 +631,28 @@ def metric_f1_acc(spark, d):
     return c.select(*[F.round(x, 8).alias(x) for x in ("accuracy", "prec", "recall", "f1")])
 
 
+@query(f"WITH x AS (SELECT ascii(l_returnflag) % 3 AS y, [l_quantity, l_discount, l_tax] AS s FROM lineitem), e AS (SELECT c::INT AS c, s[c + 1] AS s, CASE WHEN y = c THEN 1 ELSE 0 END AS y FROM x, range(3) r(c)), d AS (SELECT c, s, sum(y)::BIGINT AS p, sum(1 - y)::BIGINT AS n FROM e GROUP BY ALL), w AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY c ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM d) SELECT c AS class, round(sum(p * (below + n / 2)) / (sum(p) * sum(n)), 8) AS auc FROM w GROUP BY c")
+def metric_class_auc(spark, d):
+    """Each class against the rest."""
+    df = _table(spark, d, "lineitem").select((F.ascii("l_returnflag") % 3).alias("y"), F.array("l_quantity", "l_discount", "l_tax").alias("s"))
+    return metrics.class_auc(df, "y", "s", 3).withColumn("auc", F.round("auc", 8))
+
+
+@query("WITH x AS (SELECT l_returnflag AS y, CASE WHEN l_quantity <= 10 THEN 'A' WHEN l_quantity <= 30 THEN 'N' ELSE 'R' END AS p FROM lineitem), c AS (SELECT y AS class, count(*) AS support, count(*) FILTER (y = p) AS hits FROM x GROUP BY 1), t AS (SELECT p AS class, count(*) AS told FROM x GROUP BY 1) SELECT class, round(hits / told, 8) AS prec, round(hits / support, 8) AS recall, round(2 * hits / (told + support), 8) AS f1, support FROM c JOIN t USING (class)")
+def metric_report(spark, d):
+    q = F.col("l_quantity")
+    df = _table(spark, d, "lineitem").select(F.col("l_returnflag").alias("y"), F.when(q <= 10, "A").when(q <= 30, "N").otherwise("R").alias("prediction"))
+    r = metrics.report(df).withColumnRenamed("precision", "prec")
+    return r.select("class", *[F.round(c, 8).alias(c) for c in ("prec", "recall", "f1")], "support")
+
+
+@query("WITH x AS (SELECT ascii(l_returnflag) % 3 AS y, exp(l_tax) AS a, exp(l_discount) AS b, 1.0::DOUBLE AS c FROM lineitem) SELECT round(sum(a / (a + b + c) - CASE WHEN y = 0 THEN 1 ELSE 0 END), 4) AS g0, round(sum(b / (a + b + c) * (1 - b / (a + b + c))), 4) AS h1 FROM x")
+def softmax_gradients(spark, d):
+    df = _table(spark, d, "lineitem").select((F.ascii("l_returnflag") % 3).alias("y"), F.array("l_tax", "l_discount", F.lit(0.0)).alias("m"))
+    g, h = softmax_cross_entropy(F.col("y"), F.col("m"))
+    return df.agg(F.round(F.sum(g[0]), 4).alias("g0"), F.round(F.sum(h[1]), 4).alias("h1"))
+
+
 @query("SELECT round(avg(power(l_extendedprice - 1000 * l_quantity, 2)) / 1e6, 4) AS mse FROM lineitem")
 def metric_mse(spark, d):
     df = _table(spark, d, "lineitem").select(F.col("l_extendedprice").alias("y"), (1000 * F.col("l_quantity")).alias("prediction"))
@@ -512,10 +673,19 @@ def quantile_tree_counts(spark, d):
     return private_quantiles.tree_counts(_events(spark, d), "value", 0.0, 1000.0, 16, 2)
 
 
-@query()
+def _sql_descent() -> str:
+    out = ["e AS (SELECT least(floor(least(greatest(value, 0), 1000) / 1000.0 * 65536), 65535)::BIGINT AS leaf FROM events WHERE value IS NOT NULL AND NOT isnan(value))", f"d0 AS (SELECT unnest([{', '.join(f'{q}::DOUBLE' for q in _QS)}]) AS q, 0::BIGINT AS node), a0 AS (SELECT q, node, q AS pos FROM d0)"]
+    for level in range(1, 5):
+        out.append(f"n{level} AS (SELECT leaf // {16 ** (4 - level)} AS node, count(*) AS n FROM e GROUP BY 1)")
+        out.append(f"p{level} AS (SELECT q, pos, n{level}.node, n, sum(n) OVER (PARTITION BY q) AS total, sum(n) OVER (PARTITION BY q ORDER BY n{level}.node) AS part FROM a{level - 1} JOIN n{level} ON n{level}.node // 16 = a{level - 1}.node)")
+        out.append(f"a{level} AS (SELECT q, node, least((total * pos - (part - n)) / n, 1) AS pos FROM p{level} WHERE part / total >= pos - 1e-6 QUALIFY row_number() OVER (PARTITION BY q ORDER BY node) = 1)")
+    return ", ".join(out)
+
+
+@query(f"WITH {_sql_descent()} SELECT q, round(node * (1000 / 65536.0::DOUBLE) + pos * (1000 / 65536.0::DOUBLE), 6) AS value FROM a4")
 def quantile_tree_query(spark, d):
-    """Without noise; tested against exact quantiles within a leaf."""
-    return spark.createDataFrame(list(zip(_QS, private_quantiles.quantile_tree(_events(spark, d), "value", _QS, 0.0, 1000.0))), "q double, value double")
+    """Without noise."""
+    return spark.createDataFrame(list(zip(_QS, private_quantiles.quantile_tree(_events(spark, d), "value", _QS, 0.0, 1000.0))), "q double, value double").withColumn("value", F.round("value", 6))
 
 
 @query()
@@ -533,6 +703,38 @@ def joint_exp(spark, d):
     return spark.createDataFrame(list(zip(_QS, private_quantiles.joint_exp(_events(spark, d), "value", _QS, 0.0, 1000.0, 1.0, 512))), "q double, value double")
 
 
+def _values(spark, values) -> DataFrame:
+    return spark.createDataFrame(list(zip(_QS, map(float, values))), "q double, value double")
+
+
+@query()
+def smooth_quantiles(spark, d):
+    """Laplace noise of smooth sensitivity, which is tested against all pairs."""
+    return _values(spark, private_quantiles.smooth(_events(spark, d), "value", _QS, 0.0, 1000.0, 0.2, 1e-6))
+
+
+@query()
+def csmooth_quantiles(spark, d):
+    """Under concentrated privacy, with smoothing parameters tuned for the column."""
+    e = _events(spark, d)
+    return _values(spark, private_quantiles.csmooth(e, "value", _QS, 0.0, 1000.0, 0.5, private_quantiles.tuned_ts(e, "value", _QS, 0.0, 1000.0, 0.5, steps=5)))
+
+
+@query()
+def agg_tree_quantiles(spark, d):
+    """Noisy counts made consistent."""
+    return _values(spark, private_quantiles.agg_tree(_events(spark, d), "value", _QS, 0.0, 1000.0, 1.0))
+
+
+@query()
+def quantile_comparison(spark, d):
+    """Errors of three private methods over two trials."""
+    tree = lambda df, c, qs, s: private_quantiles.quantile_tree(df, c, qs, 0.0, 1000.0, 1.0, s)
+    joint = lambda df, c, qs, s: private_quantiles.joint_exp(df, c, qs, 0.0, 1000.0, 1.0, 256, s)
+    agg = lambda df, c, qs, s: private_quantiles.agg_tree(df, c, qs, 0.0, 1000.0, 1.0, seed=s)
+    return private_quantiles.compare(_events(spark, d), "value", _QS, {"tree": tree, "joint_exp": joint, "agg_tree": agg}, 2)
+
+
 @query("SELECT (abs(count(*) FILTER (value > 10) - count(*) FILTER (value > 20)) + abs(count(*) FILTER (value > 30) - count(*) FILTER (value > 30.5))) / 2 AS error FROM events")
 def misclassified_points(spark, d):
     return spark.createDataFrame([(private_quantiles.misclassified(_events(spark, d), "value", [(10.0, 20.0), (30.0, 30.5)]),)], "error double")

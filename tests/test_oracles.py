@@ -5,7 +5,7 @@ import pytest
 
 from quercus.queries import ORACLES, QUERIES
 
-TABLES = "region nation customer supplier part orders lineitem events".split()
+TABLES = "region nation customer supplier part orders lineitem events documents labels".split()
 
 
 def plain(v):
