@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -15,19 +16,17 @@ EDGE = 1e-11
 
 
 def bin_of(x: Column, cands: Sequence[float]) -> Column:
-    """How many thresholds lie below ``x`` (left-closed at ``EDGE`` above them); NaN and null have no bin.
+    """How many thresholds (ascending) lie below ``x`` (left-closed at ``EDGE`` above them); NaN and null have no bin.
 
-    A balanced tree of comparisons, so a row costs the logarithm of the number of thresholds.
+    A binary search in a constant array: comparisons written out, as sums or
+    as a tree, make code too long to be compiled, which costs more.
     """
-    edges = [c + EDGE for c in cands]
-
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(x >= F.lit(float(edges[mid])), tree(mid + 1, hi)).otherwise(tree(lo, mid))
-
-    return F.when(x.isNotNull() & ~F.isnan(x), tree(0, len(edges)))
+    steps = max(1, len(cands)).bit_length()
+    # nothing is as large as NaN, so what fills up the array is never below
+    edges = F.lit([float(c + EDGE) for c in cands] + [math.nan] * ((1 << steps) - len(cands)))
+    jumps = F.lit([1 << (steps - 1 - i) for i in range(steps)])
+    found = F.aggregate(jumps, F.lit(0), lambda at, jump: F.when(x >= F.get(edges, at + jump - 1), at + jump).otherwise(at))
+    return F.when(x.isNotNull() & ~F.isnan(x), found)
 
 
 def bisect_left(x: Column, points: Sequence[float]) -> Column:
@@ -44,8 +43,9 @@ def histogram(rows: DataFrame, cands: dict[str, Sequence[float]], g: Column, h:
     ``bins`` are columns that hold them already.
     """
     found = [bin_of(F.col(f).cast("double"), c) for f, c in cands.items()] if bins is None else bins
-    each = F.array(*[F.struct(F.lit(j).alias("feature"), b.cast("int").alias("bin")) for j, b in enumerate(found)])
-    flat = rows.select((F.lit(1) if node is None else node).alias("node"), g.alias("g"), h.alias("h"), F.explode(each).alias("b"))
+    found = [b.cast("int").alias(f"_{j}") for j, b in enumerate(found)]
+    each = F.array(*[F.struct(F.lit(j).alias("feature"), F.col(f"_{j}").alias("bin")) for j in range(len(found))])
+    flat = rows.select((F.lit(1) if node is None else node).alias("node"), g.alias("g"), h.alias("h"), *found).select("node", "g", "h", F.explode(each).alias("b"))
     flat = flat.select("node", "b.feature", "b.bin", "g", "h").where("bin is not null")
     return flat.groupBy("node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count("*").alias("n"))
 

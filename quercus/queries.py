@@ -476,9 +476,9 @@ def multiclass_one_vs_rest(spark, d):
     return _nodes(spark, trees.fit(df, FEATURES, "y", params=trees.Params(num_trees=1, max_depth=2)))
 
 
-@query(f"WITH t AS (SELECT l_quantity AS f0, l_discount AS f1, l_extendedprice / 10000 AS y FROM lineitem), u AS (SELECT 0 AS feature, f0 AS x, y FROM t UNION ALL SELECT 1, f1, y FROM t), {_C}, " + ", ".join(_sql_boosted(["y"], 3, base="greatest(-20.0::DOUBLE, least(20.0::DOUBLE, m - y)) AS g, 1.0::DOUBLE AS h", n=2)) + f" {_NODES.replace('round(g, 6)', 'round(g, 4)').replace('round(gain, 5)', 'round(gain, 3)')}")
+@query(f"WITH t AS (SELECT l_quantity AS f0, l_discount AS f1, l_extendedprice / 50000 AS y FROM lineitem), u AS (SELECT 0 AS feature, f0 AS x, y FROM t UNION ALL SELECT 1, f1, y FROM t), {_C}, " + ", ".join(_sql_boosted(["y"], 3, base="greatest(-20.0::DOUBLE, least(20.0::DOUBLE, m - y)) AS g, 1.0::DOUBLE AS h", n=2)) + f" {_NODES.replace('round(g, 6)', 'round(g, 4)').replace('round(gain, 5)', 'round(gain, 3)')}")
 def regression_first_tree(spark, d):
-    df = _table(spark, d, "lineitem").select("l_quantity", "l_discount", (F.col("l_extendedprice") / 10000).alias("y"))
+    df = _table(spark, d, "lineitem").select("l_quantity", "l_discount", (F.col("l_extendedprice") / 50000).alias("y"))
     m = trees.fit(df, ["l_quantity", "l_discount"], "y", params=trees.Params(num_trees=1, max_depth=3, task="regression"))
     return _nodes(spark, m).withColumns({"g": F.round("g", 4), "gain": F.round("gain", 3)})
 
