@@ -39,9 +39,9 @@ def _check(digest: Column) -> Column:
     return F.hash(digest, F.lit(7)).cast("long")
 
 
-def _place(digest: Column, table: int, cells: Column, salt: Column) -> Column:
-    """A digest's cell in a table of ``cells`` cells."""
-    return F.lit(table) * cells + F.pmod(F.xxhash64(digest, F.lit(table), salt), cells)
+def _place(digest: str, table: int) -> str:
+    """A digest's cell in a table, as SQL over the columns cells (of each table) and salt."""
+    return f"({table} * cells + pmod(xxhash64({digest}, {table}, salt), cells))"
 
 
 def fingerprint(digests: Column) -> Column:
@@ -106,19 +106,21 @@ def peeled(differ: DataFrame, passes: int = PASSES) -> DataFrame:
     n, digests, checks.  Returns for each pair ``plus`` and ``minus``, the digests
     recovered from either side, and ``left``, the cells that stayed.
     """
-    state = differ.withColumns({"plus": F.lit(0).cast("long"), "minus": F.lit(0).cast("long")})
+    keys = ", ".join(_KEYS)
+    names = ("cell", "n", "digests", "checks", "plus", "minus")
+    row = lambda *values: "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in zip(names, values)) + ")"
+    state = f"SELECT {keys}, cell, n, digests, checks, 0L AS plus, 0L AS minus FROM {{differ}}"
     for p in range(passes):
         table = p % TABLES
-        pure = (F.abs("n") == 1) & (F.col("checks") == _check(F.col("digests"))) & (F.col("cell") == _place(F.col("digests"), table, F.col("cells"), F.col("salt")))
-        zero, names = F.lit(0).cast("long"), ("cell", "n", "digests", "checks", "plus", "minus")
-        row = lambda *v: F.struct(*[c.alias(k) for k, c in zip(names, v)])
-        itself = row(*map(F.col, names))
-        others = [row(_place(F.col("digests"), t, F.col("cells"), F.col("salt")), -F.col("n"), F.col("digests"), F.col("checks"), zero, zero) for t in range(TABLES) if t != table]
-        told = row(F.lit(-1).cast("long"), zero, zero, zero, F.greatest("n", zero), F.greatest(-F.col("n"), zero))
-        state = state.select(*_KEYS, F.explode(F.when(pure, F.array(*others, told)).otherwise(F.array(itself))).alias("c")).select(*_KEYS, "c.*")
-        state = state.groupBy(*_KEYS, "cell").agg(F.sum("n").alias("n"), F.bit_xor("digests").alias("digests"), F.bit_xor("checks").alias("checks"), F.sum("plus").alias("plus"), F.sum("minus").alias("minus"))
-        state = state.where("cell < 0 or n != 0 or digests != 0 or checks != 0")
-    return state.groupBy(*_KEYS).agg(F.sum("plus").alias("plus"), F.sum("minus").alias("minus"), F.count_if(F.col("cell") >= 0).alias("left"))
+        # a digest that is alone in its cell is told, and taken out of its other cells; its own cell goes with it
+        others = [row(_place("digests", t), "-n", "digests", "checks", "0L", "0L") for t in range(TABLES) if t != table]
+        told = row("-1L", "0L", "0L", "0L", "greatest(n, 0L)", "greatest(-n, 0L)")
+        pure = f"abs(n) = 1 AND checks = cast(hash(digests, 7) AS bigint) AND cell = {_place('digests', table)}"
+        moved = f"SELECT {keys}, inline(CASE WHEN {pure} THEN array({', '.join(others)}, {told}) ELSE array({row(*names)}) END) FROM ({state})"
+        sums = f"SELECT {keys}, cell, sum(n) AS n, bit_xor(digests) AS digests, bit_xor(checks) AS checks, sum(plus) AS plus, sum(minus) AS minus FROM ({moved}) GROUP BY {keys}, cell"
+        state = f"SELECT * FROM ({sums}) WHERE cell < 0 OR n != 0 OR digests != 0 OR checks != 0"
+    # one query, analysed once: built step by step, the driver would analyse the growing plan at every step
+    return differ.sparkSession.sql(f"SELECT {keys}, sum(plus) AS plus, sum(minus) AS minus, count_if(cell >= 0) AS `left` FROM ({state}) GROUP BY {keys}", differ=differ)
 
 
 def subtracted(pairs: DataFrame) -> DataFrame:
@@ -128,7 +130,7 @@ def subtracted(pairs: DataFrame) -> DataFrame:
     """
     signed = F.concat(F.transform("own", lambda d: F.struct(d.alias("d"), F.lit(1).cast("long").alias("n"))), F.transform("other", lambda d: F.struct(d.alias("d"), F.lit(-1).cast("long").alias("n"))))
     each = pairs.select(*_KEYS, F.explode_outer(signed).alias("e")).select(*_KEYS, F.col("e.d").alias("d"), F.col("e.n").alias("n"))
-    cells = F.when(F.col("d").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(F.array(*[_place(F.col("d"), t, F.col("cells"), F.col("salt")) for t in range(TABLES)]))
+    cells = F.when(F.col("d").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(F.array(*[F.expr(_place("d", t)) for t in range(TABLES)]))
     each = each.select(*_KEYS, "d", "n", F.explode(cells).alias("cell"))
     sums = each.groupBy(*_KEYS, "cell").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.bit_xor("d"), F.lit(0)).alias("digests"), F.coalesce(F.bit_xor(_check(F.col("d"))), F.lit(0)).alias("checks"))
     # one empty cell stays, so that a pair without differences is not lost
