@@ -3,8 +3,8 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 each result as Parquet and hands it to the next stage.  All but the last return
 the columns of ``documents``: doc_id, text, lang, source, n_chars.  Rows with a
-null id count as documents of their own; rows that share an id are one document
-from the second stage on.  An empty table stays empty.
+null id and rows that share an id count as documents of their own; of equal
+rows with words one is left by the second stage.  An empty table stays empty.
 """
 
 from __future__ import annotations
