@@ -93,11 +93,12 @@ class WordEncoder:
             return b"".join(map(memo.__getitem__, words))
 
 
-#: Longest word, in bytes, that the table of seen words holds and that is hashed by prefix sums; longer ones are looked up one by one.
+#: Longest word, in bytes, that the table of seen words holds; longer ones are looked up one by one.
 _TABLE_BYTES = 32
 #: Bytes that are worked on at a time.
 _PART = 4 << 20
-_MASKS = np.tri(_TABLE_BYTES + 1, _TABLE_BYTES, -1, dtype=np.uint8) * np.uint8(255)
+#: By number of bytes, the bits of an eight-byte number that they fill.
+_FILLED = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 _CLASS = np.full(256, 3, dtype=np.uint8)
 _CLASS[[0x20, *range(0x09, 0x0E)]] = 0
 _CLASS[range(0x61, 0x7B)] = 1
@@ -106,50 +107,35 @@ _CLASS[range(0x30, 0x3A)] = 2
 #: Lower-cased texts of these characters only are split on their bytes: ASCII, and Latin letters of two bytes.
 _NOT_PLAIN = re.compile("[^\x00-\x7fà-öø-įı-ſß]")
 _BREAK = re.compile(rb"[ \t-\r]")
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-_BASE = 0x5DEECE66D1A3F2B7 | 1
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base & (2**64 - 1), dtype=np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+_MIX = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
 class BatchEncoder:
-    """Encodes many texts at a time: words are found and hashed over the whole byte buffer, and a table gives their ids."""
+    """Encodes many texts at a time: words are found over the whole byte buffer, and a table of the words met gives their ids."""
 
     def __init__(self, path: str, slots_log2: int = 19):
         self.one = WordEncoder(path)
         self.slots = 1 << slots_log2
-        self.power = _powers(_BASE, 1 << 16)
-        self.inverse = _powers(pow(_BASE, -1, 1 << 64), 1 << 16)
-        self._reset()
-
-    def _reset(self) -> None:
-        self.word = np.zeros((self.slots, _TABLE_BYTES // 8), dtype=np.uint64)
+        self.head = np.zeros(self.slots, dtype=np.uint64)
+        self.rest = np.zeros((self.slots, _TABLE_BYTES // 8 - 1), dtype=np.uint64)
         self.length = np.zeros(self.slots, dtype=np.uint8)
         self.at = np.zeros(self.slots, dtype=np.int64)
         self.n_ids = np.zeros(self.slots, dtype=np.uint8)  # a byte makes one id at most
-        self.flat, self.used, self.words = np.zeros(1 << 20, dtype=np.uint32), 0, 0
-
-    def _hashes(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """64-bit hashes of words of at most ``_TABLE_BYTES``, from prefix sums of a polynomial over the buffer in blocks of 65536 bytes."""
-        n = len(self.power)
-        pad = np.zeros(-len(buf) % n + n, dtype=np.uint64)
-        terms = np.concatenate([buf.astype(np.uint64) + np.uint64(1), pad]).reshape(-1, n) * self.power
-        sums = np.zeros((terms.shape[0], n + 1), dtype=np.uint64)
-        np.cumsum(terms, axis=1, out=sums[:, 1:])
-        b, i, j = start // n, start % n, end - (start // n) * n
-        first = np.minimum(j, n)
-        h = (sums[b, first] - sums[b, i]) * self.inverse[i]
-        over = np.flatnonzero(j > n)  # the word goes on in the next block
-        if len(over):
-            h[over] += (sums[b[over] + 1, j[over] - n]) * self.power[(n - i[over])]
-        h ^= h >> np.uint64(29)
-        h = (h + (end - start).astype(np.uint64)) * _MIX
-        h ^= h >> np.uint64(32)
-        return h | np.uint64(1)
+        self.flat, self.used = np.zeros(1 << 20, dtype=np.uint32), 0
+
+    def _compact(self) -> None:
+        """Keeps the ids of the words that are in the table."""
+        live = np.flatnonzero(self.n_ids)
+        size = self.n_ids[live].astype(np.int64)
+        to = np.cumsum(size) - size
+        ids = self.flat[np.repeat(self.at[live] - to, size) + np.arange(int(size.sum()))]
+        self.flat, self.at[live], self.used = np.concatenate([ids, np.zeros(1 << 20, dtype=np.uint32)]), to, len(ids)
+
+    @staticmethod
+    def _eights(data: bytes, start: np.ndarray, size: np.ndarray, k: int) -> np.ndarray:
+        """Bytes 8k to 8k+8 of words as numbers, zero beyond the words' ends."""
+        some = np.ndarray(len(data) + 1, dtype="<u8", buffer=data + bytes(8), strides=(1,))
+        return some[np.minimum(start + 8 * k, len(data))] & _FILLED[np.clip(size - 8 * k, 0, 8)]
 
     def _split(self, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the pre-tokens."""
@@ -181,15 +167,14 @@ class BatchEncoder:
         ids = [self.one.word(buf[s:e].decode()) for s, e in zip(start[first].tolist(), end[first].tolist())]
         size, at = np.array([len(x) for x in ids], dtype=np.int64), self._kept(ids)
         todo = np.arange(len(first))
-        for shift in (0, 24):  # a word's second place serves when its first is taken
-            slot = ((h[first][todo] >> np.uint64(shift)) % np.uint64(self.slots)).astype(np.int64)
+        for shift in (0, 24):  # where a word's first place is taken, it displaces what holds its second
+            slot = ((h[first][todo] >> np.uint64(shift)) & np.uint64(self.slots - 1)).astype(np.int64)
             free = self.n_ids[slot] == 0 if shift == 0 else np.ones(len(slot), bool)
             put, _ = np.unique(slot[free], return_index=True)
             put = todo[free][_]
             to = slot[free][_]
-            self.word[to], self.length[to], self.at[to], self.n_ids[to] = word[first[put]], (end - start)[first[put]], at[put], size[put]
+            self.head[to], self.rest[to], self.length[to], self.at[to], self.n_ids[to] = word[first[put], 0], word[first[put], 1:], (end - start)[first[put]], at[put], size[put]
             todo = np.setdiff1d(todo, put)
-        self.words += len(first)
         return at[back], size[back]
 
     def _kept(self, ids: list[list[int]]) -> np.ndarray:
@@ -205,33 +190,43 @@ class BatchEncoder:
 
     def _part(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where the words of a part start, how many ids each has, and all ids."""
-        if self.words > self.slots // 2:
-            self._reset()
+        if self.used > 4 * self.slots:
+            self._compact()
         start, end = self._split(np.frombuffer(data, dtype=np.uint8))
+        length = end - start
         at, size = np.zeros(len(start), np.int64), np.full(len(start), -1, np.int64)
-        long = np.flatnonzero(end - start > _TABLE_BYTES)
-        short = np.flatnonzero(end - start <= _TABLE_BYTES)
-        if len(short):
-            s, e = start[short], end[short]
-            h = self._hashes(np.frombuffer(data, dtype=np.uint8), s, e)
-            padded = np.frombuffer(data + bytes(_TABLE_BYTES), dtype=np.uint8)
-            word = (np.lib.stride_tricks.sliding_window_view(padded, _TABLE_BYTES)[s] & _MASKS[e - s]).view(np.uint64)
-            own_at, own_size = np.zeros(len(short), np.int64), np.full(len(short), -1, np.int64)
-            for shift in (0, 24):
-                todo = np.flatnonzero(own_size < 0)
-                slot = ((h[todo] >> np.uint64(shift)) % np.uint64(self.slots)).astype(np.int64)
-                hit = (self.n_ids[slot] > 0) & (self.length[slot] == (e - s)[todo]) & (self.word[slot] == word[todo]).all(axis=1)
-                own_at[todo[hit]], own_size[todo[hit]] = self.at[slot[hit]], self.n_ids[slot[hit]]
-            miss = np.flatnonzero(own_size < 0)
-            if len(miss):
-                own_at[miss], own_size[miss] = self._learn(data, s[miss], e[miss], h[miss], word[miss])
-            at[short], size[short] = own_at, own_size
+        long = np.flatnonzero(length > _TABLE_BYTES)
+        head = self._eights(data, start, length, 0)
+        more = np.flatnonzero((length > 8) & (length <= _TABLE_BYTES))
+        rest = np.stack([self._eights(data, start[more], length[more], k) for k in range(1, _TABLE_BYTES // 8)], axis=1)
+        h = (head + length.astype(np.uint64)) * _MIX[0]
+        for k in range(rest.shape[1]):
+            h[more] = (h[more] ^ (rest[:, k] * _MIX[k + 1])) * _MIX[0]
+        h ^= h >> np.uint64(29)
+        h *= _MIX[1]
+        h ^= h >> np.uint64(32)
+        size[long] = 0
+        within = np.zeros(len(start), np.int64)  # of words beyond eight bytes: their place among these
+        within[more] = np.arange(len(more))
+        todo = np.arange(len(start))
+        for shift in (0, 24):
+            slot = ((h[todo] >> np.uint64(shift)) & np.uint64(self.slots - 1)).astype(np.int64)
+            hit = (self.n_ids[slot] > 0) & (self.length[slot] == length[todo]) & (self.head[slot] == head[todo])
+            beyond = np.flatnonzero(hit & (length[todo] > 8))
+            hit[beyond] = (self.rest[slot[beyond]] == rest[within[todo[beyond]]]).all(axis=1)
+            at[todo[hit]], size[todo[hit]] = self.at[slot[hit]], self.n_ids[slot[hit]]
+            todo = np.flatnonzero(size < 0)
+        if len(todo):
+            word = np.zeros((len(todo), _TABLE_BYTES // 8), dtype=np.uint64)
+            word[:, 0] = head[todo]
+            beyond = np.flatnonzero(length[todo] > 8)
+            word[beyond, 1:] = rest[within[todo[beyond]]]
+            at[todo], size[todo] = self._learn(data, start[todo], end[todo], h[todo], word)
         if len(long):
             words = [data[s:e] for s, e in zip(start[long].tolist(), end[long].tolist())]
             met = {w: self.one.word(w.decode()) for w in set(words)}
             places = dict(zip(met, self._kept(list(met.values())).tolist()))
             at[long], size[long] = [places[w] for w in words], [len(met[w]) for w in words]
-            self.words += len(met)
         ids = self.flat[np.repeat(at - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
         return start, size, ids
 
