@@ -96,7 +96,7 @@ class WordEncoder:
 #: Longest word, in bytes, that the table of seen words holds; longer ones are looked up one by one.
 _TABLE_BYTES = 32
 #: Bytes that are worked on at a time.
-_PART = 4 << 20
+_PART = 1 << 20
 #: By number of bytes, the bits of an eight-byte number that they fill.
 _FILLED = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 _CLASS = np.full(256, 3, dtype=np.uint8)
