@@ -10,26 +10,30 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder that ``spark.checkpoint.dir`` names, and read back: short lineage, safe from lost executors.
+def folder(spark: SparkSession) -> str:
+    """The shared folder that ``spark.checkpoint.dir`` names.
 
     On one machine (tests) a folder of its own serves; on a cluster a missing setting is an error.
     """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder}/quercus-{uuid.uuid4().hex}"
+        named = spark.sparkContext.getCheckpointDir()
+    return named
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back: short lineage, safe from lost executors."""
+    path = f"{folder(df.sparkSession)}/quercus-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ranged(df: DataFrame, *order: Column | str) -> DataFrame:

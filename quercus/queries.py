@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.gains import forest_value, gain, leaf_value
 from .functions.losses import log_loss, sigmoid, softmax, softmax_cross_entropy
-from .operators import binning, candidates, local_privacy, metrics, private_quantiles, sampling
+from .operators import binning, candidates, local_privacy, metrics, ordering, private_quantiles, sampling
 from .plans import analytics, privacy, trees
+from .sources import datasets
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -871,3 +874,80 @@ def leaf_value_column(spark, d):
 @query(f"SELECT round(sum({_sql_gain('(l_tax * 100 - 4)', 'l_quantity')}), 4) AS total FROM lineitem")
 def gain_column(spark, d):
     return _table(spark, d, "lineitem").agg(F.round(F.sum(gain(F.col("l_tax") * 100 - 4, F.col("l_quantity"))), 4).alias("total"))
+
+
+@query(
+    "SELECT o_orderkey, split_part(o_orderpriority, '-', 1) AS dataset, CASE WHEN o_orderkey % 3 = 0 THEN 'DP' ELSE '' END AS dp_method, 'totally_random' AS split_method, (o_orderkey % 5 + 2)::VARCHAR AS max_depth, '100' AS num_trees, '0.5' AS epsilon,"
+    " CASE WHEN o_orderkey % 2 = 0 THEN 'True' ELSE 'False' END AS ebm, CASE WHEN o_orderkey % 2 = 0 THEN 'cyclical' ELSE 'standard' END AS feature_interaction_method, CASE WHEN o_orderkey % 2 = 0 THEN '2' ELSE 'd' END AS feature_interaction_k,"
+    " CASE WHEN o_orderkey % 7 = 0 THEN 'rf' ELSE 'newton' END AS weight_update, '' AS gradient_budgets, CASE WHEN o_orderkey % 7 = 0 THEN 'rf' ELSE 'boosting' END AS training_method, CASE WHEN o_orderkey % 4 = 0 THEN 'adaptive_hessian' ELSE 'uniform' END AS sketch_type,"
+    " CASE WHEN o_orderkey % 4 = 0 THEN '5' ELSE 'inf' END AS sketch_rounds, 'float64' AS quantize_q, CASE WHEN o_orderkey % 3 = 0 THEN 'True' ELSE 'False' END AS vec_mech, CASE WHEN o_orderkey % 5 = 0 THEN 25.0 ELSE 100.0 END::DOUBLE AS batch_size, CASE WHEN o_orderkey % 5 = 0 THEN 0.25 ELSE 1.0 END::DOUBLE AS batch_perc FROM orders"
+)
+def run_settings(spark, d):
+    k = F.col("o_orderkey")
+    when = lambda n, text: F.when(k % n == 0, text).otherwise("")
+    parts = [
+        F.concat(F.lit("{'dp_method': '"), F.when(k % 3 == 0, "gaussian_cdp").otherwise(""), F.lit("', 'split_method': 'totally_random', 'max_depth': "), k % 5 + 2, F.lit(", 'num_trees': 100, 'epsilon': 0.5")),
+        when(2, ", 'ebm': True, 'feature_interaction_method': 'cyclical', 'feature_interaction_k': 2"),
+        F.lit(", 'weight_update_method': 'newton'"),
+        when(7, ", 'training_method': 'rf'"),
+        when(4, ", 'sketch_type': 'adaptive_hessian', 'sketch_rounds': 5"),
+        when(3, ", 'vector_mechanism': True"),
+        when(5, ", 'batched_update_size': 25"),
+        F.lit("}"),
+    ]
+    runs = _table(spark, d, "orders").select("o_orderkey", F.substring_index("o_orderpriority", "-", 1).alias("dataset"), F.concat(*parts).alias("args"))
+    return analytics.run_columns(runs).fillna("", ["dp_method"]).drop("args")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice > 200000 AND NOT contains(o_orderpriority, 'LOW') OR o_orderstatus = 'P' THEN 'kept' ELSE o_orderstatus END AS status FROM orders")
+def conditional_overwrite(spark, d):
+    where = (F.col("o_totalprice") > 200000) & ~F.col("o_orderpriority").contains("LOW") | (F.col("o_orderstatus") == "P")
+    return analytics.overwritten(_table(spark, d, "orders"), "o_orderstatus", where, "kept").select("o_orderkey", F.col("o_orderstatus").alias("status"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(l_quantity + l_tax + l_discount, 6) AS total_client_time FROM lineitem")
+def timer_sums(spark, d):
+    timers = _table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *[F.col(f"l_{c}").alias(f"t_client_{c}") for c in ("quantity", "tax", "discount")], F.col("l_extendedprice").alias("t_server_price"))
+    return analytics.summed(timers, "t_client_", "total_client_time").select("l_orderkey", "l_linenumber", F.round("total_client_time", 6).alias("total_client_time"))
+
+
+@query("SELECT o_orderkey, round(o_totalprice / 1024 / 1024, 9) AS mib FROM orders")
+def unit_scaling(spark, d):
+    sizes = _table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("mib"))
+    return analytics.scaled(sizes, {"mib": 2.0**-20}).withColumn("mib", F.round("mib", 9))
+
+
+_CELLS = f"WITH {_R}, m AS (SELECT dataset, method, round(avg(ln(score)), 4) AS mean, round(stddev_samp(ln(score)), 4) AS std FROM r GROUP BY ALL), c AS (SELECT dataset, method, printf('%.4f', mean) || ' (' || printf('%.4f', coalesce(std, 0)) || ')' || CASE WHEN mean = max(mean) OVER (PARTITION BY dataset) THEN '*' ELSE '' END AS cell FROM m)"
+
+
+@query(f"{_CELLS} SELECT method, max(cell) FILTER (dataset = 'F') AS F, max(cell) FILTER (dataset = 'O') AS O, max(cell) FILTER (dataset = 'P') AS P FROM c GROUP BY 1")
+def result_cells(spark, d):
+    logs = analytics.overwritten(_results(spark, d), "score", F.lit(True), F.log("score"))
+    return analytics.result_table(logs, "method", "dataset", ["F", "O", "P"], "score")
+
+
+@query(f"WITH {_R} SELECT dataset, method, trees, round(avg(ln(score)), 6) AS mean, round(stddev_samp(ln(score)), 6) AS sd, count(*) AS runs FROM r GROUP BY ALL")
+def appendix_sweep(spark, d):
+    logs = analytics.overwritten(_results(spark, d), "score", F.lit(True), F.log("score"))
+    return analytics.sweep(logs, ["dataset"], "trees", "method", "score").withColumns({c: F.round(c, 6) for c in ("mean", "sd")})
+
+
+@query("SELECT o_orderstatus AS dataset, o_orderpriority AS method, NULL::INT AS seed, count(*) AS n FROM orders GROUP BY ALL UNION ALL SELECT l_linestatus, NULL, l_linenumber::INT, count(*) FROM lineitem GROUP BY ALL")
+def results_union(spark, d):
+    first, second = [f"{ordering.folder(spark)}/results-{uuid.uuid4().hex}" for _ in range(2)]
+    datasets.write_results(_table(spark, d, "orders").select(F.col("o_orderstatus").alias("dataset"), F.col("o_orderpriority").alias("method")), first)
+    datasets.write_results(_table(spark, d, "lineitem").select(F.col("l_linestatus").alias("dataset"), F.col("l_linenumber").cast("int").alias("seed")), second)
+    return datasets.read_results(spark, first, second).groupBy("dataset", "method", "seed").agg(F.count("*").alias("n"))
+
+
+@query("SELECT round(2 * (least(greatest(l_quantity, 5), 45) - 5) / 40 - 1, 6) + 0.0 AS x, count(*) AS n FROM lineitem GROUP BY 1")
+def clip_normalise(spark, d):
+    clipped = F.greatest(F.least(F.col("l_quantity"), F.lit(45.0)), F.lit(5.0))
+    return _table(spark, d, "lineitem").groupBy((F.round(2 * (clipped - 5) / 40 - 1, 6) + F.lit(0.0)).alias("x")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS n, round(sum(l_extendedprice / 100), 2) AS total, min(l_extendedprice / 100) AS low FROM lineitem WHERE l_linenumber <> 3")
+def quantile_scan(spark, d):
+    path = f"{ordering.folder(spark)}/column-{uuid.uuid4().hex}"
+    _table(spark, d, "lineitem").select(F.when(F.col("l_linenumber") == 3, "none").otherwise(F.col("l_extendedprice").cast("string")).alias("v")).write.option("header", True).csv(path)
+    return datasets.quantile_column(spark, path, "v", 100.0).agg(F.count("*").alias("n"), F.round(F.sum("x"), 2).alias("total"), F.min("x").alias("low"))

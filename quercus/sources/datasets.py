@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Dataset:
-    """A delimited file: separator, header, the label's rule, dropped columns, the token of missing values."""
+    """A delimited file: separator, header, the label's rule, dropped columns, the token of missing values, what stands for it (null by default), whether columns with missing values are left out."""
 
     label: Callable[[DataFrame], Column]
     sep: str = ","
     header: bool = True
     drop: tuple[str, ...] = ()
     missing: str | None = None
+    fill: float | None = None
+    complete: bool = False
     encode: bool = False
     options: dict = field(default_factory=dict)
 
@@ -29,11 +31,11 @@ DATASETS = {
     "credit2": Dataset(lambda df: F.col("`default.payment.next.month`").cast("int"), drop=("ID", "default.payment.next.month")),
     "credit_card": Dataset(lambda df: F.col("Class").cast("int"), drop=("Class",)),
     "sensor": Dataset(lambda df: (F.col("_c48").cast("double") <= 1).cast("int"), sep=" ", header=False, drop=("_c48",)),
-    "nomao": Dataset(lambda df: F.when(F.col("_c119").cast("int") == 1, 0).otherwise(1), header=False, drop=("_c119",), missing="?"),
+    "nomao": Dataset(lambda df: F.when(F.col("_c119").cast("int") == 1, 0).otherwise(1), header=False, drop=("_c119",), missing="?", complete=True),
     "adult": Dataset(lambda df: F.trim("_c14").startswith(">").cast("int"), header=False, drop=("_c14",), missing=" ?", encode=True),
     "higgs": Dataset(lambda df: F.col("_c1").cast("int"), header=False, drop=("_c0", "_c1")),
     "diabetes": Dataset(_is("readmitted", "<30", ">30"), drop=("readmitted", "encounter_id", "patient_nbr"), encode=True),
-    "aps": Dataset(_is("class", "pos"), drop=("class",), missing="na"),
+    "aps": Dataset(_is("class", "pos"), drop=("class",), missing="na", fill=-1.0),
     "bank": Dataset(_is("y", "yes"), sep=";", drop=("y",), encode=True),
 }
 
@@ -55,15 +57,27 @@ def load(spark: SparkSession, name: str, path: str, remove_missing: bool = False
             df = sorted_codes(df, c, f"{c}__code").drop(c).withColumnRenamed(f"{c}__code", c)
     else:
         df = df.withColumns({c: F.expr(f"try_cast(`{c}` AS double)") for c in features})
+        if d.complete:
+            kept = complete_columns(df.select(*[F.col(f"`{c}`") for c in features]))
+            features = [c for c in features if c in kept]
+        if d.fill is not None:
+            df = df.fillna(d.fill, features)
     return df.select(F.col("__label").alias("y"), *[F.col(f"`{c}`") for c in features])
 
 
-def complete_columns(df: DataFrame, missing: str) -> list[str]:
-    """The columns in which no row has the token of missing values: one pass over all of them."""
-    row = df.agg(*[F.count_if((F.col(c) == missing) | F.col(c).isNull()).alias(c) for c in df.columns]).first()
+def complete_columns(df: DataFrame, missing: str | None = None) -> list[str]:
+    """The columns in which no row is null or has the token of missing values: one pass over all of them."""
+    lacks = [F.col(f"`{c}`").isNull() if missing is None else (F.col(f"`{c}`") == missing) | F.col(f"`{c}`").isNull() for c in df.columns]
+    row = df.agg(*[F.count_if(x).alias(c) for c, x in zip(df.columns, lacks)]).first()
     return [c for c in df.columns if not row[c]]
 
 
+def quantile_column(spark: SparkSession, path: str, column: str, divisor: float = 1.0) -> DataFrame:
+    """One column of a delimited file as numbers ``x``, divided; what is no number is left out."""
+    raw = spark.read.option("header", True).csv(path)
+    return raw.select((F.expr(f"try_cast(trim(`{column}`) AS double)") / divisor).alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
+
+
 def synthetic(spark: SparkSession, rows: int, features: int, informative: int, seed: int = 0, share: float = 0.3) -> DataFrame:
     """Two classes that differ in the means of the informative features; row_id, features f0.., y."""
     base = spark.range(rows).withColumnRenamed("id", "row_id").withColumn("y", (F.rand(seed) < share).cast("int"))
