@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quercus.operators import binning, candidates, local_privacy, private_quantiles
-from quercus.plans import privacy, trees
+from quercus.plans import analytics, privacy, trees
 from quercus.sources import datasets
 
 
@@ -149,6 +149,26 @@ def test_readers(spark, tmp_path):
     assert sorted(map(tuple, got)) == [(0, 0, 0), (0, 1, 1), (1, 0, 0)]
 
 
+def test_missing_values_of_readers(spark, tmp_path):
+    (tmp_path / "aps.csv").write_text("class,a,b\npos,1,na\nneg,na,2\n")
+    got = datasets.load(spark, "aps", f"file://{tmp_path}/aps.csv").collect()
+    assert sorted(map(tuple, got)) == [(0, -1.0, 2.0), (1, 1.0, -1.0)]
+    rows = [[str(i + j) for j in range(119)] + [str(1 - 2 * (i % 2))] for i in range(3)]
+    rows[1][4], rows[2][7] = "?", "word"
+    (tmp_path / "nomao.csv").write_text("".join(",".join(r) + "\n" for r in rows))
+    df = datasets.load(spark, "nomao", f"file://{tmp_path}/nomao.csv")
+    assert df.columns == ["y", *[f"_c{j}" for j in range(119) if j not in (4, 7)]] and sorted(r["y"] for r in df.collect()) == [0, 0, 1]
+    (tmp_path / "sizes.csv").write_text("v\n 250\nnone\n100\nNaN\n\n")
+    assert sorted(r["x"] for r in datasets.quantile_column(spark, f"file://{tmp_path}/sizes.csv", "v", 100.0).collect()) == [1.0, 2.5]
+
+
+def test_run_settings_keep_given_columns(spark):
+    args = "{'dp_method': 'gaussian_cdp', 'split_method': 'hist_based', 'num_trees': 50, 'training_method': 'rf', 'batched_update_size': 10}"
+    row = analytics.run_columns(spark.createDataFrame([(args, "0.1"), (None, "0.2")], "args string, epsilon string")).orderBy("epsilon").collect()
+    assert (row[0]["dp_method"], row[0]["weight_update"], row[0]["batch_perc"], row[0]["epsilon"], row[0]["vec_mech"]) == ("DP", "rf", 0.2, "0.1", "False")
+    assert (row[1]["dp_method"], row[1]["sketch_type"], row[1]["batch_size"], row[1]["ebm"]) == (None, "uniform", None, "False")
+
+
 def test_streamed_counts_equal_batch(spark, data):
     from quercus.streaming.histograms import windowed_bins
 
