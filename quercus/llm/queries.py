@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import decontamination
+from .decontamination import op11_decontamination
 from .embedding_dedup import op5_embedding_dedup
 from .fingerprints import op7_fingerprints
 from .html_text import op4_html_text
@@ -24,6 +26,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_token_store": op10_token_store,
+    "op11_decontamination": op11_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_decontamination": decontamination.SQL}
