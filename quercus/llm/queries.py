@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination
+from . import decontamination, hard_negatives
 from .decontamination import op11_decontamination
 from .embedding_dedup import op5_embedding_dedup
 from .fingerprints import op7_fingerprints
+from .hard_negatives import op12_hard_negatives
 from .html_text import op4_html_text
 from .licenses import op2_licenses
 from .mixing import op3_mixing
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_token_store": op10_token_store,
     "op11_decontamination": op11_decontamination,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
-ORACLES: dict[str, str] = {"op11_decontamination": decontamination.SQL}
+ORACLES: dict[str, str] = {"op11_decontamination": decontamination.SQL, "op12_hard_negatives": hard_negatives.SQL}

@@ -1,11 +1,12 @@
 """Decontamination, hard negatives and alignment against brute force, with nulls, ties, repeats, long texts and clashing columns."""
 
+import math
 import random
 import re
 
 import pytest
 
-from quercus.llm import decontamination
+from quercus.llm import decontamination, hard_negatives
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -53,3 +54,47 @@ def test_decontamination_of_empty_tables(spark):
     docs, bench = spark.createDataFrame([], DOC), spark.createDataFrame([], "item_id long, text string")
     assert decontamination.find(docs, bench).count() == 0
     assert [r["n_hit"] for r in decontamination.find(spark.createDataFrame([(1, "a b", 1, "a", "b")], DOC), bench).collect()] == [0]
+
+
+def brute_negatives(rows, every=50, positives=5, negatives=3):
+    usable = []
+    for i, x, label in rows:
+        if label is None or x is None or any(v is None or not math.isfinite(v) for v in x):
+            continue
+        usable.append((i, [math.floor(256 * v) for v in x], (label + 1) % 10 if i is not None and i % 7 == 0 else label))
+    out = []
+    for n, (i, q, label) in enumerate(usable):
+        if i is None or i % every:
+            continue
+        scored = [(-sum(a * b for a, b in zip(q, y)), j is None, j or 0, j, z) for m, (j, y, z) in enumerate(usable) if m != n and len(y) == len(q)]
+        scored.sort(key=lambda s: s[:3])
+        for p in [s for s in scored if s[4] == label][:positives]:
+            found = [s for s in scored if s[4] != label and 50 * -p[0] <= 100 * -s[0] <= 95 * -p[0]][:negatives]
+            out += [(i, p[3], r + 1, s[3], -p[0], -s[0]) for r, s in enumerate(found)]
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("block, first, sample", [(2048, 0.8, 1 << 20), (3, 0.2, 200)])
+def test_hard_negatives_equal_brute_force(spark, monkeypatch, block, first, sample):
+    rng = random.Random(5)
+    centres = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(9)]
+    rows = []
+    for i in range(420):
+        c = rng.choice(centres)
+        rows.append((i if i % 11 else i // 2, [v + rng.gauss(0, 0.4) for v in c], rng.randrange(3)))
+    rows += [(1000, [0.5] * 6, 1), (1000, [0.5] * 6, 1), (1001, [0.5] * 6, 2), (1001, [0.5] * 6, 2)] + [(2000 + i, [0.25] * 6, i % 2) for i in range(150)]
+    rows += [(3000, None, 1), (3050, [1.0] * 6, None), (3100, [None] + [1.0] * 5, 1), (3150, [math.nan] * 6, 1), (3200, [math.inf] * 6, 2), (None, [0.5] * 6, 2), (None, [0.45] * 6, 1), (3250, [0.0] * 6, 1), (3300, [], 1)]
+    rows += [(3350 + i, [1.0, 0.9 - i / 99], i % 4) for i in range(60)] + [(3500, [1.0] * 6, 77), (-50, [-1.0] * 6, -3)] + [(4000 + i, [4000.0 + i % 7, 900.0 * i, 1e5, 3.0], i % 2) for i in range(51)]
+    monkeypatch.setattr(hard_negatives, "FIRST", first)
+    monkeypatch.setattr(hard_negatives, "SAMPLE_VALUES", sample)
+    monkeypatch.setattr(hard_negatives, "PIVOT_ROWS", 64)
+    monkeypatch.setattr(hard_negatives, "RUN", 16)
+    table = spark.createDataFrame([(i, x, y, 1, "a") for i, x, y in rows], "vec_id long, embedding array<double>, label int, rank int, q string")
+    got = sorted((tuple(r) for r in hard_negatives.mine(table, block=block).collect()), key=repr)
+    assert got == brute_negatives(rows)
+
+
+def test_hard_negatives_of_an_empty_table(spark):
+    schema = "vec_id long, embedding array<double>, label int"
+    assert hard_negatives.mine(spark.createDataFrame([], schema)).count() == 0
+    assert hard_negatives.mine(spark.createDataFrame([(0, None, 1), (50, [1e300, 1.0], 1), (51, [1e300, 2.0], 1)], schema)).count() == 0
