@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import decontamination, hard_negatives
+from .alignment import op13_alignment
 from .decontamination import op11_decontamination
 from .embedding_dedup import op5_embedding_dedup
 from .fingerprints import op7_fingerprints
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_token_store": op10_token_store,
     "op11_decontamination": op11_decontamination,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLES: dict[str, str] = {"op11_decontamination": decontamination.SQL, "op12_hard_negatives": hard_negatives.SQL}

@@ -1,12 +1,14 @@
 """Decontamination, hard negatives and alignment against brute force, with nulls, ties, repeats, long texts and clashing columns."""
 
+import hashlib
 import math
 import random
 import re
+from collections import Counter, defaultdict
 
 import pytest
 
-from quercus.llm import decontamination, hard_negatives
+from quercus.llm import alignment, decontamination, hard_negatives
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -98,3 +100,71 @@ def test_hard_negatives_of_an_empty_table(spark):
     schema = "vec_id long, embedding array<double>, label int"
     assert hard_negatives.mine(spark.createDataFrame([], schema)).count() == 0
     assert hard_negatives.mine(spark.createDataFrame([(0, None, 1), (50, [1e300, 1.0], 1), (51, [1e300, 2.0], 1)], schema)).count() == 0
+
+
+def brute_alignment(rows):
+    """Whole texts through the libraries, and groups and links token by token."""
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer
+
+    a_path, b_path = alignment.default_paths()
+    a, b = Tokenizer.from_file(a_path), SentencePieceProcessor(model_file=b_path)
+    a.encode_special_tokens = True
+    alphabet = alignment._byte_alphabet()
+    out, held = [], Counter()
+    for i, text in rows:
+        parts = []
+        if text:
+            raw = (" " + text).encode()
+            ta = [(t, bytes(alphabet[c] for c in a.id_to_token(t))) for t in a.encode(" " + text, add_special_tokens=False).ids]
+            tb = [(t, bytes([int(b.id_to_piece(t)[3:5], 16)]) if b.is_byte(t) else b.id_to_piece(t).replace("\u2581", " ").encode()) for t in b.encode(text)]
+            if b"".join(x for _, x in ta) == raw == b"".join(x for _, x in tb):
+                ga, gb, la, lb = [], [], 0, 0
+                while ta or tb:
+                    if la <= lb:
+                        t, x = ta.pop(0)
+                        ga, la = [*ga, t], la + len(x)
+                    else:
+                        t, x = tb.pop(0)
+                        gb, lb = [*gb, t], lb + len(x)
+                    if la == lb:
+                        parts.append((ga, gb, la))
+                        ga, gb = [], []
+        links = Counter((x, y) for g in parts for x in g[0] for y in g[1])
+        held.update(set(links))
+        out.append((i, parts, links))
+    best = defaultdict(int)
+    for (x, _), n in held.items():
+        best[x] = max(best[x], n)
+    digest = lambda parts: hashlib.sha256(";".join(",".join(map(str, g)) + "|" + ",".join(map(str, h)) for g, h, _ in parts).encode()).hexdigest() if parts else ""
+    rows = [(i, sum(len(p[0]) for p in parts), sum(len(p[1]) for p in parts), len(parts), sum(links.values()), sum(n for p, n in links.items() if held[p] == best[p[0]]), sum(n * held[p] for p, n in links.items()), digest(parts)) for i, parts, links in out]
+    spans = [(i, s, e, g, h) for i, parts, _ in out for (g, h, e), s in zip(parts, [0, *(p[2] for p in parts)])]
+    return sorted(rows, key=repr), sorted(spans, key=repr)
+
+
+@pytest.mark.parametrize("run, step, block", [(alignment.RUN, alignment.SWEPT, alignment.PAIR_BLOCK), (5, 17, 2000)])
+def test_alignment_equals_brute_force(spark, data, run, step, block):
+    rng = random.Random(9)
+    odd = ["", None, " ", "  a", "a  b", "a\nb\n\nc", "\n", " \nx", "\nx", "x\n", "don't you're it's", "<|endoftext|> <s> </s> <0x41>", "tab\there", "nb\u00a0sp\u2003x", "\u2581lower", "a\u2581b c", "\x00\x01 z", "\x1c x", "日本語のテキスト 中文", "🙂🙂 e\u0301", "x" * 3000, "12 345,678.9", "é" * 50 + " fin", "the the the", "The the\nthe the", "a \nb", "a\n b", "a\r\nb", "\x85 a", "\u2028x y", "foo.\nBar baz"]
+    symbols = ["a", "The", "0", " ", "\n", "  ", "é", "\u2581", "'s", "-", "\t", "日", "🙂", ".", "ing"]
+    rows = list(enumerate(odd)) + [(100 + i, "".join(rng.choice(symbols) for _ in range(rng.randrange(1, 40)))) for i in range(60)]
+    rows += [(200, "same text"), (200, "same text"), (None, "no id"), (201, "same text"), (202, " ".join(rng.choice(["word", "other", "alignment", "Übergröße", "x.\ny"]) for _ in range(2000)))]
+    rows += [(300 + r["doc_id"], r["text"]) for r in spark.read.parquet(f"{data}/documents.parquet").limit(12).collect()]
+    want, spans = brute_alignment(rows)
+    table = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, events string, part int")
+    columns = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    got = alignment.align(table, *alignment.default_paths(), pair_block=block, run=run, step=step).select(*columns)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == want
+    assert sorted((tuple(r) for r in alignment.groups(table, *alignment.default_paths(), run=run, step=step).collect()), key=repr) == spans
+
+
+def test_events_do_not_depend_on_what_is_remembered():
+    some = ["a b c", "b\nc a", " x  y", "long" * 30 + " a", None, "c c c"]
+    large, small = alignment._Sides(*alignment.default_paths()), alignment._Sides(*alignment.default_paths(), memo=2)
+    assert large.cuts
+    want = large.events(some)
+    assert [small.events([t])[0] for t in some + some] == want + want
+
+
+def test_alignment_of_an_empty_table(spark):
+    assert alignment.align(spark.createDataFrame([], "doc_id long, text string"), *alignment.default_paths()).count() == 0
