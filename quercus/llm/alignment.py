@@ -16,9 +16,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +32,20 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
+if TYPE_CHECKING:
+    from tiktoken import Encoding
+
 #: An event: the token's id in the lower bits, its bytes above.
 ID_BITS = 20
 _ID = np.uint32((1 << ID_BITS) - 1)
 #: Events of a run, events swept at a time (links: eight times as many), bytes of text encoded at a time.
-RUN, SWEPT, PART = 1024, 1 << 18, 1 << 20
+RUN, SWEPT, PART = 1024, 1 << 17, 1 << 19
 #: Stretches a worker remembers for each side, and their longest length; id pairs of a block of counts.
-MEMO, MEMO_CHARS, PAIR_BLOCK = 400_000, 48, 2_000_000
+MEMO, MEMO_CHARS, PAIR_BLOCK = 150_000, 48, 2_000_000
+#: Longest stretch that is encoded together with others, and how many the second library gets at a time.
+TOGETHER, GROUP = 1000, 200
+#: Fixed value: how byte-level vocabularies of this kind split a text.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 _EVENT = "doc_id long, h long, part int, nth int, start long, side int, events binary"
 _DIGEST = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>"
@@ -55,6 +64,7 @@ class _Sides:
     """Both tokenizers, and the events of the stretches met so far."""
 
     def __init__(self, a_path: str, b_path: str, memo: int = MEMO):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
@@ -68,6 +78,10 @@ class _Sides:
             raise ValueError("vocabulary too large, or tokens too long, for events of 32 bits")
         self.space = self.b.piece_to_id("▁")
         self.cuts = self._cuts(a_path, b_path, pieces)
+        self.ranked = self._ranked(a_path) if self.cuts else None
+        self.sizes = [np.zeros(max(held) + 1, dtype=np.uint32) for held in (self.a_bytes, self.b_bytes)]
+        for sizes, held in zip(self.sizes, (self.a_bytes, self.b_bytes)):
+            sizes[list(held)] = [len(x) for x in held.values()]
         self.memo = memo
         self.met: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
         self.odd: set[str] = set()
@@ -89,13 +103,65 @@ class _Sides:
         same = spec.normalizer_spec.name == "identity" and spec.normalizer_spec.add_dummy_prefix and not spec.normalizer_spec.remove_extra_whitespaces
         return bool(plain and bpe and same and not any("\n" in p or re.search("[^▁]▁", p) for p in pieces))
 
+    def _ranked(self, a_path: str) -> Encoding | None:
+        """The same vocabulary as ranks, where merges are numbered in their order and every token is its own encoding; it is faster over many words."""
+        with open(a_path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        made = [model["vocab"][x + y] for x, y in pairs]
+        plain = made == list(range(256, 256 + len(made))) and not any(model.get(k) for k in ("dropout", "unk_token", "ignore_merges", "byte_fallback"))
+        if not plain or any([t.id for t in self.a.model.tokenize(token)] != [i] for token, i in model["vocab"].items() if i < 256 + len(made)):
+            return None
+        from tiktoken import Encoding
+
+        return Encoding("a", pat_str=_SPLIT, mergeable_ranks={x: i for i, x in self.a_bytes.items() if i < 256 + len(made)}, special_tokens={})
+
+    def _together(self, texts: list[str]) -> list[list[bytes]] | None:
+        """Both sides' events of stretches that are encoded many at a time; none where that goes wrong.
+
+        Each text that is encoded starts with the stretch `` x``, which is left out again.
+        """
+        raw = "".join(texts)
+        whole = raw.encode()
+        ends = np.cumsum([0, *map(len, texts)] if raw.isascii() else [0, *(len(t.encode()) for t in texts)])
+        a_ids = self.ranked.encode_ordinary(" x" + raw) if self.ranked else self.a.encode_batch_fast([" x" + raw], add_special_tokens=False)[0].ids
+        parts = ["x" + "".join(texts[i : i + GROUP]) for i in range(0, len(texts), GROUP)]
+        b_ids = self.b.encode(parts, num_threads=1)
+        out, first = [], (self.a.encode(" x", add_special_tokens=False).ids, self.b.encode("x"))
+        if len(first[0]) != 1 or len(first[1]) != 1 or a_ids[:1] != first[0] or any(i[:1] != first[1] for i in b_ids):
+            return None
+        for ids, sizes, held in ((a_ids[1:], self.sizes[0], self.a_bytes), ([x for i in b_ids for x in i[1:]], self.sizes[1], self.b_bytes)):
+            ids = np.array(ids, dtype=np.uint32)
+            at = np.concatenate([[0], np.cumsum(sizes[ids])])
+            cuts = np.searchsorted(at, ends)
+            if at[-1] != ends[-1] or (at[cuts] != ends).any() or b"".join(map(held.__getitem__, ids.tolist())) != whole:
+                return None
+            data, cuts = (sizes[ids] << np.uint32(ID_BITS) | ids).astype("<u4").tobytes(), (4 * cuts).tolist()
+            out.append([data[i:j] for i, j in zip(cuts, cuts[1:])])
+        return out
+
     def _learn(self, names: list[str], texts: list[str]) -> None:
         """Events of stretches; ``texts`` are what stands in the document, with the space before."""
         if len(self.met[0]) > self.memo:
-            self.met[0].clear()
-            self.met[1].clear()
-            self.odd.clear()
-        a_ids = [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
+            self.forget()
+        plain = [i for i, (n, t) in enumerate(zip(names, texts)) if n[0] != "\x00" and len(t) <= TOGETHER and "▁" not in t]
+        found = self._together([texts[i] for i in plain]) if plain and self.cuts else None
+        if found:
+            for met, events in zip(self.met, found):
+                met.update(zip([names[i] for i in plain], events))
+        done = set(plain) if found else set()
+        rest = [i for i in range(len(names)) if i not in done]
+        if rest:
+            self._singly([names[i] for i in rest], [texts[i] for i in rest])
+
+    def forget(self) -> None:
+        self.met[0].clear()
+        self.met[1].clear()
+        self.odd.clear()
+
+    def _singly(self, names: list[str], texts: list[str]) -> None:
+        """Events of stretches, each encoded by itself; those that either side's tokens don't spell are noted."""
+        a_ids = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
         b_ids = self.b.encode([t[1:] if t[0] == " " else t for t in texts], num_threads=1)
         for name, text, a, b in zip(names, texts, a_ids, b_ids):
             if text[0] != " ":  # the library puts a space before every text
@@ -104,8 +170,9 @@ class _Sides:
             sides = [b"".join(map(held.__getitem__, ids)) for held, ids in ((self.a_bytes, a), (self.b_bytes, b))]
             if sides != [raw, raw]:
                 self.odd.add(name)
-            for met, held, ids in zip(self.met, (self.a_bytes, self.b_bytes), (a, b)):
-                met[name] = np.array([len(held[i]) << ID_BITS | i for i in ids], dtype="<u4").tobytes()
+            for met, sizes, ids in zip(self.met, self.sizes, (a, b)):
+                ids = np.array(ids, dtype=np.uint32)
+                met[name] = (sizes[ids] << np.uint32(ID_BITS) | ids).astype("<u4").tobytes()
 
     def events(self, texts: list[str | None]) -> list[tuple[bytes, bytes] | None]:
         """Both sides' events of every text; none where the text has no tokens."""
@@ -167,6 +234,7 @@ def _events(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str, length:
                 seen[key] += 1
             columns = [pa.array(doc, pa.int64()), pa.array(h, pa.int64()), pa.array([part] * len(doc), pa.int32()), pa.array(nth, pa.int32()), pa.array(start, pa.int64()), pa.array(side, pa.int32()), pa.array(runs, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "part", "nth", "start", "side", "events"])
+    sides.forget()  # the worker's next task may be of another kind
 
 
 def swept(docs: DataFrame, a_path: str, b_path: str, run: int = RUN) -> DataFrame:
