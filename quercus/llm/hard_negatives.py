@@ -31,9 +31,9 @@ from .common import shared_dir, stored
 
 SCALE, POSITIVES, NEGATIVES, EVERY = 256, 5, 3, 50
 #: Rows of a pivot and of a file on average, most pivots, components in the sample that pivots and radii come from.
-PIVOT_ROWS, FILE_ROWS, PIVOTS, SAMPLE_VALUES = 2048, 65_536, 1024, 1 << 20
-#: Rows whose key interval is asked together, anchors of a block, first radius as a share of the certain one.
-RUN, BLOCK, FIRST = 1024, 2048, 0.8
+PIVOT_ROWS, FILE_ROWS, PIVOTS, SAMPLE_VALUES = 2048, 65_536, 1024, 1 << 19
+#: Rows whose key interval is asked together, anchors of a block and of those that meet the sample together, first radius as a share of the certain one.
+RUN, BLOCK, TOGETHER, FIRST = 1024, 2048, 128, 0.8
 LOW = np.iinfo(np.int64).min
 _ROW = "vec_id long, label long, q array<long>, dim int, norm double, pivot int, distance double"
 _FOUND = "a long, slot int, score long, vec_id long, rid long"
@@ -236,14 +236,15 @@ class _Block:
         out = low.astype(np.float64)
         for dim, g in self.groups.items():
             label, x = self.index.sample[dim]
-            score = _products(x, g["q"])
-            alike = label[:, None] == g["label"][None, :]
-            for slot in range(low.shape[1]):
-                own = np.where((alike if same else ~alike) & (score <= cap[g["a"], slot]) & (score >= low[g["a"], slot]), score, LOW)
-                need = k + same  # the anchor itself may be in the sample
-                if len(own) >= need:
+            need = k + same  # the anchor itself may be in the sample
+            for lo in range(0, len(g["a"]) if len(x) >= need else 0, TOGETHER):
+                a = g["a"][lo : lo + TOGETHER]
+                score = _products(x, g["q"][lo : lo + TOGETHER])
+                alike = label[:, None] == self.label[a][None, :]
+                for slot in range(low.shape[1]):
+                    own = np.where((alike if same else ~alike) & (score <= cap[a, slot]) & (score >= low[a, slot]), score, LOW)
                     got = np.partition(own, len(own) - need, axis=0)[-need]
-                    out[g["a"], slot] = np.where(got > LOW, got, out[g["a"], slot])
+                    out[a, slot] = np.where(got > LOW, got, out[a, slot])
         return out
 
     def search(self, same: bool, k: int, low: np.ndarray, cap: np.ndarray) -> DataFrame:
