@@ -15,18 +15,46 @@ from ..functions.gains import gain
 EDGE = 1e-11
 
 
+def searched(x: Column, edges: Column, longest: int, strict: bool = False) -> Column:
+    """How many of the ascending ``edges`` (an array of up to ``longest``) are at most ``x``, or with ``strict`` below it, by binary search; none for null and NaN."""
+    steps = max(1, longest).bit_length()
+    jumps = F.lit([1 << (steps - 1 - i) for i in range(steps)])
+
+    def step(at: Column, jump: Column) -> Column:
+        edge = F.get(edges, at + jump - 1)  # null beyond the end, where nothing lies below
+        return F.when((edge < x) if strict else (edge <= x), at + jump).otherwise(at)
+
+    return F.when(x.isNotNull() & ~F.isnan(x), F.aggregate(jumps, F.lit(0), step))
+
+
+def _even(cands: Sequence[float]) -> float:
+    """The distance between thresholds that are evenly spaced but for rounding, else 0."""
+    if len(cands) < 2 or not all(map(math.isfinite, cands)):
+        return 0.0
+    step = (cands[-1] - cands[0]) / (len(cands) - 1)
+    # a rounded quotient must be at most one place off, so rounding must stay far below a step
+    clear = step > 1e3 * EDGE and step > 1e-9 * max(abs(cands[0]), abs(cands[-1]))
+    return step if clear and all(abs(c - cands[0] - i * step) < step / 8 for i, c in enumerate(cands)) else 0.0
+
+
 def bin_of(x: Column, cands: Sequence[float]) -> Column:
     """How many thresholds (ascending) lie below ``x`` (left-closed at ``EDGE`` above them); NaN and null have no bin.
 
-    A binary search in a constant array: comparisons written out, as sums or
-    as a tree, make code too long to be compiled, which costs more.
+    Of evenly spaced thresholds a division tells the bin but for one place,
+    which a look at the thresholds around it settles; this stays in generated
+    code.  Others are searched in a constant array: comparisons written out, as
+    sums or as a tree, make code too long to be compiled, which costs more.
     """
-    steps = max(1, len(cands)).bit_length()
-    # nothing is as large as NaN, so what fills up the array is never below
-    edges = F.lit([float(c + EDGE) for c in cands] + [math.nan] * ((1 << steps) - len(cands)))
-    jumps = F.lit([1 << (steps - 1 - i) for i in range(steps)])
-    found = F.aggregate(jumps, F.lit(0), lambda at, jump: F.when(x >= F.get(edges, at + jump - 1), at + jump).otherwise(at))
-    return F.when(x.isNotNull() & ~F.isnan(x), found)
+    edges = [float(c + EDGE) for c in cands]
+    if step := _even(cands):
+        last = len(edges)
+        near = F.floor((F.least(F.greatest(x, F.lit(edges[0])), F.lit(edges[-1])) - edges[0]) / step).cast("int")
+        held = F.lit([-math.inf, *edges, math.nan, math.nan])  # place i + 1 has edge i; nothing is as large as NaN
+        under = F.get(held, near + 2) <= x  # one more lies below
+        over = F.get(held, near + 1) > x  # the last counted doesn't
+        found = F.least(near + 1 + under.cast("int") - over.cast("int"), F.lit(last))
+        return F.when(x.isNotNull() & ~F.isnan(x), found)
+    return searched(x, F.lit(edges) if edges else F.array().cast("array<double>"), len(edges))
 
 
 def bisect_left(x: Column, points: Sequence[float]) -> Column:
@@ -35,35 +63,41 @@ def bisect_left(x: Column, points: Sequence[float]) -> Column:
     return sum((F.when(F.lit(float(p)) < x, 1).otherwise(0) for p in inner), F.lit(0))
 
 
-def histogram(rows: DataFrame, cands: dict[str, Sequence[float]], g: Column, h: Column, node: Column | None = None, bins: Sequence[Column] | None = None) -> DataFrame:
+def histogram(rows: DataFrame, cands: dict[str, Sequence[float]], g: Column, h: Column, node: Column | None = None, bins: Sequence[Column] | None = None, numbers: Sequence[int] | None = None) -> DataFrame:
     """Sums of gradients and hessians by (node, feature, bin): one pass, combined before the shuffle.
 
     ``rows`` needs the feature columns only; features are numbered in the order
-    of ``cands``.  Rows without a value of a feature are left out of its bins.
+    of ``cands``, or by ``numbers``.  Rows without a value of a feature are left out of its bins.
     ``bins`` are columns that hold them already.
     """
     found = [bin_of(F.col(f).cast("double"), c) for f, c in cands.items()] if bins is None else bins
     found = [b.cast("int").alias(f"_{j}") for j, b in enumerate(found)]
-    each = F.array(*[F.struct(F.lit(j).alias("feature"), F.col(f"_{j}").alias("bin")) for j in range(len(found))])
+    each = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"_{j}").alias("bin")) for j, n in enumerate(numbers or range(len(found)))])
     flat = rows.select((F.lit(1) if node is None else node).alias("node"), g.alias("g"), h.alias("h"), *found).select("node", "g", "h", F.explode(each).alias("b"))
     flat = flat.select("node", "b.feature", "b.bin", "g", "h").where("bin is not null")
     return flat.groupBy("node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count("*").alias("n"))
 
 
 def dense(hist: DataFrame, sizes: Sequence[int], nodes: DataFrame | None = None) -> DataFrame:
-    """The histogram with its empty bins, which noise must reach too: as many rows as nodes, features and bins make."""
+    """The histogram with its empty bins, which noise must reach too: as many rows as nodes, features and bins make.
+
+    ``nodes`` are the nodes, or pairs of a node and a feature.
+    """
     spark = hist.sparkSession
     grid = spark.createDataFrame([(j, n) for j, n in enumerate(sizes)], "feature int, size int").select("feature", F.explode(F.sequence(F.lit(0), F.col("size"))).alias("bin"))
-    nodes = hist.select("node").distinct() if nodes is None else nodes.select("node")
-    full = nodes.join(F.broadcast(grid))
+    nodes = hist.select("node").distinct() if nodes is None else nodes
+    full = nodes.join(F.broadcast(grid), "feature") if "feature" in nodes.columns else nodes.select("node").join(F.broadcast(grid))
     return full.join(hist, ["node", "feature", "bin"], "left").na.fill(0, ["g", "h", "n"])
 
 
-def noisy(hist: DataFrame, sigma_g: float, sigma_h: float, seed: int) -> DataFrame:
-    """Gaussian noise on every cell, drawn from the cell's own key, so that a task run again draws the same."""
+def noisy(hist: DataFrame, sigma_g: float | Column, sigma_h: float | Column, seed: int | Column, node: Column | str = "node") -> DataFrame:
+    """Gaussian noise on every cell, drawn from the cell's own key, so that a task run again draws the same.
+
+    Deviations, seed and the node's part of the key may be columns, where cells of many trees lie together.
+    """
 
     def normal(salt: int) -> Column:
-        u = lambda k: (F.pmod(F.xxhash64("node", "feature", "bin", F.lit(seed), F.lit(salt + k)), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
+        u = lambda k: (F.pmod(F.xxhash64(node, "feature", "bin", F.lit(seed), F.lit(salt + k)), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
         return F.sqrt(-2 * F.log(u(0))) * F.cos(2 * F.pi() * u(1))
 
     return hist.withColumn("g", F.col("g") + sigma_g * normal(0)).withColumn("h", F.col("h") + sigma_h * normal(2))
@@ -73,7 +107,7 @@ def noisy(hist: DataFrame, sigma_g: float, sigma_h: float, seed: int) -> DataFra
 ESTIMATORS = (None, "one-sided", "two_sided", "two_sided_averaging")
 
 
-def scores(hist: DataFrame, sizes: Sequence[int], constraints: DataFrame | None = None, estimator: str | None = None, lam: float = 1.0, alpha: float = 0.0, delta: float = 2.0, totals: DataFrame | None = None, left_noise: tuple[float, float, int] | None = None) -> DataFrame:
+def scores(hist: DataFrame, sizes: Sequence[int], constraints: DataFrame | None = None, estimator: str | None = None, lam: float = 1.0, alpha: float = 0.0, delta: float = 2.0, totals: DataFrame | None = None, left_noise: tuple | None = None, width: int | None = None) -> DataFrame:
     """The score of every candidate of every feature and node: node, feature, cand, gl, hl, gr, hr, score, and the node's totals gn, hn.
 
     ``constraints`` (node, feature, lo, hi) narrows the bins of a node's feature.
@@ -81,14 +115,15 @@ def scores(hist: DataFrame, sizes: Sequence[int], constraints: DataFrame | None
     them, and for two_sided_averaging, they are the mean over features of the
     histogram's totals.  With one-sided the right child is the rest of the
     node's totals, with two_sided the node's gain comes from the feature's bins
-    but the last allowed one.  ``left_noise`` (deviations and a seed) is drawn
+    but the last allowed one.  ``left_noise`` (what ``noisy`` takes) is drawn
     for every left child by itself, as where candidates are asked one by one.
+    ``width`` is the number of features a node has, where it isn't that of ``sizes``.
     """
     if estimator not in ESTIMATORS:
         raise ValueError(f"unknown estimator {estimator}")
     node = Window.partitionBy("node")
     if totals is None or estimator == "two_sided_averaging":
-        hist = hist.withColumns({"gn": F.sum("g").over(node) / len(sizes), "hn": F.sum("h").over(node) / len(sizes)})
+        hist = hist.withColumns({"gn": F.sum("g").over(node) / (width or len(sizes)), "hn": F.sum("h").over(node) / (width or len(sizes))})
     else:
         hist = hist.join(F.broadcast(totals), "node")
     if constraints is not None:

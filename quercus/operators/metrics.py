@@ -46,10 +46,12 @@ def report(df: DataFrame, label: str = "y", prediction: str = "prediction") -> D
 
 
 def confusion(df: DataFrame, label: str = "y", prediction: str = "prediction") -> DataFrame:
-    """Accuracy, precision, recall and F1 of class 1."""
+    """Accuracy, precision, recall and F1 of class 1; what nothing is in is 0."""
     y, p = F.col(label) == 1, F.col(prediction) == 1
     s = df.agg(F.count_if(y & p).alias("tp"), F.count_if(~y & p).alias("fp"), F.count_if(y & ~p).alias("fn"), F.count("*").alias("rows"), F.count_if(y == p).alias("right"))
-    return s.select((F.col("right") / F.col("rows")).alias("accuracy"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (F.col("tp") / (F.col("tp") + F.col("fn"))).alias("recall"), (2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn"))).alias("f1"))
+    part = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    return s.select(part(F.col("right"), F.col("rows")).alias("accuracy"), part(tp, tp + fp).alias("precision"), part(tp, tp + fn).alias("recall"), part(2 * tp, 2 * tp + fp + fn).alias("f1"))
 
 
 def regression(df: DataFrame, label: str = "y", prediction: str = "prediction") -> DataFrame:

@@ -7,8 +7,10 @@ partition and over the short table of partitions' totals are separate.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +31,33 @@ def folder(spark: SparkSession) -> str:
     return named
 
 
+_OPEN = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are stored within the block are deleted when it ends, also by an error: for work whose result lives on the driver."""
+    paths: list[str] = []
+    before, _OPEN.paths = getattr(_OPEN, "paths", None), paths
+    try:
+        yield
+    finally:
+        _OPEN.paths = before
+        for path in paths:
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a table's folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: short lineage, safe from lost executors."""
     path = f"{folder(df.sparkSession)}/quercus-{uuid.uuid4().hex}"
+    if getattr(_OPEN, "paths", None) is not None:
+        _OPEN.paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

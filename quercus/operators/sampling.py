@@ -6,7 +6,7 @@ import itertools
 import math
 import random
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -44,15 +44,30 @@ def without_replacement(df: DataFrame, key: str, share: float, seed: int = 0) ->
     return stratified_split(df.withColumn("_one", F.lit(1)), "_one", key, share, seed).where("train").drop("train", "_one")
 
 
+def taken_poisson(key: str, share: float, seed: int = 0) -> Column:
+    """Whether a row is in a sample that takes each row on its own with probability ``share``, drawn from its key."""
+    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30))
+
+
 def poisson(df: DataFrame, key: str, share: float, seed: int = 0) -> DataFrame:
     """Each row on its own with probability ``share``, drawn from its key."""
-    return df.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    return df.where(taken_poisson(key, share, seed))
+
+
+def chunk(key: str, chunks: int) -> Column:
+    """The number of a row's chunk: the first 28 bits of its key's MD5 digest, modulo ``chunks``, so that any engine finds the same."""
+    return F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 7), 16, 10).cast("long") % chunks
+
+
+def taken_disjoint(key: str, share: float, turn: int) -> Column:
+    """Whether a row is in chunk ``turn`` of a partition into chunks of about ``share``."""
+    chunks = max(1, math.ceil(1 / share))
+    return chunk(key, chunks) == turn % chunks
 
 
 def disjoint(df: DataFrame, key: str, share: float, turn: int) -> DataFrame:
     """Chunk ``turn`` of a partition of the rows into chunks of about ``share``."""
-    chunks = max(1, math.ceil(1 / share))
-    return df.where(F.pmod(F.xxhash64(key), F.lit(chunks)) == turn % chunks)
+    return df.where(taken_disjoint(key, share, turn))
 
 
 def columns(n: int, fraction: float, seed: int) -> list[int]:

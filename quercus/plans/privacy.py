@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The orders at which curves are evaluated.
 ORDERS = [1.25, 1.5, 1.75, 2.0, 2.25, 2.5, 3.0, 3.5, 4.0, 4.5, *map(float, range(5, 64)), 128.0, 256.0, 512.0]
@@ -25,6 +26,15 @@ def epsilon_of(curve: list[float], delta: float, orders: list[float] = ORDERS) -
     return max(0.0, min(r + _cost(a, delta) for a, r in zip(orders, curve)))
 
 
+def epsilon_column(rho: Column, delta: float, orders: list[float] = ORDERS) -> Column:
+    """The epsilon at ``delta`` of Gaussian mechanisms whose 1 / (2 sigma^2) sum up to ``rho``, row by row; nothing asked costs nothing.
+
+    Mechanisms of different noise compose by adding their curves, each of which is its order times 1 / (2 sigma^2).
+    """
+    curve = F.transform(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(_cost(a, delta)).alias("c")) for a in orders]), lambda o: o["a"] * rho + o["c"])
+    return F.when(rho > 0, F.greatest(F.array_min(curve), F.lit(0.0))).otherwise(F.lit(0.0))
+
+
 def sigma_for(epsilon: float, queries: float, delta: float, orders: list[float] = ORDERS) -> float:
     """The least noise for which ``queries`` unit-sensitivity mechanisms stay within (epsilon, delta)."""
     fits = [math.sqrt(queries * a / (2 * (epsilon - c))) for a in orders if epsilon > (c := _cost(a, delta))]
@@ -101,6 +111,14 @@ class Accountant:
             return self.grad_clip, 1.0
         return 1.0, 0.25 if self.update == "xgboost" else 1.0
 
+    def bounds(self) -> tuple[tuple[float, float], tuple[float, float]]:
+        """The ranges of a row's gradient and hessian."""
+        if self.forest:
+            return (0.0, 1.0), (1.0, 1.0)
+        if self.task == "regression":
+            return (-self.grad_clip, self.grad_clip), (1.0, 1.0)
+        return (-1.0, 1.0), (0.0, 0.25) if self.update == "xgboost" else (1.0, 1.0)
+
     def methods(self) -> list[str]:
         """The split method of every level."""
         if self.split_method == "hybrid_random":
@@ -141,10 +159,13 @@ class Accountant:
         parts = trees[tree] * self.num_trees * share * asked * (1 if self.vector else self.gradient_budgets[kind] * 2)
         return self.sigma() / math.sqrt(parts)
 
-    def check(self) -> float:
-        """The epsilon that all queries together spend at ``delta``, by composing their curves; at most what was given."""
-        asked = [(self.sigma_at(t, d, k), 1) for t in range(self.num_trees) for d, b in enumerate(self.levels()) if b for k in ((0,) if self.vector else (0, 1))]
-        per = self.queries() * (self.subsample if self.sample == "disjoint" else 1) / len(asked)
+    def check(self, trees: int | None = None) -> float:
+        """The epsilon that all queries (or those of the first ``trees`` trees) together spend at ``delta``, by composing their curves; at most what was given."""
+        asked = [(self.sigma_at(t, d, k), 1) for t in range(self.num_trees if trees is None else min(trees, self.num_trees)) for d, b in enumerate(self.levels()) if b for k in ((0,) if self.vector else (0, 1))]
+        if not asked:
+            return 0.0
+        every = self.num_trees * sum(b > 0 for b in self.levels()) * (1 if self.vector else 2)
+        per = self.queries() * (self.subsample if self.sample == "disjoint" else 1) / every
         if self.sample == "poisson" and self.subsample < 1:
             orders = list(map(float, range(2, 128)))
             curve = [sum(per * subsampled_rdp(s, self.subsample, int(a)) for s, _ in asked) for a in orders]
@@ -163,6 +184,7 @@ class Accountant:
         return (both * sg, both * sg) if self.vector else (g * sg, h * sh)
 
     def table(self, spark: SparkSession) -> DataFrame:
-        """(tree, level, kind, share, sigma), one row for each component of the budget."""
-        rows = [(t, d, kind, share / self.num_trees / 2, self.sigma() if share else 0.0) for t in range(self.num_trees) for d, share in enumerate(self.levels()) for kind in ("gradient", "hessian")]
+        """(tree, level, kind, share, sigma), one row for each component of the budget: what a training run draws its noise by."""
+        trees = self.tree_budgets or (1 / self.num_trees,) * self.num_trees
+        rows = [(t, d, kind, share * trees[t] * self.gradient_budgets[k], self.sigma_at(t, d, k)) for t in range(self.num_trees) for d, share in enumerate(self.levels()) for k, kind in enumerate(("gradient", "hessian"))]
         return spark.createDataFrame(rows, "tree int, level int, kind string, share double, sigma double")

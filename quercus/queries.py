@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .functions.gains import forest_value, gain, leaf_value
 from .functions.losses import log_loss, sigmoid, softmax, softmax_cross_entropy
-from .operators import binning, candidates, local_privacy, metrics, ordering, private_quantiles, sampling
-from .plans import analytics, privacy, trees
+from .operators import binning, candidates, local_privacy, metrics, ordering, private_quantiles, sampling, summaries
+from .plans import analytics, privacy, sweeps, trees
 from .sources import datasets
 
 QUERIES: dict = {}
@@ -112,7 +112,7 @@ def _sql_boosted(ys: list[str], depth: int, rounds: int = 1, base: str = "", n:
     return [*out, f"nodes AS ({' UNION ALL '.join(tables)})"]
 
 
-_NODES = "SELECT class_id::INT AS class_id, tree_id::INT AS tree_id, depth || '_' || num AS node_id, depth::INT AS depth, num::INT AS num, feature::INT AS feature, round(threshold, 6) AS threshold, round(value, 8) AS value, round(gain, 5) AS gain, round(g, 6) AS g, round(h, 6) AS h FROM nodes"
+_NODES = "SELECT class_id::INT AS class_id, tree_id::INT AS tree_id, depth || '_' || num AS node_id, depth::INT AS depth, num::INT AS num, feature::INT AS feature, round(threshold, 6) + 0.0 AS threshold, round(value, 8) + 0.0 AS value, round(gain, 5) + 0.0 AS gain, round(g, 6) + 0.0 AS g, round(h, 6) + 0.0 AS h FROM nodes"
 
 
 def _sql_trees(depth: int, rounds: int = 1, estimator: str | None = None) -> str:
@@ -120,8 +120,8 @@ def _sql_trees(depth: int, rounds: int = 1, estimator: str | None = None) -> str
 
 
 def _nodes(spark: SparkSession, model) -> DataFrame:
-    """A model's nodes, rounded."""
-    return model.table(spark).withColumns({c: F.round(c, k) for c, k in (("threshold", 6), ("value", 8), ("gain", 5), ("g", 6), ("h", 6))})
+    """A model's nodes, rounded; a sum of 0 has no sign."""
+    return model.table(spark).withColumns({c: F.round(c, k) + F.lit(0.0) for c, k in (("threshold", 6), ("value", 8), ("gain", 5), ("g", 6), ("h", 6))})
 
 
 _BASE = f"WITH {_T}, {_U}, {_C}, {_B}, {_H}"
@@ -300,6 +300,69 @@ def cand_adaptive_hessian(spark, d):
     return _cands(spark, {f: candidates.hessian_refined(cands[f], per[j], mean, Q) for j, f in enumerate(FEATURES)})
 
 
+# --- stored summaries and sparse rows --------------------------------------------------------------------------------
+@query("SELECT ts::DATE AS day, 'value' AS feature, count(value) FILTER (NOT isnan(value)) AS n, count(*) - count(value) FILTER (NOT isnan(value)) AS missing, min(value) FILTER (NOT isnan(value)) AS lo, max(value) FILTER (NOT isnan(value)) AS hi FROM events GROUP BY 1")
+def daily_summaries(spark, d):
+    """A summary for each day, as it is stored; the sketch itself has no SQL."""
+    return summaries.summarised(_table(spark, d, "events"), ["value"], [F.to_date("ts").alias("day")]).drop("sketch")
+
+
+@query(f"WITH {_E} SELECT i::INT AS i, (SELECT count(*) FROM e) AS n, true AS near FROM range(32) z(i)")
+def merged_summary_thresholds(spark, d):
+    """Thresholds from daily summaries that were written and merged, held against exact ranks: within twice the stated rank error."""
+    e, path = _table(spark, d, "events"), f"{ordering.folder(spark)}/summaries-{uuid.uuid4().hex}"
+    summaries.append(summaries.summarised(e, ["value"], [F.to_date("ts").alias("day")]), path)
+    found = summaries.thresholds(summaries.merged(summaries.read(spark, path)), Q)
+    x = e.select(F.col("value").alias("x")).where("x is not null and not isnan(x)")
+    exact = x.join(F.broadcast(found), F.lit(True)).groupBy("i").agg(F.count_if(F.col("x") < F.col("v")).alias("below"), F.count_if(F.col("x") <= F.col("v")).alias("upto"), F.count("*").alias("n"))  # 32 thresholds against all rows
+    at, slack = (F.col("i") + 1) / Q * F.col("n"), 2 * summaries.ERROR * F.col("n") + 1
+    return exact.select("i", "n", ((F.col("below") <= at + slack) & (F.col("upto") >= at - slack)).alias("near"))
+
+
+_KINDS = ["click", "error", "purchase", "signup", "view"]
+
+
+def _sparse_rows(spark, d) -> DataFrame:
+    """Four events each as a map from the number of an event type to the sum of its values, what is 0 left out; y tells whether one was a purchase."""
+    kind = F.array_position(F.array(*map(F.lit, _KINDS)), F.col("event_type")).cast("int")
+    e = _table(spark, d, "events").select(F.floor(F.col("event_id") / 4).alias("r"), kind.alias("k"), F.when(~F.isnan("value"), F.floor("value") - 30).cast("double").alias("v"))
+    sums = e.where("k > 0").groupBy("r", "k").agg(F.sum("v").alias("v")).where("v <> 0")
+    maps = sums.groupBy("r").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("x"))  # one entry an event type
+    return e.groupBy("r").agg(F.max((F.col("k") == 3).cast("int")).alias("y")).join(maps, "r", "left")
+
+
+_DENSE = "ev AS (SELECT event_id // 4 AS r, event_type, value FROM events), n AS (SELECT r, event_type, sum(floor(value) - 30) FILTER (NOT isnan(value)) AS v FROM ev GROUP BY ALL), s AS (SELECT r, max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS y FROM ev GROUP BY 1), ty AS (SELECT * FROM (VALUES " + ", ".join(f"({i + 1}, '{k}')" for i, k in enumerate(_KINDS)) + ") v(k, event_type)), dn AS (SELECT r, k, coalesce(v, 0) AS x, y FROM s CROSS JOIN ty LEFT JOIN n USING (r, event_type))"
+_CUTS = {i + 1: [-40.0, -10.0, 0.0, 15.0, 60.0] for i in range(len(_KINDS))}
+
+
+@query(f"WITH {_DENSE} SELECT k::INT AS feature, len(list_filter([{', '.join(map(str, _CUTS[1]))}]::DOUBLE[], lambda v: v + 1e-11 <= x))::INT AS bin, sum(0.5 - y)::DOUBLE AS g, sum(0.25)::DOUBLE AS h, count(*) AS n FROM dn GROUP BY ALL")
+def sparse_histogram(spark, d):
+    """Histogram of sparse rows; zeros are a node's totals less what is stored."""
+    return summaries.sparse_histogram(_sparse_rows(spark, d), "x", _CUTS, 0.5 - F.col("y"), F.lit(0.25)).drop("node")
+
+
+@query(f"WITH {_DENSE} SELECT k::INT AS feature, count(*) AS n, count(*) FILTER (x <> 0) AS stored, 0::BIGINT AS missing, min(x) AS lo, max(x) AS hi FROM dn GROUP BY k HAVING count(*) FILTER (x <> 0) > 0")
+def sparse_summaries(spark, d):
+    return summaries.sparse_summarised(_sparse_rows(spark, d), "x").drop("sketch")
+
+
+@query(f"WITH {_DENSE}, o AS (SELECT k, x, row_number() OVER (PARTITION BY k ORDER BY x) AS r, count(*) OVER (PARTITION BY k) AS n FROM dn WHERE k IN (SELECT k FROM dn WHERE x <> 0)) SELECT k::INT AS feature, z.q::DOUBLE AS q, x AS value FROM o, (SELECT unnest([0.1, 0.25, 0.5, 0.75, 0.9]) AS q) z WHERE r = greatest(1, ceil(z.q::DOUBLE * n))")
+def sparse_quantiles(spark, d):
+    """Quantiles of sparse rows from sketches that hold all of these tables' values (so they are exact here) and the mass at 0."""
+    s = summaries.sparse_summarised(_sparse_rows(spark, d), "x", error=0.0002)
+    return s.select("feature", F.explode(F.array(*[F.struct(F.lit(q).alias("q"), summaries.quantile(q).alias("value")) for q in (0.1, 0.25, 0.5, 0.75, 0.9)])).alias("z")).select("feature", "z.*")
+
+
+@query(f"WITH {_DENSE} SELECT r, sum(b)::BIGINT AS total FROM (SELECT r, len(list_filter([{', '.join(map(str, _CUTS[1][:-1]))}]::DOUBLE[], lambda v: v < x)) AS b FROM dn) GROUP BY 1")
+def sparse_to_bins(spark, d):
+    """Stored values become right-closed bins; a row's bins are summed, those of implied zeros too."""
+    zeros = summaries.zero_bins(_CUTS)
+    bins = summaries.sparse_converted(_sparse_rows(spark, d), "x", _CUTS)
+    held = F.aggregate(F.map_values(F.coalesce("x", F.create_map().cast("map<int,double>"))), F.lit(0.0), lambda s, v: s + v)
+    implied = sum((F.when(F.coalesce(F.map_contains_key("x", F.lit(k)), F.lit(False)), 0).otherwise(z) for k, z in zeros.items()), F.lit(0))
+    return bins.select("r", (held + implied).cast("long").alias("total"))
+
+
 # --- binning, supervised bins ----------------------------------------------------------------------------------------
 @query(f"WITH {_T}, {_U}, {_C}, {_B} SELECT feature, bin::INT AS bin, count(*) AS n FROM b GROUP BY ALL")
 def bin_digitize(spark, d):
@@ -470,6 +533,74 @@ def batched_boosting(spark, d):
     return _model(spark, d, num_trees=5, max_depth=3, split_method="totally_random", training_method="batched_boosting", batched_update_size=2).table(spark)
 
 
+def _sql_forest(n: int, depth: int) -> str:
+    """Trees of a forest, each on its chunk of the orders' keys."""
+    chunk = f"('0x' || substr(md5(l_orderkey::VARCHAR), 1, 7))::BIGINT % {n}"
+    out = [f"{_T.replace('FROM lineitem', f', l_orderkey, l_linenumber, {chunk} AS chunk FROM lineitem')}, {_U}, {_C}", "r AS MATERIALIZED (SELECT row_number() OVER () AS rid, * FROM t)"]
+    for t in range(n):
+        out.append(f"g{t} AS MATERIALIZED (SELECT rid, f0, f1, f2, f3, y::DOUBLE AS g, 1.0::DOUBLE AS h FROM r WHERE chunk = {t})")
+        out += _sql_tree(f"p{t}_", f"g{t}", depth)
+    value = "CASE WHEN feature IS NOT NULL THEN NULL WHEN h <= 0 THEN 0.5 WHEN g <= 0 THEN 0.0 ELSE least(g / h, 1.0) END AS value"
+    return "WITH " + ", ".join(out) + f", nodes AS ({' UNION ALL '.join(f'SELECT 0 AS class_id, {t} AS tree_id, * REPLACE ({value}) FROM p{t}_n' for t in range(n))})"
+
+
+def _forest(spark, d, n: int, depth: int) -> trees.Model:
+    p = trees.Params(num_trees=n, max_depth=depth, training_method="rf", row_sample_method="disjoint", subsample=1 / n)
+    return trees.fit(_table(spark, d, "lineitem").select(*FEATURES, "l_orderkey", (F.col("l_returnflag") == "R").cast("int").alias("y")), FEATURES, "y", "l_orderkey", p)
+
+
+@query(f"{_sql_forest(4, 3)} {_NODES}")
+def histogram_forest(spark, d):
+    """Four trees on disjoint chunks of the rows, grown side by side: one aggregate a level."""
+    return _nodes(spark, _forest(spark, d, 4, 3))
+
+
+@query(f"{_sql_trees(3)}, x AS (SELECT kind, level, direction, rounds, bytes FROM (SELECT 'candidates' AS kind, 0 AS level, 'sent' AS direction, 1 AS rounds, 8 * (SELECT count(*) FROM k) AS bytes UNION ALL SELECT 'histogram', depth, 'sent', 1, 16 * {4 * (Q + 1)} * count(*) FROM nodes WHERE depth < 3 GROUP BY depth UNION ALL SELECT 'splits', depth, 'received', 1, 16 * count(*) FROM nodes WHERE feature IS NOT NULL GROUP BY depth)) SELECT kind, level::INT AS level, direction, rounds::BIGINT AS rounds, bytes::BIGINT AS bytes FROM x")
+def communication_log(spark, d):
+    """What growing a tree told, as it was written down while growing."""
+    return _model(spark, d, max_depth=3).told(spark).select("kind", "level", "direction", "rounds", "bytes")
+
+
+@query(f"{_sql_trees(2, 3)}, e AS (SELECT tree_id, 'sent' AS direction, count(DISTINCT depth) AS rounds, 16 * {4 * (Q + 1)} * count(*) AS bytes FROM nodes WHERE depth < 2 GROUP BY tree_id UNION ALL SELECT tree_id, 'received', count(DISTINCT depth), 16 * count(*) FROM nodes WHERE feature IS NOT NULL GROUP BY tree_id) SELECT direction, " + ", ".join(f"avg({c})::DOUBLE AS avg_{c}, round(stddev_pop({c}), 6) AS std_{c}, min({c})::BIGINT AS min_{c}, max({c})::BIGINT AS max_{c}, sum({c})::BIGINT AS total_{c}" for c in ("rounds", "bytes")) + " FROM e GROUP BY direction")
+def communication_stats(spark, d):
+    """Mean, deviation, least, most and sum of rounds and bytes over three boosted trees, by direction."""
+    log = _model(spark, d, num_trees=3, max_depth=2).told(spark)
+    return trees.told_stats(log).withColumns({f"std_{c}": F.round(f"std_{c}", 6) for c in ("rounds", "bytes")})
+
+
+@query(f"{_sql_trees(3)} SELECT feature::INT AS feature, depth::INT AS depth, round(sum(gain), 5) AS gain, round(sum(h), 6) AS cover, count(*) AS splits FROM nodes WHERE feature IS NOT NULL GROUP BY ALL")
+def feature_importance_by_depth(spark, d):
+    return _model(spark, d, max_depth=3).importance_by_depth(spark).withColumns({"gain": F.round("gain", 5), "cover": F.round("cover", 6)})
+
+
+def _sql_parts(n: int, depth: int, rounds: int, out: str) -> str:
+    """Boosted trees on each of ``n`` parts of the orders' keys: the nodes of part i in nodes{i}."""
+    chunk = f"('0x' || substr(md5(l_orderkey::VARCHAR), 1, 7))::BIGINT % {n}"
+    ctes = [f"{_T.replace('FROM lineitem', f', {chunk} AS part FROM lineitem')}, {_U.replace('y FROM t', 'y, part FROM t')}"]
+    for i in range(n):
+        names = {"ks": f"ks{i}", "k": f"k{i}"}
+        ctes.append(f"u{i} AS (SELECT * FROM u WHERE part = {i}), " + _C.replace("c AS (", f"c{i} AS (").replace("FROM u ", f"FROM u{i} ").replace(", k AS (", f", k{i} AS (").replace("FROM c,", f"FROM c{i},").replace(", ks AS (", f", ks{i} AS (").replace("FROM k ", f"FROM k{i} "))
+        for cte in _sql_boosted(["y"], depth, rounds):
+            cte = cte.replace("FROM t)", f"FROM t WHERE part = {i})")
+            for a in ("ks", "k"):
+                cte = cte.replace(f"JOIN {a} ", f"JOIN {names[a]} ").replace(f"FROM {a})", f"FROM {names[a]})")
+            for a in ("q0_", "g0_", "x0_"):
+                cte = cte.replace(a, f"{a[0]}{i}p_")
+            cte = cte.replace("FROM r JOIN", f"FROM r{i} JOIN").replace("rid, 0.0::DOUBLE AS m FROM r)", f"rid, 0.0::DOUBLE AS m FROM r{i})")
+            ctes.append(cte.replace("SELECT r.*", f"SELECT r{i}.*").replace("r AS MATERIALIZED (SELECT row", f"r{i} AS MATERIALIZED (SELECT row").replace("nodes AS (", f"nodes{i} AS ("))
+    return "WITH " + ", ".join(ctes) + " " + out
+
+
+@query(_sql_parts(2, 2, 2, " UNION ALL ".join(f"SELECT {i} AS part, {_NODES[7:].replace('FROM nodes', f'FROM nodes{i}')}" for i in range(2))))
+def retrained_on_halves(spark, d):
+    """Boosting that stops early on one half of the orders, and as many trees on the other; scoring averages both."""
+    df = _table(spark, d, "lineitem").select(*FEATURES, "l_orderkey", (F.col("l_returnflag") == "R").cast("int").alias("y"))
+    p = trees.Params(num_trees=5, max_depth=2, early_stopping="average_retrain", es_threshold=1e9, es_window=1)
+    first, second = trees.fit(df, FEATURES, "y", "l_orderkey", p).parts
+    both = [_nodes(spark, m).withColumn("part", F.lit(i)) for i, m in enumerate((first, second))]
+    return both[0].unionByName(both[1])
+
+
 _MULTI = _T.replace("CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y", "ascii(l_returnflag) % 3 AS y")
 
 
@@ -483,7 +614,7 @@ def multiclass_one_vs_rest(spark, d):
 def regression_first_tree(spark, d):
     df = _table(spark, d, "lineitem").select("l_quantity", "l_discount", (F.col("l_extendedprice") / 50000).alias("y"))
     m = trees.fit(df, ["l_quantity", "l_discount"], "y", params=trees.Params(num_trees=1, max_depth=3, task="regression"))
-    return _nodes(spark, m).withColumns({"g": F.round("g", 4), "gain": F.round("gain", 3)})
+    return _nodes(spark, m).withColumns({"g": F.round("g", 4) + F.lit(0.0), "gain": F.round("gain", 3) + F.lit(0.0)})
 
 
 # --- noise and budgets -----------------------------------------------------------------------------------------------
@@ -507,52 +638,104 @@ def private_trees(spark, d):
     return _model(spark, d, num_trees=2, max_depth=3, **{k: v for k, v in trees.PRESETS["hist_newton"].items() if k != "max_depth"}).table(spark)
 
 
+@query(f"WITH {_T} SELECT round(avg(0.5 - y), 6)::DOUBLE AS mean, true AS near, true AS perturbed FROM t")
+def mean_mechanism_gradients(spark, d):
+    """Gradients as rows report them by the hybrid mechanism: their mean is near the true one, though hardly a report equals its gradient."""
+    df = _train(spark, d).select("y", F.monotonically_increasing_id().alias("_key")).withColumns({"g": 0.5 - F.col("y"), "h": F.lit(0.25)})
+    account = privacy.Accountant(epsilon=8.0, num_trees=2)
+    told = trees._perturbed(df, trees.Params(dp_method="mean_mech_ldp"), account, "0/0/0").withColumn("own", 0.5 - F.col("y"))
+    s = told.agg(F.avg("own").alias("mean"), F.avg("g").alias("m"), F.stddev("g").alias("s"), F.count("*").alias("n"), F.avg((F.abs(F.col("g") - F.col("own")) < 1e-9).cast("double")).alias("same"))
+    return s.select(F.round("mean", 6).alias("mean"), (F.abs(F.col("m") - F.col("mean")) < 6 * F.col("s") / F.sqrt("n")).alias("near"), (F.col("same") < 0.5).alias("perturbed"))
+
+
+@query()
+def mean_mechanism_trees(spark, d):
+    """Two trees whose rows report by the hybrid mechanism; sums are tested against the plain run's."""
+    return _model(spark, d, num_trees=2, max_depth=3, dp_method="mean_mech_ldp", epsilon=8.0).table(spark)
+
+
 _ORDERS = "[" + ", ".join(f"{a}::DOUBLE" for a in privacy.ORDERS) + "]"
 
 
-@query(f"SELECT a AS ord, round(100 * a / (2 * 40.0 * 40.0), 8) AS rdp FROM (SELECT unnest({_ORDERS}) AS a)")
+@query(f"SELECT user_id, a AS ord, round(n * a / (2 * 40.0 * 40.0), 10) AS rdp FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1), (SELECT unnest({_ORDERS}) AS a)")
 def rdp_curve(spark, d):
-    return spark.createDataFrame([(a, r) for a, r in zip(privacy.ORDERS, privacy.rdp(40.0, 100))], "ord double, rdp double").withColumn("rdp", F.round("rdp", 8))
+    """Each user's Renyi curve, where every event is a Gaussian query about its user."""
+    n = _table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"))
+    each = F.explode(F.array(*[F.struct(F.lit(a).alias("ord"), F.lit(r).alias("one")) for a, r in zip(privacy.ORDERS, privacy.rdp(40.0, 1))])).alias("o")
+    return n.select("user_id", "n", each).select("user_id", "o.ord", F.round(F.col("n") * F.col("o.one"), 10).alias("rdp"))
 
 
-@query(f"WITH o AS (SELECT unnest({_ORDERS}) AS a), q AS (SELECT * FROM (VALUES (1.0, 600, 1e-5), (1.0, 100, 1e-5), (0.5, 100, 1e-6), (0.1, 50, 1e-5)) v(epsilon, queries, delta)), c AS (SELECT *, ln(1 - 1 / a) - ln(delta * a) / (a - 1) AS cost FROM q, o) SELECT epsilon::DOUBLE AS epsilon, queries::INT AS queries, round(min(sqrt(queries * a / (2 * (epsilon::DOUBLE - cost)))), 6) AS sigma FROM c WHERE epsilon > cost GROUP BY epsilon, queries, delta")
+@query(f"SELECT user_id, round(greatest(0, min(a * n / (2 * 40.0 * 40.0) + ln(1 - 1 / a) - ln(1e-5 * a) / (a - 1))), 6) AS epsilon FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1), (SELECT unnest({_ORDERS}) AS a) GROUP BY user_id")
+def epsilon_by_user(spark, d):
+    """What those queries spent on each user."""
+    n = _table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"))
+    return n.select("user_id", F.round(privacy.epsilon_column(F.col("n") / (2 * 40.0 * 40.0), 1e-5), 6).alias("epsilon"))
+
+
+#: Rows of the training table, by which delta is 1 / n.
+_N = "n AS (SELECT count(*)::DOUBLE AS rows FROM lineitem)"
+
+
+def _delta(spark, d) -> float:
+    return 1 / _table(spark, d, "lineitem").count()
+
+
+@query(f"WITH o AS (SELECT unnest({_ORDERS}) AS a), {_N}, q AS (SELECT epsilon, queries, 1 / rows AS delta FROM (VALUES (1.0, 600), (1.0, 100), (0.5, 100), (0.1, 50)) v(epsilon, queries), n), c AS (SELECT *, ln(1 - 1 / a) - ln(delta * a) / (a - 1) AS cost FROM q, o) SELECT epsilon::DOUBLE AS epsilon, queries::INT AS queries, round(min(sqrt(queries * a / (2 * (epsilon::DOUBLE - cost)))), 6) AS sigma FROM c WHERE epsilon > cost GROUP BY epsilon, queries, delta")
 def sigma_closed_form(spark, d):
-    grid = [(1.0, 600, 1e-5), (1.0, 100, 1e-5), (0.5, 100, 1e-6), (0.1, 50, 1e-5)]
-    return spark.createDataFrame([(e, q, round(privacy.sigma_for(e, q, dl), 6)) for e, q, dl in grid], "epsilon double, queries int, sigma double")
+    """Noise of runs over the training table, delta being one over its rows."""
+    delta, grid = _delta(spark, d), [(1.0, 600), (1.0, 100), (0.5, 100), (0.1, 50)]
+    return spark.createDataFrame([(e, q, round(privacy.sigma_for(e, q, delta), 6)) for e, q in grid], "epsilon double, queries int, sigma double")
 
 
-@query("SELECT t::INT AS tree, l::INT AS level, kind, round(1.0 / 3 / 2 / 2, 8) AS share FROM range(2) a(t), range(3) b(l), (VALUES ('gradient'), ('hessian')) k(kind)")
+@query(f"WITH {_N}, o AS (SELECT unnest({_ORDERS}) AS a), c AS (SELECT a, ln(1 - 1 / a) - ln(a / rows) / (a - 1) AS cost FROM o, n), s AS (SELECT min(sqrt(12 * a / (2 * (1 - cost)))) AS sigma FROM c WHERE cost < 1) SELECT t::INT AS tree, l::INT AS level, kind, round(ts / 3 * ks, 8) AS share, round(sigma / sqrt(ts * 2 * ks * 2), 6) AS sigma FROM (VALUES (0, 0.7::DOUBLE), (1, 0.3::DOUBLE)) a(t, ts), range(3) b(l), (VALUES ('gradient', 0.6::DOUBLE), ('hessian', 0.4::DOUBLE)) k(kind, ks), s")
 def budget_allocation(spark, d):
-    return privacy.Accountant(num_trees=2, max_depth=3).table(spark).select("tree", "level", "kind", F.round("share", 8).alias("share"))
+    """Shares and noise of trees, levels and kinds of queries, as a run over the training table draws them."""
+    account = privacy.Accountant(1.0, _delta(spark, d), num_trees=2, max_depth=3, tree_budgets=(0.7, 0.3), gradient_budgets=(0.6, 0.4))
+    return account.table(spark).select("tree", "level", "kind", F.round("share", 8).alias("share"), F.round("sigma", 6).alias("sigma"))
 
 
-@query("SELECT 'basic' AS method, round(100 * sqrt(2 * ln(1.25 * 100 / 1e-5)), 6) AS sigma")
+@query(f"WITH {_N} SELECT 'basic' AS method, round(100 * sqrt(2 * ln(1.25 * 100 * rows)), 6) AS sigma FROM n UNION ALL SELECT 'advanced', round(sqrt(2 * ln(1.25 * 2 * 100 * rows)) / (1 / (2 * sqrt(2 * 100 * ln(2 * 100 * rows)))), 6) FROM n")
 def composition_basic(spark, d):
-    return spark.createDataFrame([("basic", round(privacy.sigma_by("basic", 1.0, 1e-5, 100), 6))], "method string, sigma double")
+    """Noise of a hundred queries of the training table by basic and by advanced composition."""
+    delta = _delta(spark, d)
+    return spark.createDataFrame([(m, round(privacy.sigma_by(m, 1.0, delta, 100), 6)) for m in ("basic", "advanced")], "method string, sigma double")
 
 
 def _sql_spent() -> str:
-    cost = f"(ln(1 - 1 / a) - ln(1e-5 * a) / (a - 1))"
-    return f"WITH o AS (SELECT unnest({_ORDERS}) AS a), q AS (SELECT * FROM (VALUES (1.0::DOUBLE, 600), (0.5::DOUBLE, 100)) v(epsilon, n)), s AS (SELECT epsilon, n, min(sqrt(n * a / (2 * (epsilon - {cost})))) AS sigma FROM q, o WHERE epsilon > {cost} GROUP BY ALL) SELECT epsilon, n::INT AS queries, round(min(n * a / (2 * sigma * sigma) + {cost}), 6) AS spent FROM s, o GROUP BY ALL"
+    cost = "(ln(1 - 1 / a) - ln(a / rows) / (a - 1))"
+    return f"WITH {_N}, o AS (SELECT unnest({_ORDERS}) AS a, rows FROM n), q AS (SELECT * FROM (VALUES (1.0::DOUBLE, 600), (0.5::DOUBLE, 100)) v(epsilon, n)), s AS (SELECT epsilon, n, min(sqrt(n * a / (2 * (epsilon - {cost})))) AS sigma FROM q, o WHERE epsilon > {cost} GROUP BY ALL) SELECT epsilon, n::INT AS queries, round(min(n * a / (2 * sigma * sigma) + {cost}), 6) AS spent FROM s, o GROUP BY ALL"
 
 
 @query(_sql_spent())
 def composition_check(spark, d):
-    """What all queries of a run spend together, composed again."""
-    runs = [privacy.Accountant(1.0, 1e-5, 15, 5, features_per_tree=4), privacy.Accountant(0.5, 1e-5, 10, 5, features_per_tree=1)]
+    """What all queries of a run over the training table spend together, composed again."""
+    delta = _delta(spark, d)
+    runs = [privacy.Accountant(1.0, delta, 15, 5, features_per_tree=4), privacy.Accountant(0.5, delta, 10, 5, features_per_tree=1)]
     return spark.createDataFrame([(a.epsilon, a.queries(), round(a.check(), 6)) for a in runs], "epsilon double, queries int, spent double")
 
 
 @query("SELECT l_orderkey, sum(CASE WHEN l_quantity <= 25 THEN 3 ELSE 2 END * 8)::BIGINT AS queries FROM lineitem GROUP BY 1")
 def ledger_counts(spark, d):
     """Queries that each order's rows took part in while a tree was grown: two for every feature at every node examined."""
-    return trees.ledger(_table(spark, d, "lineitem"), _stump(), "l_orderkey", privacy.Accountant(features_per_tree=4))
+    return trees.ledger(_table(spark, d, "lineitem"), _stump(), "l_orderkey", privacy.Accountant(features_per_tree=4)).select("l_orderkey", "queries")
+
+
+_COST = "(ln(1 - 1 / a) - ln(1e-5 * a) / (a - 1))"
+
+
+@query(f"{_sql_forest(2, 2)}, q AS (SELECT l_orderkey, 8 * count(*) AS queries FROM ({' UNION ALL '.join(f'SELECT rid FROM p{t}_w{depth}' for t in range(2) for depth in range(2))}) JOIN r USING (rid) GROUP BY 1), o AS (SELECT unnest({_ORDERS}) AS a), s AS (SELECT min(sqrt(16 * a / (2 * (1 - {_COST})))) AS sigma FROM o WHERE 1 > {_COST}), z AS (SELECT l_orderkey, queries, queries / (2 * sigma * sigma) AS rho FROM q, s) SELECT l_orderkey, queries::BIGINT AS queries, round(rho, 8) AS rho, round(greatest(0, min(a * rho + {_COST})), 6) AS epsilon FROM z, o GROUP BY l_orderkey, queries, rho")
+def privacy_ledger(spark, d):
+    """What each order's rows spent in a forest whose trees see disjoint chunks of the orders: queries, rho and epsilon."""
+    account = privacy.Accountant(1.0, 1e-5, 2, 2, features_per_tree=4, sample="disjoint", subsample=0.5)
+    spent = trees.ledger(_table(spark, d, "lineitem"), _forest(spark, d, 2, 2), "l_orderkey", account)
+    return spent.select("l_orderkey", "queries", F.round("rho", 8).alias("rho"), F.round("epsilon", 6).alias("epsilon"))
 
 
 @query()
 def composed_epsilon(spark, d):
-    """The epsilon each of k mechanisms may have; tested in bounds."""
-    return spark.createDataFrame([(k, private_quantiles.composed_epsilon(1.0, 1e-5, k)) for k in (1, 5, 10)], "k int, epsilon double")
+    """The epsilon that each quantile may have, where one is asked of every type of event; tested against the theorem's condition."""
+    e = _table(spark, d, "events").agg(F.count_distinct("event_type").alias("k"), F.count("*").alias("n")).first()
+    return spark.createDataFrame([(k, private_quantiles.composed_epsilon(1.0, 1 / e["n"], k)) for k in (1, e["k"], 2 * e["k"])], "k int, epsilon double")
 
 
 # --- scoring and metrics ---------------------------------------------------------------------------------------------
@@ -850,9 +1033,19 @@ def grid_round(spark, d):
     return _table(spark, d, "lineitem").groupBy(F.round(analytics.on_grid(F.col("l_discount"), 0.05), 6).alias("cell")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT a AS trees, b AS depth, c AS method FROM (VALUES ('25'), ('50')) x(a), (VALUES ('2'), ('4')) y(b), (VALUES ('tr'), ('hist')) z(c)")
+@query("SELECT DISTINCT event_type AS dataset, a AS trees, b AS depth, c AS method FROM events, (VALUES ('25'), ('50')) x(a), (VALUES ('2'), ('4')) y(b), (VALUES ('tr'), ('hist')) z(c)")
 def grid_cross_product(spark, d):
-    return analytics.grid(spark, trees=[25, 50], depth=[2, 4], method=["tr", "hist"])
+    """Settings for every dataset of a table."""
+    datasets_ = _table(spark, d, "events").select(F.col("event_type").alias("dataset")).distinct()
+    return datasets_.join(F.broadcast(analytics.grid(spark, trees=[25, 50], depth=[2, 4], method=["tr", "hist"])))  # eight settings
+
+
+@query(f"{_sql_trees(2, 2)}, e AS (" + " UNION ALL ".join(f"SELECT {k} AS trees, m AS s, y FROM x0_{k} JOIN r USING (rid)" for k in (1, 2)) + "), d AS (SELECT trees, s, sum(y)::BIGINT AS p, sum(1 - y)::BIGINT AS n FROM e GROUP BY ALL), w AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY trees ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM d) SELECT trees::INT AS trees, round(sum(p * (below + n / 2)) / (sum(p) * sum(n)), 6) AS test_auc, trees * 2::BIGINT + 1 AS rounds_sent FROM w GROUP BY trees")
+def training_sweep(spark, d):
+    """Two settings trained at the same time, a row each."""
+    df, path = _train(spark, d), f"{ordering.folder(spark)}/sweep-{uuid.uuid4().hex}"
+    out = sweeps.train_sweep(df, df, FEATURES, "y", None, [{"num_trees": k, "max_depth": 2} for k in (1, 2)], path, 2)
+    return out.select("trees", F.round("test_auc", 6).alias("test_auc"), "rounds_sent")
 
 
 @query("SELECT CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE o_orderstatus END AS status, count(*) AS n FROM orders GROUP BY 1")

@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quercus.operators import binning, candidates, local_privacy, private_quantiles
-from quercus.plans import analytics, privacy, trees
+from quercus.operators import binning, candidates, local_privacy, ordering, private_quantiles, sampling, summaries
+from quercus.plans import analytics, privacy, sweeps, trees
 from quercus.sources import datasets
 
 
@@ -244,7 +244,7 @@ def test_noise_of_classes_and_sketch_budget(spark):
 
 def test_settings_are_refused(spark):
     df = spark.createDataFrame([(1.0, 0), (2.0, 1)], "x double, y int")
-    for bad in ({"split_method": "best"}, {"hist_estimator_method": "x"}, {"early_stopping": "majority_retrain"}, {"weight_update_method": "signed", "dp_method": "gaussian_cdp"}, {"row_sample_method": "all"}):
+    for bad in ({"split_method": "best"}, {"hist_estimator_method": "x"}, {"early_stopping": "majority"}, {"early_stopping": "average_retrain"}, {"dp_method": "no_such_method"}, {"training_method": "x"}, {"dp_method": "mean_mech_ldp", "sigma": 1.0}, {"weight_update_method": "signed", "dp_method": "gaussian_cdp"}, {"row_sample_method": "all"}):
         with pytest.raises(ValueError):
             trees.fit(df, ["x"], "y", params=trees.Params(**bad))
 
@@ -268,3 +268,233 @@ def test_bins_and_weights(spark):
     got = {r["bin"]: (r["events"], r["others"]) for r in binning.joined_counts(df, labels, "id", "x", binning.bisect_left(F.col("x"), [2.0, 6.0, 10.0])).collect()}
     assert got == {0: (1, 0), 1: (0, 1), 2: (1, 0)}
     assert sorted(r["bin"] for r in binning.shuffled_bins(woe).collect()) == [0, 1]
+
+
+def test_even_bins_equal_digitize(spark):
+    rng = np.random.default_rng(1)
+    for lo, hi, q in ((0.0, 1.0, 32), (-3.7, 1e6, 17), (1e9, 1e9 + 1, 8), (0.1, 0.1, 5), (-1e-9, 1e-9, 6), (5.0, 7.0, 1), (-1e300, 1e300, 9)):
+        cands = candidates.linspace(lo, hi, q)
+        edges = [c + binning.EDGE for c in cands]
+        xs = [*edges, *cands, *np.nextafter(edges, -np.inf), *np.nextafter(edges, np.inf), *rng.uniform(lo, hi, 50), -math.inf, math.inf, lo - 1, hi + 1, math.nan, None]
+        rows = spark.createDataFrame([(i, None if x is None else float(x)) for i, x in enumerate(xs)], "i int, x double")
+        got = [r[0] for r in rows.orderBy("i").select(binning.bin_of(F.col("x"), cands)).collect()]
+        assert got == [sum(e <= x for e in edges) if x is not None and not math.isnan(x) else None for x in xs], (lo, hi, q)
+
+
+def test_summaries_of_parts_merge(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = [(int(d), float(v) if v > -2 else None, float(v) if v < 2 else math.nan) for d, v in zip(rng.integers(0, 9, 20_000), rng.normal(size=20_000))]
+    df, path = spark.createDataFrame(rows, "day int, a double, b double"), f"file://{tmp_path}/s"
+    error = 0.005
+    for days in ((0, 1, 2, 3), (4, 5, 6, 7, 8)):  # written one after the other
+        summaries.append(summaries.summarised(df.where(F.col("day").isin(*days)), ["a", "b"], ["day"], error), path)
+    table = summaries.read(spark, path)
+    assert table.count() == 18 and table.agg(F.sum("n") + F.sum("missing")).first()[0] == 40_000
+    whole = summaries.merged(table)
+    for f, values in (("a", sorted(r[1] for r in rows if r[1] is not None)), ("b", sorted(r[2] for r in rows if not math.isnan(r[2])))):
+        own = whole.where(F.col("feature") == f)
+        r = own.select("n", "lo", "hi", summaries.rank(0.5).alias("rank")).first()
+        assert (r["n"], r["lo"], r["hi"]) == (len(values), values[0], values[-1])
+        assert abs(r["rank"] - np.searchsorted(values, 0.5, "right") / len(values)) < 2 * error
+        found = [t["v"] for t in summaries.thresholds(own, 20).orderBy("i").collect()]
+        assert found == sorted(found) and all(abs(np.searchsorted(values, v) / len(values) - (i + 1) / 20) < 2 * error for i, v in enumerate(found))
+    empty = spark.createDataFrame([(None,), (math.nan,)], "x double")
+    r = summaries.summarised(empty, ["x"]).select("n", "missing", summaries.quantile(0.5).alias("q")).first()
+    assert (r["n"], r["missing"], r["q"]) == (0, 2, None)
+    assert summaries.split_points(empty, ["x"]) == {"x": []}
+
+
+def test_streamed_summaries_equal_batch(spark, data, tmp_path):
+    table = spark.read.parquet(f"{data}/events.parquet")
+    day = F.window("ts", "10 days").alias("w")
+    (tmp_path / "in").mkdir()
+    table.repartition(4).write.mode("overwrite").parquet(f"file://{tmp_path}/in")
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
+    q = summaries.summarised(stream, ["value"], [day]).writeStream.format("memory").queryName("summed").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"file://{tmp_path}/c").start()
+    q.awaitTermination()
+    got = {tuple(r["w"]): (r["n"], r["missing"], r["lo"], r["hi"]) for r in spark.table("summed").collect()}
+    want = {tuple(r["w"]): (r["n"], r["missing"], r["lo"], r["hi"]) for r in summaries.summarised(table.withColumn("ts", F.col("ts").cast("timestamp")), ["value"], [day]).collect()}
+    assert got == want
+    values = np.sort([r["value"] for r in table.select("value").collect() if r["value"] is not None and not math.isnan(r["value"])])
+    for i, v in enumerate(t["v"] for t in summaries.thresholds(summaries.merged(spark.table("summed")), 10).orderBy("i").collect()):
+        assert abs(np.searchsorted(values, v) / len(values) - (i + 1) / 10) < 0.005
+
+
+def _sparse(spark, rng, n, m=4):
+    dense = [[None if rng.random() < 0.05 else float(np.round(rng.normal(), 2)) if rng.random() < 0.4 else 0.0 for _ in range(m)] for _ in range(n)]
+    maps = [{j: (math.nan if v is None else v) for j, v in enumerate(r) if v != 0.0 or rng.random() < 0.1} for r in dense]  # some zeros are stored
+    return dense, maps
+
+
+def test_sparse_rows_equal_dense_ones(spark):
+    rng = np.random.default_rng(7)
+    dense, maps = _sparse(spark, rng, 600)
+    df = spark.createDataFrame([(i, i % 3, float(i % 2), x if i else None) for i, x in enumerate(maps)], "i int, node int, y double, x map<int,double>")
+    dense[0] = [0.0] * 4  # a null map
+    columns = spark.createDataFrame([(i, i % 3, float(i % 2), *r) for i, r in enumerate(dense)], "i int, node int, y double, a double, b double, c double, d double")
+    cands = {j: [-1.0, 0.0, 0.5] if j else [0.3] for j in range(4)}
+    g, h = 0.5 - F.col("y"), F.lit(0.25)
+    got = sorted(map(tuple, summaries.sparse_histogram(df, "x", cands, g, h, F.col("node")).select("node", "feature", "bin", "g", "h", "n").collect()))
+    want = binning.histogram(columns, dict(zip("abcd", cands.values())), g, h, F.col("node")).select("node", "feature", "bin", "g", "h", "n").collect()
+    assert got == sorted(map(tuple, want))
+    s = {r["feature"]: r for r in summaries.sparse_summarised(df, "x").select("*", summaries.quantile([0.05, 0.3, 0.5, 0.9, 1.0]).alias("q")).collect()}
+    t = {r["feature"]: r for r in summaries.summarised(columns, list("abcd")).select("*", summaries.quantile([0.05, 0.3, 0.5, 0.9, 1.0]).alias("q")).collect()}
+    for j, f in enumerate("abcd"):
+        assert all(s[j][c] == t[f][c] for c in ("n", "missing", "lo", "hi", "q")), (s[j], t[f])
+    points = {j: [-0.5, 0.0, 0.7, 9.0] for j in (0, 2)}
+    zero = summaries.zero_bins(points)
+    bins = [r["x"] for r in summaries.sparse_converted(df, "x", points).orderBy("i").collect()]
+    plain = binning.converted(columns, {"a": points[0], "c": points[2]}).orderBy("i").collect()
+    for i, (x, r) in enumerate(zip(bins, plain)):
+        for j, f in ((0, "a"), (2, "c")):
+            assert (x or {}).get(j, zero[j]) == r[f]
+        assert (x or {}).get(1, 0.0) == r["b"] or math.isnan(x[1]) and r["b"] is None
+    weights = {j: [0.1, None, 0.3, 0.4] for j in points}
+    woe = summaries.sparse_converted(df, "x", points, weights).orderBy("i").collect()
+    assert all(r["x"] is None or all(v == (None if b[j] is None else weights[j][int(b[j])]) for j, v in r["x"].items() if j in points) for r, b in zip(woe, bins))
+
+
+def test_zero_mass_of_many_rows(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 10 == 0, F.create_map(F.lit(1), F.col("id") - 1500.0)).alias("x"))
+    for error in (0.001, 0.01):
+        r = summaries.sparse_summarised(df, "x", error=error).select("n", "stored", summaries.quantile([0.02, 0.2, 0.5, 0.98]).alias("q"), summaries.rank(0.0).alias("rank")).first()
+        assert (r["n"], r["stored"]) == (3000, 299) and r["q"][1] == 0.0 and r["q"][2] == 0.0
+        assert abs(r["q"][0] - -900) <= 3000 * 20 * error and abs(r["q"][3] - 890) <= 3000 * 20 * error and abs(r["rank"] - 0.95) < 2 * error + 0.002
+
+
+@pytest.mark.parametrize("settings", [{}, {"row_sample_method": "poisson", "subsample": 0.6}, {"row_sample_method": "disjoint", "subsample": 0.25}, {"colsample_bytree": 0.7, "colsample_bylevel": 0.6}, {"feature_interaction_method": "cyclical", "feature_interaction_k": 1}, {"split_method": "node_based"}, {"split_method": "partially_random"}, {"split_method": "totally_random", "row_sample_method": "poisson", "subsample": 0.5}, {"split_method": "hybrid_random", "split_method_per_level": ["hist_based", "totally_random", "hist_based"]}, {"dp_method": "gaussian_cdp", "sigma": 3.0}, {"dp_method": "gaussian_cdp", "sigma": 2.0, "split_method": "node_based"}, {"colsample_bynode": 0.5}])
+def test_trees_side_by_side_equal_trees_alone(spark, settings):
+    df = datasets.synthetic(spark, 500, 3, 2, seed=3)
+    p = trees.Params(**{"num_trees": 5, "max_depth": 3, "hist_bin": 8, "training_method": "rf", "seed": 4} | settings)
+    together = trees.fit(df, ["f0", "f1", "f2"], "y", "row_id", p)
+    base = df.select("f0", "f1", "f2", F.col("y").cast("double").alias("g"), F.lit(1.0).alias("h"), F.col("row_id").alias("_key"))
+    account = privacy.Accountant(p.epsilon, 1 / 500, 5, 3, p.split_method, features_per_tree=p.feature_interaction_k or 3, forest=True)
+    for t in range(5):
+        taken = trees._taken(p, t)
+        w = trees.Grower(base if taken is None else base.where(taken), ["f0", "f1", "f2"], together.cands, p, account, t, trees._columns(p, 3, t), 0, 500)
+        alone = w.grow()
+        assert {k: (n.feature, n.threshold, n.value) for k, n in alone.items()} == {k: (n.feature, n.threshold, n.value) for k, n in together.trees[0][t].items()}
+
+
+def test_a_level_of_a_forest_is_one_aggregate(spark, monkeypatch):
+    df = datasets.synthetic(spark, 300, 3, 2, seed=3)
+    passes = []
+    best = binning.best
+    monkeypatch.setattr(trees.binning, "best", lambda scored: passes.append(1) or best(scored))
+    m = trees.fit(df, ["f0", "f1", "f2"], "y", "row_id", trees.Params(num_trees=16, max_depth=3, hist_bin=8, training_method="rf", row_sample_method="poisson", subsample=0.8))
+    assert len(m.trees[0]) == 16 and len(passes) == 3
+
+
+def test_reports_of_rows_are_private_and_unbiased(spark):
+    df = datasets.synthetic(spark, 3000, 2, 2, seed=5)
+    plain = trees.fit(df, ["f0", "f1"], "y", "row_id", trees.Params(num_trees=1, max_depth=1, hist_bin=4))
+    for method in ("mean_mech_ldp", "gaussian_ldp"):
+        p = trees.Params(num_trees=1, max_depth=1, hist_bin=4, dp_method=method, epsilon=40.0)
+        one, again = (trees.fit(df.repartition(n), ["f0", "f1"], "y", "row_id", p) for n in (2, 5))
+        root, other, true = one.trees[0][0][0, 1], again.trees[0][0][0, 1], plain.trees[0][0][0, 1]
+        assert root.g != true.g and root.h != true.h and abs(root.g - true.g) < 0.1 * 3000 and abs(root.h - true.h) < 0.1 * 750
+        assert root.g == pytest.approx(other.g, abs=1e-6)  # draws come from keys, not from places
+    unkeyed = trees.fit(df, ["f0", "f1"], "y", params=trees.Params(num_trees=1, max_depth=1, hist_bin=4, dp_method="mean_mech_ldp", epsilon=40.0))
+    assert unkeyed.trees[0][0][0, 1].g != plain.trees[0][0][0, 1].g
+
+
+def test_retraining_combines_models(spark, tmp_path):
+    df = datasets.synthetic(spark, 900, 3, 2, seed=6)
+    stop = {"num_trees": 6, "max_depth": 2, "hist_bin": 8, "es_threshold": 1e9, "es_window": 1}
+    for kind, n in (("average_retrain", 2), ("majority_retrain", 3)):
+        m = trees.fit(df, ["f0", "f1", "f2"], "y", "row_id", trees.Params(**stop, early_stopping=kind))
+        assert len(m.parts) == n and all(len(x.trees[0]) == 2 for x in m.parts)
+        own = [trees.fit(df.where(sampling.chunk("row_id", n) == i), ["f0", "f1", "f2"], "y", "row_id", trees.Params(num_trees=2, max_depth=2, hist_bin=8)) for i in range(n)]
+        assert [x.rows() for x in own] == [x.rows() for x in m.parts]
+        scored = m.score(df)
+        for i, x in enumerate(own):
+            scored = scored.withColumn(f"m{i}", x.margin())
+        for r in scored.collect():
+            margins = [r[f"m{i}"] for i in range(n)]
+            p1 = sum(1 / (1 + math.exp(-v)) for v in margins) / n
+            votes = sum(v > 0 for v in margins)
+            assert r["margins"][0] == pytest.approx(sum(margins) / n) and r["probabilities"][1] == pytest.approx(p1)
+            assert r["prediction"] == (int(votes > n / 2) if kind == "majority_retrain" else int(p1 > 0.5))
+        m.save(spark, f"file://{tmp_path}/{kind}")
+        again = trees.Model.load(spark, f"file://{tmp_path}/{kind}")
+        assert [sorted(x.rows(), key=str) for x in again.parts] == [sorted(x.rows(), key=str) for x in m.parts] and again.vote == m.vote
+    private = trees.fit(df, ["f0", "f1", "f2"], "y", "row_id", trees.Params(**stop, early_stopping="standard_retrain", dp_method="gaussian_cdp", epsilon=5.0))
+    assert len(private.trees[0]) == 2 and 0 < private.params.epsilon < 5.0
+
+
+def test_scratch_tables_are_deleted(spark):
+    from pathlib import Path
+
+    where = Path(ordering.folder(spark).removeprefix("file:"))
+    before = set(where.iterdir())
+    trees.fit(datasets.synthetic(spark, 100, 2, 1), ["f0", "f1"], "y", params=trees.Params(num_trees=2, max_depth=1, hist_bin=4, checkpoint_every=1))
+    with pytest.raises(ZeroDivisionError), ordering.scratch(spark):
+        ordering.stored(spark.range(3))
+        1 / 0  # noqa: B018
+    assert set(where.iterdir()) == before
+
+
+def test_a_sweep_goes_on_where_it_stopped(spark, tmp_path):
+    ran = []
+
+    def job(setting):
+        ran.append(setting["a"])
+        if setting["a"] == 3 and len(ran) < 5:
+            raise RuntimeError("killed")
+        return {"twice": spark.range(setting["a"]).count() * 2}
+
+    settings, path = [{"a": a, "b": "x"} for a in range(6)], f"file://{tmp_path}/s"
+    with pytest.raises(RuntimeError):
+        sweeps.sweep(spark, settings, job, path, "twice long", 1)
+    assert ran == [0, 1, 2, 3] and len(sweeps.committed(spark, path)) == 3
+    again = sweeps.sweep(spark, settings, job, path, "twice long", 3)
+    assert sorted(ran) == [0, 1, 2, 3, 3, 4, 5]
+    undisturbed = sweeps.sweep(spark, settings, job, f"file://{tmp_path}/u", "twice long", 3)
+    plain = lambda df: sorted((r["setting"], r["twice"]) for r in df.collect())
+    assert plain(again) == plain(undisturbed) and len(plain(again)) == 6
+    assert sweeps.name_of({"a": 1, "b": 2}) == sweeps.name_of({"b": 2, "a": 1})
+
+
+def test_sensitivity_without_all_pairs(spark):
+    rng = np.random.default_rng(12)
+    for n, t in ((1, 0.1), (40, 1e-4), (700, 3e-5), (700, 0.02), (300, 2.0)):
+        values = np.sort(np.minimum(np.round(rng.lognormal(1, 1, n), 1 if n != 300 else 3), 60.0))
+        x = np.concatenate([[0.0], values, [60.0]])
+        k = int(rng.integers(0, n))
+        with np.errstate(divide="ignore"):
+            i, j = np.arange(k + 2), np.arange(k + 1, n + 2)
+            want = (np.log(x[None, j] - x[i, None]) - t * np.maximum(j[None, :] - i[:, None] - 1, 0)).max()
+        data = private_quantiles.SmoothSensitivity(spark.createDataFrame([(float(v),) for v in values], "v double"), "v", 0.0, 60.0)
+        value, got = data.log_of(k, t, reach=8)
+        assert value == values[k] and got == pytest.approx(want, rel=1e-12)
+
+
+def test_spread_and_composition_are_best():
+    for epsilon, t in ((1.0, 0.3), (0.2, 0.05), (2.0, 0.01)):
+        s = private_quantiles.log_normal_sigma(epsilon, t)
+        variance = lambda s: math.exp(5 * s * s) / (epsilon - t / s) ** 2  # noqa: E731, B023
+        assert epsilon - t / s > 0 and all(variance(s) <= variance(s * (1 + d)) + 1e-12 for d in (-1e-3, 1e-3))
+    for k in (2, 5, 10):
+        e = private_quantiles.composed_epsilon(1.0, 1e-5, k)
+        assert private_quantiles.mechanisms_delta(e, 1.0, k) <= 1e-5 < private_quantiles.mechanisms_delta(e + 1e-6, 1.0, k) and 1 / k <= e < 1
+    assert private_quantiles.composed_epsilon(1.0, 1e-5, 1) == 1.0
+
+
+def test_rows_of_one_history_spend_alike(spark):
+    df = datasets.synthetic(spark, 600, 3, 2, seed=3).select("row_id", "f0", "f1", "f2", "y")
+    for method, share in (("poisson", 0.5), ("disjoint", 0.34), ("wor", 0.5)):
+        p = trees.Params(num_trees=3, max_depth=2, hist_bin=8, row_sample_method=method, subsample=share, split_method="totally_random")
+        m = trees.fit(df, ["f0", "f1", "f2"], "y", "row_id", p)
+        account = privacy.Accountant(1.0, 1e-5, 3, 2, split_method="totally_random", tree_budgets=(0.5, 0.3, 0.2))
+        spent = {r["row_id"]: r for r in trees.ledger(df, m, "row_id", account).collect()}
+        seen = {i: [] for i in spent}
+        for t in range(3):
+            own = sampling.without_replacement(df, "row_id", share, t) if method == "wor" else df.withColumn("_key", F.col("row_id")).where(trees._taken(p, t))
+            for r in own.select("row_id").collect():
+                seen[r["row_id"]].append(t)
+        for i, history in seen.items():
+            rho = sum(2 / (2 * account.sigma_at(t, 1, 0) ** 2) for t in history)
+            curve = [rho * a + privacy._cost(a, 1e-5) for a in privacy.ORDERS]
+            assert spent[i]["queries"] == 2 * len(history) and spent[i]["rho"] == pytest.approx(rho)
+            assert spent[i]["epsilon"] == pytest.approx(max(0.0, min(curve)) if history else 0.0)
+        assert len({tuple(h) for h in seen.values()}) > 2
