@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quercus.llm import embedding_dedup, fingerprints, html_text, licenses, mixing, near_dedup, packing, sharding, token_store, tokens, toxicity
 from quercus.llm.common import components
@@ -493,3 +494,36 @@ def test_packing_pads_little(spark):
     got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(12), open_windows=32).groupBy("sequence_id").sum("length").collect()
     total = sum(r[1] for r in got)
     assert total == sum(len(_ids(t)) + 1 for _, t in rows) and len(got) * 2048 < 1.02 * total + 2048
+
+
+def test_vectors_that_share_an_id(spark):
+    rng = np.random.default_rng(21)
+    base = rng.normal(size=(40, 8))
+    rows = [(int(rng.integers(0, 60)), (base[rng.integers(0, 40)] + rng.normal(size=8) * 0.12 * rng.integers(0, 3)).tolist()) for _ in range(500)] + [(1, [1.0] + [0.0] * 7), (1, [0.95, 0.31] + [0.0] * 6), (1, [1.0] + [0.0] * 7)]
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    comp = groups([(i, j) for i, j in zip(*np.nonzero(near)) if i < j], range(len(rows)))
+    least = {}
+    for i, c in comp.items():
+        least[c] = min(least.get(c, 10**9), rows[i][0])
+    want = sorted((rows[i][0], int(near[i].sum()), least[comp[i]]) for i in range(len(rows)))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(0) for c in ("cls", "rep", "n", "e")})
+    got = embedding_dedup.near_vectors(df, recall=0.999999)
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got.collect()) == want
+    assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
+
+
+def test_recall_of_links_at_the_shipped_setting(spark):
+    rng = np.random.default_rng(22)
+    base = rng.normal(size=(1500, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    off = rng.normal(size=(1500, 64))
+    off -= (off * base).sum(axis=1, keepdims=True) * base
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    c = rng.uniform(0.9005, 0.93, 1500)[:, None]
+    other = c * base + np.sqrt(1 - c * c) * off
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([base, other]))]
+    got = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert got.agg(F.sum("n_links")).first()[0] / 2 >= 0.9 * 1500
