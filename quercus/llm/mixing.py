@@ -1,7 +1,7 @@
 """Mixing sources to target weights, by blocks of words.
 
 Every source's documents are laid end to end in a pseudorandom order and cut
-into blocks of a fixed number of words, larger for larger sources.  A source's
+into blocks of a fixed number of words, the same for all sources.  A source's
 target gives its number of block slots; the slots fall on the output shards as
 a multinomial draw, one draw per slot, conditioned on the source's total, so
 totals are met exactly.  Slot ``j`` of a source takes block ``permutation(j mod
@@ -14,20 +14,18 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from .common import stored
 
 WEIGHTS, MOST_COPIES, SEED = (5, 2, 1), 3, 20240601
-#: Words of a block: a 256th of its source, as a power of two, within these bounds.
-LEAST_BLOCK, MOST_BLOCK, BLOCKS_PER_SOURCE = 32, 1024, 256
+#: Words of a block: small, so that the totals of small sources come near their targets too.
+BLOCK_WORDS = 32
 #: Output shards: so many at least, and more where that many words would lie in one.
 OUTPUT_SHARDS, SHARD_WORDS = 64, 16_000_000
 #: Documents of a bucket of the pseudorandom order, and copies of a row that one task lays out.
@@ -77,7 +75,7 @@ def _slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"rank": b["rank"], "block": block, "turn": turn, "shard": out.astype(np.int64)})
 
 
-def _placed(rows: DataFrame, weights: tuple[int, ...], most: int, block_words: int | None) -> DataFrame:
+def _placed(rows: DataFrame, weights: tuple[int, ...], most: int, block_words: int) -> DataFrame:
     """The documents of ``rows`` (k0, k1: a key of all that tells rows apart, size, source, and what else is to be kept) with their place in their source and the source's plan.
 
     Adds rank (of the source by code point, null last), source_size, target,
@@ -106,9 +104,7 @@ def _placed(rows: DataFrame, weights: tuple[int, ...], most: int, block_words: i
     sources = sources.withColumn("level", (F.sum("source_size").over(everything) - F.col("full")) / F.col("thirst"))
     level = F.min(F.when(F.col("level") <= F.col("fills"), F.struct("fills", "rank", "level"))).over(everything)["level"]
     sources = sources.withColumn("target", F.least(F.col("cap"), F.col("weight") * F.coalesce(level, F.max("fills").over(everything))))
-    power = F.pow(F.lit(2.0), F.length(F.bin(F.floor(F.col("source_size") / BLOCKS_PER_SOURCE))) - 1).cast("long")
-    width = F.lit(block_words).cast("long") if block_words else F.least(F.greatest(power, F.lit(LEAST_BLOCK)), F.lit(MOST_BLOCK)).cast("long")
-    sources = sources.withColumn("width", width).withColumn("blocks", F.ceil(F.col("source_size") / F.col("width")).cast("long"))
+    sources = sources.withColumn("width", F.lit(block_words).cast("long")).withColumn("blocks", F.ceil(F.col("source_size") / F.col("width")).cast("long"))
     sources = sources.withColumn("slots", F.when(F.col("source_size") > 0, F.round(F.col("target") * F.col("blocks") / F.col("source_size"))).otherwise(0).cast("long"))
     shards = F.greatest(F.lit(OUTPUT_SHARDS), F.ceil(F.sum("source_size").over(everything) / SHARD_WORDS)).cast("long")
     sources = sources.select("_key", "rank", "source_size", "target", "width", "blocks", F.least("slots", most * F.col("blocks")).alias("slots"), shards.alias("shards"))
@@ -154,7 +150,7 @@ def _keyed(docs: DataFrame, columns: list[str], *others: Column) -> DataFrame:
     return docs.select(F.xxhash64(F.lit(1), *columns, *known).alias("k0"), F.xxhash64(F.lit(2), *known, *reversed(columns)).alias("k1"), *others)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, block_words: int | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, block_words: int = BLOCK_WORDS) -> DataFrame:
     """How many words of every document of ``docs`` (doc_id, text, source; other columns are ignored) the mix takes.
 
     Sizes are words; a null or empty text has none and is taken 0 times.  Null
@@ -178,22 +174,34 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
     return per.groupBy("k0", "k1", "copy", *names).agg(F.sum("words").alias("taken"), text.alias("shards")).select(*names, "taken", "shards")
 
 
-def cut(text: str, first: int, words: int) -> str:
-    """The ``words`` words of a text from word ``first`` on, as they stand there."""
-    found = islice(_WORD.finditer(text), first, first + words)
-    start = next(found).span()
-    end = start
-    for m in found:
-        end = m.span()
-    return text[start[0] : end[1]]
+def cut(text: str, pieces: list[tuple[int, int]]) -> list[str]:
+    """Stretches of a text, each some words from a first word on, as they stand there; the text is gone through once."""
+    at = np.array([m.span() for m in _WORD.finditer(text)], dtype=np.int64)
+    return [text[at[first, 0] : at[first + words - 1, 1]] for first, words in pieces]
 
 
-@F.pandas_udf(StringType())
-def _cut(text: pd.Series, first: pd.Series, words: pd.Series) -> pd.Series:
-    return pd.Series([cut(t, int(f), int(w)) if isinstance(t, str) else None for t, f, w in zip(text, first, words)], dtype=object)
+def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for every piece of every document."""
+    for batch in batches:
+        rows: list[tuple] = []
+        for doc_id, text, lang, source, pieces in batch.itertuples(index=False):
+            parts = sorted({(p["first"], p["words"]) for p in pieces if not p["whole"]})
+            found = dict(zip(parts, cut(text, parts))) if parts else {}
+            for p in pieces:
+                piece = text if p["whole"] else found[p["first"], p["words"]]
+                rows.append((doc_id, piece, lang, source, len(piece), p["shard"]))
+                if len(rows) == 10_000:
+                    yield _frame(rows)
+                    rows = []
+        yield _frame(rows)
 
 
-def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, block_words: int | None = None) -> DataFrame:
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=["doc_id", "text", "lang", "source", "n_chars", "shard"], dtype=object)
+    return out.astype({"n_chars": "int64", "shard": "int64"}).assign(doc_id=pd.array(out["doc_id"].where(out["doc_id"].notna(), None), dtype="Int64"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The mix itself, as rows of ``docs`` (doc_id, text, lang, source, n_chars) and ``shard``, the output shard that the row belongs to.
 
     Every slot gives a row for each document its block touches: the whole text
@@ -205,15 +213,17 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("string").alias(c) for c in columns[1:]])
     sized = _keyed(plain, columns, F.col("source"), word_count("text").alias("size")).where("size > 0")
     placed = _placed(sized, weights, most, block_words)
-    parts = pieces(placed).select("k0", "k1", "size", "rank", "block", "first", "words")
-    took = stored(parts.join(drawn(placed).select("rank", "block", "shard").hint("merge"), ["rank", "block"]).select("k0", "k1", "shard", "first", "words", (F.col("words") == F.col("size")).alias("whole")))
+    parts = pieces(placed).select("k0", "k1", "copy", "size", "rank", "block", "first", "words")
+    took = parts.join(drawn(placed).select("rank", "block", "shard").hint("merge"), ["rank", "block"])
+    piece = F.struct("shard", "first", "words", (F.col("words") == F.col("size")).alias("whole"))
+    # a document's pieces come together, so that its text is moved and gone through once; their number grows with its length alone
+    took = stored(took.groupBy("k0", "k1", "copy").agg(F.collect_list(piece).alias("pieces")))
     texts = _keyed(plain, columns, *map(F.col, columns))
     if placed.where("copy > 0").head(1):  # repeated rows: one text for all of them
         texts = texts.dropDuplicates(["k0", "k1"])
-    out = took.join(texts.hint("merge"), ["k0", "k1"])
-    text = F.when(F.col("whole"), F.col("text")).otherwise(_cut(F.when(~F.col("whole"), F.col("text")), "first", "words"))
-    out = out.select("doc_id", text.alias("text"), "lang", "source", "shard").repartition("shard")
-    return out.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"), "shard")
+    out = took.join(texts.hint("merge"), ["k0", "k1"]).select("doc_id", "text", "lang", "source", "pieces")
+    out = out.mapInPandas(_cut, "doc_id long, text string, lang string, source string, n_chars long, shard long")
+    return out.repartition("shard")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

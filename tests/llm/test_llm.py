@@ -179,7 +179,7 @@ def test_mixed_documents(spark):
     assert all(abs(took[s] - t) <= 64 + 0.01 * t for s, t in mixing_targets(sizes).items())
     large = mixing.mixed_documents(df, block_words=1024).collect()
     assert sum(any(r["text"] == t for i, t, _ in made if i == r["doc_id"]) for r in large) > 0.8 * len(large)
-    assert mixing.cut("  a b\tc\n d ", 1, 2) == "b\tc" and mixing.cut("a", 0, 1) == "a"
+    assert mixing.cut("  a b\tc\n d ", [(1, 2), (3, 1)]) == ["b\tc", "d"] and mixing.cut("a", [(0, 1)]) == ["a"]
     assert mixing.mixed_documents(df.limit(0)).count() == 0
 
 
