@@ -20,6 +20,8 @@ from quercus.llm.toxicity import score, train
 
 #: Documents whose probability of being toxic reaches this are rejected.
 TOXIC = 0.5
+#: Words of a block of the mix: a document comes in contiguous pieces of so many words at most.
+BLOCK_WORDS = 128
 _COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -36,7 +38,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sources' documents in blocks, as often as the weights of their sources ask for, output shard by output shard."""
-    return mixed_documents(docs.select(*_COLUMNS)).select(*_COLUMNS)
+    return mixed_documents(docs.select(*_COLUMNS), block_words=BLOCK_WORDS).select(*_COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
