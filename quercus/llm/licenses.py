@@ -6,7 +6,7 @@ of fixed size.  A hit at word ``p`` of the text and ``t`` of the template votes
 for the diagonal ``p - t``; votes are aggregated by diagonal, diagonals that
 lie within a few words of each other are merged (words were put in or left
 out), and a merged span counts when its votes cover enough of the template and
-no word that tells licenses apart differs in it; where spans overlap, the best
+no word that tells licenses apart differs in it (in one-line notices the version); where spans overlap, the best
 covered one wins.
 Each hash is confirmed by a second, independent one, 128 bits in all.
 """
@@ -51,10 +51,18 @@ VARIANTS = [
     ("cc-by-nd", "this work is licensed under a creative commons attribution noderivs 3 0 unported license"),
     ("cc-by-nc-nd", "this work is licensed under a creative commons attribution noncommercial noderivs 3 0 unported license"),
 ]
+#: Lines that name a license and its version; such a line counts only where the words from the ones in front of the version on are all there.
+NOTICES = [
+    *[(f"gpl-{v}.0", f"licensed under the gnu general public license version {v}") for v in (1, 2, 3)],
+    *[(f"lgpl-{v.replace(' ', '.')}", f"licensed under the gnu lesser general public license version {v}") for v in ("2 1", "3 0")],
+    *[(f"apache-{v.replace(' ', '.')}", f"licensed under the apache license version {v}") for v in ("1 1", "2 0")],
+    *[(f"cc-by{t.replace(' ', '-')}", f"licensed under cc by{t} {v} 0") for t in ("", " sa", " nc", " nd", " nc sa", " nc nd") for v in (1, 2, 3, 4)],
+    *[(label, f"spdx license identifier {words}") for label, words in (("mit", "mit"), ("apache-2.0", "apache 2 0"), ("gpl-2.0", "gpl 2 0"), ("gpl-3.0", "gpl 3 0"), ("mpl-2.0", "mpl 2 0"))],
+]
 #: Runs of words that tell licenses apart, and words that, next after "creative commons attribution" and a template's own, make another license.
 JOINTS = ("gnu general", "gnu lesser general", "gnu library general", "gnu affero general")
 CC_TERMS = ("sharealike", "share", "noncommercial", "non", "noderivatives", "noderivs", "no")
-_JOINT, _LEFT, _RIGHT, _BAR = 1, 2, 4, 8
+_JOINT, _LEFT, _RIGHT, _BAR, _VERSION = 1, 2, 4, 8, 16
 PHRASE_GRAM, TEMPLATE_GRAM, SLACK, COVER = 2, 4, 3, 0.6
 
 _BREAKS = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 0x20 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -156,6 +164,8 @@ def _seeds(texts: list[tuple[str, str]], k: int, kind: str) -> list[tuple]:
         own = words(text)
         first, second = _grams(_hashes(own), k)
         marks = _marks(own) if kind == "template" else {}
+        if (label, text) in NOTICES:  # the gram that ends the line
+            marks[len(first) - 1] = marks.get(len(first) - 1, 0) | _VERSION
         out += [(kind, int(a), int(b), kind, number, label, t, len(first), marks.get(t, 0)) for t, (a, b) in enumerate(zip(first, second))]
         for at, gram in _bars(own) if kind == "template" else ():
             (a,), (b,) = _grams(_hashes(gram), k)
@@ -171,7 +181,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, slack: int =
     n_words, n_base, first_word, last_word, base_labels, labels, score (of the
     best covered license, 1 for a phrase) and spans (label, first word, last word, cover).
     """
-    spark, texts = docs.sparkSession, [*TEMPLATES.items(), *VARIANTS] if templates is None else list(templates.items())
+    spark, texts = docs.sparkSession, [*TEMPLATES.items(), *VARIANTS, *NOTICES] if templates is None else list(templates.items())
+    notices = [i for i, x in enumerate(texts) if x in NOTICES]
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     keyed = plain.select("doc_id", "text", F.xxhash64("doc_id", "text", F.lit(1)).alias("k0"), F.xxhash64(F.lit(2), "text", "doc_id").alias("k1"))
     places = keyed.select("k0", "k1", "text").mapInPandas(_positions, "k0 long, k1 long, pos int, p0 long, p1 long, t0 long, t1 long")
@@ -197,7 +208,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, slack: int =
     spans = near.groupBy("k0", "k1", "number", "label", "grams", "span").agg(F.size(F.array_distinct(F.flatten(F.collect_list(own)))).alias("n"), F.min(F.col("diagonal") + F.array_min(own)).cast("long").alias("start"), F.max(F.col("diagonal") + F.array_max(own) + TEMPLATE_GRAM - 1).cast("long").alias("end"), F.bit_or("marks").alias("marks"))
     # both sides of a joint without the joint: other words stand between them
     sides = F.col("marks").bitwiseAND(_JOINT | _LEFT | _RIGHT) == _LEFT | _RIGHT
-    spans = spans.where((F.col("n") > 0) & (F.col("marks").bitwiseAND(_BAR) == 0) & ~sides).withColumn("cover", F.col("n") / F.col("grams")).select("k0", "k1", F.lit(False).alias("base"), "label", "start", "end", "cover")
+    told = ~F.col("number").isin(notices) | (F.col("marks").bitwiseAND(_VERSION) != 0)
+    spans = spans.where((F.col("n") > 0) & told & (F.col("marks").bitwiseAND(_BAR) == 0) & ~sides).withColumn("cover", F.col("n") / F.col("grams")).select("k0", "k1", F.lit(False).alias("base"), "label", "start", "end", "cover")
     # of spans that overlap the best covered wins: runs of overlapping spans first, then the spans of a run from the best on
     good, behind = spans.where(F.col("cover") >= cover), Window.partitionBy("k0", "k1").orderBy("start", "end", "label", "cover")
     reach = F.max("end").over(behind.rowsBetween(Window.unboundedPreceding, -1))

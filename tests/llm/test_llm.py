@@ -527,3 +527,20 @@ def test_recall_of_links_at_the_shipped_setting(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([base, other]))]
     got = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     assert got.agg(F.sum("n_links")).first()[0] / 2 >= 0.9 * 1500
+
+
+def test_notices_of_documents(spark, data):
+    """Labels of all documents against a plain search for notices and phrases."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    extra = ["Licensed under CC BY-NC 4.0.", "licensed under CC BY-NC-SA 4.0", "Licensed under CC BY 4.0", "Licensed under the GNU General Public License, version 9", "licensed under the GNU Lesser General Public License, version 3", "This work is licensed under the GNU General Public License, version 2 or so", "SPDX-License-Identifier: Apache-2.0", "SPDX-License-Identifier: zlib", "Licensed under the Apache License, Version 2.0", "Licensed under the Apache License, Version 1.0"]
+    df = docs.select("doc_id", "text").union(spark.createDataFrame([(10**6 + i, "Before it. " + t + " And after.") for i, t in enumerate(extra)], "doc_id long, text string"))
+    inside = lambda w, phrase: any(w[i : i + len(phrase)] == phrase for i in range(len(w) - len(phrase) + 1))
+    want = {}
+    for r in df.collect():
+        w = [x.decode() for x in licenses.words(r["text"])]
+        named = {label for label, p in licenses.PHRASES.items() if inside(w, p.split())}
+        want[r["doc_id"]] = ",".join(sorted(named | {label for label, p in licenses.NOTICES if inside(w, p.split())}))
+    got = {r["doc_id"]: r for r in licenses.scan(df).collect()}
+    assert {i: r["labels"] for i, r in got.items()} == want
+    assert all(set(filter(None, r["base_labels"].split(","))) <= set(filter(None, r["labels"].split(","))) for r in got.values())
+    assert sum(r["labels"] != r["base_labels"] for r in got.values()) > len(extra) // 2
