@@ -39,6 +39,8 @@ ORDINARY_BYTES, TOXIC_BYTES = 16_384, 2048
 LEVELS = (1, 2, 3, 4, 5, 6, 8, 10)
 #: A character n-gram marks toxic text from this ratio of document shares, this many standard deviations, and this share of toxic documents on.
 RATIO, DEVIATIONS, SHARE = 8.0, 3.5, 0.025
+#: The n-grams that stand out most, which mark toxic text in any case.
+FOREMOST = 40
 _CODING = {"window_log": 17, "chain_log": 15, "hash_log": 15, "search_log": 3, "min_match": 4, "target_length": 32, "strategy": zstandard.STRATEGY_LAZY2}
 
 
@@ -143,8 +145,7 @@ def _dictionaries(pos: list[str], neg: list[str]) -> Model:
     above = {g: (c - ordinary_in[g] * len(pos) / len(neg)) / np.sqrt(c + ordinary_in[g] + 1) for g, c in toxic_in.items() if c > 1}
     ratio = {g: (toxic_in[g] + 0.5) * (len(neg) + 1) / (ordinary_in[g] + 0.5) / (len(pos) + 1) for g in above}
     cues = {g for g, z in above.items() if z >= DEVIATIONS and ratio[g] >= RATIO and toxic_in[g] >= SHARE * len(pos)}
-    if len(cues) < 20:  # a small sample: the n-grams that stand out most
-        cues = set(sorted(above, key=lambda g: (-above[g], g))[:80])
+    cues |= set(sorted(above, key=lambda g: (-above[g], g))[:FOREMOST])
     marked = [p.encode() for t in pos for p in _marked(_plain(t), cues)]
     plain = _lowest([w for t in neg for w in windows(t)[::2]], PLAIN_WINDOWS)
     base = _dictionary(plain, ORDINARY_BYTES)
