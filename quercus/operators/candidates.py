@@ -28,6 +28,9 @@ def ranges(df: DataFrame, features: Sequence[str], multiplier: float = 1.0) -> d
     out = {}
     for i, f in enumerate(features):
         lo, hi = row[f"lo{i}"], row[f"hi{i}"]
+        if lo is None:  # no values
+            out[f] = None, None
+            continue
         out[f] = (lo * multiplier if lo <= 0 else lo / multiplier, hi * multiplier)
     return out
 

@@ -10,9 +10,9 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .candidates import counted_quantiles
+from .ordering import running
 
 
 def draw(key: Column | str, seed: int) -> Column:
@@ -35,19 +35,21 @@ def hash_reports(df: DataFrame, key: str, item: str, epsilon: float, seeds: int
     return rows.select("s", F.when(draw(key, seed + 2) < p, F.col("_t")).otherwise(F.when(other >= F.col("_t"), other + 1).otherwise(other)).alias("y"))
 
 
-def hash_estimates(reports: DataFrame, domain: DataFrame, item: str, epsilon: float, optimal: bool = True) -> DataFrame:
-    """Frequencies of the items of ``domain``: reports aggregate to (s, y) first, then meet the domain in an equi-join.
+def hash_estimates(reports: DataFrame, domain: DataFrame, item: str, epsilon: float, optimal: bool = True, seeds: int = 500) -> DataFrame:
+    """Frequencies of the items of ``domain``: reports aggregate to (s, y), a table whose size the parameters set, and every item adds up its cells in a row of its own.
 
-    Every item is asked of every hash family member, a stated query set of ``seeds`` times the domain.
+    ``seeds`` is the number of hash family members that ``hash_reports`` chose from.
     """
     g = hash_range(epsilon, optimal)
     p = math.exp(epsilon) / (math.exp(epsilon) + g - 1)
-    cells = reports.groupBy("s", "y").agg(F.count("*").alias("n"))
-    n = cells.agg(F.sum("n")).first()[0] or 0
-    families = cells.select("s").distinct()
-    placed = families.crossJoin(domain.select(item)).withColumn("y", F.pmod(F.xxhash64(F.lit(11), F.col("s"), F.col(item).cast("string")), F.lit(g)).cast("int"))
-    support = placed.join(cells, ["s", "y"], "left").groupBy(item).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("support"))
-    return support.select(item, (g / (p * g - 1) * F.col("support") - n / (p * g - 1)).alias("estimate"))
+    held = [0] * (seeds * g)
+    for r in reports.groupBy("s", "y").agg(F.count("*").alias("n")).collect():  # seeds times g cells
+        held[r["s"] * g + r["y"]] = r["n"]
+    n = sum(held)
+    cells = F.broadcast(domain.sparkSession.createDataFrame([(held,)], "_cells array<long>"))  # one row
+    place = lambda s: s * g + F.pmod(F.xxhash64(F.lit(11), s, F.col(item).cast("string")), F.lit(g)).cast("int")
+    support = F.aggregate(F.sequence(F.lit(0), F.lit(seeds - 1)), F.lit(0).cast("long"), lambda total, s: total + F.get("_cells", place(s)))
+    return domain.select(item).distinct().crossJoin(cells).select(item, (g / (p * g - 1) * support - n / (p * g - 1)).alias("estimate"))
 
 
 def bounded_report(x: Column, key: str, epsilon: float, kind: str = "hybrid", seed: int = 0) -> Column:
@@ -109,7 +111,7 @@ def hashed_quantiles(df: DataFrame, column: str, key: str, q: int, lo: float, hi
     cell = F.least(F.floor((F.least(F.greatest(x, F.lit(lo)), F.lit(hi)) - lo) / width), F.lit(bins - 1)).cast("int")
     reports = hash_reports(df.where(x.isNotNull() & ~F.isnan(x)).select(key, cell.alias("cell")), key, "cell", epsilon, seeds, seed=seed)
     domain = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("cell"))
-    got = {r["cell"]: r["estimate"] for r in hash_estimates(reports, domain, "cell", epsilon).collect()}  # a row a cell
+    got = {r["cell"]: r["estimate"] for r in hash_estimates(reports, domain, "cell", epsilon, seeds=seeds).collect()}  # a row a cell
     return sorted(set(counted_quantiles([max(0.0, got.get(i, 0.0)) for i in range(bins)], [lo + i * width for i in range(bins + 1)], q)))
 
 
@@ -122,11 +124,16 @@ def wave_quantiles(df: DataFrame, column: str, key: str, q: int, lo: float, hi:
     return sorted(set(counted_quantiles(shares, [lo + (hi - lo) * i / bins for i in range(bins + 1)], q)))
 
 
+def _sums_from_above(df: DataFrame, column: str) -> DataFrame:
+    """Distinct values x with how many rows have them or larger ones (upto_n), and the sum of these (upto_t), by range partitions."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("x")).agg(F.count("*").alias("n"))
+    return running(counts.withColumn("t", F.col("n") * F.col("x")), "x", ["n", "t"], descending=True)
+
+
 def to_simplex(df: DataFrame, column: str, out: str, total: float = 1.0) -> DataFrame:
-    """The nearest point of the simplex, for a table of one row an item: sorted running sums give the common shift."""
-    by = Window.orderBy(F.desc(column))
-    shift = (F.sum(column).over(by.rowsBetween(Window.unboundedPreceding, 0)) - total) / F.row_number().over(by)
-    cut = df.select(column, shift.alias("shift")).where(F.col(column) > F.col("shift")).agg(F.min_by("shift", column).alias("shift"))
+    """The nearest point of the simplex, for a table of one row an item: running sums from the largest item down give the common shift."""
+    shift = (F.col("upto_t") - total) / F.col("upto_n")
+    cut = _sums_from_above(df, column).select("x", shift.alias("shift")).where("x > shift").agg(F.min_by("shift", "x").alias("shift"))
     return df.crossJoin(F.broadcast(cut)).withColumn(out, F.greatest(F.col(column) - F.col("shift"), F.lit(0.0))).drop("shift")
 
 
@@ -137,6 +144,6 @@ def add_evenly(df: DataFrame, column: str, out: str, total: float) -> DataFrame:
 
 
 def cut_threshold(df: DataFrame, column: str, out: str, total: float) -> DataFrame:
-    """The largest items as long as their running sum stays within ``total``; the others are 0."""
-    running = F.sum(column).over(Window.orderBy(F.desc(column)).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn(out, F.when((running <= total) & (F.col(column) > 0), F.col(column)).otherwise(F.lit(0.0)))
+    """The largest items as long as their running sum stays within ``total``; the others are 0.  Equal items stand or fall together."""
+    least = _sums_from_above(df, column).where((F.col("x") > 0) & (F.col("upto_t") <= total)).agg(F.min("x").alias("_least"))
+    return df.crossJoin(F.broadcast(least)).withColumn(out, F.when(F.col(column) >= F.col("_least"), F.col(column)).otherwise(F.lit(0.0))).drop("_least")

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from .functions.gains import forest_value, gain, leaf_value
 from .functions.losses import log_loss, sigmoid, softmax, softmax_cross_entropy
-from .operators import binning, candidates, local_privacy, metrics, ordering, private_quantiles, sampling, summaries
-from .plans import analytics, privacy, sweeps, trees
+from .operators import binning, candidates, joint_quantiles, local_privacy, metrics, ordering, private_quantiles, sampling, summaries
+from .plans import analytics, feature_bins, privacy, sweeps, trees
 from .sources import datasets
+from .streaming import histograms
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -409,11 +410,54 @@ def joined_event_counts(spark, d):
     return binning.joined_counts(_table(spark, d, "documents").select("doc_id", "n_chars"), _table(spark, d, "labels"), "doc_id", "n_chars", bins, "quality")
 
 
+def _bucket_bins(spark, d) -> feature_bins.BinResult:
+    p = feature_bins.BinParams(method="bucket", bin_num=8, bin_names=["l_quantity", "l_extendedprice"], category_names=["l_tax"], transform_names=["l_quantity", "l_tax"], transform_type="woe", abnormal=[7.0])
+    return feature_bins.fit_bins(_train(spark, d), "y", p)
+
+
+_BUCKETS = """WITH v AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity <> 7 THEN l_quantity END::DOUBLE AS q, CASE WHEN l_extendedprice <> 7 THEN l_extendedprice END::DOUBLE AS e, l_tax::DOUBLE AS x, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y FROM lineitem),
+u AS (SELECT 'l_quantity' AS feature, q AS v, y FROM v UNION ALL SELECT 'l_extendedprice', e, y FROM v), m AS (SELECT feature, min(v) AS lo, (max(v) - min(v)) / 8 AS st, max(v) AS hi FROM u GROUP BY 1),
+p AS (SELECT feature, i::INT AS bin, CASE WHEN i = 7 THEN hi ELSE lo + (i + 1) * st END AS point FROM m, range(8) r(i) UNION ALL SELECT 'l_tax', (row_number() OVER (ORDER BY x) - 1)::INT, x FROM (SELECT DISTINCT x FROM v)),
+ps AS (SELECT feature, list(point ORDER BY bin) AS ps FROM p GROUP BY 1), z AS (SELECT * FROM u UNION ALL SELECT 'l_tax', x, y FROM v),
+c AS (SELECT feature, len(list_filter(ps[1 : len(ps) - 1], lambda t: t < v))::INT AS bin, sum(y)::BIGINT AS events, sum(1 - y)::BIGINT AS others FROM z JOIN ps USING (feature) WHERE v IS NOT NULL GROUP BY ALL),
+r AS (SELECT *, CASE WHEN events = 0 OR others = 0 THEN 0.5::DOUBLE ELSE 0 END AS adj, greatest(sum(events) OVER (PARTITION BY feature), 1) AS te, greatest(sum(others) OVER (PARTITION BY feature), 1) AS tn FROM c),
+w AS (SELECT *, ln(((events + adj) / te) / ((others + adj) / tn)) AS woe, ((events + adj) / te - (others + adj) / tn) * ln(((events + adj) / te) / ((others + adj) / tn)) AS iv_bin FROM r)"""
+
+
+@query(f"{_BUCKETS}, s AS (SELECT *, woe - lag(woe) OVER (PARTITION BY feature ORDER BY bin) AS st FROM w) SELECT feature, bin, round(point, 6) AS point, events, others, round(events / te, 8) AS event_rate, round(others / tn, 8) AS other_rate, round(woe, 6) AS woe, round(sum(iv_bin) OVER (PARTITION BY feature), 8) AS iv, (count(*) FILTER (st > 0) OVER (PARTITION BY feature) = 0 OR count(*) FILTER (st < 0) OVER (PARTITION BY feature) = 0) AS monotonic FROM s JOIN p USING (feature, bin)")
+def feature_bins_table(spark, d):
+    """Bins of two columns and a category, with their weights."""
+    names = {"point": 6, "event_rate": 8, "other_rate": 8, "woe": 6, "iv": 8}
+    return _bucket_bins(spark, d).table.drop("iv_bin").withColumns({c: F.round(c, k) for c, k in names.items()})
+
+
+@query(f"{_BUCKETS} SELECT round(avg(CASE WHEN q IS NULL THEN 7 ELSE (SELECT woe FROM w WHERE feature = 'l_quantity' AND bin = qb) END), 6) AS quantity, round(avg((SELECT woe FROM w WHERE feature = 'l_tax' AND bin = xb)), 6) AS tax FROM (SELECT q, len(list_filter((SELECT ps[1 : len(ps) - 1] FROM ps WHERE feature = 'l_quantity'), lambda t: t < q)) AS qb, len(list_filter((SELECT ps[1 : len(ps) - 1] FROM ps WHERE feature = 'l_tax'), lambda t: t < x)) AS xb FROM v)")
+def feature_bins_transform(spark, d):
+    """Rows with the weights of their bins in place of two columns, abnormal values left as they are: the means."""
+    rows = _bucket_bins(spark, d).transform(_train(spark, d))
+    return rows.agg(F.round(F.avg("l_quantity"), 6).alias("quantity"), F.round(F.avg("l_tax"), 6).alias("tax"))
+
+
 @query("SELECT event_id, CAST(value AS FLOAT) AS value FROM events")
 def to_float32(spark, d):
     return _table(spark, d, "events").select("event_id", F.col("value").cast("float").alias("value"))
 
 
+@query("SELECT date_trunc('day', ts)::TIMESTAMP::DATE AS day, len(list_filter([5.0, 10.0, 20.0, 50.0, 100.0]::DOUBLE[], lambda v: v + 1e-11 <= value))::INT AS bin, count(*) AS n FROM events WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY ALL")
+def windowed_bin_counts(spark, d):
+    """The streaming aggregate of bins by window, over the table as it stands."""
+    w = histograms.windowed_bins(_table(spark, d, "events"), "ts", "value", [5.0, 10.0, 20.0, 50.0, 100.0], "1 day")
+    return w.select(F.to_date("start").alias("day"), "bin", "n")
+
+
+@query(f"{_COUNTS} SELECT 'l_quantity' AS feature, events, others, true AS gapless FROM n")
+def anonymous_bins(spark, d):
+    """Counts of bins whose numbers tell nothing of the values behind them, but still go from 0 up."""
+    shuffled = binning.shuffled_bins(_woe(spark, d), 5)
+    w = binning.Window.partitionBy("feature")  # five bins
+    return shuffled.withColumn("gapless", (F.min("bin").over(w) == 0) & (F.max("bin").over(w) == F.count("*").over(w) - 1) & (F.size(F.collect_set("bin").over(w)) == F.count("*").over(w))).select("feature", "events", "others", "gapless")
+
+
 # --- growth ----------------------------------------------------------------------------------------------------------
 @query(f"{_BASE} SELECT feature, bin::INT AS bin, g, h, n FROM h")
 def root_histogram(spark, d):
@@ -648,6 +692,12 @@ def mean_mechanism_gradients(spark, d):
     return s.select(F.round("mean", 6).alias("mean"), (F.abs(F.col("m") - F.col("mean")) < 6 * F.col("s") / F.sqrt("n")).alias("near"), (F.col("same") < 0.5).alias("perturbed"))
 
 
+@query()
+def local_noise_trees(spark, d):
+    """Trees of random structure whose rows report with Gaussian noise."""
+    return _model(spark, d, num_trees=2, **{k: v for k, v in trees.PRESETS["ldp_tr"].items()} | {"max_depth": 3, "epsilon": 8.0}).table(spark)
+
+
 @query()
 def mean_mechanism_trees(spark, d):
     """Two trees whose rows report by the hybrid mechanism; sums are tested against the plain run's."""
@@ -884,8 +934,15 @@ def ind_exp(spark, d):
     return private_quantiles.ind_exp(_events(spark, d), "value", _QS, 0.0, 1000.0, 0.2)
 
 
+@query()
+def joint_exp_exact(spark, d):
+    """All quantiles at once over the gaps between all values; weights are tested against brute force."""
+    return spark.createDataFrame(list(zip(_QS, joint_quantiles.joint_exp(_events(spark, d), "value", _QS, 0.0, 1000.0, 1.0))), "q double, value double")
+
+
 @query()
 def joint_exp(spark, d):
+    """On a histogram of equal cells."""
     return spark.createDataFrame(list(zip(_QS, private_quantiles.joint_exp(_events(spark, d), "value", _QS, 0.0, 1000.0, 1.0, 512))), "q double, value double")
 
 
@@ -914,11 +971,20 @@ def agg_tree_quantiles(spark, d):
 
 @query()
 def quantile_comparison(spark, d):
-    """Errors of three private methods over two trials."""
-    tree = lambda df, c, qs, s: private_quantiles.quantile_tree(df, c, qs, 0.0, 1000.0, 1.0, s)
-    joint = lambda df, c, qs, s: private_quantiles.joint_exp(df, c, qs, 0.0, 1000.0, 1.0, 256, s)
-    agg = lambda df, c, qs, s: private_quantiles.agg_tree(df, c, qs, 0.0, 1000.0, 1.0, seed=s)
-    return private_quantiles.compare(_events(spark, d), "value", _QS, {"tree": tree, "joint_exp": joint, "agg_tree": agg}, 2)
+    """Errors of four private methods over twenty trials, each on half of the rows."""
+    q, lo, hi = private_quantiles, 0.0, 1000.0
+    counts = q.trial_counts(_events(spark, d), "value", "event_id", lo, hi, 20, 0.5)
+    methods = {"ind_exp": lambda c, qs: q.trials_ind_exp(c, qs, lo, hi, 0.2), "joint_exp": lambda c, qs: q.trials_joint(c, qs, lo, hi, 1.0), "tree": lambda c, qs: q.trials_tree(c, qs, lo, hi, 1.0), "agg_tree": lambda c, qs: q.trials_tree(c, qs, lo, hi, 1.0, consistent=True)}
+    return q.compare(counts, _QS, methods)
+
+
+@query(f"WITH {_E}, o AS (SELECT x, row_number() OVER (ORDER BY x) - 1 AS i, count(*) OVER () AS n FROM e), q AS (SELECT unnest([{', '.join(f'{q}::DOUBLE' for q in _QS)}]) AS q), t AS (SELECT q, x AS truth, 1000 * q AS value FROM q JOIN o ON i = floor((n - 1) * q)), b AS (SELECT count(*) AS rows FROM e JOIN t ON x > least(truth, value) AND x <= greatest(truth, value)) SELECT 'uniform' AS method, trial::INT AS trial, (SELECT rows FROM b) / 5 AS misclassified, round((SELECT avg(abs(value - truth)) FROM t), 6) AS distance FROM range(3) r(trial)")
+def quantile_errors(spark, d):
+    """Both errors of a method that knows the bounds alone, over three trials of all rows."""
+    q = private_quantiles
+    counts = q.trial_counts(_events(spark, d), "value", "event_id", 0.0, 1000.0, 3)
+    guess = lambda c, qs: q._told(c, [(t, x, 1000 * x) for t in range(3) for x in qs])
+    return q.compare(counts, _QS, {"uniform": guess}).withColumn("distance", F.round("distance", 6))
 
 
 @query("SELECT (abs(count(*) FILTER (value > 10) - count(*) FILTER (value > 20)) + abs(count(*) FILTER (value > 30) - count(*) FILTER (value > 30.5))) / 2 AS error FROM events")

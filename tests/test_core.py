@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quercus.operators import binning, candidates, local_privacy, ordering, private_quantiles, sampling, summaries
-from quercus.plans import analytics, privacy, sweeps, trees
+from quercus.operators import binning, candidates, joint_quantiles, local_privacy, ordering, private_quantiles, sampling, summaries
+from quercus.plans import analytics, feature_bins, privacy, sweeps, trees
 from quercus.sources import datasets
 
 
@@ -214,8 +214,6 @@ def test_private_quantiles_run(spark):
     ts = private_quantiles.tuned_ts(df, "v", qs, -50, 50, 2.0, steps=5)
     assert np.abs(np.array(private_quantiles.csmooth(df, "v", qs, -50, 50, 2.0, ts)) - truth).max() < 3
     assert np.abs(np.array(private_quantiles.agg_tree(df, "v", qs, -50, 50, 5.0)) - truth).max() < 1.5
-    errors = private_quantiles.compare(df, "v", qs, {"tree": lambda d, c, q, s: private_quantiles.quantile_tree(d, c, q, -50, 50, 1.0, s), "joint": lambda d, c, q, s: private_quantiles.joint_exp(d, c, q, -50, 50, 1.0, 256, s)}, 2)
-    assert errors.count() == 4 and errors.agg({"error": "max"}).first()[0] < 200
     e = private_quantiles.composed_epsilon(1.0, 1e-5, 10)
     assert 0.1 <= e < 0.4
 
@@ -498,3 +496,109 @@ def test_rows_of_one_history_spend_alike(spark):
             assert spent[i]["queries"] == 2 * len(history) and spent[i]["rho"] == pytest.approx(rho)
             assert spent[i]["epsilon"] == pytest.approx(max(0.0, min(curve)) if history else 0.0)
         assert len({tuple(h) for h in seen.values()}) > 2
+
+
+def test_joint_weights_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(joint_quantiles, "PART_ROWS", 60)
+    rng = np.random.default_rng(31)
+    values = np.round(np.concatenate([rng.normal(5, 2, 120), rng.normal(5, 0.01, 60), [9.0] * 20]), 3)
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (math.nan,)] * 40, "v double")
+    lo, hi, n, qs, epsilon = 0.0, 10.0, 200, [0.1, 0.5, 0.52, 0.9], 1.5
+    x = np.unique(np.clip(np.concatenate([[lo], values]), lo, hi))
+    end = np.append(x[1:], hi)
+    r = np.array([(np.clip(values, lo, hi) <= v).sum() for v in x])
+    x, end, r = x[end > x], end[end > x], r[end > x]
+    wanted, rate, w = np.diff([0.0, *qs]) * n, epsilon / 4, np.log(end - x)
+    alphas = [(w - rate * np.abs(r - wanted[0]))[:, None]]
+    for j in range(1, len(qs)):
+        a = np.logaddexp.reduce(alphas[-1], axis=1)
+        alone = [w[i] + np.logaddexp.reduce(np.append(a[:i] - rate * np.abs(r[i] - r[:i] - wanted[j]), -math.inf)) for i in range(len(x))]
+        shared = alphas[-1] + w[:, None] - np.log(np.arange(2, j + 2))[None, :] - rate * wanted[j]
+        alphas.append(np.concatenate([np.array(alone)[:, None], shared], axis=1))
+    table, count = joint_quantiles.gaps(df, "v", lo, hi)
+    assert count == n
+    tables = joint_quantiles.forward(ordering.stored(table), n, qs, epsilon)
+    assert tables[0].select("_p").distinct().count() > 1
+    for want, t in zip(alphas, tables):
+        got = t.orderBy("r").collect()
+        assert [g["r"] for g in got] == r.tolist()
+        np.testing.assert_allclose(np.array([g["alphas"] for g in got]), want, rtol=1e-9)
+    draws = np.array([joint_quantiles.drawn(tables, n, qs, epsilon, s) for s in range(12)])
+    assert np.abs(draws.mean(axis=0) - np.quantile(values, qs)).max() < 1.0
+
+
+def test_joint_quantiles_ignore_missing_values(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(100)] + [(math.nan,)] * 300 + [(None,)] * 50, "v double")
+    got = joint_quantiles.joint_exp(df, "v", [0.25, 0.5], 0.0, 100.0, 40.0)
+    assert got == pytest.approx([25, 50], abs=3)
+    assert private_quantiles.joint_exp(df, "v", [0.5], 0.0, 100.0, 40.0, 128) == pytest.approx([50], abs=4)
+    assert len(joint_quantiles.joint_exp(df.limit(0), "v", [0.2, 0.4], 0.0, 1.0, 1.0)) == 2
+
+
+def test_trials_together_equal_trials_alone(spark, monkeypatch):
+    rng = np.random.default_rng(41)
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(np.round(rng.normal(0, 5, 1500), 1))] + [(9999, math.nan)], "id long, v double")
+    q, qs = private_quantiles, [0.25, 0.5, 0.9]
+    counts = ordering.stored(q.trial_counts(df, "v", "id", -20, 20, 6, 0.5))
+    held = {}
+    for r in counts.collect():
+        held.setdefault(r["trial"], []).extend([r["x"]] * r["n"])
+    assert len(held) == 6 and all(600 < len(v) < 900 for v in held.values()) and len({tuple(sorted(v)) for v in held.values()}) == 6
+    methods = {"ind": lambda c, qs: q.trials_ind_exp(c, qs, -20, 20, 2.0), "joint": lambda c, qs: q.trials_joint(c, qs, -20, 20, 5.0), "tree": lambda c, qs: q.trials_tree(c, qs, -20, 20, 5.0), "agg": lambda c, qs: q.trials_tree(c, qs, -20, 20, 5.0, consistent=True)}
+    estimates = {m: {(r["trial"], r["q"]): r["value"] for r in f(counts, qs).collect()} for m, f in methods.items()}
+    alone = q.trials_ind_exp(counts.where("trial = 4"), qs, -20, 20, 2.0).collect()
+    assert {r["q"]: r["value"] for r in alone} == {k[1]: v for k, v in estimates["ind"].items() if k[0] == 4}
+    for r in q.compare(counts, qs, methods).collect():
+        x = np.sort(held[r["trial"]])
+        truth = [x[math.floor((len(x) - 1) * p)] for p in qs]
+        told = [estimates[r["method"]][r["trial"], p] for p in qs]
+        assert r["distance"] == pytest.approx(np.mean(np.abs(np.array(told) - truth))) and r["distance"] < 2
+        assert r["misclassified"] == pytest.approx(np.mean([((x > min(a, b)) & (x <= max(a, b))).sum() for a, b in zip(told, truth)]))
+    jobs = []
+    write = ordering.stored
+    monkeypatch.setattr(private_quantiles, "stored", lambda d: jobs.append(1) or write(d))
+    for n in (2, 8):
+        jobs.append(0)
+        q.compare(q.trial_counts(df, "v", "id", -20, 20, n, 0.5), qs, methods).collect()
+    assert sum(jobs[: len(jobs) // 2]) == sum(jobs[len(jobs) // 2 :])
+
+
+def test_columns_of_bins():
+    p, header = feature_bins.BinParams, ["a", "b", "c", "d"]
+    chosen = lambda **kw: feature_bins.Columns.chosen(header, p(**kw))
+    assert chosen().bins == header and chosen().transform == header
+    own = chosen(bin_indexes=[2, 0], bin_names=["a", "d"], category_names=["d"])
+    assert (own.bins, own.categories, own.transform) == (["c", "a"], ["d"], ["c", "a", "d"])
+    assert chosen(bin_names=["a", "b"], transform_indexes=[1]).transform == ["b"]
+    for bad in ({"bin_indexes": [4]}, {"bin_names": ["x"]}, {"category_indexes": [-1]}, {"bin_names": ["a"], "transform_names": ["b"]}):
+        with pytest.raises(ValueError):
+            chosen(**bad)
+
+
+def test_quantile_bins(spark):
+    rng = np.random.default_rng(51)
+    rows = [(float(v), int(rng.random() < 1 / (1 + math.exp(-v))), "s") for v in rng.normal(size=800)] + [(None, 1, "s"), (math.nan, 0, "s"), (-999.0, 1, "s")]
+    df = spark.createDataFrame(rows, "v double, y int, name string")
+    r = feature_bins.fit_bins(df, "y", feature_bins.BinParams(bin_num=4, abnormal=[-999.0], transform_type="woe", error=0.0005))
+    values = np.sort([v for v, _, _ in rows if v is not None and not math.isnan(v) and v != -999])
+    assert r.points["v"] == [values[199], values[399], values[599], values[799]]
+    t = r.table.orderBy("bin").collect()
+    assert [x["events"] + x["others"] for x in t] == [200] * 4 and all(x["monotonic"] for x in t) and sum(x["iv_bin"] for x in t) == pytest.approx(t[0]["iv"])
+    woe = [x["woe"] for x in t]
+    for old, new in zip(rows, [x["v"] for x in r.transform(df).collect()]):
+        v = old[0]
+        assert new == (None if v is None or math.isnan(v) else v if v == -999 else pytest.approx(woe[sum(p < v for p in r.points["v"][:-1])]))
+    assert feature_bins.fit_bins(df, None).table is None and feature_bins.fit_bins(df.limit(0), "y").points == {"v": []}
+    for bad in ({"method": "optimal"}, {"transform_type": "x"}, {"transform_type": "woe", "skip_static": True}):
+        with pytest.raises(ValueError):
+            feature_bins.fit_bins(df, "y", feature_bins.BinParams(**bad))
+
+
+def test_subsampled_curve_at_any_order():
+    for sigma, rate, order in ((1.0, 0.01, 8), (2.5, 0.3, 3), (0.7, 0.5, 20), (40.0, 0.1, 64)):
+        terms = [math.lgamma(order + 1) - math.lgamma(i + 1) - math.lgamma(order - i + 1) + i * math.log(rate) + (order - i) * math.log1p(-rate) + i * (i - 1) / (2 * sigma * sigma) for i in range(order + 1)]
+        want = (max(terms) + math.log(sum(math.exp(t - max(terms)) for t in terms))) / (order - 1)
+        assert privacy.subsampled_rdp(sigma, rate, order) == pytest.approx(want, rel=1e-6, abs=1e-12)
+        near = [privacy.subsampled_rdp(sigma, rate, order + d) for d in (-0.5, 0.0, 0.5)]
+        assert near[0] <= near[1] <= near[2]
+    assert privacy.subsampled_rdp(3.0, 1.0, 2.5) == 2.5 / 18 and privacy.subsampled_rdp(3.0, 0.0, 2.5) == 0
