@@ -96,11 +96,13 @@ def _behind(summed: DataFrame, wanted: float, parts: int) -> DataFrame:
     rows = _parted(table.union(asked), "pos", parts)
     order = F.when(F.col("kind") == 0, F.col("pos"))
     short = rows.groupBy("_p").agg(F.max_by("upto", order).alias("last"), F.min_by("next", order).alias("first"))
-    w = Window.orderBy("_p")  # a row for each partition
-    short = short.select("_p", F.last("last", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("last"), F.first("first", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("first"))
+    up, down = Window.orderBy("_p"), Window.orderBy(F.desc("_p"))  # a row for each partition
+    earlier = Window.unboundedPreceding, -1
+    short = short.select("_p", F.last("last", True).over(up.rowsBetween(*earlier)).alias("last"), F.last("first", True).over(down.rowsBetween(*earlier)).alias("first"))
     own = Window.partitionBy("_p").orderBy("pos", "kind")
     seen = F.last("upto", True).over(own.rowsBetween(Window.unboundedPreceding, 0))
-    coming = F.first("next", True).over(own.rowsBetween(1, Window.unboundedFollowing))
+    # downwards, as a frame that ends at the partition's end would be gone through anew for every row
+    coming = F.last("next", True).over(Window.partitionBy("_p").orderBy(F.desc("pos"), F.desc("kind")).rowsBetween(*earlier))
     out = rows.withColumns({"seen": seen, "coming": coming}).where("kind = 1").join(F.broadcast(short), "_p")
     return out.select(F.col("of").alias("r"), F.coalesce("seen", "last").alias("seen"), F.coalesce("coming", "first").alias("coming"))
 
