@@ -5,6 +5,8 @@ each result as Parquet and hands it to the next stage.  All but the last return
 the columns of ``documents``: doc_id, text, lang, source, n_chars.  Rows with a
 null id and rows that share an id count as documents of their own; of equal
 rows with words one is left by the second stage.  An empty table stays empty.
+Every stage bounds the session's batches for Python by bytes: the workers go
+from stage to stage, and keep what the largest batch took.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quercus.llm.common import stored
+from quercus.llm.common import bounded_batches, stored
 from quercus.llm.mixing import mixed_documents
 from quercus.llm.near_dedup import one_of_each
 from quercus.llm.packing import pack
@@ -27,22 +29,26 @@ _COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that compression distance doesn't find toxic."""
+    bounded_batches(spark)
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score(docs.select(*_COLUMNS), model).where(F.col("score") < TOXIC).select(*_COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every near-duplicate component, that of the smallest id; five words a shingle, similarity 0.8 or more."""
+    bounded_batches(spark)
     return one_of_each(docs.select(*_COLUMNS), words=5)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sources' documents in blocks, as often as the weights of their sources ask for, output shard by output shard."""
+    bounded_batches(spark)
     return mixed_documents(docs.select(*_COLUMNS), block_words=BLOCK_WORDS).select(*_COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 2048 tokens."""
+    bounded_batches(spark)
     return pack(docs.select("doc_id", "text"))
 
 

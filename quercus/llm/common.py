@@ -9,6 +9,16 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a batch of rows that goes to a Python worker: without a bound 10,000 texts of any length are one, which the JVM and the worker both hold.
+BATCH_BYTES = 1 << 22
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on batches for Python end at ``BATCH_BYTES``, or where the session itself says; rows are neither left out nor cut."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, BATCH_BYTES)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
